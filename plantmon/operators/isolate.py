@@ -36,6 +36,24 @@ def _batches(cells: DataFrame, columns: Sequence[str]) -> Iterator[list]:
         yield batch
 
 
+def _nearest_cells(centers: np.ndarray, scales: np.ndarray, members: list[np.ndarray]):
+    """Smallest cell score of each family, for a column of feature arrays."""
+
+    @F.pandas_udf("array<double>")
+    def nearest(batch: pd.Series) -> pd.Series:
+        out = np.empty((len(batch), len(members)))
+        if len(batch):
+            values = np.stack(batch.to_numpy()).astype(float)
+            step = max(1, 2_000_000 // max(1, centers.size))
+            for a in range(0, len(values), step):
+                worst = (np.abs(values[a:a + step, None, :] - centers) / scales).max(axis=2)
+                for j, m in enumerate(members):
+                    out[a:a + step, j] = worst[:, m].min(axis=1)
+        return pd.Series(list(out))
+
+    return nearest
+
+
 def family_scores(
     observations: DataFrame, features: str, cells: DataFrame, keys: Sequence[str],
 ) -> DataFrame:
@@ -55,20 +73,8 @@ def family_scores(
         scales = np.array([r["scale"] for r in group], dtype=float)
         members = [np.flatnonzero(names == k) for k in kinds]
 
-        @F.pandas_udf("array<double>")
-        def nearest(batch: pd.Series, centers=centers, scales=scales, members=members) -> pd.Series:
-            out = np.empty((len(batch), len(members)))
-            values = np.stack(batch.to_numpy()).astype(float) if len(batch) else np.empty((0, centers.shape[1]))
-            step = max(1, 2_000_000 // max(1, centers.size))
-            for a in range(0, len(values), step):
-                near = np.abs(values[a:a + step, None, :] - centers) / scales
-                worst = near.max(axis=2)
-                for j, m in enumerate(members):
-                    out[a:a + step, j] = worst[:, m].min(axis=1)
-            return pd.Series(list(out))
-
         families.append(kinds)
-        partial.append(nearest(F.col(features)))
+        partial.append(_nearest_cells(centers, scales, members)(F.col(features)))
     if not partial:
         raise ValueError("the cell library is empty")
     scored = observations.select(*keys, *[c.alias(f"_s{i}") for i, c in enumerate(partial)])

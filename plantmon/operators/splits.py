@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,6 +172,21 @@ def distribution_summary(df: DataFrame, value: str, split: str = "split",
     )
 
 
+_DESCRIPTOR = np.array([0.0, 0.10, 0.25, 0.50, 0.75, 0.90, 1.0])
+
+
+def _describe(n: np.ndarray, s: np.ndarray, q: np.ndarray, hist: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Mean, deviation, extremes and percentiles per row of histogram counts."""
+    mean = s / n
+    std = np.sqrt(np.maximum(q / n - mean * mean, 0.0))
+    upto = np.cumsum(hist, axis=1)
+    rank = (n[:, None] - 1) * _DESCRIPTOR
+    low, high = np.floor(rank), np.ceil(rank)
+    at = [np.stack([value[np.searchsorted(u, r, side="right")] for u, r in zip(upto, side, strict=True)])
+          for side in (low, high)]
+    return np.column_stack([mean, std, at[0] + (at[1] - at[0]) * (rank - low)])
+
+
 def choose_holdout(
     sliced: DataFrame,
     value: str,
@@ -181,84 +198,71 @@ def choose_holdout(
 ) -> list[int]:
     """Greedy choice of holdout slices whose distribution resembles the rest.
 
-    Every slice is summarised by moments, extremes and a histogram on common
-    edges; these merge by addition, so a step scores all remaining slices in
-    one job over the slice table. Percentiles come from the merged histogram:
-    they are exact when each bin holds one distinct value.
+    Every slice is summarised by its moments and a histogram on common edges;
+    both merge by addition, so a step scores all remaining slices in one job
+    over the slice table and only the winner reaches the driver. Percentiles
+    come from the merged histogram and are exact while a bin holds a single
+    distinct value.
     """
     low, high = sliced.agg(F.min(value), F.max(value)).first()
-    width = max(high - low, 1e-12) / bins
-    bin_of = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    counts = sliced.groupBy("slice", bin_of.alias("bin")).agg(
-        F.count("*").alias("n"), F.sum(value).alias("s"),
-        F.sum(F.col(value) * F.col(value)).alias("q"),
-        F.min(value).alias("lo"), F.max(value).alias("hi"),
+    reach = max(high - low, 1e-12)
+    spot = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(reach / bins)), F.lit(bins - 1))
+    x = F.col(value)
+    cells = sliced.groupBy("slice", spot.cast("int").alias("bin")).agg(
+        F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
     )
     table = stage(
-        counts.groupBy("slice").agg(
+        cells.groupBy("slice").agg(
             F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-            F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("hist"),
+            F.collect_list(F.struct("bin", "n")).alias("hist"),
         ),
         "slices",
     )
-    # An extreme of "all but these slices" needs the two-sided rest; carry it as
-    # the histogram's outermost occupied bins instead of per-slice minima.
-    total = table.agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
-    all_hist = {
-        r["bin"]: r["n"]
-        for r in table.select(F.explode("hist").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    }
+    n_all, s_all, q_all = table.agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+    centre, full = np.full(bins, low), np.zeros(bins)
+    for r in cells.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+        centre[r["bin"]], full[r["bin"]] = r["s"] / r["n"], r["n"]
+
+    held_n, held_s, held_q, held = 0, 0.0, 0.0, np.zeros(bins)
     chosen: list[int] = []
-    held = {"n": 0, "s": 0.0, "q": 0.0, "hist": dict.fromkeys(range(bins), 0)}
-    full = F.array(*[F.lit(int(all_hist.get(b, 0))) for b in range(bins)])
-
-    def stats(n: Column, s: Column, q: Column, hist: Column) -> Column:
-        mean = s / n
-        std = F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0)))
-        cumulative = F.aggregate(
-            hist, F.array().cast("array<bigint>"),
-            lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0).cast("bigint")) + x)),
-        )
-        def at(rank: Column) -> Column:
-            spot = F.size(F.filter(cumulative, lambda c: c <= rank))
-            return F.lit(low) + (spot + F.lit(0.5)) * F.lit(width)
-        points = [at(F.floor((n - 1) * p)) for p in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)]
-        return F.array(mean, std, *points)
-
-    while sum_rows(held) < holdout_rows:
-        base = F.array(*[F.lit(int(held["hist"][b])).cast("bigint") for b in range(bins)])
-        own = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)),
-                          lambda b: F.coalesce(F.element_at(F.col("hist"), b), F.lit(0).cast("bigint")))
-        candidates = table.where(~F.col("slice").isin(chosen)) if chosen else table
-        hist = F.zip_with(base, own, lambda a, b: a + b)
-        rest = F.zip_with(full.cast("array<bigint>"), hist, lambda a, b: a - b)
-        n, s, q = F.col("n") + held["n"], F.col("s") + held["s"], F.col("q") + held["q"]
-        scored = candidates.select("slice", F.col("n").alias("rows"), n.alias("n"), s.alias("s"), q.alias("q"),
-                                   hist.alias("hist"), rest.alias("rest"))
-        inside = stats(F.col("n"), F.col("s"), F.col("q"), F.col("hist"))
-        outside = stats(total[0] - F.col("n"), total[1] - F.col("s"), total[2] - F.col("q"), F.col("rest"))
-        scored = scored.where(F.col("n") < total[0]).withColumn("inside", inside).withColumn("outside", outside)
-        gap = F.sqrt(F.aggregate(F.zip_with("inside", "outside", lambda a, b: (a - b) * (a - b)),
-                                 F.lit(0.0), lambda acc, x: acc + x))
-        off = F.abs(F.col("n") - holdout_rows) / float(max(holdout_rows, 1))
-        span = (F.get("inside", F.lit(8)) - F.get("inside", F.lit(2))) / F.lit(max(high - low, 1e-12))
-        cost = weights[0] * gap + weights[1] * off + weights[2] * F.greatest(F.lit(0.0), 1 - span)
-        best = scored.agg(
-            F.min_by(F.struct("slice", "n", "s", "q", "hist"),
-                     F.struct(cost, hash_key(seed, ["slice"]))).alias("b")
-        ).first()["b"]
+
+    def dense(column: pd.Series) -> np.ndarray:
+        out = np.zeros((len(column), bins))
+        for i, entries in enumerate(column):
+            for e in entries:
+                out[i, e["bin"]] = e["n"]
+        return out
+
+    while held_n < holdout_rows:
+        def score(batches: Iterator[pd.DataFrame], at=(held_n, held_s, held_q, held)) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                hist = dense(pdf["hist"]) + at[3]
+                n, s, q = (pdf[c].to_numpy(dtype=float) + at[i] for i, c in enumerate("nsq"))
+                fits = n < n_all
+                pdf, hist, n, s, q = pdf[fits], hist[fits], n[fits], s[fits], q[fits]
+                if pdf.empty:
+                    continue
+                inside = _describe(n, s, q, hist, centre)
+                outside = _describe(n_all - n, s_all - s, q_all - q, full - hist, centre)
+                gap = np.linalg.norm(inside - outside, axis=1)
+                off = np.abs(n - holdout_rows) / max(holdout_rows, 1)
+                span = (inside[:, -1] - inside[:, 2]) / reach
+                cost = weights[0] * gap + weights[1] * off + weights[2] * np.maximum(0.0, 1.0 - span)
+                yield pd.DataFrame({"slice": pdf["slice"].to_numpy(), "cost": cost})
+
+        left = table.where(~F.col("slice").isin(chosen)) if chosen else table
+        best = left.mapInPandas(score, "slice bigint, cost double").agg(
+            F.min_by("slice", F.struct("cost", hash_key(seed, ["slice"])))
+        ).first()[0]
         if best is None:
             break
-        chosen.append(best["slice"])
-        held = {"n": best["n"], "s": best["s"], "q": best["q"], "hist": dict(enumerate(best["hist"]))}
+        chosen.append(best)
+        row = table.where(F.col("slice") == best).first()
+        held_n, held_s, held_q = held_n + row["n"], held_s + row["s"], held_q + row["q"]
+        held = held + dense(pd.Series([row["hist"]]))[0]
     return sorted(chosen)
 
 
-def sum_rows(held: Mapping[str, object]) -> int:
-    return int(held["n"])
-
-
 def split_dynamic(
     df: DataFrame, pos: str, value: str, *, length: int, test_ratio: float = 0.2,
     eval_ratio: float = 0.0, min_length: int | None = None,

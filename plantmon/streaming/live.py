@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from plantmon.operators.calibrate import alarm
 from plantmon.operators.reports import detection_report_columns, finish_detection_report
@@ -16,16 +17,36 @@ from plantmon.plans.staging import new_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def feed(df: DataFrame, order: str, batches: int = 4) -> DataFrame:
-    """A recorded table replayed as a file stream, one slice of ``order`` at a time."""
-    spark = df.sparkSession
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    path = new_path(spark, "feed")
-    width = max(1, -(-(high - low + 1) // batches))
-    for i in range(batches):
-        part = df.where((F.col(order) >= low + i * width) & (F.col(order) < low + (i + 1) * width))
-        part.write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+def use_rocksdb(spark: SparkSession) -> None:
+    """State store the keyed processors need; it also keeps state off the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class Replay:
+    """A recorded table played back as a file stream, slice after slice.
+
+    ``records`` is the streaming table. A slice is written by as many tasks as
+    the table has partitions; the next one appears only when the query has
+    consumed it, so records keep their order across slices however many files
+    a slice has.
+    """
+
+    def __init__(self, df: DataFrame, order: str, slices: int = 3) -> None:
+        spark = df.sparkSession
+        low, high = df.agg(F.min(order), F.max(order)).first()
+        width = max(1, -(-(high - low + 1) // slices))
+        cuts = [low + i * width for i in range(slices)]
+        at = F.col(order)
+        self._path = new_path(spark, "feed")
+        self._parts = [df.where((at >= c) & (at < c + width)) for c in cuts]
+        self._parts[0].write.mode("append").parquet(self._path)
+        self.records = spark.readStream.schema(df.schema).parquet(self._path)
+
+    def steps(self) -> Iterator[None]:
+        yield
+        for part in self._parts[1:]:
+            part.write.mode("append").parquet(self._path)
+            yield
 
 
 def live_scale(records: DataFrame, scaler: Scaler) -> DataFrame:
@@ -50,20 +71,30 @@ def live_detection_report(
     )
 
 
-def drain(stream: DataFrame, label: str = "drained") -> DataFrame:
-    """Run an append stream over what is available and return the written table."""
+def run_to_end(writer: Callable[[], DataStreamWriter], replay: Replay | None = None) -> None:
+    """Run a query over everything available, once per slice of a replay.
+
+    Each run resumes from the checkpoint of the one before, as after a restart.
+    """
+    for _ in replay.steps() if replay is not None else [None]:
+        writer().trigger(availableNow=True).start().awaitTermination()
+
+
+def drain(stream: DataFrame, replay: Replay | None = None, label: str = "drained") -> DataFrame:
+    """Run an append stream to its end and return the written table."""
     spark = stream.sparkSession
     path, marks = new_path(spark, label), new_path(spark, "progress")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def writer() -> DataStreamWriter:
+        out = stream.writeStream.format("parquet").outputMode("append")
+        return out.option("path", path).option("checkpointLocation", marks)
+
+    run_to_end(writer, replay)
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_updates(stream: DataFrame, keys: Sequence[str], label: str = "updates") -> DataFrame:
+def drain_updates(stream: DataFrame, keys: Sequence[str], replay: Replay | None = None,
+                  label: str = "updates") -> DataFrame:
     """Run an update-mode aggregate; the newest version of each key is kept.
 
     A replayed micro-batch overwrites its own folder, so a restart after a lost
@@ -75,19 +106,19 @@ def drain_updates(stream: DataFrame, keys: Sequence[str], label: str = "updates"
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", marks).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    def writer() -> DataStreamWriter:
+        out = stream.writeStream.outputMode("update").foreachBatch(write)
+        return out.option("checkpointLocation", marks)
+
+    run_to_end(writer, replay)
     return latest(spark.read.parquet(path), list(keys), "version").drop("version")
 
 
-def live_report(records: DataFrame, onsets: DataFrame, **names: str) -> DataFrame:
+def live_report(
+    replay: Replay, onsets: DataFrame, episode: str = "episode", index: str = "raw_index",
+    alarm_col: str = "alarm",
+) -> DataFrame:
     """Detection report of a finished feed, with rates and delay."""
-    episode = names.get("episode", "episode")
-    counts = drain_updates(
-        live_detection_report(records, onsets, **names), [episode, "fault_id", "onset"], "report"
-    )
+    running = live_detection_report(replay.records, onsets, episode, index, alarm_col)
+    counts = drain_updates(running, [episode, "fault_id", "onset"], replay, "report")
     return finish_detection_report(counts, "onset")
-
