@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import INF, is_finite
-from plantmon.plans import lookup, rank_within
+from plantmon.plans import lookup, positions, rank_within, running
 
 READY, INSUFFICIENT, INCOMPLETE = "ready", "insufficient_resolution", "incomplete_evidence"
 # Fixed value: relative slack of the support range check.
@@ -127,17 +127,14 @@ def age_envelope(samples: DataFrame, age: str, value: str, quantile: float,
     per = ranked.groupBy(age).agg(
         F.first("_n").alias("samples"), F.max(F.when(F.col("_k") == at, F.col(value))).alias("raw")
     )
-    # One row per age: the window runs over the short age axis, not over rows.
-    order = Window.orderBy(age)
-    table = per.withColumn("envelope", F.max("raw").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = positions(per, [], age, "_at")
+    table = running(numbered, [], age, {"envelope": ("max", F.col("raw"))})
     fault = (
-        F.when(F.col(age) != F.row_number().over(order) - 1, F.lit("ages must run from 0 without a hole"))
+        F.when(F.col(age) != F.col("_at"), F.lit("ages must run from 0 without a hole"))
         .when(F.col("samples") < minimum_samples, F.lit("too few samples for an age"))
     )
-    table = table.withColumn("_fault", fault)
-    return table.withColumn(
-        "envelope", F.when(F.col("_fault").isNotNull(), F.raise_error("_fault").cast("double")).otherwise(F.col("envelope"))
-    ).drop("_fault")
+    checked = F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("envelope"))
+    return table.select(age, "samples", "raw", checked.alias("envelope"))
 
 
 NORMS = ("input_norm", "input_delta_norm", "exogenous_delta_norm")

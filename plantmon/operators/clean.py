@@ -159,11 +159,11 @@ def one_step_pairs(
     )
 
 
-def run_starts(
-    df: DataFrame, by: Sequence[str], index: str, constant: Sequence[str] = (),
-    name: str = "run_start", *, size: int = BLOCK_ROWS,
+def run_columns(
+    df: DataFrame, by: Sequence[str], index: str, constant: Sequence[str] = (), *,
+    start: str | None = "run_start", number: str | None = "run_id", size: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Name each contiguous run by the index it starts at.
+    """Contiguous runs: the index each starts at and its number within the key.
 
     A run breaks where the index jumps or a ``constant`` column changes.
     """
@@ -174,10 +174,21 @@ def run_starts(
         return {"_breaks": ~F.coalesce(same, F.lit(False))}
 
     flagged = over_frames(df, by, index, 1, 0, cols, size=size)
-    started = running(
-        flagged, by, index, {name: ("max", F.when(F.col("_breaks"), F.col(index)))}, size=size
-    )
-    return started.drop("_breaks")
+    values = {}
+    if start:
+        values[start] = ("max", F.when(F.col("_breaks"), F.col(index)))
+    if number:
+        values[number] = ("sum", F.col("_breaks").cast("long"))
+    out = running(flagged, by, index, values, size=size).drop("_breaks")
+    return out.withColumn(number, F.col(number) - 1) if number else out
+
+
+def run_starts(
+    df: DataFrame, by: Sequence[str], index: str, constant: Sequence[str] = (),
+    name: str = "run_start", *, size: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Name each contiguous run by the index it starts at."""
+    return run_columns(df, by, index, constant, start=name, number=None, size=size)
 
 
 def run_ids(
@@ -185,12 +196,4 @@ def run_ids(
     name: str = "run_id", *, size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Number of contiguity breaks seen before this row, 0 for the first run."""
-    def cols(w):
-        same = F.lag(index).over(w) == F.col(index) - 1
-        for c in constant:
-            same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
-        return {"_breaks": (~F.coalesce(same, F.lit(False))).cast("long")}
-
-    flagged = over_frames(df, by, index, 1, 0, cols, size=size)
-    counted = running(flagged, by, index, {name: ("sum", F.col("_breaks"))}, size=size)
-    return counted.withColumn(name, F.col(name) - 1).drop("_breaks")
+    return run_columns(df, by, index, constant, start=None, number=name, size=size)

@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import INF
 from plantmon.functions.vectors import subtract
 from plantmon.operators.calibrate import conformal_status
+from plantmon.plans import over_frames, rank_within, stage
 
 OUTCOMES = ("Normal-compatible", "Out-of-model", "Nonunique", "Uncertified", "singleton")
 CELL_BYTES = 16 * 1024 * 1024
@@ -54,42 +55,42 @@ def _nearest_cells(centers: np.ndarray, scales: np.ndarray, members: list[np.nda
     return nearest
 
 
+def _score_batch(observations: DataFrame, features: str, keys: Sequence[str], group: list) -> DataFrame:
+    names = np.array([r["family_id"] for r in group])
+    kinds = list(dict.fromkeys(names.tolist()))
+    nearest = _nearest_cells(
+        np.array([r["center"] for r in group], dtype=float),
+        np.array([r["scale"] for r in group], dtype=float),
+        [np.flatnonzero(names == k) for k in kinds],
+    )
+    scored = observations.select(*keys, nearest(F.col(features)).alias("_s"))
+    ids = F.array(*[F.lit(k) for k in kinds])
+    pairs = F.arrays_zip(ids.alias("family_id"), F.col("_s").alias("score"))
+    return scored.select(*keys, F.explode(pairs).alias("_r")).select(*keys, "_r.family_id", "_r.score")
+
+
 def family_scores(
-    observations: DataFrame, features: str, cells: DataFrame, keys: Sequence[str],
+    observations: DataFrame, features: str, cells: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Smallest cell score of every family, long: one row per observation and family.
 
-    Cells travel inside the task in batches of bounded size and each Arrow
-    batch of observations is compared with a batch of cells as one matrix
-    operation. Observations are never shuffled and pairs are never emitted; a
-    larger library simply takes more batches, merged by an elementwise minimum.
+    Cells travel to the tasks in batches of bounded size, one at a time, and an
+    Arrow batch of observations is compared with a batch of cells as one matrix
+    operation. Observations are not shuffled and observation-cell pairs are
+    never emitted. A library beyond one batch takes one more pass per batch;
+    the passes meet in a minimum, which is exact.
     """
-    families: list = []
-    partial: list[Column] = []
+    merged: DataFrame | None = None
     for group in _batches(cells, ["family_id", "center", "scale"]):
-        names = np.array([r["family_id"] for r in group])
-        kinds = list(dict.fromkeys(names.tolist()))
-        centers = np.array([r["center"] for r in group], dtype=float)
-        scales = np.array([r["scale"] for r in group], dtype=float)
-        members = [np.flatnonzero(names == k) for k in kinds]
-
-        families.append(kinds)
-        partial.append(_nearest_cells(centers, scales, members)(F.col(features)))
-    if not partial:
+        part = _score_batch(observations, features, keys, group)
+        if merged is None:
+            merged = part
+            continue
+        both = merged.unionByName(part)
+        merged = stage(both.groupBy(*keys, "family_id").agg(F.min("score").alias("score")), "families")
+    if merged is None:
         raise ValueError("the cell library is empty")
-    scored = observations.select(*keys, *[c.alias(f"_s{i}") for i, c in enumerate(partial)])
-    entries: dict = {}
-    for i, kinds in enumerate(families):
-        for j, k in enumerate(kinds):
-            entries.setdefault(k, []).append(F.get(f"_s{i}", F.lit(j)))
-    rows = [
-        F.struct(F.lit(k).alias("family_id"),
-                 (cols[0] if len(cols) == 1 else F.least(*cols)).alias("score"))
-        for k, cols in entries.items()
-    ]
-    return scored.select(*keys, F.explode(F.array(*rows)).alias("_r")).select(
-        *keys, "_r.family_id", "_r.score"
-    )
+    return merged
 
 
 def feasible_families(scores: DataFrame, radii: DataFrame, uncertified: Sequence = ()) -> DataFrame:
@@ -129,17 +130,16 @@ def cell_bounds(refinements: DataFrame, query: Sequence[str], cell: str, level:
 
 def refinement_violations(refinements: DataFrame, query: Sequence[str], cell: str, level: str,
                           lower: str, upper: str) -> DataFrame:
-    """Refinements that widen their predecessor's bounds or repeat its level.
+    """Refinements that widen their predecessor's bounds or repeat its level."""
+    by = [*query, cell]
+    placed = rank_within(refinements, by, [level, lower, upper], "_at")
 
-    A cell's refinement ladder is as deep as its levels, so the window is per
-    cell and short.
-    """
-    order = Window.partitionBy(*query, cell).orderBy(level, F.col(lower), F.col(upper))
-    seen = refinements.withColumns(
-        {"_l": F.lag(level).over(order), "_lo": F.lag(lower).over(order), "_hi": F.lag(upper).over(order)}
-    )
+    def before(w):
+        return {"_l": F.lag(level).over(w), "_lo": F.lag(lower).over(w), "_hi": F.lag(upper).over(w)}
+
+    seen = over_frames(placed, by, "_at", 1, 0, before)
     bad = (F.col(level) <= F.col("_l")) | (F.col(lower) < F.col("_lo")) | (F.col(upper) > F.col("_hi"))
-    return seen.where(bad).drop("_l", "_lo", "_hi")
+    return seen.where(bad).drop("_at", "_l", "_lo", "_hi")
 
 
 def candidate_sets(

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import col, is_finite
-from plantmon.plans import lookup
+from plantmon.plans import lookup, rank_within
 
 # Roles that never become model inputs, and the roles a task
 # falls back to when its targets are not named.
@@ -175,15 +175,11 @@ def split_xy(df: DataFrame, targets: Sequence[int] = (-1,)) -> tuple[list[str],
 
 
 def label_mapping(df: DataFrame, label: str, normal: str | None = None) -> DataFrame:
-    """Class ids 0.. over the sorted distinct labels, the normal one first.
-
-    The window runs over the distinct classes, not over rows.
-    """
+    """Class ids 0.. over the sorted distinct labels, the normal one first."""
     text = F.col(label).cast("string")
     classes = df.where(text.isNotNull()).select(text.alias(label)).distinct()
-    first = F.when(F.col(label) == F.lit(normal), 0).otherwise(1) if normal else F.lit(0)
-    order = Window.orderBy(first, label)
-    return classes.select(label, (F.row_number().over(order) - 1).cast("long").alias("class_id"))
+    first = F.when(F.col(label) == F.lit(normal), 0).otherwise(1)
+    return rank_within(classes, [], [first, label], "class_id")
 
 
 def encode_labels(

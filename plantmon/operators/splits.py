@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import half_even
-from plantmon.plans import exact_quantiles, hash_rank, lookup, over_frames, positions, running, stage
+from plantmon.plans import exact_quantiles, grouped_quantiles, hash_rank, lookup, over_frames, positions, running, stage
 from plantmon.plans.ordered import BLOCK_ROWS
 from plantmon.plans.ranking import hash_key
 
@@ -134,17 +134,17 @@ def slice_ids(
 
 
 def slice_summary(sliced: DataFrame, pos: str, value: str) -> DataFrame:
-    """Per slice: range, moments and median. A slice is bounded by its length."""
-    return sliced.groupBy("slice").agg(
+    """Per slice: range, moments and median."""
+    table = sliced.groupBy("slice").agg(
         F.min(pos).alias("start"),
         (F.max(pos) + 1).alias("stop"),
         F.count("*").alias("rows"),
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"),
-        F.percentile(value, F.lit(0.5)).alias("p50"),
         F.max(value).alias("max"),
     )
+    return table.join(grouped_quantiles(sliced, ["slice"], value, {"p50": 0.5}), "slice", "left")
 
 
 _PROBS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}

@@ -1,5 +1,6 @@
 """Physical building blocks: staging, ordered blocks, ranks, quantiles, lookups."""
 
+from plantmon.plans.groups import fold_groups
 from plantmon.plans.joins import lookup
 from plantmon.plans.ordered import over_frames, positions, running
 from plantmon.plans.quantiles import exact_quantiles, grouped_quantiles
@@ -8,6 +9,7 @@ from plantmon.plans.staging import stage, staging_root
 
 __all__ = [
     "exact_quantiles",
+    "fold_groups",
     "grouped_quantiles",
     "hash_rank",
     "lookup",

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from plantmon.operators.clean import run_ids, run_starts
-from plantmon.plans import over_frames, running, stage
+from plantmon.operators.clean import run_columns
+from plantmon.plans import fold_groups, over_frames, running, stage
 from plantmon.plans.ordered import BLOCK_ROWS
 
 WARMUP, CANDIDATE, PROTECTED, STALE = "WARMUP", "CANDIDATE", "PROTECTED", "STALE"
@@ -125,67 +125,64 @@ def _chain(good: np.ndarray, first: int, step: int) -> list[int]:
 def _choose_anchors(
     rows: DataFrame, run: list[str], index: str, step: int, size: int, fan_out: int
 ) -> DataFrame:
-    """Start index of every accepted anchor. ``rows`` carries ``good``."""
+    """Start index of every accepted anchor. ``rows`` carries ``good``.
+
+    Blocks are numbered from the one a run starts in. Runs that fit one block
+    need no maps.
+    """
     size = max(size, step)
     key_fields = [f for f in rows.schema if f.name in run]
-    blocked = stage(
-        rows.select(*run, index, "good", F.expr(f"`{index}` div {size}").alias("blk")), "gate"
-    )
+    blk = F.expr(f"`{index}` div {size} - run_start div {size}").alias("blk")
+    blocked = rows.select(*run, index, "good", blk)
+    wide = [StructField("blk", LongType())]
+    map_schema = StructType([*key_fields, *wide, StructField("exits", ArrayType(LongType()))])
+    entry_schema = StructType([*key_fields, *wide, StructField("entry", LongType())])
+    pick_schema = StructType([*key_fields, StructField("anchor", LongType())])
+    start = run.index("run_start")
+    last = blocked.agg(F.max("blk")).first()[0] or 0
 
-    map_schema = StructType([*key_fields, StructField("blk", LongType()),
-                             StructField("exits", ArrayType(LongType()))])
+    def low(key: tuple) -> int:
+        return (int(key[start]) // size + int(key[-1])) * size
 
-    def to_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[:1][[*run, "blk"]].copy()
-        good = np.sort(pdf.loc[pdf["good"], index].to_numpy(dtype=np.int64))
-        head["exits"] = [_exits(good, int(head["blk"].iloc[0]) * size, size, step).tolist()]
-        return head
+    def to_map(key: tuple, cols: dict[str, np.ndarray]) -> list[tuple]:
+        good = cols[index][cols["good"].astype(bool)].astype(np.int64)
+        return [(*key, _exits(good, low(key), size, step).tolist())]
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("blk")
+    def compose(key: tuple, cols: dict[str, np.ndarray]) -> list[tuple]:
         at = np.arange(step)
-        for exits in pdf["exits"]:
+        for exits in cols["exits"]:
             at = np.asarray(exits)[at]
-        head = pdf.iloc[:1][run].copy()
-        head["blk"] = int(pdf["blk"].iloc[0]) // fan_out
-        head["exits"] = [at.tolist()]
-        return head
-
-    levels = [stage(blocked.groupBy(*run, "blk").applyInPandas(to_map, map_schema), "maps")]
-    # Without a second block there is nothing to compose.
-    while levels[-1].agg(F.max("blk")).first()[0]:
-        parent = F.expr(f"blk div {fan_out}").alias("_up")
-        up = levels[-1].groupBy(*run, parent).applyInPandas(compose, map_schema)
-        levels.append(stage(up, "maps"))
-
-    entry_schema = StructType([*key_fields, StructField("blk", LongType()),
-                               StructField("entry", LongType())])
-    entries = levels[-1].select(*run, "blk", F.lit(0).cast("long").alias("entry"))
+        return [(*key, at.tolist())]
 
-    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("blk")
-        at, out = int(pdf["_entry"].iloc[0]), []
-        for exits in pdf["exits"]:
-            out.append(at)
+    def hand_down(key: tuple, cols: dict[str, np.ndarray]) -> list[tuple]:
+        at, out = int(cols["entry"][0]), []
+        for b, exits in zip(cols["blk"], cols["exits"], strict=True):
+            out.append((*key[:-1], int(b), at))
             at = int(exits[at])
-        return pdf[[*run, "blk"]].assign(entry=out)
+        return out
 
-    for level in reversed(levels[:-1]):
-        above = entries.select(*run, F.col("blk").alias("_up"), F.col("entry").alias("_entry"))
-        children = level.withColumn("_up", F.expr(f"blk div {fan_out}")).join(above, [*run, "_up"])
-        entries = stage(children.groupBy(*run, "_up").applyInPandas(hand_down, entry_schema), "entries")
-
-    pick_schema = StructType([*key_fields, StructField("anchor", LongType())])
+    def pick(key: tuple, cols: dict[str, np.ndarray]) -> list[tuple]:
+        good = cols[index].astype(np.int64)
+        return [(*key[:-1], c) for c in _chain(good, low(key) + int(cols["entry"][0]), step)]
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        good = np.sort(pdf[index].to_numpy(dtype=np.int64))
-        starts = _chain(good, int(first["blk"]) * size + int(first["entry"]), step)
-        out = pd.DataFrame({k: [first[k]] * len(starts) for k in run})
-        return out.assign(anchor=np.array(starts, dtype=np.int64))
+    good_rows = blocked.where("good")
+    if not last:
+        entered = good_rows.withColumn("entry", F.lit(0).cast("long"))
+        return fold_groups(entered, [*run, "blk"], [index], pick, pick_schema)
 
-    with_entry = blocked.where("good").join(entries, [*run, "blk"])
-    return with_entry.groupBy(*run, "blk").applyInPandas(pick, pick_schema)
+    levels = [stage(fold_groups(blocked, [*run, "blk"], [index], to_map, map_schema), "maps")]
+    while last:
+        up = levels[-1].withColumn("_up", F.expr(f"blk div {fan_out}"))
+        up = fold_groups(up, [*run, "_up"], ["blk"], compose, map_schema)
+        levels.append(stage(up, "maps"))
+        last //= fan_out
+    entries = levels[-1].select(*run, "blk", F.lit(0).cast("long").alias("entry"))
+    for level in reversed(levels[:-1]):
+        above = entries.withColumnRenamed("blk", "_up")
+        children = level.withColumn("_up", F.expr(f"blk div {fan_out}")).join(above, [*run, "_up"])
+        entries = stage(fold_groups(children, [*run, "_up"], ["blk"], hand_down, entry_schema), "entries")
+    entered = good_rows.join(entries, [*run, "blk"])
+    return fold_groups(entered, [*run, "blk"], [index], pick, pick_schema)
 
 
 def gate_batch(
@@ -194,8 +191,7 @@ def gate_batch(
 ) -> DataFrame:
     """Mode, anchor, its age and the reset count of every record."""
     slim = df.select(episode, stage_col, index, score)
-    started = run_starts(slim, [episode], index, [stage_col], "run_start", size=size)
-    counted = stage(run_ids(started, [episode], index, [stage_col], "reset_count", size=size), "runs")
+    counted = run_columns(slim, [episode], index, [stage_col], number="reset_count", size=size)
     run = [episode, "run_start"]
     delay = rule.delay
 
