@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,8 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "plantmon-tests", **{"spark.sql.shuffle.partitions": "4"})
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-")}
+    session = local_session("8", "plantmon-tests", **conf)
     yield session
     session.stop()
 
