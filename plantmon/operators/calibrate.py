@@ -62,13 +62,16 @@ def apply_thresholds(scores: DataFrame, thresholds: DataFrame, stream: str = "sc
 def expected_coordinates(episodes: DataFrame, coordinates: DataFrame, episode: str) -> DataFrame:
     """Every coordinate each calibration episode must hold.
 
-    The declared coordinates ride along as one array, so no pair join is made.
+    The score family is declared up front, so its coordinates ride along as a
+    literal array. Checking coverage does not need this grid, see
+    :func:`score_coverage`.
     """
-    fields = coordinates.columns
-    packed = coordinates.agg(F.collect_set(F.struct(*fields)).alias("_all")).select(F.lit(1).alias("_k"), "_all")
-    keyed = episodes.select(episode).distinct().withColumn("_k", F.lit(1))
-    spread = keyed.join(F.broadcast(packed), "_k").select(episode, F.explode("_all").alias("_c"))
-    return spread.select(episode, *[F.col(f"_c.{f}").alias(f) for f in fields])
+    types = dict(coordinates.dtypes)
+    grid = F.array(*[
+        F.struct(*[F.lit(row[f]).cast(types[f]).alias(f) for f in coordinates.columns])
+        for row in coordinates.distinct().collect()
+    ])
+    return episodes.select(episode).distinct().select(episode, F.inline(grid))
 
 
 def score_coverage(scores: DataFrame, episode: str, coordinates: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import finite_or_null, is_finite
 from plantmon.operators.roles import complete_rows
-from plantmon.plans import over_frames, positions, running
+from plantmon.plans import over_frames, row_positions, running
 from plantmon.plans.ordered import BLOCK_ROWS
 
 
@@ -64,26 +64,23 @@ def fill_gaps(
     pos = "_at"
     kept = [c for c in df.columns if c not in columns]
     clean = df.withColumns({c: finite_or_null(c) for c in columns})
-    placed = positions(clean, by, index, pos, size=size)
-    known = {
-        c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("at"), F.col(c).alias("v")))
-        for c in columns
-    }
+    placed = row_positions(clean, by, index, pos, size=size)
     values = {}
     for c in columns:
-        values[f"_prev_{c}"] = ("last", known[c])
-        values[f"_next_{c}"] = ("next", known[c])
+        at = F.when(F.col(c).isNotNull(), F.col(pos))
+        values |= {f"_pv_{c}": ("last", F.col(c)), f"_nv_{c}": ("next", F.col(c))}
+        if method == "linear":
+            values |= {f"_pi_{c}": ("max", at), f"_ni_{c}": ("next", at)}
     bounded = running(placed, by, pos, values, size=size)
     out = []
     for c in columns:
-        p0, p1 = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
+        v0, v1 = F.col(f"_pv_{c}"), F.col(f"_nv_{c}")
         if method == "linear":
-            slope = (p1["v"] - p0["v"]) / (p1["at"] - p0["at"])
-            between = F.when(p1["at"] > p0["at"], slope * (F.col(pos) - p0["at"]) + p0["v"])
-            filled = F.coalesce(F.col(c), between, p0["v"], p1["v"])
+            i0, i1 = F.col(f"_pi_{c}"), F.col(f"_ni_{c}")
+            between = F.when(i1 > i0, (v1 - v0) / (i1 - i0) * (F.col(pos) - i0) + v0)
+            out.append(F.coalesce(F.col(c), between, v0, v1).alias(c))
         else:
-            filled = F.coalesce(F.col(c), p0["v"], p1["v"])
-        out.append(filled.alias(c))
+            out.append(F.coalesce(F.col(c), v0, v1).alias(c))
     filled = bounded.select(*kept, *out)
     return filled.select(*df.columns)
 
@@ -115,23 +112,18 @@ def missing_summary(
     before: DataFrame, after: DataFrame, columns: Sequence[str], strategy: str
 ) -> DataFrame:
     """Original, removed and still non-finite row counts, one row."""
-    bad = ~complete_rows(after, columns)
-    a = before.agg(F.count("*").alias("original_rows"))
-    b = after.agg(F.count("*").alias("rows"), F.count(F.when(bad, 1)).alias("remaining_non_finite_rows"))
-    one = F.lit(1).alias("_k")
-    both = a.select(one, "*").join(b.select(one, "*"), "_k")
-    return both.select(
+    zero = F.lit(0).cast("long")
+    bad = F.count(F.when(~complete_rows(after, columns), 1))
+    a = before.agg(F.count("*").alias("original"), zero.alias("kept"), zero.alias("bad"))
+    b = after.agg(zero.alias("original"), F.count("*").alias("kept"), bad.alias("bad"))
+    return a.unionByName(b).agg(
         F.lit(strategy).alias("strategy"),
-        "original_rows",
-        (F.col("original_rows") - F.col("rows")).alias("removed_rows"),
-        "remaining_non_finite_rows",
+        F.sum("original").alias("original_rows"),
+        (F.sum("original") - F.sum("kept")).alias("removed_rows"),
+        F.sum("bad").alias("remaining_non_finite_rows"),
     )
 
 
-def previous_index(w, index: str) -> Column:
-    return F.lag(index).over(w)
-
-
 def contiguous_pairs(
     df: DataFrame, by: Sequence[str], index: str, columns: Sequence[str] = (),
     *, size: int = BLOCK_ROWS,
@@ -141,7 +133,7 @@ def contiguous_pairs(
     The predecessor's channels are added as ``prev_*``.
     """
     def cols(w):
-        return {"_before": previous_index(w, index),
+        return {"_before": F.lag(index).over(w),
                 **{f"prev_{c}": F.lag(c).over(w) for c in columns}}
 
     framed = over_frames(df, by, index, 1, 0, cols, size=size)
@@ -173,7 +165,7 @@ def run_columns(
             same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
         return {"_breaks": ~F.coalesce(same, F.lit(False))}
 
-    flagged = over_frames(df, by, index, 1, 0, cols, size=size)
+    flagged = over_frames(df, by, index, 1, 0, cols, size=size, keep_block=True)
     values = {}
     if start:
         values[start] = ("max", F.when(F.col("_breaks"), F.col(index)))

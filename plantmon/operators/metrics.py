@@ -68,12 +68,10 @@ def horizon_rmse(df: DataFrame, step: str, y_true: str, y_pred: str, floor: floa
     """RMSE per horizon step and its ratio to the first step."""
     err = F.col(y_pred) - F.col(y_true)
     per = df.groupBy(step).agg(F.sqrt(F.avg(err * err)).alias("rmse"))
-    first = per.agg(F.min_by("rmse", step).alias("_first"), F.max("rmse").alias("_top"))
-    one = F.lit(1).alias("_k")
-    base = F.greatest(F.col("_first"), F.lit(floor))
-    return per.select(one, "*").join(F.broadcast(first.select(one, "*")), "_k").select(
-        step, "rmse", (F.col("rmse") / base).alias("ratio_to_first"),
-        (F.col("_top") / base).alias("max_ratio"),
+    head = per.agg(F.min_by("rmse", step).alias("first"), F.max("rmse").alias("top")).first()
+    base = max(head["first"], floor)
+    return per.withColumn("ratio_to_first", F.col("rmse") / F.lit(base)).withColumn(
+        "max_ratio", F.lit(head["top"] / base)
     )
 
 
@@ -151,9 +149,10 @@ def classification_metrics(df: DataFrame, y_true: str, y_pred: str) -> DataFrame
     """Accuracy and macro F1, one row."""
     counts = confusion_counts(df, y_true, y_pred)
     hits = F.sum(F.when(F.col("true_class") == F.col("pred_class"), F.col("rows")).otherwise(0))
-    a = counts.agg((hits / F.sum("rows")).alias("accuracy")).select(F.lit(1).alias("_k"), "*")
-    b = class_metrics(df, y_true, y_pred).agg(F.avg("f1").alias("macro_f1")).select(F.lit(1).alias("_k"), "*")
-    return a.join(b, "_k").drop("_k")
+    none = F.lit(None).cast("double")
+    a = counts.agg((hits / F.sum("rows")).alias("accuracy"), none.alias("macro_f1"))
+    b = class_metrics(df, y_true, y_pred).agg(none.alias("accuracy"), F.avg("f1").alias("macro_f1"))
+    return a.unionByName(b).agg(F.max("accuracy").alias("accuracy"), F.max("macro_f1").alias("macro_f1"))
 
 
 def contribution_metrics(

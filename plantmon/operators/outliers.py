@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import finite_or_null
 from plantmon.functions.vectors import max_of, median
-from plantmon.operators.clean import positions
-from plantmon.plans import exact_quantiles, over_frames, rank_within, stage
+from plantmon.plans import exact_quantiles, over_frames, rank_within, row_positions, stage
 from plantmon.plans.ordered import BLOCK_ROWS
 
 # Spread floor, MAD-to-sigma factor and default cut-offs.
@@ -132,7 +131,7 @@ def local_severity(
     are bounded by the rule.
     """
     r, pos = max(1, rule.radius), "_at"
-    placed = positions(df, by, index, pos, size=size)
+    placed = row_positions(df, by, index, pos, size=size)
 
     def frames(w):
         left, right = w.rowsBetween(-r, -1), w.rowsBetween(1, r)

@@ -17,6 +17,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from plantmon.plans.staging import stage
+
 BLOCK_ROWS = 65_536
 _BLOCK = "_block"
 _HOME = "_home"
@@ -35,11 +37,14 @@ def over_frames(
     columns: Callable[[WindowSpec], Mapping[str, Column]],
     *,
     size: int = BLOCK_ROWS,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add window columns that look at most ``before``/``after`` index steps away.
 
     ``columns`` receives a spec ordered by ``index`` and must bound its own
-    frames. Index values are non-negative and unique per key.
+    frames. Index values are non-negative and unique per key. With
+    ``keep_block`` the block column stays, so that a :func:`running` of the same
+    size finds its rows already partitioned and sorted.
     """
     reach = F.sequence(block_of(index, size, -after), block_of(index, size, before))
     spread = df.withColumn(_BLOCK, F.explode(reach)).withColumn(
@@ -48,7 +53,8 @@ def over_frames(
     spec = Window.partitionBy(*by, _BLOCK).orderBy(index)
     added = columns(spec)
     out = spread.select("*", *[c.alias(n) for n, c in added.items()])
-    return out.where(F.col(_HOME)).drop(_BLOCK, _HOME)
+    home = out.where(F.col(_HOME)).drop(_HOME)
+    return home if keep_block else home.drop(_BLOCK)
 
 
 def running(
@@ -63,10 +69,10 @@ def running(
 
     ``values`` maps a name to ``(kind, column)``; kind is ``sum``, ``max``,
     ``min``, ``last`` (latest non-null so far) or ``next`` (first non-null from
-    here on).
+    here on). A block column left by :func:`over_frames` is used up.
     """
     names = list(values)
-    blocked = df.withColumn(_BLOCK, block_of(index, size))
+    blocked = df if _BLOCK in df.columns else df.withColumn(_BLOCK, block_of(index, size))
     inputs = {n: f"_in_{i}" for i, n in enumerate(names)}
     blocked = blocked.select("*", *[values[n][1].alias(inputs[n]) for n in names])
 
@@ -118,7 +124,7 @@ def running(
             out.append(F.least(here, carry).alias(n))
         else:
             out.append(F.coalesce(here, carry).alias(n))
-    kept = [c for c in df.columns if c not in values]
+    kept = [c for c in df.columns if c not in values and c != _BLOCK]
     return joined.select(*kept, *out)
 
 
@@ -128,3 +134,28 @@ def positions(
     """Dense 0-based position of each row within its key, in index order."""
     counted = running(df, by, index, {name: ("sum", F.lit(1).cast("long"))}, size=size)
     return counted.withColumn(name, F.col(name) - F.lit(1).cast("long"))
+
+
+def gapless(df: DataFrame, by: Sequence[str], index: str) -> bool:
+    """Whether the index of every key counts its rows without a hole.
+
+    One scan of the key columns with partial aggregates, far less than numbering
+    the rows.
+    """
+    spans = df.groupBy(*by).agg(
+        (F.max(index) - F.min(index) + 1 != F.count(F.lit(1))).alias("_hole")
+    )
+    return not spans.where("_hole").take(1)
+
+
+def row_positions(
+    df: DataFrame, by: Sequence[str], index: str, name: str, *, size: int = BLOCK_ROWS
+) -> DataFrame:
+    """A column that counts the rows of each key, for use as an index in turn.
+
+    A gapless index serves as it is. Otherwise rows are numbered and staged, so
+    that what follows does not number them again for each of its branches.
+    """
+    if gapless(df, by, index):
+        return df.withColumn(name, F.col(index).cast("long"))
+    return stage(positions(df, by, index, name, size=size), "numbered")

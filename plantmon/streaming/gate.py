@@ -210,9 +210,14 @@ def gate_batch(
         "flagged",
     )
     anchors = stage(_choose_anchors(flagged, run, index, rule.step, size, fan_out), "anchors")
-    opened = anchors.select(*run, F.col("anchor").alias(index), F.col("anchor").alias("_opened"))
-    accepted = anchors.select(*run, (F.col("anchor") + delay).alias(index), F.col("anchor").alias("_accepted"))
-    marked = flagged.join(opened, [*run, index], "left").join(accepted, [*run, index], "left")
+    # The start and the acceptance of an anchor never fall on the same record
+    # as another anchor's, so both fit one table of marks.
+    none = F.lit(None).cast("long")
+    marks = anchors.select(*run, F.col("anchor").alias(index), F.col("anchor").alias("_opened"), none.alias("_accepted"))
+    marks = marks.unionByName(anchors.select(
+        *run, (F.col("anchor") + delay).alias(index), none.alias("_opened"), F.col("anchor").alias("_accepted")
+    ))
+    marked = flagged.join(marks, [*run, index], "left")
     at = F.col(index)
     carried = running(
         marked, run, index,
