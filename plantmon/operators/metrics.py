@@ -94,7 +94,7 @@ def weighted_horizon_loss(
 
 
 def predicted_class(scores: str | Column) -> Column:
-    """Class of the largest logit."""
+    """0-based class of the largest logit."""
     return argmax(col(scores))
 
 

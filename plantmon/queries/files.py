@@ -91,6 +91,15 @@ def _card(spark, sf):
     return df.drop("source")
 
 
+@query("registered_source", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def _registered(spark, sf):
+    name = "positive_suppliers"
+    if name not in readers.ADAPTERS:
+        readers.register_source(name, lambda s, files: s.read.parquet(*files).where("s_acctbal > 0").select("s_suppkey", "s_acctbal"))
+    card = {"root": sf, "data": "supplier.parquet", "adapter": name}
+    return readers.read_card(spark, card).select("s_suppkey", "s_acctbal")
+
+
 @query("resolve_paths", "SELECT 'faulty' AS folder, true AS found UNION ALL SELECT 'normal', true")
 def _paths(spark, sf):
     root = _card_files(spark, sf)

@@ -88,7 +88,7 @@ def _union(spark, sf):
     return metrics.class_union(metrics.confusion_counts(v.cls(spark, sf), "y_true", "y_pred"))
 
 
-@query("argmax_logits", """SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS predicted FROM embeddings""")
+@query("argmax_logits", """SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS predicted FROM embeddings""")
 def _argmax(spark, sf):
     return v.table(spark, sf, "embeddings").select("vec_id", metrics.predicted_class("embedding").alias("predicted"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantmon.functions.vectors import l2, pack
-from plantmon.operators import clean, scores
+from plantmon.operators import calibrate, clean, evaluators, outliers, prepare, scores, splits
 from plantmon.plans import lookup
 from plantmon.queries import views as v
 from plantmon.queries.registry import query
+from plantmon.queries.splitting import EPISODE, EPISODES, OPTIONS, STAGED
 
 KEYS = ["episode", "raw_index"]
 TRAIN = "raw_index % 4 <> 3"
@@ -244,3 +245,72 @@ def _branches(spark, sf):
 def _custom(spark, sf):
     df = v.proc_wide(spark, sf).select(*KEYS, (F.log1p("x0") * F.col("x1")).alias("score"))
     return df.withColumn("alarm", F.col("score") > 100000)
+
+
+@query("alarm_predicate", "SELECT episode, raw_index, x1 AS score, 1000 * x0 AS threshold, x1 > 1000 * x0 AS alarm FROM proc_wide", views=["proc_wide"])
+def _alarm(spark, sf):
+    df = v.proc_wide(spark, sf).select(*KEYS, F.col("x1").alias("score"), (1000 * F.col("x0")).alias("threshold"))
+    return df.withColumn("alarm", calibrate.alarm())
+
+
+@query("evaluator_registry", """SELECT count(*) FILTER (x0 > 30 AND fault = 0) AS false_alarms, count(*) FILTER (x0 <= 30 AND fault = 1) AS missed,
+    count(*) FILTER (x0 > 30 AND fault = 1) AS detected FROM proc_wide""", views=["proc_wide"])
+def _evaluator(spark, sf):
+    out = evaluators.evaluate("fault_detection", v.proc_wide(spark, sf), score="x0", threshold=30.0, label="fault")
+    return out.select("false_alarms", "missed", "detected")
+
+
+# --- whole chains --------------------------------------------------------------
+
+PREPARED = f"""WITH kept AS (SELECT * FROM proc_missing WHERE x0 IS NOT NULL AND x1 IS NOT NULL),
+    parted AS (SELECT *, CASE WHEN k > n - greatest(1, round_even(n * 0.25::DOUBLE, 0)) THEN 'test' ELSE 'train' END AS split FROM (
+      SELECT *, row_number() OVER (PARTITION BY episode ORDER BY raw_index) AS k, count(*) OVER (PARTITION BY episode) AS n FROM kept)),
+    z AS (SELECT avg(x0) AS a0, stddev_pop(x0) AS s0, avg(x1) AS a1, stddev_pop(x1) AS s1 FROM parted WHERE split = 'train'),
+    sev AS (SELECT p.episode, p.raw_index, p.x0, p.x1, p.split, greatest(abs((x0 - a0) / s0) - 1.6, abs((x1 - a1) / s1) - 1.6, 0) AS sv FROM parted p, z),
+    ranked AS (SELECT *, sv > 0 AS marked, split = 'train' AND sv > 0 AND row_number() OVER (PARTITION BY split ORDER BY sv DESC, episode, raw_index)
+      <= floor(count(*) OVER (PARTITION BY split) * 0.02) AS removed FROM sev),
+    f AS (SELECT avg(x0) AS m0, stddev_pop(x0) AS d0, avg(x1) AS m1, stddev_pop(x1) AS d1 FROM ranked WHERE split = 'train' AND NOT removed)
+    SELECT episode, raw_index, (x0 - m0) / d0 AS x0, (x1 - m1) / d1 AS x1, split, marked FROM ranked, f WHERE NOT removed"""
+
+
+@query("prepare_dataset", f"SELECT * FROM ({PREPARED})", views=["proc_missing"], rounded=["x0", "x1"])
+def _prepare(spark, sf):
+    """Drop gaps, split each recording, remove train outliers, scale."""
+    return prepare.prepare(
+        v.proc_missing(spark, sf), ["episode"], "raw_index", ["x0", "x1"], missing="drop",
+        split=lambda d: splits.split_sequential(d, ["episode"], "raw_index", 0.25),
+        outlier_rule=outliers.OutlierRule("zscore", z_threshold=1.6, max_removal_ratio=0.02),
+    ).data
+
+
+RISK = 0.1
+SCALED = f"""WITH staged AS ({STAGED}), m AS (SELECT avg(x0) AS m0, stddev_pop(x0) AS s0, avg(x1) AS m1, stddev_pop(x1) AS s1, corr(x0, x1) AS r, count(*) AS n FROM staged WHERE stage = 'train'),
+    raw_scores AS (SELECT pos, raw, stage, a, ({Z0} + sign(r) * {Z1}) * ({Z0} + sign(r) * {Z1}) / 2 / ((1 + abs(r)) * n / (n - 1)) AS t2,
+      ({Z0} - sign(r) * {Z1}) * ({Z0} - sign(r) * {Z1}) / 2 AS q FROM staged, m WHERE stage <> 'train'),
+    unit AS (SELECT sqrt(avg(t2 * t2)) AS u, sqrt(avg(q * q)) AS w FROM raw_scores WHERE stage = 'estimate'),
+    long AS (SELECT pos, raw, stage, a, 'hotelling_t2' AS score_name, t2 / u AS score FROM raw_scores, unit WHERE stage <> 'estimate'
+      UNION ALL SELECT pos, raw, stage, a, 'spe_q', q / w FROM raw_scores, unit WHERE stage <> 'estimate'),
+    tops AS (SELECT l.stage, l.score_name, e.stage_episode, max(l.score) AS x FROM long l JOIN ({EPISODES}) e
+      ON e.stage = l.stage AND e.stage_episode = (l.pos - l.a) // {EPISODE} WHERE e.complete GROUP BY 1, 2, 3),
+    cut AS (SELECT stage, score_name, count(*) AS episodes, ceil((count(*) + 1) * (1 - {RISK}::DOUBLE))::BIGINT AS rank,
+      CASE WHEN ceil((count(*) + 1) * (1 - {RISK}::DOUBLE)) <= count(*) THEN list_sort(list(x))[ceil((count(*) + 1) * (1 - {RISK}::DOUBLE))::BIGINT] ELSE 'infinity'::DOUBLE END AS threshold
+      FROM tops WHERE stage <> 'frozen_normal_test' GROUP BY 1, 2)"""
+
+
+def _protocol(spark, sf):
+    df = v.timeline(spark, sf)
+    plan = splits.plan_stages(df.count(), **OPTIONS)
+    return prepare.normal_protocol(df, "pos", "raw", ["x0", "x1"], plan, RISK)
+
+
+@query("normal_protocol", f"""SELECT * FROM ({SCALED} SELECT l.pos, l.raw, l.stage, l.score_name, l.score, c.threshold, l.score > c.threshold AS alarm
+    FROM long l JOIN cut c ON c.score_name = l.score_name AND c.stage = 'detection_calibration')""", views=["timeline"], rounded=["score", "threshold"])
+def _normal(spark, sf):
+    return _protocol(spark, sf).scores.select("pos", "raw", "stage", "score_name", "score", "threshold", "alarm")
+
+
+@query("normal_protocol_thresholds", f"SELECT * FROM ({SCALED} SELECT stage, score_name, episodes, rank, threshold FROM cut)", views=["timeline"], rounded=["threshold"])
+def _normal_cuts(spark, sf):
+    p = _protocol(spark, sf)
+    both = [t.withColumn("stage", F.lit(s)) for s, t in (("detection_calibration", p.detection), ("attribution_calibration", p.attribution))]
+    return both[0].unionByName(both[1]).select("stage", "score_name", "episodes", "rank", "threshold")

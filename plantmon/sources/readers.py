@@ -119,14 +119,25 @@ def read_keyed_arrays(spark: SparkSession, path: Paths, width: int) -> DataFrame
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, ddl)
 
 
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {"csv": read_csv, "table": read_table}
+
+
+def register_source(name: str, reader: Callable[..., DataFrame]) -> None:
+    """Make a function returning a DataFrame available to cards by name."""
+    if name in ADAPTERS:
+        raise ValueError(f"source {name!r} is already registered")
+    ADAPTERS[name] = reader
+
+
 def read_card(spark: SparkSession, card: Mapping[str, object],
               reader: Callable[[SparkSession, list[str]], DataFrame] | None = None) -> DataFrame:
     """Splits a data card declares, in one table with a ``split`` column.
 
     The card holds ``root`` and file patterns under ``train``, ``eval``,
-    ``test`` or ``data``; ``data`` counts as train.
+    ``test`` or ``data``; ``data`` counts as train. It may name a registered
+    ``adapter`` that reads the files.
     """
-    read = reader or (lambda s, files: read_csv(s, files))
+    read = reader or (ADAPTERS[str(card["adapter"])] if "adapter" in card else read_csv)
     out = None
     for name in ("train", "data", "eval", "test"):
         patterns = card.get(name)
@@ -142,16 +153,6 @@ def read_card(spark: SparkSession, card: Mapping[str, object],
     return out
 
 
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {}
-
-
-def register_source(name: str, reader: Callable[..., DataFrame]) -> None:
-    """Make a function returning a DataFrame available to cards by name."""
-    if name in ADAPTERS:
-        raise ValueError(f"source {name!r} is already registered")
-    ADAPTERS[name] = reader
-
-
 def fault_ids(df: DataFrame, name: str, out: str = "fault_id") -> DataFrame:
     return df.withColumn(out, fault_id_from_name(name))
 

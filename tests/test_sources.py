@@ -65,6 +65,12 @@ def test_registered_sources(spark):
         readers.register_source("ones", lambda s: s.range(1))
 
 
+def test_cards_name_their_adapter(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "t"))
+    card = readers.read_card(spark, {"root": str(tmp_path), "data": "t", "adapter": "table"})
+    assert card.count() == 4 and card.first().split == "train"
+
+
 def test_sinks_refuse_to_overwrite(spark, tmp_path):
     df = spark.range(3)
     sinks.write_pointwise(df, str(tmp_path / "p"))
