@@ -96,7 +96,7 @@ def normal_protocol(
     episodes = splits.stage_episodes(scaled, pos, raw, plan).where("complete")
     number = F.expr(f"(`{pos}` - stage_start) div {int(plan.episode_length)}")
     inside = lookup(scaled.withColumn("stage_episode", number),
-                    episodes.select("stage", "stage_episode"), ["stage", "stage_episode"], "inner")
+                    episodes.select("stage", "stage_episode"), ["stage", "stage_episode"], "inner", hot_share=None)
     maxima = stage(
         inside.groupBy("stage", "stage_episode").agg(*[F.max(s).alias(s) for s in streams])
         .unpivot(["stage", "stage_episode"], streams, "score_name", "max_score"),

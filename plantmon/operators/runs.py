@@ -145,7 +145,8 @@ def best_run(runs: DataFrame, key: Sequence[str], order: str, rmse: str = "rmse"
             target = stage(better.groupBy(*key).agg(F.min("_block").alias("_block")), "next")
             if not target.take(1):
                 return state.drop("_block")
-            todo = lookup(lookup(rows, target, [*key, "_block"], "inner"), now.drop("_done"), key, "inner")
+            block = lookup(rows, target, [*key, "_block"], "inner", hot_share=None)
+            todo = lookup(block, now.drop("_done"), key, "inner")
         folded = stage(todo.groupBy(*key).applyInPandas(fold_block, schema), "folded")
         if state is None:
             state = folded

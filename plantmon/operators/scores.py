@@ -49,13 +49,21 @@ class DiagonalT2:
 
 
 def fit_t2(normal: DataFrame, values: Sequence[str | Column]) -> DiagonalT2:
-    cols = [col(v) for v in values]
-    row = normal.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)],
-    ).first()
-    k = range(len(cols))
-    return DiagonalT2(tuple(row[f"m{i}"] for i in k), tuple(row[f"v{i}"] for i in k))
+    return fit_t2_many(normal, [values])[0]
+
+
+def fit_t2_many(normal: DataFrame, groups: Sequence[Sequence[str | Column]]) -> list[DiagonalT2]:
+    """One reference per group of channels, all from one scan."""
+    aggs = []
+    for g, values in enumerate(groups):
+        for i, v in enumerate(values):
+            aggs += [F.avg(col(v)).alias(f"m{g}_{i}"), F.var_pop(col(v)).alias(f"v{g}_{i}")]
+    row = normal.agg(*aggs).first()
+    return [
+        DiagonalT2(tuple(row[f"m{g}_{i}"] for i in range(len(values))),
+                   tuple(row[f"v{g}_{i}"] for i in range(len(values))))
+        for g, values in enumerate(groups)
+    ]
 
 
 def percentile_threshold(scores: DataFrame, score: str | Column, far: float) -> float:
@@ -124,6 +132,7 @@ def fit_procedures(
     """
     parsed = [parse_procedure(p) for p in procedures]
     scores: dict[str, Column] = {}
+    pending: dict[str, list[Column]] = {}
     for p in parsed:
         if p.mode == "custom" or p.statistic == "custom":
             if custom is None:
@@ -136,7 +145,13 @@ def fit_procedures(
         )
         if not values:
             raise ValueError(f"procedure {p.name} has no input columns")
-        scores[p.name] = fit_t2(normal, values).score(values) if p.statistic == "t2" else q_score(values)
+        if p.statistic == "t2":
+            pending[p.name] = values
+        else:
+            scores[p.name] = q_score(values)
+    if pending:
+        fitted = fit_t2_many(normal, list(pending.values()))
+        scores |= {n: m.score(v) for (n, v), m in zip(pending.items(), fitted, strict=True)}
     by_rank = {p.name: scores[p.name] for p in parsed if p.threshold != "ineq"}
     by_moment = {p.name: scores[p.name] for p in parsed if p.threshold == "ineq"}
     cut: dict[str, float] = {}

@@ -435,7 +435,7 @@ def stage_windows(
     if episodes is None:
         episodes = stage_episodes(staged, pos, raw, plan)
     whole = episodes.where("complete").select("stage", "stage_episode", F.lit(True).alias("_whole"))
-    marked = lookup(legal, whole, ["stage", "stage_episode"])
+    marked = lookup(legal, whole, ["stage", "stage_episode"], hot_share=None)
     kept = marked.where(
         ~calibration
         | (F.coalesce(F.col("_whole"), F.lit(False)) & (F.col("_end_episode") == F.col("stage_episode")))

@@ -435,3 +435,50 @@ def test_pca_scores_match_a_direct_decomposition(spark):
 def test_constant_target_has_no_r2(spark):
     df = frame(spark, [("t", 1.0, 1.0), ("t", 1.0, 2.0)], "k string, y double, p double")
     assert all(math.isnan(r.r2) for r in metrics.regression_metrics(df, "k", "y", "p").collect())
+
+
+# --- chains --------------------------------------------------------------------
+
+
+def test_preparing_keeps_order_and_summaries(spark):
+    from plantmon.operators.prepare import prepare
+
+    rows = [(0, i, None if i == 2 else float(i % 5), "b" if i > 15 else "a") for i in range(20)]
+    df = frame(spark, rows, "episode bigint, raw_index bigint, x double, label string")
+    out = prepare(
+        df, ["episode"], "raw_index", ["x"], label="label",
+        split=lambda d: splits.split_sequential(d, ["episode"], "raw_index", 0.25),
+        outlier_rule=outliers.OutlierRule("zscore", z_threshold=9.0),
+        mask=lambda d: masks.mask_random(d, ["episode", "raw_index"], ["x"], 0.3, 1, split="split"),
+    )
+    assert out.data.count() == 20 and out.data.where("split = 'test'").count() == 5
+    assert set(out.summaries) == {"missing", "split", "labels", "outliers", "removed", "scaler", "masks"}
+    stats = out.data.where("split = 'train'").agg(F.avg("x"), F.stddev_pop("x")).first()
+    assert stats[0] == pytest.approx(0, abs=1e-9) and stats[1] == pytest.approx(1)
+
+
+def test_protocol_alarms_use_the_detection_threshold(spark):
+    from plantmon.operators.prepare import normal_protocol
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i + (i > 300), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(1000, 2)))]
+    df = frame(spark, rows, "pos bigint, raw bigint, a double, b double")
+    plan = splits.plan_stages(1000, minimum_gap=10, span=5, episode_length=8)
+    out = normal_protocol(df, "pos", "raw", ["a", "b"], plan, 0.1)
+    cut = {r.score_name: r.threshold for r in out.detection.collect()}
+    assert set(cut) == {"hotelling_t2", "spe_q"}
+    for r in out.scores.collect():
+        assert r.threshold == cut[r.score_name] and r.alarm == (r.score > r.threshold)
+    late = normal_protocol(df.withColumn("a", F.when(F.col("pos") >= 904, 50.0).otherwise(F.col("a"))), "pos", "raw", ["a", "b"], plan, 0.1)
+    assert {r.score_name: r.threshold for r in late.detection.collect()} == cut
+
+
+def test_evaluators_by_name(spark):
+    from plantmon.operators import evaluators
+
+    df = frame(spark, [("t", 1.0, 2.0), ("t", 3.0, 3.0)], "k string, y double, p double")
+    assert evaluators.evaluate("regression", df, target="k", y_true="y", y_pred="p").count() == 2
+    with pytest.raises(ValueError):
+        evaluators.register_evaluator("regression", metrics.regression_metrics)
+    with pytest.raises(ValueError):
+        evaluators.evaluate("none", df)

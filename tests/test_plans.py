@@ -116,6 +116,10 @@ def test_grouped_quantiles(table):
 def test_lookup_agrees_beyond_the_broadcast_bound(spark, table):
     _, df = table
     dim = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "episode bigint, name string")
-    small = lookup(df, dim, "episode").orderBy("episode", "raw_index").collect()
-    big = lookup(df, dim, "episode", broadcast_rows=1, salt_by=["raw_index"]).orderBy("episode", "raw_index").collect()
-    assert small == big and joins.SALTS > 1
+    order = ["episode", "raw_index"]
+    small = lookup(df, dim, "episode").orderBy(*order).collect()
+    for share in (None, 0.5, 0.01, 0.0):
+        big = lookup(df, dim, "episode", broadcast_rows=1, salt_by=["raw_index"], hot_share=share)
+        assert big.orderBy(*order).collect() == small
+    inner = lookup(df, dim, "episode", "inner", broadcast_rows=1, hot_share=0.1)
+    assert inner.count() == sum(r.name is not None for r in small) and joins.SALTS > 1
