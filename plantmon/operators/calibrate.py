@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plantmon.functions.numeric import INF, is_finite
 from plantmon.plans import lookup, positions, rank_within, running
 
+# States of a calibration.
 READY, INSUFFICIENT, INCOMPLETE = "ready", "insufficient_resolution", "incomplete_evidence"
 # Fixed value: relative slack of the support range check.
 SUPPORT_SLACK = 1e-12

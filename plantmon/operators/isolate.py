@@ -14,6 +14,7 @@ from plantmon.functions.vectors import subtract
 from plantmon.operators.calibrate import conformal_status
 from plantmon.plans import over_frames, rank_within, stage
 
+# The possible outcomes of an isolation.
 OUTCOMES = ("Normal-compatible", "Out-of-model", "Nonunique", "Uncertified", "singleton")
 CELL_BYTES = 16 * 1024 * 1024
 
