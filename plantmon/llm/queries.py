@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantmon.llm import line_dedup
+from plantmon.llm import line_dedup, packing
 from plantmon.llm.common import read_table
 
 
@@ -14,7 +14,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(read_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_line_dedup,)
+    f.__name__: f for f in (op3_line_dedup, op5_best_fit_packing)
 }
 SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL}
