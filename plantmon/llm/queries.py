@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantmon.llm import line_dedup, packing
+from plantmon.llm import decontaminate, line_dedup, packing
 from plantmon.llm.common import read_table
 
 
@@ -18,7 +18,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(read_table(spark, sf_dir, "documents"))
 
 
+def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_line_dedup, op5_best_fit_packing)
+    f.__name__: f for f in (op3_line_dedup, op5_best_fit_packing, op6_wu_manber_decontamination)
+}
+SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.SQL,
+    "op6_wu_manber_decontamination": decontaminate.SQL,
 }
-SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL}
