@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantmon.llm import decontaminate, line_dedup, packing
+from plantmon.llm import decontaminate, line_dedup, packing, substring_dedup
 from plantmon.llm.common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.query(read_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(read_table(spark, sf_dir, "documents"))
 
@@ -23,9 +27,10 @@ def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_line_dedup, op5_best_fit_packing, op6_wu_manber_decontamination)
+    f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op5_best_fit_packing, op6_wu_manber_decontamination)
 }
 SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op6_wu_manber_decontamination": decontaminate.SQL,
 }
