@@ -331,7 +331,8 @@ def pack_documents(
     places = place_table(plan_packing({r["length"]: r["rows"] for r in totals}, capacity, groups))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["part", "length"]).select(
+    # One row a task and length grows with the number of tasks: no broadcast.
+    ranked = pieces.join(first.hint("merge"), ["part", "length"]).select(
         *[c for c in pieces.columns if c not in ("part", "nth")], (F.col("first") + F.col("nth")).alias("rank")
     )
     schema = T.StructType(
