@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantmon.llm import decontaminate, jaccard, line_dedup, packing, substring_dedup
+from plantmon.llm import decontaminate, jaccard, line_dedup, packing, sharding, substring_dedup
 from plantmon.llm.common import read_table
 
 
@@ -26,12 +26,16 @@ def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(read_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.query(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op5_best_fit_packing, op6_wu_manber_decontamination, op9_ngram_jaccard_join)
+    f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op5_best_fit_packing, op6_wu_manber_decontamination, op7_balanced_label_propagation, op9_ngram_jaccard_join)
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.SQL,
