@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantmon.llm import decontaminate, html_text, jaccard, language_id, line_dedup, packing, sharding, substring_dedup
+from plantmon.llm import decontaminate, html_text, jaccard, language_id, line_dedup, neighbours, packing, sharding, substring_dedup
 from plantmon.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.query(read_table(spark, sf_dir, "documents"))
 
 
+def op2_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.query(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op4_site_template_removal, op5_best_fit_packing, op6_wu_manber_decontamination, op7_balanced_label_propagation, op8_byte_cnn_language_id, op9_ngram_jaccard_join)
+    f.__name__: f for f in (op1_substring_dedup, op2_adaptive_dimension_scan, op3_line_dedup, op4_site_template_removal, op5_best_fit_packing, op6_wu_manber_decontamination, op7_balanced_label_propagation, op8_byte_cnn_language_id, op9_ngram_jaccard_join)
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.SQL,
