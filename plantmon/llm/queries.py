@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantmon.llm import decontaminate, html_text, jaccard, language_id, line_dedup, neighbours, packing, sharding, substring_dedup
+from plantmon.llm import decontaminate, html_text, jaccard, language_id, line_dedup, neighbours, packing, sharding, substring_dedup, suffix_tree
 from plantmon.llm.common import read_table
 
 
@@ -46,8 +46,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.query(read_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.query(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_adaptive_dimension_scan, op3_line_dedup, op4_site_template_removal, op5_best_fit_packing, op6_wu_manber_decontamination, op7_balanced_label_propagation, op8_byte_cnn_language_id, op9_ngram_jaccard_join)
+    f.__name__: f for f in (op1_substring_dedup, op2_adaptive_dimension_scan, op3_line_dedup, op4_site_template_removal, op5_best_fit_packing, op6_wu_manber_decontamination, op7_balanced_label_propagation, op8_byte_cnn_language_id, op9_ngram_jaccard_join, op10_suffix_tree_scoring)
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.SQL,
