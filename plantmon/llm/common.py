@@ -24,6 +24,39 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def shield(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame, list[str]], DataFrame]]:
+    """``df`` with every column but ``needed`` renamed out of the way, and the way back.
+
+    ``back(out, results)`` takes the columns of ``out`` that came from ``df``
+    under their own names and in their order. A result replaces an extra column
+    of its name (in any case), other results follow at the end.
+    """
+    names, found = [], set()
+    for i, c in enumerate(df.columns):
+        taken = c in needed and c not in found
+        names.append(c if taken else f"extra{i}~")
+        found |= {c} if taken else set()
+    lost = [c for c in needed if c not in found]
+    if lost:
+        raise ValueError(f"columns not found: {', '.join(lost)}")
+    given = list(zip(df.columns, names, strict=True))
+
+    def back(out: DataFrame, results: list[str]) -> DataFrame:
+        left = {r.lower(): r for r in results if r not in needed}
+        columns = []
+        for c, n in given:
+            if n in needed:
+                if n in out.columns:
+                    columns.append(F.col(n))
+            elif c.lower() in left:
+                columns.append(F.col(left.pop(c.lower())))
+            else:
+                columns.append(F.col(f"`{n}`").alias(c))
+        return out.select(*columns, *[F.col(r) for r in left.values()])
+
+    return df.toDF(*names), back
+
+
 def with_columns(fields: list[tuple[str, T.DataType]], df: DataFrame) -> T.StructType:
     """The schema of ``df`` with ``fields`` set or added."""
     known = {name: kind for name, kind in fields}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantmon.llm.common import LOWER_BYTES, lower_ascii, map_arrow, set_columns, slices, with_columns
+from plantmon.llm.common import LOWER_BYTES, lower_ascii, map_arrow, set_columns, shield, slices, with_columns
 
 # Words are runs of digits, lower-case letters and whatever is not ASCII.
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -182,13 +182,13 @@ def search_benchmark(
         ("hit_words", T.ArrayType(T.LongType())),
         ("hit_items", T.ArrayType(benchmark.schema[id_col].dataType)),
     ]
-    out = docs
+    out, back = shield(docs, [text_col])
     empty = F.array().cast(f"array<{item_type}>")
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<long>"), "hit_items": empty})
     for part in range(parts):
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).collect()
         out = _search_block(out, Block([(r["window"], r["items"]) for r in rows]), fields, text_col)
-    return out
+    return back(out, [name for name, _ in fields])
 
 
 def _search_block(docs: DataFrame, block: Block, fields: list, text_col: str) -> DataFrame:

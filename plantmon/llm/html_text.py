@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantmon.llm.common import map_arrow, set_columns, with_columns
+from plantmon.llm.common import map_arrow, set_columns, shield, with_columns
 
 # Element classes of the HTML language, fixed values.
 _BLOCKS = frozenset(
@@ -249,7 +249,11 @@ def extract_main_text(
     a third of all pages is a row per task and subtree; pages move once, keyed by
     page, to the few hashes found on them.
     """
-    keyed = pages.withColumn("_page", F.xxhash64(id_col, url_col, html_col)).withColumn("_host", host_of(url_col))
+    pages, back = shield(pages, [id_col, url_col, html_col])
+    host = host_of(url_col)
+    keyed = pages.withColumn("_page", F.xxhash64(id_col, url_col, html_col)).withColumn(
+        "_host", F.when(host.isNotNull(), F.xxhash64(host))
+    )
     found = subtree_hashes(
         keyed.where(F.col("_host").isNotNull() & F.col(html_col).isNotNull()).select("_page", "_host", html_col), html_col
     ).select("_page", "_host", F.explode("_trees").alias("_tree"))
@@ -273,7 +277,7 @@ def extract_main_text(
 
         return read
 
-    return map_arrow(joined, schema, make)
+    return back(map_arrow(joined, schema, make), ["text", "n_chars"])
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantmon.llm.common import map_arrow, set_columns, slices, with_columns
+from plantmon.llm.common import map_arrow, set_columns, shield, slices, with_columns
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4, 5)
@@ -227,6 +227,7 @@ def predict_language(
     there is no network. An empty table gives an empty table. Nothing moves: the
     network is a few thousand numbers.
     """
+    docs, back = shield(docs, [text_col])
     schema = with_columns([(lang_name, T.StringType()), (score_name, T.DoubleType())], docs)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -263,7 +264,7 @@ def predict_language(
 
         return predict
 
-    return map_arrow(docs, schema, make)
+    return back(map_arrow(docs, schema, make), [lang_name, score_name])
 
 
 def fold(id_col: str, folds: int) -> Column:

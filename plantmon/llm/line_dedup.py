@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantmon.llm.common import SPACE, lower_ascii
+from plantmon.llm.common import SPACE, lower_ascii, shield
 
 
 def drop_repeated_lines(
@@ -32,9 +32,10 @@ def drop_repeated_lines(
     dropped positions. Counts combine before the shuffle, a hot line is one row
     per task there, and the join back is one that Spark splits when skewed.
     """
+    docs, back = shield(docs, [id_col, text_col])
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     source = docs.select(
-        *[c for c in docs.columns if c != text_col],
+        *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
         lines.alias("_lines"),
         F.xxhash64(text_col).alias("_hash"),
     )
@@ -71,8 +72,8 @@ def drop_repeated_lines(
         "n_lines": F.size("_lines").cast("long"),
         "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
     }
-    names = [*docs.columns, *[c for c in results if c not in docs.columns]]
-    return joined.select(*[results[c].alias(c) if c in results else F.col(c) for c in names])
+    kept_columns = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return back(joined.select(*kept_columns, *[v.alias(c) for c, v in results.items()]), ["n_lines", "n_dropped"])
 
 
 def query(docs: DataFrame) -> DataFrame:

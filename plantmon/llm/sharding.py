@@ -161,8 +161,10 @@ def shard_documents(
     links = stage(linked.select("node", "group").join(shared, "group"), "links")
     labels = propagate_labels(base, links.select("node", "group"), shards, rounds)
     known = base.drop("group").join(labels, "node").join(links, "node", "left")
-    # The largest groups stay whole; documents without links go first.
-    placed = even_slots(known, shards, [F.desc_nulls_last("members"), F.col("group"), F.col("node")])
+    # Documents without links go first, then those of groups that no shard holds.
+    share = base.count() // shards
+    kind = F.when(F.col("members").isNull(), 2).when(F.col("members") > share, 1).otherwise(0)
+    placed = even_slots(known, shards, [kind, F.desc_nulls_last("members"), F.col("group"), F.col("node")])
     return placed.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),

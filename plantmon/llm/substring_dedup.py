@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantmon.llm.common import WordHash, gram_hashes, map_arrow, set_columns, slices, with_columns
+from plantmon.llm.common import WordHash, gram_hashes, map_arrow, set_columns, shield, slices, with_columns
 from plantmon.plans.staging import stage
 
 GRAM = 8  # words in a minimiser gram
@@ -333,8 +333,9 @@ def drop_repeated_substrings(
     repeat an id are no smaller than each other. An empty table gives an empty
     table.
     """
+    docs, back = shield(docs, [id_col, text_col])
     spans = repeated_spans(docs, window, id_col=id_col, text_col=text_col, **more)
-    return remove_spans(docs, spans, id_col, text_col)
+    return back(remove_spans(docs, spans, id_col, text_col), ["n_words", "n_removed"])
 
 
 def query(docs: DataFrame) -> DataFrame:
