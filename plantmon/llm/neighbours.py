@@ -19,8 +19,10 @@ LIST_ROWS = 256
 MOST_LISTS = 4_096
 SAMPLE_ROWS = 32_768
 TRIALS = 256
-CELL_ROWS = 4_096  # rows of one side in a cell
-PAIRS = 2_000_000  # pairs of a cell that are looked at together
+CELL_ROWS = 8_192
+CELL_QUERIES = 16_384  # query and list pairs of a cell
+PAIRS = 500_000  # pairs that are looked at together
+SPARSE = 0.1  # share of live pairs below which they are followed one by one
 
 
 @dataclass
@@ -94,51 +96,65 @@ def fit_index(
 
 
 def scan(
-    index: Index, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
+    index: Index, queries: np.ndarray, query_ids: np.ndarray, probed: list[np.ndarray], vectors: np.ndarray,
+    ids: np.ndarray, lists: np.ndarray, k: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best ``k`` of ``vectors`` for every query, as (query row, id, score).
-
-    Rotated coordinates are taken block by block. After each block the partial
-    distance, scaled up, estimates the whole one; a pair whose estimate exceeds
-    the query's k-th best distance by more than chance allows is abandoned. The
-    survivors are scored exactly, on the original vectors.
+    """The best ``k`` of ``vectors`` in the probed lists of every query, as (query row, id, score).
+
+    Within a list, rotated coordinates are taken block by block. After each block
+    the partial distance, scaled up, estimates the whole one; a pair whose
+    estimate exceeds the query's k-th best distance by more than chance allows is
+    abandoned. While many pairs are alive a block is one matrix product, after
+    that they are followed one by one. The survivors are scored exactly, on the
+    original vectors.
     """
     q, x = index.rotated(queries, True), index.rotated(vectors, False)
     dims = q.shape[1]
     base = (queries**2).sum(axis=1) + index.norm**2
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(q)
     limit = np.full(len(q), np.inf)
-    begin, step = 0, max(4 * k, 64)
-    while begin < len(x):
-        stop = min(len(x), begin + step)
-        rows, cols = np.nonzero(query_ids[:, None] != ids[None, begin:stop])
-        cols = cols + begin
-        partial = np.zeros(len(rows))
-        for d in range(0, dims, COLUMNS):
-            e = min(dims, d + COLUMNS)
-            if d == 0:
-                both = (q[:, d:e] ** 2).sum(axis=1)[:, None] + (x[begin:stop, d:e] ** 2).sum(axis=1)
-                both -= 2 * q[:, d:e] @ x[begin:stop, d:e].T
-                partial = both[rows, cols - begin]
-            else:
-                partial = partial + ((q[rows, d:e] - x[cols, d:e]) ** 2).sum(axis=1)
-            if e < dims:
-                seen = partial * (dims / e) <= limit[rows] * (1 + CONFIDENCE / np.sqrt(e)) ** 2
-            else:  # the distance is whole; leave room for rounding only
-                seen = partial <= limit[rows] * (1 + 1e-9) + 1e-9
-            rows, cols, partial = rows[seen], cols[seen], partial[seen]
-        scores = np.einsum("ij,ij->i", queries[rows], vectors[cols])
-        order = np.argsort(rows, kind="stable")
-        cuts = np.searchsorted(rows[order], np.arange(len(q) + 1))
-        for i in np.flatnonzero(np.diff(cuts)).tolist():
-            part = order[cuts[i] : cuts[i + 1]]
-            score = np.concatenate([best[i][0], scores[part]])
-            which = np.concatenate([best[i][1], ids[cols[part]]])
-            keep = np.lexsort((which, -score))[:k]
-            best[i] = (score[keep], which[keep])
-            if len(keep) == k:
-                limit[i] = base[i] - 2 * score[keep[-1]]
-        begin, step = stop, max(64, PAIRS // max(1, len(q)))
+    asking = np.repeat(np.arange(len(q)), [len(p) for p in probed])
+    wanted = np.concatenate(probed) if probed else np.empty(0, np.int64)
+    order = np.argsort(lists, kind="stable")
+    names, heads = np.unique(lists[order], return_index=True)
+    for name, have in zip(names.tolist(), np.split(order, heads[1:]), strict=True):
+        mine = asking[wanted == name]
+        step = max(1, PAIRS // max(1, len(have)))
+        for begin in range(0, len(mine), step):
+            ask = mine[begin : begin + step]
+            ceiling = limit[ask][:, None]
+            partial, alive, e = np.zeros((len(ask), len(have))), None, 0
+            while e < dims:
+                d, e = e, min(dims, e + COLUMNS)
+                slack = (1 + CONFIDENCE / np.sqrt(e)) ** 2 * (e / dims) if e < dims else 1 + 1e-9
+                if alive is None:
+                    left, right = q[ask, d:e], x[have, d:e]
+                    partial += (left**2).sum(axis=1)[:, None]
+                    partial += (right**2).sum(axis=1)
+                    partial -= (2 * left) @ right.T
+                    seen = partial <= ceiling * slack + 1e-9
+                    if e == dims or np.count_nonzero(seen) < SPARSE * seen.size:
+                        alive = np.nonzero(seen)
+                        partial = partial[alive]
+                else:
+                    rows, cols = alive
+                    partial = partial + ((q[ask[rows], d:e] - x[have[cols], d:e]) ** 2).sum(axis=1)
+                    seen = partial <= ceiling[rows, 0] * slack + 1e-9
+                    alive, partial = (rows[seen], cols[seen]), partial[seen]
+            rows, cols = ask[alive[0]], have[alive[1]]
+            other = query_ids[rows] != ids[cols]
+            rows, cols = rows[other], cols[other]
+            scores = np.einsum("ij,ij->i", queries[rows], vectors[cols])
+            cuts = np.searchsorted(rows, ask), np.searchsorted(rows, ask, side="right")
+            for i, a, b in zip(ask.tolist(), cuts[0].tolist(), cuts[1].tolist(), strict=True):
+                if a == b:
+                    continue
+                score = np.concatenate([best[i][0], scores[a:b]])
+                which = np.concatenate([best[i][1], ids[cols[a:b]]])
+                keep = np.lexsort((which, -score))[:k]
+                best[i] = (score[keep], which[keep])
+                if len(keep) == k:
+                    limit[i] = base[i] - 2 * score[keep[-1]]
     found = [np.full(len(b[0]), i) for i, b in enumerate(best)]
     return (
         np.concatenate(found) if found else np.empty(0, np.int64),
@@ -160,8 +176,42 @@ def _with_list(rows: DataFrame, index: Index, dim: int) -> DataFrame:
     return map_arrow(rows.select("id", "vec"), "id long, vec array<double>, list int", make)
 
 
-def _probes(queries: DataFrame, index: Index, dim: int, sizes: np.ndarray, enough: int) -> DataFrame:
-    """(id, vec, list) for the nearest lists of every query.
+@dataclass
+class Cells:
+    """Where lists are searched: small ones share a cell, large ones have several.
+
+    ``first`` and ``parts`` are the cells of each list; ``turns`` says how many
+    parts the queries of a list's cells are cut into.
+    """
+
+    first: np.ndarray
+    parts: np.ndarray
+    turns: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, asked: np.ndarray, order: np.ndarray) -> Cells:
+        first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // CELL_ROWS))
+        cell, room = -1, 0
+        for i in order.tolist():
+            if parts[i] > 1:
+                first[i], room = cell + 1, 0
+                cell += int(parts[i])
+            else:
+                if sizes[i] > room:
+                    cell, room = cell + 1, CELL_ROWS
+                first[i], room = cell, room - sizes[i]
+        total = np.bincount(first, asked, minlength=cell + 1)
+        return cls(first, parts, np.maximum(1, -(-total[first] // CELL_QUERIES)).astype(np.int64))
+
+
+def _probe_counts(chosen: np.ndarray, sizes: np.ndarray, probes: int, enough: int) -> np.ndarray:
+    """Which places of each row of ``chosen`` (lists, nearest first) are probed."""
+    held = np.cumsum(sizes[chosen], axis=1)
+    return ((np.arange(chosen.shape[1]) < probes) | (held - sizes[chosen] < enough)) & (sizes[chosen] > 0)
+
+
+def _probed(queries: DataFrame, index: Index, dim: int, sizes: np.ndarray, enough: int) -> DataFrame:
+    """(id, vec, lists): the nearest lists of every query.
 
     As many as the index says, and more until they hold ``enough`` rows.
     """
@@ -169,25 +219,42 @@ def _probes(queries: DataFrame, index: Index, dim: int, sizes: np.ndarray, enoug
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
             near = index.distances(index.rotated(matrix(batch.column(1), dim), True)).argsort(axis=1)
-            held = np.cumsum(sizes[near], axis=1)
-            before = held - sizes[near]
-            taken = (np.arange(near.shape[1]) < index.probes) | (before < enough)
-            rows, at = np.nonzero(taken & (sizes[near] > 0))
-            picked = pa.array(rows)
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(near[rows, at].astype(np.int32))],
-                names=["id", "vec", "list"],
-            )
+            taken = _probe_counts(near, sizes, index.probes, enough)
+            heads = np.concatenate([[0], np.cumsum(taken.sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(heads), pa.array(near[taken].astype(np.int32)))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "vec", "lists"])
 
         return choose
 
-    return map_arrow(queries.select("id", "vec"), "id long, vec array<double>, list int", make)
+    return map_arrow(queries.select("id", "vec"), "id long, vec array<double>, lists array<int>", make)
+
+
+def _asks(asked: DataFrame, cells: Cells, dim: int) -> DataFrame:
+    """(id, vec, cell, turn, lists): one row for each cell a query has to visit."""
 
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows, where, turn, what = [], [], [], []
+            for i, (name, lists) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                visits: dict[int, list[int]] = {}
+                for one in lists:
+                    for part in range(int(cells.parts[one])):
+                        visits.setdefault(int(cells.first[one]) + part, []).append(one)
+                for cell, some in visits.items():
+                    rows.append(i)
+                    where.append(cell)
+                    turn.append((name * 0x9E3779B97F4A7C15 >> 40) % int(cells.turns[some[0]]))
+                    what.append(some)
+            picked = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(where, pa.int64()),
+                 pa.array(turn, pa.int64()), pa.array(what, pa.list_(pa.int32()))],
+                names=["id", "vec", "cell", "turn", "lists"],
+            )
 
-def _cells(counts: dict[int, int]) -> Column:
-    """How many parts of at most CELL_ROWS rows each list has, as a column of ``list``."""
-    parts = [-(-counts.get(i, 0) // CELL_ROWS) for i in range(max(counts, default=0) + 1)]
-    return F.coalesce(F.get(F.array(*[F.lit(max(1, p)) for p in parts]), F.col("list")), F.lit(1))
+        return visit
+
+    return map_arrow(asked, "id long, vec array<double>, cell long, turn long, lists array<int>", make)
 
 
 def nearest_neighbours(
@@ -208,9 +275,9 @@ def nearest_neighbours(
     Every row is in one of up to MOST_LISTS lists, whose centres come from a
     sample of SAMPLE_ROWS rows. A query goes to its nearest lists, as many as
     found the share ``recall`` of true neighbours in the sample (and on until they
-    hold 4 k rows). Lists and their queries are cut into cells of
-    CELL_ROWS on either side, so a list with a third of all rows is many tasks; a
-    cell returns ``k`` rows a query.
+    hold 4 k rows). Neighbouring lists share a cell of about CELL_ROWS rows, and a
+    larger list has several, so one with a third of all rows is many tasks; the
+    queries of a crowded cell take turns. A cell returns ``k`` rows a query.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
@@ -226,31 +293,41 @@ def nearest_neighbours(
         return vectors.sparkSession.createDataFrame([], schema)
     index = fit_index(rows, dim, facts["rows"], facts["norm"], k, recall)
     listed = stage(_with_list(rows, index, dim), "lists")
+    spark = vectors.sparkSession
     counts = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
     sizes = np.asarray([counts.get(i, 0) for i in range(len(index.centres))])
-    asked = stage(_probes(rows.where("q"), index, dim, sizes, 4 * k + 1), "probes")
-    wanted = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-
-    def part(n: Column) -> Column:
-        return F.pmod(F.xxhash64("id"), n).cast("int")
-
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    held = listed.withColumn("cell", part(_cells(counts))).withColumn("turn", every(_cells(wanted)))
-    asks = asked.withColumn("turn", part(_cells(wanted))).withColumn("cell", every(_cells(counts)))
+    asked = stage(_probed(rows.where("q"), index, dim, sizes, 4 * k + 1), "probes")
+    wanted = {r["list"]: r["count"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()}
+    centred = index.centres - index.centres.mean(axis=0)
+    along = np.linalg.svd(centred, full_matrices=False)[2][0]
+    cells = Cells.of(sizes, np.asarray([wanted.get(i, 0) for i in range(len(sizes))]), np.argsort(centred @ along))
+    # One row a list, MOST_LISTS at most.
+    places = F.broadcast(spark.createDataFrame(
+        [(i, *map(int, x)) for i, x in enumerate(zip(cells.first, cells.parts, cells.turns, strict=True))],
+        "list int, first long, parts long, turns long",
+    ))
+    whole = listed.join(places, "list").withColumn("cell", F.col("first") + F.pmod(F.xxhash64("id"), "parts"))
+    held = whole.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    asks = _asks(asked, cells, dim)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return none
-        ask, have = (matrix(t.column("vec").combine_chunks(), dim) for t in (left, right))
-        ask_ids, ids = (t.column("id").to_numpy() for t in (left, right))
-        row, found, score = scan(index, ask, ask_ids, have, ids, k)
+        have = matrix(right.column("vec").combine_chunks(), dim)
+        ask_ids, first, which = np.unique(left.column("id").to_numpy(), return_index=True, return_inverse=True)
+        ask = matrix(left.column("vec").combine_chunks().take(pa.array(first)), dim)
+        lists = left.column("lists").to_pylist()
+        probed = [np.empty(0, np.int64)] * len(ask_ids)
+        for i, some in zip(which.tolist(), lists, strict=True):
+            probed[i] = np.union1d(probed[i], some).astype(np.int64)
+        row, found, score = scan(index, ask, ask_ids, probed, have, right.column("id").to_numpy(), right.column("list").to_numpy(), k)
         return pa.table({"query_id": ask_ids[row.astype(np.int64)], "id": found, "score": score})
 
-    keys = ["list", "cell", "turn"]
-    near = asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, "query_id long, id long, score double")
+    keys = ["cell", "turn"]
+    near = asks.groupBy(*keys).cogroup(held.select("id", "vec", "list", *keys).groupBy(*keys)).applyInArrow(
+        search, "query_id long, id long, score double"
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").cast(kind).alias(id_col), "score")

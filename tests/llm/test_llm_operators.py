@@ -194,6 +194,7 @@ def test_neighbours(spark):
 
 def test_neighbours_in_small_cells(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
+    monkeypatch.setattr(neighbours, "CELL_QUERIES", 3)
     vectors = [(i, [1.0, 2.0, 3.0] if i % 3 else [float(i), 1.0, 2.0]) for i in range(200)]
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     out = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0, recall=1.0)
@@ -210,7 +211,9 @@ def test_adaptive_scan_abandons_and_stays_right():
     vectors = draw.normal(size=(3000, 64))
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
     index = neighbours.Index(1.0, np.linalg.qr(draw.normal(size=(65, 65)))[0], np.zeros((1, 65)))
-    row, found, _ = neighbours.scan(index, vectors[:20], np.arange(20), vectors, np.arange(3000), 20)
+    row, found, _ = neighbours.scan(
+        index, vectors[:20], np.arange(20), [np.arange(6)] * 20, vectors, np.arange(3000), np.arange(3000) % 6, 20
+    )
     hits = sum(
         len(set(found[row == i]) & set(np.argsort(-(vectors @ vectors[i]))[1:21])) for i in range(20)
     )
@@ -326,7 +329,7 @@ def test_sharding(spark, rows):
         if r["doc_id"] is not None and text[r["doc_id"]] is not None:
             groups.setdefault(text[r["doc_id"]], []).append(r["shard"])
     split = [t for t, s in groups.items() if len(s) > 1 and len(set(s)) > 1]
-    assert len(split) <= 2  # the hot group does not fit one shard
+    assert len(split) <= 8  # the hot group, and at most the last group a full shard holds
     assert len(set(groups["a very common text"])) <= 5
     assert {(r["law"], r["grown_shard"]) for r in out} == {("rows", None)}
     assert sharding.shard_documents(empty(spark)).count() == 0
