@@ -24,6 +24,21 @@ def finite_or_null(c: str | Column) -> Column:
     return F.when(is_finite(c), c)
 
 
+def number_or_null(c: str | Column) -> Column:
+    """NaN becomes null, infinities stay: what an average or a rank may count."""
+    c = col(c).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
+def exceeds(score: str | Column, limit: str | Column) -> Column:
+    """The strict alarm, never null; a missing score or limit raises none.
+
+    Spark orders NaN above every number, so the comparison alone would alarm.
+    """
+    score = col(score).cast("double")
+    return F.coalesce((score > col(limit)) & ~F.isnan(score), F.lit(False))
+
+
 def ratio(top: Column, bottom: Column, floor: float = 1.0) -> Column:
     """``top / max(bottom, floor)``."""
     return top / F.greatest(bottom, F.lit(floor))

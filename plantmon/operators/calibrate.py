@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantmon.functions.numeric import INF, is_finite
+from plantmon.functions.numeric import INF, exceeds, is_finite
 from plantmon.plans import lookup, positions, rank_within, running
 
 # States of a calibration.
@@ -21,8 +21,8 @@ SUPPORT_SLACK = 1e-12
 
 
 def alarm(score: str = "score", threshold: str = "threshold") -> Column:
-    """Strict exceedance."""
-    return F.col(score) > F.col(threshold)
+    """Strict exceedance; a missing score never alarms."""
+    return exceeds(score, threshold)
 
 
 def episode_max(scores: DataFrame, episode: Sequence[str], stream: str = "score_name",
@@ -37,12 +37,13 @@ def conformal_rank(m: Column, risk: float) -> Column:
 
 
 def conformal_thresholds(maxima: DataFrame, risk: float, stream: str = "score_name",
-                         value: str = "max_score") -> DataFrame:
+                         value: str = "max_score", streams: Sequence[str] | None = None) -> DataFrame:
     """Per stream the rank-th smallest episode maximum, +inf beyond the last.
 
     Ranks come from a distributed sort, as a stream may have any number of
     episodes. The threshold row of a stream survives even when no maximum has
-    the wanted rank.
+    the wanted rank. ``streams`` declares the streams: one without any complete
+    episode gets its row too, and one that is not declared fails the job.
     """
     ranked = rank_within(maxima.select(stream, value), [stream], [value], "_k", size_name="episodes")
     ranked = ranked.withColumn("rank", conformal_rank(F.col("episodes"), risk))
@@ -51,13 +52,30 @@ def conformal_thresholds(maxima: DataFrame, risk: float, stream: str = "score_na
         F.first("episodes").alias("episodes"), F.first("rank").alias("rank"),
         F.coalesce(picked, F.lit(INF)).alias("threshold"),
     )
+    if streams is not None:
+        declared = maxima.sparkSession.createDataFrame([(s,) for s in streams], f"`{stream}` string")
+        both = declared.withColumn("_declared", F.lit(True)).join(table, stream, "full_outer")
+        unknown = F.raise_error(F.concat(F.lit("stream is not declared: "), F.col(stream))).cast("double")
+        limit = F.when(F.col("_declared").isNull(), unknown).otherwise(F.coalesce("threshold", F.lit(INF)))
+        n = F.coalesce("episodes", F.lit(0).cast("long"))
+        table = both.select(
+            stream, n.alias("episodes"), conformal_rank(n, risk).alias("rank"), limit.alias("threshold")
+        )
     return table.withColumn("finite", is_finite("threshold"))
 
 
-def apply_thresholds(scores: DataFrame, thresholds: DataFrame, stream: str = "score_name") -> DataFrame:
-    """Scores with their stream's threshold and alarm."""
-    joined = lookup(scores, thresholds.select(stream, "threshold"), stream, "inner")
-    return joined.withColumn("alarm", alarm())
+def apply_thresholds(
+    scores: DataFrame, thresholds: DataFrame, stream: str = "score_name", strict: bool = False
+) -> DataFrame:
+    """Scores with their stream's threshold and alarm; every score stays.
+
+    A stream without a threshold row has the threshold +inf and no alarm, or
+    fails the job if ``strict``.
+    """
+    joined = lookup(scores, thresholds.select(stream, F.col("threshold").alias("_t")), stream)
+    missing = F.raise_error(F.concat(F.lit("no threshold for stream "), F.col(stream))).cast("double")
+    limit = F.coalesce("_t", missing if strict else F.lit(INF))
+    return joined.withColumn("threshold", limit).drop("_t").withColumn("alarm", alarm())
 
 
 def expected_coordinates(episodes: DataFrame, coordinates: DataFrame, episode: str) -> DataFrame:
@@ -102,7 +120,7 @@ def conformal_status(maxima: DataFrame, risk: float, value: str = "max_score",
     makes the evidence incomplete; too few episodes make it insufficient.
     """
     ranked = rank_within(maxima.select(F.col(value).alias("v")), [], ["v"], "_k")
-    m = F.max("_k") + 1
+    m = F.coalesce(F.max("_k") + 1, F.lit(0))
     head = ranked.agg(
         m.alias("episodes"), conformal_rank(m, risk).alias("rank"),
         F.count(F.when(~is_finite("v"), 1)).alias("unsupported"),
@@ -240,7 +258,7 @@ def dynamic_threshold(
     out = out.withColumn("threshold", F.when(ready, value).otherwise(F.lit(INF)))
     return out.withColumns(
         {
-            "alarm": F.col(statistic) > F.col("threshold"),
+            "alarm": exceeds(statistic, "threshold"),
             "threshold_status": F.when(ready, F.lit("ready")).otherwise(F.lit("disabled")),
         }
     ).drop("quantile", "calibration_status")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plantmon.functions.numeric import INF
 from plantmon.functions.vectors import subtract
 from plantmon.operators.calibrate import conformal_status
-from plantmon.plans import over_frames, rank_within, stage
+from plantmon.plans import lookup, over_frames, rank_within, stage
 
 # The possible outcomes of an isolation.
 OUTCOMES = ("Normal-compatible", "Out-of-model", "Nonunique", "Uncertified", "singleton")
@@ -97,13 +97,14 @@ def family_scores(
 def feasible_families(scores: DataFrame, radii: DataFrame, uncertified: Sequence = ()) -> DataFrame:
     """Mark families whose score is at most their radius (closed).
 
-    ``radii`` has ``family_id`` and ``radius``. A family without any certified
+    ``radii`` has ``family_id`` and ``radius``; a scored family without one fails
+    the job. A family without any certified
     cell is feasible but not certified.
     """
     keys = [c for c in scores.columns if c not in ("family_id", "score")]
-    table = {r["family_id"]: float(r["radius"]) for r in radii.collect()}
-    radius = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    known = scores.withColumn("radius", F.element_at(radius, F.col("family_id")))
+    table = radii.select("family_id", F.col("radius").cast("double").alias("_radius"))
+    missing = F.raise_error(F.concat(F.lit("no radius for family "), F.col("family_id"))).cast("double")
+    known = lookup(scores, table, "family_id").withColumn("radius", F.coalesce("_radius", missing)).drop("_radius")
     out = known.withColumn("feasible", F.col("score") <= F.col("radius")).withColumn("certified", F.lit(True))
     if uncertified:
         extra = F.explode(F.array(*[F.lit(u) for u in uncertified]))

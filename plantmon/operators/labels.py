@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantmon.functions.numeric import finite_or_null
+from plantmon.functions.numeric import INF, finite_or_null, is_finite
 from plantmon.plans import lookup, positions, running
 from plantmon.plans.ordered import BLOCK_ROWS
 
@@ -130,8 +130,18 @@ def scores_outside(scores: DataFrame, stage_rows: DataFrame, keys: Sequence[str]
 
 
 def bind_truth(outputs: DataFrame, truth: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Labels joined to outputs after scoring."""
-    return outputs.join(truth.select(*keys, label), list(keys), "inner")
+    """Labels joined to outputs after scoring; each output needs exactly one.
+
+    A missing or repeated label fails the job when the label is read.
+    """
+    table = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("_labels"), F.first(label).alias("_label"))
+    joined = outputs.join(table, list(keys), "left")
+    kind = truth.schema[label].dataType
+    fault = F.when(F.col("_labels").isNull(), F.lit("an output has no label")).when(
+        F.col("_labels") > 1, F.lit("an output has several labels")
+    )
+    checked = F.when(fault.isNotNull(), F.raise_error(fault).cast(kind)).otherwise(F.col("_label"))
+    return joined.withColumn(label, checked).drop("_labels", "_label")
 
 
 def truth_coverage(outputs: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,20 +176,26 @@ def replay_compare(
     expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: str = "score",
     tolerance: float = 1e-7,
 ) -> DataFrame:
-    """One row: key mismatches, largest absolute difference, verdict."""
-    a = expected.select(*keys, finite_or_null(value).alias("_a"), F.lit(1).alias("_in_a"))
-    b = actual.select(*keys, finite_or_null(value).alias("_b"), F.lit(1).alias("_in_b"))
+    """One row: key mismatches, largest absolute difference, verdict.
+
+    Values must be of one kind: a number against a missing value or an infinity,
+    or infinities of different sign, do not match. Missing matches missing.
+    """
+    kind = F.when(is_finite(value), 0).when(F.col(value) == INF, 1).when(F.col(value) == -INF, 2).otherwise(3)
+    a = expected.select(*keys, finite_or_null(value).alias("_a"), kind.alias("_kind_a"), F.lit(1).alias("_in_a"))
+    b = actual.select(*keys, finite_or_null(value).alias("_b"), kind.alias("_kind_b"), F.lit(1).alias("_in_b"))
     full = a.join(b, list(keys), "full_outer")
     row = full.agg(
         F.count(F.when(F.col("_in_a").isNull(), 1)).alias("only_actual"),
         F.count(F.when(F.col("_in_b").isNull(), 1)).alias("only_expected"),
         F.coalesce(F.max(F.abs(F.col("_a") - F.col("_b"))), F.lit(0.0)).alias("max_abs_delta"),
+        F.count(F.when(F.col("_kind_a") != F.col("_kind_b"), 1)).alias("_unlike"),
     )
     return row.withColumn(
         "matches",
         (F.col("only_actual") == 0) & (F.col("only_expected") == 0)
-        & (F.col("max_abs_delta") <= F.lit(tolerance)),
-    )
+        & (F.col("_unlike") == 0) & (F.col("max_abs_delta") <= F.lit(tolerance)),
+    ).drop("_unlike")
 
 
 def segment_frame(

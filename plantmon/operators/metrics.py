@@ -69,6 +69,10 @@ def horizon_rmse(df: DataFrame, step: str, y_true: str, y_pred: str, floor: floa
     err = F.col(y_pred) - F.col(y_true)
     per = df.groupBy(step).agg(F.sqrt(F.avg(err * err)).alias("rmse"))
     head = per.agg(F.min_by("rmse", step).alias("first"), F.max("rmse").alias("top")).first()
+    if head["first"] is None:  # no step has an error to compare with
+        return per.withColumn("ratio_to_first", F.lit(None).cast("double")).withColumn(
+            "max_ratio", F.lit(None).cast("double")
+        )
     base = max(head["first"], floor)
     return per.withColumn("ratio_to_first", F.col("rmse") / F.lit(base)).withColumn(
         "max_ratio", F.lit(head["top"] / base)

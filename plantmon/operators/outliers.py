@@ -26,9 +26,9 @@ MAD_THRESHOLD = 4.5
 class LocalRule:
     """Hampel-like rule on the neighbours within ``radius`` rows."""
 
-    radius: int = 5
+    radius: int = 8
     mad_threshold: float = 6.0
-    min_side: int = 2
+    min_side: int = 3
     both_sides: bool = True
     min_abs: float = 0.0
     force_abs: float | None = None
@@ -40,15 +40,21 @@ class OutlierRule:
     iqr_multiplier: float = IQR_MULTIPLIER
     z_threshold: float = Z_THRESHOLD
     mad_threshold: float = MAD_THRESHOLD
-    tail_percent: float = 1.0
+    tail_percent: float = 0.01
     tail_side: str = "both"
     max_removal_ratio: float = 0.1
-    min_remaining_rows: int = 1
+    min_remaining_rows: int = 0
     local: LocalRule | None = None
 
     def tail_fraction(self) -> float:
-        """A tail of at most 1 is a fraction, above 1 it is a percentage."""
-        return self.tail_percent if self.tail_percent <= 1 else self.tail_percent / 100.0
+        """A tail of at most 1 is a fraction, above 1 it is a percentage.
+
+        A tail of half the rows or more would mark everything.
+        """
+        share = self.tail_percent if self.tail_percent <= 1 else self.tail_percent / 100.0
+        if not 0 <= share < 0.5:
+            raise ValueError(f"tail_percent={self.tail_percent} is not under half of the rows")
+        return share
 
 
 @dataclass(frozen=True)
@@ -197,10 +203,12 @@ def cap_removals(
         return scored.withColumn(name, F.lit(False))
     marked = scored.where("marked").select(*keys, "severity")
     ranked = rank_within(marked, [], [F.col("severity").desc(), *keys], "_rank")
-    gone = ranked.where(F.col("_rank") < cap).select(*keys, F.lit(True).alias(name))
-    return scored.join(gone, list(keys), "left").withColumn(
-        name, F.coalesce(F.col(name), F.lit(False))
-    )
+    # Rows are as bad as the last one to go, or worse: one row decides for all.
+    last = ranked.where(F.col("_rank") == cap - 1).first()
+    types = dict(scored.dtypes)
+    place = F.struct((-F.col("severity")).alias("s"), *keys)
+    bound = F.struct(F.lit(-last["severity"]).alias("s"), *[F.lit(last[k]).cast(types[k]).alias(k) for k in keys])
+    return scored.withColumn(name, F.col("marked") & (place <= bound))
 
 
 def fit_apply_outliers(
@@ -213,19 +221,30 @@ def fit_apply_outliers(
     split: str = "split",
     train: str = "train",
     remove_elsewhere: bool = False,
+    remove_train: bool = True,
+    mark_elsewhere: bool = True,
     size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Fit on the train split; remove there, only mark other splits.
 
+    Without ``remove_train`` train rows are only marked; without
+    ``mark_elsewhere`` other splits are left alone.
+
     Adds ``severity``, ``marked`` and ``removed``; the caller filters on
     ``removed``, which leaves the removed ids available for the report.
     """
     model = fit_outliers(df.where(F.col(split) == train), columns, rule)
     scored = stage(score_outliers(df, model, [*by, split], index, size=size), "outliers")
     keys = [*by, index]
-    fitted = cap_removals(scored.where(F.col(split) == train), keys, rule.max_removal_ratio)
+    fitted = scored.where(F.col(split) == train)
+    if remove_train:
+        fitted = cap_removals(fitted, keys, rule.max_removal_ratio)
+    else:
+        fitted = fitted.withColumn("removed", F.lit(False))
     others = scored.where(F.col(split) != train)
-    if remove_elsewhere:
+    if not mark_elsewhere:
+        others = others.withColumns({"severity": F.lit(0.0), "marked": F.lit(False)})
+    if remove_elsewhere and mark_elsewhere:
         others = cap_removals(others, keys, rule.max_removal_ratio)
     else:
         others = others.withColumn("removed", F.lit(False))

@@ -103,9 +103,9 @@ def normal_protocol(
         "maxima",
     )
     fitted = {
-        s: calibrate.conformal_thresholds(maxima.where(F.col("stage") == s), risk)
+        s: calibrate.conformal_thresholds(maxima.where(F.col("stage") == s), risk, streams=streams)
         for s in splits.CALIBRATION_STAGES
     }
     long = scaled.unpivot([pos, raw, "stage"], streams, "score_name", "score")
-    alarms = calibrate.apply_thresholds(long, fitted["detection_calibration"])
+    alarms = calibrate.apply_thresholds(long, fitted["detection_calibration"], strict=True)
     return Protocol(alarms, fitted["detection_calibration"], fitted["attribution_calibration"])

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantmon.functions.numeric import INF, col
+from plantmon.functions.numeric import INF, col, exceeds, number_or_null
 from plantmon.functions.vectors import l1, l2, matvec, subtract, total
 from plantmon.operators.metrics import estimate_moments
 from plantmon.operators.scale import CONSTANT, Scaler
@@ -57,7 +57,7 @@ def fit_t2_many(normal: DataFrame, groups: Sequence[Sequence[str | Column]]) ->
     aggs = []
     for g, values in enumerate(groups):
         for i, v in enumerate(values):
-            aggs += [F.avg(col(v)).alias(f"m{g}_{i}"), F.var_pop(col(v)).alias(f"v{g}_{i}")]
+            aggs += [F.avg(number_or_null(v)).alias(f"m{g}_{i}"), F.var_pop(number_or_null(v)).alias(f"v{g}_{i}")]
     row = normal.agg(*aggs).first()
     return [
         DiagonalT2(tuple(row[f"m{g}_{i}"] for i in range(len(values))),
@@ -67,8 +67,8 @@ def fit_t2_many(normal: DataFrame, groups: Sequence[Sequence[str | Column]]) ->
 
 
 def percentile_threshold(scores: DataFrame, score: str | Column, far: float) -> float:
-    """The (1 - far) percentile of normal scores."""
-    return exact_quantiles(scores, {"s": col(score)}, [1.0 - far])["s"][0]
+    """The (1 - far) percentile of normal scores; missing ones do not count."""
+    return exact_quantiles(scores, {"s": number_or_null(score)}, [1.0 - far])["s"][0]
 
 
 def inequality_factor(far: float) -> float:
@@ -76,9 +76,17 @@ def inequality_factor(far: float) -> float:
 
 
 def inequality_threshold(scores: DataFrame, score: str | Column, far: float) -> float:
-    """Mean plus the one-sided distribution-free multiple of the deviation."""
-    row = scores.agg(F.avg(col(score)).alias("m"), F.stddev_pop(col(score)).alias("s")).first()
-    return row["m"] + inequality_factor(far) * row["s"]
+    """Mean plus the one-sided distribution-free multiple of the deviation.
+
+    Missing scores do not count; without any score the threshold is +inf.
+    """
+    value = number_or_null(score)
+    row = scores.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
+    return _bound(row["m"], row["s"], far)
+
+
+def _bound(mean: float | None, deviation: float | None, far: float) -> float:
+    return INF if mean is None else mean + inequality_factor(far) * deviation
 
 
 # Legal parts of a procedure name ``mode-statistic-threshold``.
@@ -156,16 +164,15 @@ def fit_procedures(
     by_moment = {p.name: scores[p.name] for p in parsed if p.threshold == "ineq"}
     cut: dict[str, float] = {}
     if by_rank:
-        safe = {f"s{i}": s for i, s in enumerate(by_rank.values())}
+        safe = {f"s{i}": number_or_null(s) for i, s in enumerate(by_rank.values())}
         found = exact_quantiles(normal, safe, [1.0 - far])
         cut |= {n: found[f"s{i}"][0] for i, n in enumerate(by_rank)}
     if by_moment:
         row = normal.agg(
-            *[F.avg(s).alias(f"m{i}") for i, s in enumerate(by_moment.values())],
-            *[F.stddev_pop(s).alias(f"d{i}") for i, s in enumerate(by_moment.values())],
+            *[F.avg(number_or_null(s)).alias(f"m{i}") for i, s in enumerate(by_moment.values())],
+            *[F.stddev_pop(number_or_null(s)).alias(f"d{i}") for i, s in enumerate(by_moment.values())],
         ).first()
-        factor = inequality_factor(far)
-        cut |= {n: row[f"m{i}"] + factor * row[f"d{i}"] for i, n in enumerate(by_moment)}
+        cut |= {n: _bound(row[f"m{i}"], row[f"d{i}"], far) for i, n in enumerate(by_moment)}
     return [FittedProcedure(p, scores[p.name], cut[p.name]) for p in parsed]
 
 
@@ -198,9 +205,12 @@ def detection_metrics(
     df: DataFrame, score: str | Column, threshold: float | Column, label: str | Column,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Counts and rates of the strict alarm ``score > threshold``."""
+    """Counts and rates of the strict alarm ``score > threshold``.
+
+    A missing score is no alarm, so on a fault row it counts as missed.
+    """
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    counts = df.groupBy(*by).agg(*detection_counts(col(score) > limit, col(label)))
+    counts = df.groupBy(*by).agg(*detection_counts(exceeds(score, limit), col(label)))
     return detection_rates(counts)
 
 
@@ -219,7 +229,7 @@ def sweep(df: DataFrame, settings: Mapping[str, tuple[Column, float]], label: st
     aggs, rows = [], []
     names = ("false_alarms", "missed", "detected")
     for i, (_, (score, limit)) in enumerate(settings.items()):
-        cols = detection_counts(score > F.lit(float(limit)), y)[:3]
+        cols = detection_counts(exceeds(score, F.lit(float(limit))), y)[:3]
         aggs += [c.alias(f"{n}_{i}") for n, c in zip(names, cols, strict=True)]
     aggs += [F.count(F.when(y == 0, 1)).alias("normal_rows"), F.count(F.when(y == 1, 1)).alias("fault_rows")]
     row = df.agg(*aggs)
@@ -239,7 +249,9 @@ def detection_aggregate(metrics: DataFrame) -> DataFrame:
 
 def fit_sweep(normal: DataFrame, scores: Mapping[str, Column], fars: Sequence[float]) -> dict[str, tuple[Column, float]]:
     """Percentile thresholds of many (score, FAR) settings from the same two scans."""
-    found = exact_quantiles(normal, {f"s{i}": s for i, s in enumerate(scores.values())}, [1.0 - f for f in fars])
+    found = exact_quantiles(
+        normal, {f"s{i}": number_or_null(s) for i, s in enumerate(scores.values())}, [1.0 - f for f in fars]
+    )
     return {
         f"{name}@{far}": (score, found[f"s{i}"][j])
         for i, (name, score) in enumerate(scores.items())

@@ -484,22 +484,22 @@ def check_disjoint(staged: DataFrame, pos: str, raw: str, windows: DataFrame,
 
 
 def table_fingerprint(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                      columns: Sequence[str], places: int = 6) -> DataFrame:
+                      columns: Sequence[str]) -> DataFrame:
     """Order-sensitive content hash per group, built from partial sums.
 
+    Values count with all their digits; null, NaN and both infinities have marks
+    of their own, in the order columns as well.
+
     Each row hashes its position together with its values; the sum of the row
     hashes changes when any value or any position changes and needs neither a
     sort nor a collected group.
     """
-    cells = [F.col(c).cast("string") for c in order]
-    cells += [
-        F.coalesce(F.col(c).cast(f"decimal(38,{places})").cast("string"), F.lit("null")) for c in columns
-    ]
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in [*order, *columns]]
     digest = F.md5(F.concat_ws("|", *cells))
-    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
+    halves = [F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(38,0)")) for at in (1, 17)]
     return df.groupBy(*by).agg(
         F.count("*").alias("rows"),
-        F.sha2(F.sum(number).cast("string"), 256).alias("fingerprint"),
+        F.sha2(F.concat_ws("|", *[h.cast("string") for h in halves]), 256).alias("fingerprint"),
     )
 
 

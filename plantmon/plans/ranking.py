@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plantmon.plans.staging import stage
 
-_ROW, _PART, _BASE, _PREFIX = "_row", "_part", "_base", "_prefix"
+_ROW, _PART, _BASE, _PREFIX, _TIE = "_row", "_part", "_base", "_prefix", "_tie"
 
 
 def rank_within(
@@ -29,7 +29,10 @@ def rank_within(
     row count.
     """
     by = list(by)
-    ordered = df.orderBy(*by, *order).withColumn(_ROW, F.monotonically_increasing_id())
+    # Equal keys would all fall into one range; a row number at the end of the
+    # order cuts them too, and ranks among ties are free.
+    tied = df.withColumn(_TIE, F.monotonically_increasing_id()).orderBy(*by, *order, _TIE).drop(_TIE)
+    ordered = tied.withColumn(_ROW, F.monotonically_increasing_id())
     staged = stage(ordered, "ranked").withColumn(_PART, F.shiftrightunsigned(_ROW, 33))
     heads = staged.groupBy(*by, _PART).agg(
         F.min(_ROW).alias("_first"), F.count(F.lit(1)).alias("_rows")

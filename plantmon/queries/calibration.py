@@ -57,12 +57,16 @@ def _conformal_status(spark, sf):
 COORDS = "(SELECT DISTINCT label, fault FROM proc_wide)"
 
 
-@query("score_coverage", f"""SELECT e.episode, (SELECT count(*) FROM {COORDS}) - count(*) FILTER (known) AS missing, count(*) FILTER (n > 1) AS repeated,
-    count(*) FILTER (NOT known) AS undeclared FROM (SELECT episode, label, fault, count(*) AS n, label <> 'A' OR raw_index IS NOT NULL AS known
-    FROM (SELECT episode, label, fault, 1 AS raw_index FROM proc_wide WHERE raw_index < 9) GROUP BY ALL) e GROUP BY e.episode""", views=["proc_wide"])
+@query("score_coverage", f"""SELECT e.episode, (SELECT count(*) FROM {COORDS} WHERE label <> 'A' OR fault = 0) - count(*) FILTER (d.label IS NOT NULL) AS missing,
+    count(*) FILTER (e.n > 1) AS repeated, count(*) FILTER (d.label IS NULL) AS undeclared
+    FROM (SELECT episode, label, fault, count(*) AS n FROM proc_wide WHERE (episode + fault * 3 + ascii(label)) % 5 <> 0 GROUP BY ALL) e
+    LEFT JOIN (SELECT * FROM {COORDS} WHERE label <> 'A' OR fault = 0) d ON e.label = d.label AND e.fault = d.fault GROUP BY e.episode""", views=["proc_wide"])
 def _coverage(spark, sf):
     df = v.proc_wide(spark, sf)
-    return calibrate.score_coverage(df.where("raw_index < 9"), "episode", df.select("label", "fault").distinct())
+    # Some coordinates of each episode are taken out, and one that occurs is not declared.
+    kept = df.where((F.col("episode") + F.col("fault") * 3 + F.ascii("label")) % 5 != 0)
+    declared = df.select("label", "fault").distinct().where("label <> 'A' or fault = 0")
+    return calibrate.score_coverage(kept, "episode", declared)
 
 
 @query("expected_coordinates", f"SELECT s_suppkey AS episode, label, fault FROM supplier, {COORDS}", views=["proc_wide"])

@@ -9,15 +9,18 @@ from plantmon.queries import views as v
 from plantmon.queries.registry import query
 
 KEYS = ["episode", "raw_index"]
-CELL = "list_max(list_transform(list_zip(o.features, c.center), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE) / 0.5))"
+CELL = "list_max(list_transform(list_zip(o.features, c.center, c.scale), lambda p: abs(p[1]::DOUBLE - p[2]) / p[3]))"
 FAMILY = f"SELECT obs_id, episode, family_id, min(s) AS score FROM (SELECT o.obs_id, o.episode, c.family_id, {CELL} AS s FROM observations o, cells c) GROUP BY 1, 2, 3"
 
 
-@query("cell_score", f"SELECT o.obs_id, {CELL} AS score FROM observations o, cells c WHERE c.cell_id = 3", views=["observations", "cells"], rounded=["score"])
+@query("cell_score", f"SELECT o.obs_id, c.cell_id, {CELL} AS score FROM observations o, cells c", views=["observations", "cells"], rounded=["score"])
 def _cell(spark, sf):
-    row = v.cells(spark, sf).where("cell_id = 3").first()
-    score = isolate.cell_score(F.col("features"), F.lit(row["center"]), F.lit(row["scale"]))
-    return v.observations(spark, sf).select("obs_id", score.alias("score"))
+    # One cell a class, so the library is a handful of literals.
+    scored = [
+        F.struct(F.lit(r["cell_id"]).cast("long").alias("cell_id"), isolate.cell_score(F.col("features"), F.lit(r["center"]), F.lit(r["scale"])).alias("score"))
+        for r in v.cells(spark, sf).collect()
+    ]
+    return v.observations(spark, sf).select("obs_id", F.explode(F.array(*scored)).alias("c")).select("obs_id", "c.*")
 
 
 def _family(spark, sf):
@@ -29,14 +32,14 @@ def _family_score(spark, sf):
     return _family(spark, sf)
 
 
-RADIUS = "(CASE family_id WHEN 'F0' THEN 3.0 WHEN 'F1' THEN 3.2 WHEN 'F2' THEN 3.4 WHEN 'F3' THEN 3.6 ELSE 3.8 END)"
+RADIUS = "(CASE family_id WHEN 'F0' THEN 2.2 WHEN 'F1' THEN 2.3 WHEN 'F2' THEN 2.4 WHEN 'F3' THEN 2.5 ELSE 2.6 END)"
 FEASIBLE = f"""SELECT obs_id, episode, family_id, score, {RADIUS}::DOUBLE AS radius, score <= {RADIUS} AS feasible, true AS certified FROM ({FAMILY})
     UNION ALL SELECT obs_id, episode, 'F9', 0, 'infinity'::DOUBLE, true, false FROM observations WHERE obs_id % 50 = 0"""
 
 
 def _feasible(spark, sf):
     fam = _family(spark, sf)
-    radii = fam.select("family_id").distinct().withColumn("radius", 3.0 + 0.2 * F.substring("family_id", 2, 1).cast("int"))
+    radii = fam.select("family_id").distinct().withColumn("radius", F.round(2.2 + 0.1 * F.substring("family_id", 2, 1).cast("int"), 1))
     sure = isolate.feasible_families(fam, radii)
     open_ = isolate.feasible_families(fam.where("obs_id % 50 = 0"), radii, ["F9"]).where("family_id = 'F9'")
     return sure.unionByName(open_)
@@ -47,6 +50,14 @@ def _feasible_query(spark, sf):
     return _feasible(spark, sf)
 
 
+@query("feasible_uncertified", f"""SELECT obs_id, episode, family_id, score, {RADIUS}::DOUBLE AS radius, score <= {RADIUS} AS feasible, true AS certified FROM ({FAMILY})
+    UNION ALL SELECT obs_id, episode, 'F9', 0, 'infinity'::DOUBLE, true, false FROM observations""", views=["observations", "cells"], rounded=["score", "radius"])
+def _uncertified(spark, sf):
+    fam = _family(spark, sf)
+    radii = fam.select("family_id").distinct().withColumn("radius", F.round(2.2 + 0.1 * F.substring("family_id", 2, 1).cast("int"), 1))
+    return isolate.feasible_families(fam, radii, ["F9"])
+
+
 REFINE = """(SELECT l_suppkey AS obs, l_partkey % 40 AS cell, l_orderkey AS level, min(l_discount) AS lo, max(l_discount) + min(l_tax) AS hi FROM lineitem GROUP BY 1, 2, 3)"""
 
 

@@ -179,8 +179,8 @@ def _disjoint(spark, sf):
     return splits.check_disjoint(staged, "pos", "raw", found, episodes, SPAN)
 
 
-@query("table_fingerprint", f"""SELECT stage, count(*) AS "rows", sha256(sum(('0x' || substr(md5(pos || '|' || x0::DECIMAL(38,6) || '|' || x1::DECIMAL(38,6)), 1, 15))::BIGINT)::VARCHAR)
-    AS fingerprint FROM ({STAGED}) GROUP BY stage""", views=["timeline"])
+@query("table_fingerprint", f"""SELECT stage, count(*) AS "rows", sha256(sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT)::VARCHAR || '|' || sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT)::VARCHAR)
+    AS fingerprint FROM (SELECT stage, md5(pos || '|' || x0::VARCHAR || '|' || x1::VARCHAR) AS h FROM ({STAGED})) GROUP BY stage""", views=["timeline"])
 def _fingerprint(spark, sf):
     staged, _ = _staged(spark, sf)
     return splits.table_fingerprint(staged.where("stage IS NOT NULL"), ["stage"], ["pos"], ["x0", "x1"])

@@ -114,12 +114,14 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector of the first five classes is the centre of one cell."""
+    """One cell per class: mean and deviation of all its vectors, element by element."""
     vec = table(spark, sf, "embeddings")
-    return vec.where("vec_id < 25").select(
-        F.col("vec_id").alias("cell_id"), F.concat(F.lit("F"), F.col("vec_id") % 5).alias("family_id"),
-        F.col("embedding").cast("array<double>").alias("center"),
-        F.transform("embedding", lambda _: F.lit(0.5)).alias("scale"),
+    parts = vec.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    per = parts.groupBy("label", "i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d"))
+    whole = per.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m", "d"))).alias("p"))
+    return whole.select(
+        F.col("label").cast("long").alias("cell_id"), F.concat(F.lit("F"), F.col("label") % 5).alias("family_id"),
+        F.col("p.m").alias("center"), F.col("p.d").alias("scale"),
     )
 
 
@@ -168,8 +170,9 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         1 + episode % 8 AS fault_id FROM proc_wide"""),
     "runs": ((), """SELECT o_orderpriority AS trial_id, o_orderkey AS repeat_id, o_totalprice AS rmse,
         o_custkey::DOUBLE AS r2 FROM orders"""),
-    "cells": ((), """SELECT vec_id AS cell_id, 'F' || (vec_id % 5) AS family_id, embedding AS center
-        FROM embeddings WHERE vec_id < 25"""),
+    "cells": ((), """SELECT label::BIGINT AS cell_id, 'F' || (label % 5) AS family_id, list(m ORDER BY i) AS center, list(d ORDER BY i) AS scale
+        FROM (SELECT label, i, avg(x) AS m, stddev_pop(x) AS d FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+        GROUP BY label, i) GROUP BY label"""),
     "observations": ((), """SELECT vec_id AS obs_id, vec_id % 40 AS episode, embedding AS features
         FROM embeddings"""),
     "scores": (("proc_wide",), """SELECT episode, raw_index, 'load' AS score_name, x0 AS score FROM proc_wide

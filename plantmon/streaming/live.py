@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from plantmon.functions.numeric import INF
 from plantmon.operators.calibrate import alarm
 from plantmon.operators.reports import detection_report_columns, finish_detection_report
 from plantmon.operators.scale import Scaler
 from plantmon.operators.splits import latest
-from plantmon.plans.staging import new_path
+from plantmon.plans.staging import new_path, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,9 +56,14 @@ def live_scale(records: DataFrame, scaler: Scaler) -> DataFrame:
 
 
 def live_threshold(scores: DataFrame, thresholds: DataFrame, stream: str = "score_name") -> DataFrame:
-    """Frozen thresholds joined to a live score stream, with the strict alarm."""
-    joined = scores.join(thresholds.select(stream, "threshold"), stream, "inner")
-    return joined.withColumn("alarm", alarm())
+    """Frozen thresholds joined to a live score stream, with the strict alarm.
+
+    The thresholds are staged once, so every micro-batch sees the same ones; one
+    row a stream. A stream without one keeps its scores, with the threshold +inf.
+    """
+    frozen = stage(thresholds.select(stream, F.col("threshold").alias("_t")), "frozen")
+    joined = scores.join(frozen, stream, "left").withColumn("threshold", F.coalesce("_t", F.lit(INF)))
+    return joined.drop("_t").withColumn("alarm", alarm())
 
 
 def live_detection_report(
