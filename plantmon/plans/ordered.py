@@ -22,6 +22,7 @@ from plantmon.plans.staging import stage
 BLOCK_ROWS = 65_536
 _BLOCK = "_block"
 _HOME = "_home"
+_GROUP = "_group"
 
 
 def block_of(index: str, size: int = BLOCK_ROWS, shift: int = 0) -> Column:
@@ -57,6 +58,57 @@ def over_frames(
     return home if keep_block else home.drop(_BLOCK)
 
 
+def _total(kind: str, col: Column, index: str) -> Column:
+    """What a group of rows hands on: a sum, an extreme, or its last or first value."""
+    if kind in ("sum", "max", "min"):
+        return getattr(F, kind)(col)
+    pick = F.max_by if kind == "last" else F.min_by
+    return pick(col, F.when(col.isNotNull(), F.col(index)))
+
+
+def _before(kind: str, total: str, earlier: WindowSpec, later: WindowSpec) -> Column:
+    """The same over all groups that come before this one."""
+    if kind in ("sum", "max", "min"):
+        return getattr(F, kind)(total).over(earlier)
+    return F.last(total, True).over(earlier if kind == "last" else later)
+
+
+def _joined(kind: str, near: Column, far: Column) -> Column:
+    """The carry of the near groups, completed by that of the far ones."""
+    if kind == "sum":
+        return F.coalesce(near + far, near, far)
+    if kind in ("max", "min"):
+        return (F.greatest if kind == "max" else F.least)(near, far)
+    return F.coalesce(near, far)
+
+
+def _carries(totals: DataFrame, by: Sequence[str], kinds: Mapping[str, str], size: int) -> DataFrame:
+    """For each block what the blocks before it hand on, as ``_c`` + the total's name.
+
+    Blocks are grouped once more in the same way. A sparse index has as many
+    blocks as rows; within a group there are at most ``size`` of them, and a
+    window over a whole key sees the groups only.
+    """
+    rest = [Window.unboundedPreceding, -1]
+
+    def windows(keys: Sequence[str], order: str) -> tuple[WindowSpec, WindowSpec]:
+        base = Window.partitionBy(*keys)
+        return base.orderBy(order).rowsBetween(*rest), base.orderBy(F.col(order).desc()).rowsBetween(*rest)
+
+    grouped = totals.withColumn(_GROUP, F.expr(f"`{_BLOCK}` div {int(max(size, 2))}L"))
+    inside = windows([*by, _GROUP], _BLOCK)
+    near = grouped.select(
+        *by, _GROUP, _BLOCK, *[_before(k, t, *inside).alias(f"_n{t}") for t, k in kinds.items()]
+    )
+    across = windows(by, _GROUP)
+    tops = grouped.groupBy(*by, _GROUP).agg(*[_total(k, F.col(t), _BLOCK).alias(t) for t, k in kinds.items()])
+    far = tops.select(*by, _GROUP, *[_before(k, t, *across).alias(f"_f{t}") for t, k in kinds.items()])
+    both = near.join(far, [*by, _GROUP], "left")
+    return both.select(
+        *by, _BLOCK, *[_joined(k, F.col(f"_n{t}"), F.col(f"_f{t}")).alias(f"_c{t}") for t, k in kinds.items()]
+    )
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],
@@ -84,37 +136,27 @@ def running(
     backward = Window.partitionBy(*by, _BLOCK).orderBy(F.col(index).desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local, totals, carries = [], [], []
-    earlier = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*by).orderBy(F.col(_BLOCK).desc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    local, totals, kinds = [], [], {}
     for n in names:
         kind, col = values[n][0], F.col(inputs[n])
-        total, carry = f"_t_{inputs[n]}", f"_c_{inputs[n]}"
+        total = f"_t_{inputs[n]}"
         if kind in ("sum", "max", "min"):
             fn = getattr(F, kind)
             local.append(fn(col).over(forward).alias(f"_l_{inputs[n]}"))
-            totals.append(fn(col).alias(total))
-            carries.append(fn(total).over(earlier).alias(carry))
         elif kind == "last":
             local.append(F.last(col, True).over(forward).alias(f"_l_{inputs[n]}"))
-            totals.append(F.max_by(col, F.when(col.isNotNull(), F.col(index))).alias(total))
-            carries.append(F.last(total, True).over(earlier).alias(carry))
         elif kind == "next":
             local.append(F.last(col, True).over(backward).alias(f"_l_{inputs[n]}"))
-            totals.append(F.min_by(col, F.when(col.isNotNull(), F.col(index))).alias(total))
-            carries.append(F.last(total, True).over(later).alias(carry))
         else:
             raise ValueError(f"unknown running kind {kind!r}")
+        totals.append(_total(kind, col, index).alias(total))
+        kinds[total] = kind
     inner = blocked.select("*", *local)
-    carried = (
-        blocked.groupBy(*by, _BLOCK).agg(*totals).select(*by, _BLOCK, *carries)
-    )
+    carried = _carries(blocked.groupBy(*by, _BLOCK).agg(*totals), by, kinds, size)
     joined = inner.join(carried, [*by, _BLOCK], "left")
     out = []
     for n in names:
-        here, carry = F.col(f"_l_{inputs[n]}"), F.col(f"_c_{inputs[n]}")
+        here, carry = F.col(f"_l_{inputs[n]}"), F.col(f"_c_t_{inputs[n]}")
         kind = values[n][0]
         if kind == "sum":
             out.append(F.coalesce(here + carry, here, carry).alias(n))

@@ -114,3 +114,26 @@ def test_tied_values_are_spread_over_the_sort(spark):
     sizes = [r["count"] for r in tied.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= 2 * sum(sizes) / len(sizes)
     assert ranked.where("v = 1 and k < 36000").count() == 0
+
+
+@pytest.mark.parametrize("by", [["episode"], []])
+def test_sparse_index_runs_in_groups(spark, by):
+    """An index with a large step: no window holds all the blocks of a key."""
+    from plantmon.plans import running
+
+    rows = [(i % 2, i * 10_000_000, float(i % 5) if i % 3 else None) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "episode long, i long, x double")
+    got = running(df, by, "i", {
+        "s": ("sum", F.col("x")), "m": ("max", F.col("x")), "l": ("last", F.col("x")), "n": ("next", F.col("x"))
+    }, size=100).collect()
+    for key in ([0, 1] if by else [None]):
+        mine = sorted((r for r in got if key is None or r["episode"] == key), key=lambda r: r["i"])
+        total, best, last = None, None, None
+        after = [r["x"] for r in mine]
+        for at, r in enumerate(mine):
+            if r["x"] is not None:
+                total = (total or 0.0) + r["x"]
+                best = r["x"] if best is None else max(best, r["x"])
+                last = r["x"]
+            following = next((x for x in after[at:] if x is not None), None)
+            assert (r["s"], r["m"], r["l"], r["n"]) == (total, best, last, following)
