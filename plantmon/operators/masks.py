@@ -63,12 +63,13 @@ def mask_random(
 
 def mask_block(
     df: DataFrame, by: Sequence[str], index: str, columns: Sequence[str], rate: float,
-    length: int, seed: int, *, split: str | None = None, size: int = BLOCK_ROWS,
+    length: int, seed: int, *, split: str | None = None, guard: bool = True, size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Hide stretches of ``length`` rows in one channel at a time.
 
     A stretch starts at each cell with the probability that hides ``rate`` of
-    all cells in expectation; overlapping stretches merge.
+    all cells in expectation; overlapping stretches merge. With ``guard`` at
+    least one cell per split is hidden and one visible.
     """
     if length <= 0:
         raise ValueError("length is positive")
@@ -83,7 +84,9 @@ def mask_block(
         return {f"mask_{c}": F.max(f"_start_{c}").over(back) == 1 for c in columns}
 
     framed = over_frames(starts, by, index, length - 1, 0, frames, size=size)
-    return framed.drop(*[f"_start_{c}" for c in columns])
+    out = framed.drop(*[f"_start_{c}" for c in columns])
+    keys = [*by, index]
+    return _guard(out, [f"mask_{c}" for c in columns], keys, [split] if split else []) if guard else out
 
 
 def mask_channels(

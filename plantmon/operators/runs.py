@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from plantmon.functions.numeric import finite_or_null
-from plantmon.plans import grouped_quantiles, lookup, rank_within, stage
+from plantmon.plans import grouped_quantiles, lookup, over_frames, rank_within, running, stage
 from plantmon.plans.ordered import BLOCK_ROWS
 
 # Fixed value: normal quantile of the 95 % interval.
@@ -94,7 +94,8 @@ def best_run(runs: DataFrame, key: Sequence[str], order: str, rmse: str = "rmse"
 
     Without a tolerance this is one aggregate. With one the outcome depends on
     the order of arrival, as each accepted run moves the reference. A key's runs
-    are cut into blocks; a round finds, for all keys at once, the next block
+    are cut into blocks; from the last run that wins in any case on, a round
+    finds, for all keys at once, the next block
     holding a run that beats the current best and folds that block alone. So no
     task sees more than one block of a key, and blocks without an improvement
     are only scanned. A missing RMSE never wins; a missing R2 loses to any.
@@ -110,7 +111,17 @@ def best_run(runs: DataFrame, key: Sequence[str], order: str, rmse: str = "rmse"
         return best.select(*key, "b.*")
 
     ranked = rank_within(clean, key, [order], "_at")
-    rows = stage(ranked.withColumn("_block", F.expr(f"_at div {int(size)}")).drop("_at"), "runs")
+    # A run lower than all before it by more than ``eps`` is accepted whatever
+    # the best was, which is one of those before. Only what follows the last
+    # such run of its key has to be folded.
+    lagged = over_frames(ranked, key, "_at", 1, 0, lambda w: {"_prev": F.lag(rmse).over(w)}, size=size)
+    seen = stage(running(lagged, key, "_at", {"_low": ("min", F.col("_prev"))}, size=size).drop("_prev"), "runs")
+    sure = F.col("_low").isNull() | (F.col(rmse) < F.col("_low") - F.lit(eps))
+    winners = stage(
+        seen.where(sure).groupBy(*key).agg(F.max("_at").alias("_start"), F.max_by(F.struct(*fields), "_at").alias("b")), "winners"
+    )
+    rows = lookup(seen, winners.select(*key, "_start"), key, "inner").where(F.col("_at") > F.col("_start"))
+    rows = stage(rows.select(*key, *fields, F.expr(f"_at div {int(size)}").alias("_block")), "later")
     old = [f"_{c}" for c in fields]
     schema = StructType([*[rows.schema[k] for k in key], *[rows.schema[c] for c in fields],
                          StructField("_block", LongType())])
@@ -127,31 +138,24 @@ def best_run(runs: DataFrame, key: Sequence[str], order: str, rmse: str = "rmse"
         out[r2] = out[r2].astype(object).where(out[r2].notna(), None)
         return out[[f.name for f in schema]]
 
-    state = None
+    state = winners.select(*key, "b.*", F.lit(-1).cast("long").alias("_block"))
     while True:
-        if state is None:
-            nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(o) for c, o in zip(fields, old, strict=True)]
-            todo = rows.where("_block = 0").select("*", *nothing)
-        else:
-            now = state.select(*key, *[F.col(c).alias(o) for c, o in zip(fields, old, strict=True)],
-                               F.col("_block").alias("_done"))
-            ahead = lookup(rows, now, key, "inner").where(F.col("_block") > F.col("_done"))
-            lower = F.col(rmse) < F.col(old[1]) - F.lit(eps)
-            near = F.abs(F.col(rmse) - F.col(old[1])) <= F.lit(eps)
-            richer = F.col(r2).isNotNull() & (
-                F.col(old[2]).isNull() | (F.col(r2) > F.col(old[2]) + F.lit(eps))
-            )
-            better = ahead.where(lower | (near & richer))
-            target = stage(better.groupBy(*key).agg(F.min("_block").alias("_block")), "next")
-            if not target.take(1):
-                return state.drop("_block")
-            block = lookup(rows, target, [*key, "_block"], "inner", hot_share=None)
-            todo = lookup(block, now.drop("_done"), key, "inner")
+        now = state.select(*key, *[F.col(c).alias(o) for c, o in zip(fields, old, strict=True)],
+                           F.col("_block").alias("_done"))
+        ahead = lookup(rows, now, key, "inner").where(F.col("_block") > F.col("_done"))
+        lower = F.col(rmse) < F.col(old[1]) - F.lit(eps)
+        near = F.abs(F.col(rmse) - F.col(old[1])) <= F.lit(eps)
+        richer = F.col(r2).isNotNull() & (
+            F.col(old[2]).isNull() | (F.col(r2) > F.col(old[2]) + F.lit(eps))
+        )
+        better = ahead.where(lower | (near & richer))
+        target = stage(better.groupBy(*key).agg(F.min("_block").alias("_block")), "next")
+        if not target.take(1):
+            return state.drop("_block")
+        block = lookup(rows, target, [*key, "_block"], "inner", hot_share=None)
+        todo = lookup(block, now.drop("_done"), key, "inner")
         folded = stage(todo.groupBy(*key).applyInPandas(fold_block, schema), "folded")
-        if state is None:
-            state = folded
-        else:
-            state = stage(state.join(folded, key, "left_anti").unionByName(folded), "best")
+        state = stage(state.join(folded, key, "left_anti").unionByName(folded), "best")
 
 
 def runs_union(spark, paths: Sequence[str], schema: str) -> DataFrame:

@@ -462,23 +462,40 @@ def window_rows(windows: DataFrame, start: str, span: int) -> DataFrame:
     )
 
 
+def shared_length(spans: DataFrame, owner: str, start: str, stop: str, *, size: int = BLOCK_ROWS) -> DataFrame:
+    """How many positions the half-open spans of two or more owners cover, one row.
+
+    Span ends are put on one line and counted, first per owner, so that its own
+    overlapping spans become one, then over all owners. A span costs two rows
+    whatever its length.
+    """
+    ends = spans.select(owner, F.col(start).alias("at"), F.lit(1).alias("step")).unionByName(
+        spans.select(owner, F.col(stop).alias("at"), F.lit(-1).alias("step"))
+    )
+    steps = ends.groupBy(owner, "at").agg(F.sum("step").alias("step"))
+    depth = running(steps, [owner], "at", {"depth": ("sum", F.col("step"))}, size=size)
+    turn = (F.col("depth") > 0).cast("int") - (F.col("depth") - F.col("step") > 0).cast("int")
+    turns = depth.select("at", turn.alias("step")).groupBy("at").agg(F.sum("step").alias("step"))
+    owners = running(turns, [], "at", {"owners": ("sum", F.col("step"))}, size=size)
+    # A stretch adds where it ends and subtracts where it begins.
+    edge = (F.col("owners") - F.col("step") >= 2).cast("long") - (F.col("owners") >= 2).cast("long")
+    return owners.agg(F.coalesce(F.sum(F.col("at") * edge), F.lit(0).cast("long")).alias("shared"))
+
+
 def check_disjoint(staged: DataFrame, pos: str, raw: str, windows: DataFrame,
                    episodes: DataFrame, span: int) -> DataFrame:
     """Shared items per kind: positions, raw rows, window dependencies, episode rows."""
     rows = staged.where(F.col("stage").isNotNull())
-    dependencies = window_rows(windows, "raw_start", span)
-    inside = episodes.where("complete").withColumn(
-        "row", F.explode(F.sequence(F.col("start"), F.col("stop") - 1))
-    )
+    dependencies = windows.select("stage", F.col("raw_start").alias("_a"), (F.col("raw_start") + span).alias("_b"))
     kinds = {
-        "positions": overlaps(rows, pos, "stage"),
-        "raw_rows": overlaps(rows, raw, "stage"),
-        "window_rows": overlaps(dependencies, "row", "stage"),
-        "episode_rows": overlaps(inside, "row", "stage"),
+        "positions": overlaps(rows, pos, "stage").agg(F.count("*").alias("shared")),
+        "raw_rows": overlaps(rows, raw, "stage").agg(F.count("*").alias("shared")),
+        "window_rows": shared_length(dependencies, "stage", "_a", "_b"),
+        "episode_rows": shared_length(episodes.where("complete"), "stage", "start", "stop"),
     }
     out = None
     for kind, found in kinds.items():
-        part = found.agg(F.count("*").alias("shared")).select(F.lit(kind).alias("kind"), "shared")
+        part = found.select(F.lit(kind).alias("kind"), "shared")
         out = part if out is None else out.unionByName(part)
     return out
 

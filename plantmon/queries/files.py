@@ -100,12 +100,14 @@ def _registered(spark, sf):
     return readers.read_card(spark, card).select("s_suppkey", "s_acctbal")
 
 
-@query("resolve_paths", "SELECT 'faulty' AS folder, true AS found UNION ALL SELECT 'normal', true")
+@query("resolve_paths", """SELECT CASE WHEN raw_index % 5 = 0 THEN 'faulty' ELSE 'normal' END AS folder, count(*) AS "rows", sum(x0) AS x0
+    FROM proc_wide GROUP BY 1""", views=["proc_wide"], rounded={"x0": 2})
 def _paths(spark, sf):
     root = _card_files(spark, sf)
     files = readers.resolve_paths(spark, root, ["normal/*.csv", "faulty/*.csv"])
-    df = spark.read.text(files).select(F.col("_metadata.file_path").alias("p")).distinct()
-    return df.groupBy(F.regexp_extract("p", r"(normal|faulty)", 1).alias("folder")).agg((F.count("*") > 0).alias("found"))
+    df = readers.read_csv(spark, files, "episode bigint, raw_index bigint, x0 double, x1 double")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(normal|faulty)/", 1)
+    return df.select(folder.alias("folder"), "x0").groupBy("folder").agg(F.count("*").alias("rows"), F.sum("x0").alias("x0"))
 
 
 @query("segment_frame", """SELECT episode, raw_index, x0, 'E' || episode AS segment, 0 AS label,
@@ -159,6 +161,12 @@ def _manifest(spark, sf):
     return manifest.file_manifest(spark, sf, "*.parquet").select("name", "bytes", "sha256")
 
 
+@query("content_manifest", """SELECT url AS name, strlen(html)::BIGINT AS bytes, sha256(html) AS sha256 FROM pages""")
+def _content(spark, sf):
+    pages = table(spark, sf, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"))
+    return manifest.content_manifest(pages).select(F.col("path").alias("name"), "bytes", "sha256")
+
+
 @query("archive_profile", """SELECT episode, count(*) AS "rows", 4::BIGINT AS width, min(raw_index) AS index_start,
     max(raw_index) AS index_end FROM proc_wide GROUP BY episode""", views=["proc_wide"])
 def _profile(spark, sf):
@@ -226,13 +234,13 @@ def _metric_log(spark, sf):
     return spark.read.parquet(path).groupBy("trial").agg(F.count("*").alias("n"), F.max("v").alias("top"))
 
 
-@query("verify_outputs", "SELECT 'clean' AS what, 0::BIGINT AS problems UNION ALL SELECT 'tampered', 1")
+@query("verify_outputs", """SELECT url AS name, CASE WHEN page_id % 5 = 0 THEN 'not indexed' WHEN page_id % 7 = 0 THEN 'changed' END AS problem
+    FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0 UNION ALL SELECT url || '?gone', 'missing' FROM pages WHERE page_id % 11 = 0""")
 def _verify(spark, sf):
-    path = new_path(spark, "outputs")
-    proc_wide(spark, sf).coalesce(2).write.parquet(path)
-    index = manifest.file_manifest(spark, path, "part-*").select("name", "sha256")
-    first = index.agg(F.min("name")).first()[0]
-    tampered = index.withColumn("sha256", F.when(F.col("name") == first, F.lit("0")).otherwise(F.col("sha256")))
-    out = [manifest.verify_outputs(spark, path, i).agg(F.count("*").alias("problems")).select(F.lit(w).alias("what"), "problems")
-           for w, i in (("clean", index), ("tampered", tampered))]
-    return out[0].unionByName(out[1])
+    pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
+    have = manifest.content_manifest(pages.drop("page_id")).select(F.col("path").alias("name"), "sha256")
+    # The index lacks some files, holds another hash for some, and names some that are gone.
+    other = F.when(F.col("page_id") % 7 == 0, F.sha2(F.concat("content", F.lit("x")), 256)).otherwise(F.sha2("content", 256))
+    index = pages.where("page_id % 5 <> 0").select(F.col("path").alias("name"), other.alias("sha256"))
+    gone = pages.where("page_id % 11 = 0").select(F.concat("path", F.lit("?gone")).alias("name"), F.lit("0").alias("sha256"))
+    return manifest.manifest_mismatches(have, index.unionByName(gone))

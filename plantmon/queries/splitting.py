@@ -171,8 +171,32 @@ def _windows(spark, sf):
     return splits.stage_windows(staged, "pos", "raw", plan)
 
 
-@query("check_disjoint", "SELECT unnest(['positions', 'raw_rows', 'window_rows', 'episode_rows']) AS kind, 0::BIGINT AS shared")
+def _twice(items, item):
+    return f"SELECT count(*) AS shared FROM (SELECT {item} FROM ({items}) GROUP BY {item} HAVING count(DISTINCT stage) > 1)"
+
+
+# Planted overlaps: some rows belong to a second stage, windows reach over the
+# gap behind their stage, and episodes last longer than they should.
+LONG, LATE = SPAN + 3 * GAP, 2 * GAP
+PLANTED = f"SELECT pos, raw, stage FROM ({STAGED}) UNION ALL SELECT pos, raw, 'second' FROM ({STAGED}) WHERE pos % 97 = 0"
+
+
+@query("check_disjoint", f"""SELECT 'positions' AS kind, shared FROM ({_twice(PLANTED, 'pos')}) UNION ALL SELECT 'raw_rows', shared FROM ({_twice(PLANTED, 'raw')})
+    UNION ALL SELECT 'window_rows', shared FROM ({_twice(f"SELECT DISTINCT stage, unnest(generate_series(raw_start, raw_start + {LONG - 1})) AS r FROM ({WINDOWS})", 'r')})
+    UNION ALL SELECT 'episode_rows', shared FROM ({_twice(f"SELECT DISTINCT stage, unnest(generate_series(start, stop + {LATE - 1})) AS r FROM ({EPISODES}) WHERE complete", 'r')})""",
+       views=["timeline"])
 def _disjoint(spark, sf):
+    staged, plan = _staged(spark, sf)
+    episodes = splits.stage_episodes(staged, "pos", "raw", plan)
+    found = splits.stage_windows(staged, "pos", "raw", plan, episodes)
+    rows = staged.where("stage is not null").select("pos", "raw", "stage")
+    planted = rows.unionByName(rows.where("pos % 97 = 0").withColumn("stage", F.lit("second")))
+    longer = episodes.withColumn("stop", F.col("stop") + LATE)
+    return splits.check_disjoint(planted, "pos", "raw", found, longer, LONG)
+
+
+@query("check_disjoint_clean", "SELECT unnest(['positions', 'raw_rows', 'window_rows', 'episode_rows']) AS kind, 0::BIGINT AS shared")
+def _disjoint_clean(spark, sf):
     staged, plan = _staged(spark, sf)
     episodes = splits.stage_episodes(staged, "pos", "raw", plan)
     found = splits.stage_windows(staged, "pos", "raw", plan, episodes)

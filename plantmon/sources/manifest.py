@@ -38,14 +38,24 @@ def profile_mismatches(profile: DataFrame, expected: DataFrame, segment: str) ->
     return both.select(segment, problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
-def verify_outputs(spark: SparkSession, path: str, index: DataFrame, pattern: str = "part-*") -> DataFrame:
-    """Files whose presence or hash contradicts the index; expected empty."""
-    have = file_manifest(spark, path, pattern).select("name", "sha256")
+def content_manifest(files: DataFrame) -> DataFrame:
+    """The same for files whose content is at hand: rows of (path, content)."""
+    content = F.col("content").cast("binary")
+    return files.select("path", F.octet_length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))
+
+
+def manifest_mismatches(have: DataFrame, index: DataFrame) -> DataFrame:
+    """Names whose presence or hash contradicts the index."""
     want = index.select("name", F.col("sha256").alias("_want"))
-    both = have.join(want, "name", "full_outer")
+    both = have.select("name", "sha256").join(want, "name", "full_outer")
     problem = (
         F.when(F.col("_want").isNull(), F.lit("not indexed"))
         .when(F.col("sha256").isNull(), F.lit("missing"))
         .when(F.col("sha256") != F.col("_want"), F.lit("changed"))
     )
     return both.select("name", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def verify_outputs(spark: SparkSession, path: str, index: DataFrame, pattern: str = "part-*") -> DataFrame:
+    """Files whose presence or hash contradicts the index; expected empty."""
+    return manifest_mismatches(file_manifest(spark, path, pattern), index)

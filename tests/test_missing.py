@@ -137,3 +137,41 @@ def test_sparse_index_runs_in_groups(spark, by):
                 last = r["x"]
             following = next((x for x in after[at:] if x is not None), None)
             assert (r["s"], r["m"], r["l"], r["n"]) == (total, best, last, following)
+
+
+def test_steadily_improving_runs_need_no_rounds(spark, monkeypatch):
+    from plantmon.operators import runs
+
+    rows = [(0, i, 10_000.0 - i, 0.5) for i in range(10_000)] + [(1, i, 5.0 - i * 0.001, float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, i long, rmse double, r2 double")
+    staged = []
+    real = runs.stage
+    monkeypatch.setattr(runs, "stage", lambda frame, label="stage": staged.append(label) or real(frame, label))
+    got = {r["k"]: (r["i"], r["rmse"]) for r in runs.best_run(df, ["k"], "i", eps=0.01, size=10).collect()}
+    cur = None
+    for _, i, a, b in rows[10_000:]:
+        if cur is None or a < cur[1] - 0.01 or (abs(a - cur[1]) <= 0.01 and b > cur[2] + 0.01):
+            cur = (i, a, b)
+    assert got == {0: (9_999, 1.0), 1: cur[:2]}
+    assert staged.count("folded") <= 6
+
+
+def test_block_mask_hides_and_shows_something(spark):
+    from plantmon.operators import masks
+
+    df = spark.range(50).select(F.lit(0).alias("episode"), F.col("id").alias("i"), F.col("id").cast("double").alias("x"))
+    for rate in (0.001, 1.0):
+        hidden = masks.mask_block(df, ["episode"], "i", ["x"], rate, 3, 1).where("mask_x").count()
+        assert 1 <= hidden <= 49
+
+
+def test_shared_length_counts_each_position_once(spark):
+    spans = [("a", 0, 10), ("a", 5, 12), ("b", 11, 20), ("c", 30, 40), ("a", 35, 36), ("b", 35, 50)]
+    df = spark.createDataFrame(spans, "o string, s long, e long")
+    owners = {}
+    for o, s, e in spans:
+        for p in range(s, e):
+            owners.setdefault(p, set()).add(o)
+    want = sum(len(v) > 1 for v in owners.values())
+    assert splits.shared_length(df, "o", "s", "e").first()["shared"] == want
+    assert splits.shared_length(df.where("false"), "o", "s", "e").first()["shared"] == 0
