@@ -82,3 +82,14 @@ def _json(spark, sf):
 def _trial(spark, sf):
     body = text.canonical_json({"seed": F.col("o_custkey"), "priority": F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))})
     return v.table(spark, sf, "orders").select("o_orderkey", text.short_id(body).alias("trial_id"))
+
+
+@query("prepare_wide", "SELECT episode, raw_index, x0, x1, x2, x3, label, fault FROM proc_wide", views=["proc_wide"])
+def _prepare_wide(spark, sf):
+    """What other queries read as a prepared table, built anew."""
+    return v.build_wide(spark, sf)
+
+
+@query("prepare_timeline", "SELECT pos, raw, episode, x0, x1, fault FROM timeline", views=["timeline"])
+def _prepare_timeline(spark, sf):
+    return v.build_timeline(v.proc_wide(spark, sf))

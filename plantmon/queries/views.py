@@ -12,34 +12,43 @@ from pyspark.sql import functions as F
 
 from plantmon.plans import rank_within, stage
 
-_PREPARED: dict[tuple[str, str, str], DataFrame] = {}
+_PREPARED: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _prepared(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf, name)
+def _stamp(spark: SparkSession, sf: str, source: str) -> str:
+    """Names, sizes and times of a table's files, so that a changed file is read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{source}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return "|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files))
+
+
+def _prepared(spark: SparkSession, sf: str, name: str, source: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, name, _stamp(spark, sf, source))
     if key not in _PREPARED:
         _PREPARED[key] = stage(build(), name)
     return _PREPARED[key]
 
 
-def proc_wide(spark: SparkSession, sf: str) -> DataFrame:
-    def build() -> DataFrame:
-        lines = table(spark, sf, "lineitem").select(
-            F.col("l_suppkey").alias("episode"), F.col("l_quantity").alias("x0"),
-            F.col("l_extendedprice").alias("x1"), F.col("l_discount").alias("x2"),
-            F.col("l_tax").alias("x3"), F.col("l_returnflag").alias("label"),
-            (F.col("l_returnflag") == "R").cast("int").alias("fault"),
-            F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"),
-            F.col("l_partkey").alias("k3"),
-        )
-        ranked = rank_within(lines, ["episode"], ["k1", "k2", "k3", "x1"], "raw_index")
-        return ranked.select("episode", "raw_index", "x0", "x1", "x2", "x3", "label", "fault")
+def build_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Number the order lines of each supplier, not kept for the session."""
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("episode"), F.col("l_quantity").alias("x0"),
+        F.col("l_extendedprice").alias("x1"), F.col("l_discount").alias("x2"),
+        F.col("l_tax").alias("x3"), F.col("l_returnflag").alias("label"),
+        (F.col("l_returnflag") == "R").cast("int").alias("fault"),
+        F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"),
+        F.col("l_partkey").alias("k3"),
+    )
+    ranked = rank_within(lines, ["episode"], ["k1", "k2", "k3", "x1"], "raw_index")
+    return ranked.select("episode", "raw_index", "x0", "x1", "x2", "x3", "label", "fault")
+
 
-    return _prepared(spark, sf, "proc_wide", build)
+def proc_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return _prepared(spark, sf, "proc_wide", "lineitem", lambda: build_wide(spark, sf))
 
 
 def proc_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +74,7 @@ def proc_events(spark: SparkSession, sf: str) -> DataFrame:
         ranked = rank_within(events, ["episode"], ["ts", "event_id"], "raw_index")
         return ranked.select("episode", "raw_index", "ts", "x0", "x1", "fault", "event_type")
 
-    return _prepared(spark, sf, "proc_events", build)
+    return _prepared(spark, sf, "proc_events", "events", build)
 
 
 def timeline(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,12 +82,13 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
 
     ``pos`` numbers the kept rows; ``raw`` the rows before deletion.
     """
-    def build() -> DataFrame:
-        whole = rank_within(proc_wide(spark, sf), [], ["episode", "raw_index"], "raw")
-        kept = whole.where(F.col("raw") % 211 != 7)
-        return rank_within(kept, [], ["raw"], "pos").select("pos", "raw", "episode", "x0", "x1", "fault")
+    return _prepared(spark, sf, "timeline", "lineitem", lambda: build_timeline(proc_wide(spark, sf)))
+
 
-    return _prepared(spark, sf, "timeline", build)
+def build_timeline(wide: DataFrame) -> DataFrame:
+    whole = rank_within(wide, [], ["episode", "raw_index"], "raw")
+    kept = whole.where(F.col("raw") % 211 != 7)
+    return rank_within(kept, [], ["raw"], "pos").select("pos", "raw", "episode", "x0", "x1", "fault")
 
 
 def pred(spark: SparkSession, sf: str) -> DataFrame:

@@ -315,15 +315,18 @@ def history_stream(
             self._past = handle.getListState("past", "at bigint, v double")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            past = [tuple(r) for r in self._past.get()] if self._past.exists() else []
+            past = list(self._past.get()) if self._past.exists() else []
             batch = pd.concat(list(rows), ignore_index=True).sort_values(index, kind="stable")
-            out = []
-            for i, v in zip(batch[index], batch[value], strict=True):
-                if past and past[-1][0] != int(i) - 1:
-                    past = []
-                past = [*past, (int(i), float(v))][-length:]
-                out.append((key[0], int(i), [p[1] for p in past]))
-            self._past.put(past)
+            # The stored tail stands in front; a run begins where the index jumps.
+            at = np.concatenate([[r[0] for r in past], batch[index]]).astype(np.int64)
+            values = np.concatenate([[r[1] for r in past], batch[value]]).astype(float)
+            place = np.arange(len(at))
+            jump = np.concatenate([[True], np.diff(at) != 1])
+            first = np.maximum(np.maximum.accumulate(np.where(jump, place, 0)), place - length + 1)
+            out = [
+                (key[0], int(at[i]), values[first[i] : i + 1].tolist()) for i in range(len(past), len(at))
+            ]
+            self._past.put(list(zip(at[first[-1] :].tolist(), values[first[-1] :].tolist(), strict=True)))
             yield pd.DataFrame(out, columns=[episode, index, "history"])
 
         def close(self) -> None:
