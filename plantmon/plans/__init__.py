@@ -5,7 +5,7 @@ from plantmon.plans.joins import lookup
 from plantmon.plans.ordered import over_frames, positions, row_positions, running
 from plantmon.plans.quantiles import exact_quantiles, grouped_quantiles
 from plantmon.plans.ranking import hash_rank, rank_within
-from plantmon.plans.staging import stage, staging_root
+from plantmon.plans.staging import released, stage, staging_root
 
 __all__ = [
     "exact_quantiles",
@@ -16,6 +16,7 @@ __all__ = [
     "over_frames",
     "positions",
     "rank_within",
+    "released",
     "row_positions",
     "running",
     "stage",

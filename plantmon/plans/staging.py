@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CHAIN: ContextVar[str | None] = ContextVar("chain", default=None)
+
 
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables.
@@ -27,7 +32,24 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/plantmon/{label}-{uuid.uuid4().hex}"
+    return f"{_CHAIN.get() or staging_root(spark) + '/plantmon'}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, every table staged inside it.
+
+    Results that depend on them have to be written before. Tables staged
+    elsewhere, such as prepared recordings, stay.
+    """
+    folder = f"{staging_root(spark)}/plantmon/chain-{uuid.uuid4().hex}"
+    token = _CHAIN.set(folder)
+    try:
+        yield
+    finally:
+        _CHAIN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -175,3 +175,16 @@ def test_shared_length_counts_each_position_once(spark):
     want = sum(len(v) > 1 for v in owners.values())
     assert splits.shared_length(df, "o", "s", "e").first()["shared"] == want
     assert splits.shared_length(df.where("false"), "o", "s", "e").first()["shared"] == 0
+
+
+def test_staged_tables_of_a_chain_are_released(spark):
+    from plantmon.plans import released, stage
+
+    kept = stage(spark.range(3))
+    with released(spark):
+        inside = stage(spark.range(5))
+        assert inside.count() == 5
+        files = inside.inputFiles()
+    assert kept.count() == 3
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
