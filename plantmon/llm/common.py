@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,59 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
+# One random odd 64-bit number for each byte, and the odd base of the word hash.
+_BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER_VALUES = _BYTE_VALUES[np.frombuffer(LOWER_BYTES, np.uint8)]
+_IS_SPACE = np.isin(np.arange(256), list(SPACE.encode()))
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class WordHasher:
+    """64-bit hashes of all words of many texts at once, straight from Arrow's buffer.
+
+    A word's hash is a polynomial in its bytes' values modulo 2^64, taken as a
+    difference of running sums and divided by the power of its place, then
+    scrambled. Words are ``[^\\x20\\x09-\\x0D]+``; with ``lower`` A-Z count as a-z.
+    """
+
+    def __init__(self, lower: bool = True):
+        self.values = _LOWER_VALUES if lower else _BYTE_VALUES
+        self.powers = self.inverses = np.empty(0, np.uint64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, one text after the other, and words per text; null has none."""
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        first, last = int(offsets[0]), int(offsets[-1])
+        if last == first:
+            return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last]
+        offsets = offsets.astype(np.int64) - first
+        if len(data) > len(self.powers):
+            self.powers, self.inverses = _powers(_BASE, len(data)), _powers(_BASE_INVERSE, len(data))
+        space = _IS_SPACE[data]
+        # A word begins after a space or at the start of a text, and ends likewise.
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = space[:-1]
+        edge[offsets] = True
+        starts = np.flatnonzero(edge[:-1] & ~space)
+        edge[:-1] = space
+        edge[offsets] = True
+        ends = np.flatnonzero(edge[1:] & ~space)
+        sums = np.empty(len(data) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        hashes = (sums[ends + 1] - sums[starts]) * self.inverses[starts]
+        return mixed(hashes), np.diff(np.searchsorted(starts, offsets))
+
+
 class WordHash(dict):
     """64-bit hash per word, kept for the words met lately.
 

@@ -22,6 +22,9 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         ).distinct(), "edges",
     )
+    # A checksum of all edges tells whether a round changed anything.
+    mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")))
+    last = stars.agg(mark).first()[0]
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -32,10 +35,8 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
             tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges",
         )
-        mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")))
-        same = after.agg(mark).first()[0] == stars.agg(mark).first()[0]
-        stars = after
-        if same:
+        stars, before, last = after, last, after.agg(mark).first()[0]
+        if last == before:
             break
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

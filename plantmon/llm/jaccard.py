@@ -20,35 +20,41 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantmon.llm.common import WordHash, gram_hashes, lower_words, map_arrow, mixed, slices
+from plantmon.llm.common import WordHasher, gram_hashes, map_arrow, mixed, slices
 from plantmon.llm.components import connected
 from plantmon.plans.staging import stage
 
 SHINGLE = 5
-GROUPS = 64
+LEAST_BITS, MOST_BITS = 4, 13  # of the number of groups
 LEAF = 32
-BATCH_WORDS = 1_000_000
+BATCH_BYTES = 1_000_000
 COMMON_SHARE = 0.001
 COMMON_LIMIT = 200_000
 
 
-def shingle_sets(texts: list[str | None], store: WordHash, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, words_of: WordHasher, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text.
 
     A text with fewer words than ``width`` has one shingle, the whole of it; one
     without words has none.
     """
-    sets = []
-    for text in texts:
-        words = store.of(lower_words(text))
-        if 0 < len(words) < width:
-            whole = gram_hashes(words, len(words)) + np.uint64(len(words))
-            sets.append(mixed(whole))
+    words, sizes = words_of(texts)
+    grams = gram_hashes(words, width)
+    sets, at = [], 0
+    for n in sizes.tolist():
+        if n >= width:
+            found = np.sort(grams[at : at + n - width + 1])
+            new = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            sets.append(found[new])
+        elif n:
+            sets.append(mixed(gram_hashes(words[at : at + n], n) + np.uint64(n)))
         else:
-            sets.append(np.unique(gram_hashes(words, width)))
+            sets.append(np.empty(0, np.uint64))
+        at += n
     return sets
 
 
@@ -57,7 +63,19 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+    """How many shingles fall into each group.
+
+    Large sets have more groups: with a few shingles in each, the counts of
+    unrelated sets differ enough for the bound to tell them apart. Groups are
+    leading bits, so two neighbouring groups add up to one of a coarser vector.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (max(1, len(shingles)) - 1).bit_length() - 2))
+    groups = (shingles >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(groups, minlength=1 << bits), 65_535).astype(np.uint16)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.astype(np.int32).reshape(groups, -1).sum(axis=1)
 
 
 def reaches(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -82,6 +100,26 @@ class Roots:
         self.parent[max(a, b)] = min(a, b)
 
 
+def vector_pairs(
+    vectors: list[np.ndarray], sizes: np.ndarray, percent: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that can be similar, for count vectors of several lengths.
+
+    One tree for each length holds its rows and those of longer vectors, folded,
+    whose sizes are near enough; pairs of two longer ones are left to their own.
+    """
+    lengths = np.asarray([len(v) for v in vectors])
+    for groups in sorted(set(lengths.tolist())):
+        own = np.flatnonzero(lengths == groups)
+        near = np.flatnonzero((lengths > groups) & (sizes * percent <= sizes[own].max() * 100))
+        rows = np.concatenate([own, near])
+        if len(rows) > 1:
+            points = np.stack([folded(vectors[i], groups) for i in rows.tolist()])
+            for i, j in tree_pairs(points, sizes[rows], percent):
+                keep = np.minimum(i, j) < len(own)
+                yield rows[i[keep]], rows[j[keep]]
+
+
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that can be similar, found by a packed R-tree.
 
@@ -89,6 +127,11 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[
     ``LEAF``, and levels of boxes built above. A box that cannot reach another
     one is not entered. Each yield holds the pairs of two leaves.
     """
+    if len(sizes) <= LEAF:
+        overlap = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
+        i, j = np.nonzero(np.triu(reaches(overlap, sizes[:, None], sizes[None, :], percent), 1))
+        yield i, j
+        return
     # Tiles: by size first, then by the most spread coordinate inside a tile.
     order = np.argsort(sizes, kind="stable")
     spread = int(points.var(axis=0).argmax())
@@ -136,10 +179,10 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[
                 yield order[i[keep]], order[j[keep]]
 
 
-def candidate_groups(points: np.ndarray, sizes: np.ndarray, percent: int) -> list[int]:
+def candidate_groups(vectors: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[int]:
     """Smallest row each row can be tied to through pairs that can be similar."""
     roots = Roots(len(sizes))
-    for i, j in tree_pairs(points, sizes, percent):
+    for i, j in vector_pairs(vectors, sizes, percent):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             roots.join(a, b)
     return [roots.find(i) for i in range(len(sizes))]
@@ -152,9 +195,8 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> list[int]:
     copies costs about one comparison a member.
     """
     sizes = np.asarray([len(x) for x in sets], np.int64)
-    points = np.stack([count_vector(x) for x in sets])
     roots = Roots(len(sets))
-    for i, j in tree_pairs(points, sizes, percent):
+    for i, j in vector_pairs([count_vector(x) for x in sets], sizes, percent):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             if roots.find(a) != roots.find(b):
                 overlap = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
@@ -164,9 +206,9 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _per_batch(batch: pa.RecordBatch, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> pa.RecordBatch:
-    """Run ``fn`` on parts of the batch of about BATCH_WORDS words."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)) // 4 + 1
-    parts = [fn(batch.slice(s.start, s.stop - s.start)) for s in slices(sizes, BATCH_WORDS)]
+    """Run ``fn`` on parts of the batch of about BATCH_BYTES bytes."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)) + 1
+    parts = [fn(batch.slice(s.start, s.stop - s.start)) for s in slices(sizes, BATCH_BYTES)]
     return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0] if any(
         p.num_rows for p in parts
     ) else parts[0]
@@ -176,10 +218,10 @@ def describe(source: DataFrame, width: int) -> DataFrame:
     """Per row of (id, text): set key, its 64-bit name, set size, count vector."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        store = WordHash()
+        words_of = WordHasher()
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(batch.column(1).to_pylist(), store, width)
+            sets = shingle_sets(batch.column(1), words_of, width)
             keys = [set_key(x) for x in sets]
             arrays = [
                 batch.column(0), pa.array(keys, pa.binary()),
@@ -202,10 +244,10 @@ def common_shingles(source: DataFrame, width: int, documents: int) -> np.ndarray
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        store = WordHash()
+        words_of = WordHasher()
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [x for x in shingle_sets(batch.column(1).to_pylist(), store, width) if len(x)]
+            sets = [x for x in shingle_sets(batch.column(1), words_of, width) if len(x)]
             found, times = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             often = times >= max(3, 2 * COMMON_SHARE * len(sets))
             return pa.RecordBatch.from_arrays(
@@ -226,11 +268,11 @@ def signatures(source: DataFrame, width: int, percent: int, common: np.ndarray)
     """(signature, name) rows: the first shingles of each set in the common order."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        store = WordHash()
+        words_of = WordHasher()
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             heads, names = [], []
-            for x in shingle_sets(batch.column(1).to_pylist(), store, width):
+            for x in shingle_sets(batch.column(1), words_of, width):
                 if not len(x):
                     continue
                 n = len(x)
@@ -316,8 +358,7 @@ def _candidates(met: DataFrame, percent: int, crowded: int) -> DataFrame:
 
     def solve(rows: list) -> list:
         sizes = np.asarray([r[2] for r in rows], np.int64)
-        points = np.stack([np.frombuffer(r[3], np.int32) for r in rows])
-        tied = candidate_groups(points, sizes, percent)
+        tied = candidate_groups([np.frombuffer(r[3], np.uint16) for r in rows], sizes, percent)
         return [(rows[i][1], rows[r][1]) for i, r in enumerate(tied) if r != i]
 
     small = met.where(F.col("rows") <= crowded).select("signature", "name", "size", "counts")
@@ -327,19 +368,21 @@ def _candidates(met: DataFrame, percent: int, crowded: int) -> DataFrame:
     return edges.unionByName(large)
 
 
-def _verify(members: DataFrame, width: int, percent: int, chunk: int) -> DataFrame:
+def _verify(members: DataFrame, width: int, percent: int, chunk: int, load: int) -> DataFrame:
     """Edges between representatives that tie each cluster's linked sets together.
 
-    ``members`` are rows (cluster, id, text). Clusters are cut into chunks of at
-    most ``chunk`` members, each linked inside its own task. Where a cluster has
-    several chunks, the smallest members of all groups meet in further rounds,
-    until one chunk holds them; groups which stay apart from the cluster's
-    largest one then meet every chunk.
+    ``members`` are rows (cluster, id, size, text). Clusters are cut into chunks
+    of about ``chunk`` members and ``load`` shingles at most, each linked inside
+    its own task. Where a cluster has several chunks, the smallest members of all
+    groups meet in further rounds, as long as that ties anything. Members which
+    then are outside their cluster's largest group meet every chunk of it, a
+    chunk of them at a time, so no link is missed and no task holds more than two
+    chunks.
     """
 
     def solve_on(place: int) -> Callable[[list], list]:
         def solve(rows: list) -> list:
-            sets = shingle_sets([r[place] for r in rows], WordHash(), width)
+            sets = shingle_sets(pa.array([r[place] for r in rows], pa.string()), WordHasher(), width)
             tied = linked_groups(sets, percent)
             return [(rows[i][place - 1], rows[r][place - 1]) for i, r in enumerate(tied) if r != i]
 
@@ -350,50 +393,53 @@ def _verify(members: DataFrame, width: int, percent: int, chunk: int) -> DataFra
         listed = rows.select(*keys, "id", "text").repartition(*keys).sortWithinPartitions(*keys, "id")
         return _groups_of(listed, len(keys), "a long, b long", ["a", "b"], solve_on(len(keys) + 1))
 
-    counts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    members = stage(members.join(counts, "cluster"), "clusters")
-    small = members.where(F.col("n") <= chunk)
-    edges = link(small, ["cluster"])
-    large = members.where(F.col("n") > chunk)
+    def weighed(rows: DataFrame) -> DataFrame:
+        """``rows`` with ``parts``, the number of chunks their cluster needs."""
+        total = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("load"))
+        need = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("load") / load), F.lit(1))
+        # Hashing fills chunks unevenly, so there are twice as many.
+        parts = F.when(need > 1, 2 * need).otherwise(1).cast("int")
+        return rows.join(total.select("cluster", parts.alias("parts")), "cluster")
+
+    def part(seed: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed)), "parts").cast("int")
+
+    members = stage(weighed(members), "clusters")
+    edges = link(members.where("parts = 1"), ["cluster"])
+    large = members.where("parts > 1")
     if large.isEmpty():
         return edges
-    pieces = F.ceil(F.col("n") * 2 / chunk)
-    chunked = large.withColumn("chunk", F.pmod(F.xxhash64("id"), pieces))
-    links = stage(link(chunked, ["cluster", "chunk"]), "links")
-    # Round by round the smallest member of every group stands for it.
+    links = stage(link(large.withColumn("chunk", part(0)), ["cluster", "chunk"]), "links")
+
+    def labelled() -> DataFrame:
+        groups = connected(links, "a", "b").select(F.col("node").alias("id"), "root")
+        return large.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    turn = 1
     while True:
-        groups = connected(links, "a", "b")
-        labelled = large.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
-            "root", F.coalesce("root", "id")
-        )
-        heads = labelled.where(F.col("id") == F.col("root")).select("cluster", "id", "text")
-        heads = stage(heads.join(heads.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster"), "heads")
-        wide = heads.where((F.col("n") > 1) & (F.col("n") <= chunk))
-        more = stage(link(wide, ["cluster"]), "links")
-        cut = heads.where(F.col("n") > chunk).withColumn("chunk", F.pmod(F.xxhash64("id", "n"), F.ceil(F.col("n") * 2 / chunk)))
-        more = more.unionByName(stage(link(cut, ["cluster", "chunk"]), "links"))
+        heads = weighed(labelled().where(F.col("id") == F.col("root")).drop("parts", "root"))
+        more = stage(link(heads.withColumn("chunk", part(turn)), ["cluster", "chunk"]), "links")
         if more.isEmpty():
             break
-        links = stage(links.unionByName(more), "links")
-    # What no head tied together is compared member by member: all members
-    # outside the cluster's largest group meet every chunk of it.
-    groups = connected(links, "a", "b")
-    labelled = stage(
-        large.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
-            "root", F.coalesce("root", "id")
-        ), "labelled",
-    )
-    per_root = labelled.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("rows"))
-    first = Window.partitionBy("cluster").orderBy(F.desc("rows"), "root")
-    main = per_root.withColumn("at", F.row_number().over(first)).where("at = 1").select("cluster", F.col("root").alias("main"))
-    marked = labelled.join(main, "cluster").withColumn("pieces", F.ceil(F.col("n") * 2 / chunk).cast("int"))
-    outside = marked.where(F.col("root") != F.col("main"))
+        links, turn = stage(links.unionByName(more), "links"), turn + 1
+    rooted = stage(labelled(), "labelled")
+    per_root = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("rows"))
+    main = per_root.groupBy("cluster").agg(F.max_by("root", F.struct("rows", "root")).alias("main"))
+    marked = rooted.join(main, "cluster")
+    outside = weighed(marked.where(F.col("root") != F.col("main")).drop("parts"))
     if outside.isEmpty():
         return edges.unionByName(links)
-    at_home = marked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    spread = outside.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    met = at_home.select("cluster", "chunk", "id", "text").unionByName(spread.select("cluster", "chunk", "id", "text"))
-    return edges.unionByName(links).unionByName(link(met, ["cluster", "chunk"]))
+    turns = outside.groupBy("cluster").agg(F.max("parts").alias("turns"))
+    home = marked.join(turns, "cluster").withColumn("chunk", part(0)).withColumn(
+        "turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))
+    )
+    chunks = marked.groupBy("cluster").agg(F.max("parts").alias("chunks"))
+    guests = outside.withColumn("turn", part(0)).join(chunks, "cluster").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    )
+    keys = ["cluster", "chunk", "turn"]
+    met = home.select(*keys, "id", "text").unionByName(guests.select(*keys, "id", "text"))
+    return edges.unionByName(links).unionByName(link(met, keys))
 
 
 def near_duplicate_groups(
@@ -402,6 +448,7 @@ def near_duplicate_groups(
     percent: int = 80,
     crowded: int = 2_000,
     chunk: int = 4_000,
+    load: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -439,10 +486,10 @@ def near_duplicate_groups(
     clusters = connected(edges, "a", "b")
     wanted = classes.join(clusters, classes["name"] == clusters["node"]).select("rep", "key", F.col("root").alias("cluster"))
     # The representative's row; a repeated id may hold several texts.
-    rows = described.join(wanted, "key").where(F.col("id") == F.col("rep")).select("id", "key", "cluster").distinct()
+    rows = described.join(wanted, "key").where(F.col("id") == F.col("rep")).select("id", "key", "cluster", "size").distinct()
     texts = source.join(rows, "id")
     texts = _only_key(texts, width).dropDuplicates(["cluster", "id", "key"])
-    links = stage(_verify(texts.select("cluster", "id", "text"), width, percent, chunk), "links")
+    links = stage(_verify(texts.select("cluster", "id", "size", "text"), width, percent, chunk, load), "links")
     groups = connected(links, "a", "b").select(F.col("node").alias("rep"), "root")
     labelled = classes.select("key", "rep").join(groups, "rep", "left").select(
         "key", F.coalesce("root", "rep").alias("component_id")
@@ -456,16 +503,18 @@ def _only_key(texts: DataFrame, width: int) -> DataFrame:
     """Rows (id, text, key, cluster) whose text really has the set ``key``."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        store = WordHash()
+        words_of = WordHasher()
 
         def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(batch.column(1).to_pylist(), store, width)
+            sets = shingle_sets(batch.column(1), words_of, width)
             same = [set_key(x) == k for x, k in zip(sets, batch.column(2).to_pylist(), strict=True)]
             return batch.filter(pa.array(same))
 
         return lambda batch: _per_batch(batch, keep)
 
-    return map_arrow(texts.select("id", "text", "key", "cluster"), "id long, text string, key binary, cluster long", make)
+    return map_arrow(
+        texts.select("id", "text", "key", "cluster", "size"), "id long, text string, key binary, cluster long, size long", make
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:
