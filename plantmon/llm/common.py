@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,32 +140,6 @@ class WordHasher:
         return mixed(hashes), np.diff(np.searchsorted(starts, offsets))
 
 
-class WordHash(dict):
-    """64-bit hash per word, kept for the words met lately.
-
-    The store is emptied at ``limit`` words, which bounds its memory and changes
-    no hash.
-    """
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; none for null."""
-    return text.encode().translate(LOWER_BYTES).split() if text else []
-
-
 def mixed(values: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values (the public splitmix64 finaliser)."""
     values = values.astype(np.uint64, copy=True)

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantmon.llm.common import WordHash, gram_hashes, map_arrow, set_columns, shield, slices, with_columns
+from plantmon.llm.common import WordHasher, gram_hashes, map_arrow, set_columns, shield, slices, with_columns
 from plantmon.plans.staging import stage
 
 GRAM = 8  # words in a minimiser gram
 RUN = 256  # windows in one packed string at most
-BATCH_WORDS = 1_000_000
+BATCH_BYTES = 1_000_000
 
 
 def _windowed_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,13 +72,12 @@ def super_kmers(docs: DataFrame, window: int, gram: int, id_col: str, text_col:
     schema += ", packed binary, digest binary" if packed else ""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        store = WordHash()
+        words_of = WordHasher(lower=False)
 
         def part_of(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            words = [text.encode().split() if text else [] for text in texts]
-            sizes = np.asarray([len(w) for w in words], np.int64)
-            hashes = store.of([w for one in words for w in one])
+            column = batch.column(batch.schema.names.index(text_col))
+            hashes, sizes = words_of(column)
+            words = [text.encode().split() if text else [] for text in column.to_pylist()] if packed else []
             owner, start, length, minimiser = _runs(hashes, sizes, window, gram)
             if packed:
                 wanted = batch.column(batch.schema.names.index("_starts")).to_pylist()
@@ -105,8 +104,8 @@ def super_kmers(docs: DataFrame, window: int, gram: int, id_col: str, text_col:
 
         def kmers(batch: pa.RecordBatch) -> pa.RecordBatch:
             column = batch.column(batch.schema.names.index(text_col))
-            sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)) // 4 + 1
-            parts = [part_of(batch.slice(s.start, s.stop - s.start)) for s in slices(sizes, BATCH_WORDS)]
+            sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)) + 1
+            parts = [part_of(batch.slice(s.start, s.stop - s.start)) for s in slices(sizes, BATCH_BYTES)]
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([p[i] for p in parts]) for i in range(len(names))], names=names
             )
