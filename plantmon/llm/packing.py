@@ -206,7 +206,7 @@ def _pull(queue: list[list[int]], count: int) -> list[list[int]]:
     return taken
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 64, small: int = 8) -> list[Bins]:
+def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 64, small: int = 4) -> list[Bins]:
     """Plan bins for ``histogram`` (length -> count), by linear grouping.
 
     Lengths above ``capacity / small`` are large. They are sorted and cut into
