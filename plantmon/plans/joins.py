@@ -27,8 +27,8 @@ def _fits(table: DataFrame, rows: int) -> bool:
 
 def _hot_keys(facts: DataFrame, keys: list[str], share: float) -> DataFrame:
     """Keys holding more than ``share`` of the rows: fewer than ``1 / share``."""
-    limit = facts.count() * share
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = stage(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), "keys")
+    limit = (counts.agg(F.sum("_rows")).first()[0] or 0) * share
     return stage(counts.where(F.col("_rows") > limit).select(*keys, F.lit(True).alias(_HOT)), "hot")
 
 
