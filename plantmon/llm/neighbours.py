@@ -258,7 +258,7 @@ def _asks(asked: DataFrame, cells: Cells, dim: int) -> DataFrame:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95, id_col: str = "vec_id",
+    vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
     """The ``k`` rows with the largest inner product to every query row, as far as probed.
