@@ -434,3 +434,39 @@ def test_suffix_tree_states_are_distributions(spark, rows):
                     break
             want += np.log10(chance(state, w))
         assert got[i] == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_wu_manber_finds_what_a_scan_finds(seed):
+    draw = np.random.default_rng(seed)
+    ids = draw.integers(0, 4, 3_000)
+    cuts = np.sort(draw.choice(np.arange(1, 3_000), 20, replace=False))
+    starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [3_000]])
+    for length in (1, 2, 3, 7):
+        windows = np.unique(draw.integers(0, 4, (12, length)), axis=0)
+        at, row = decontaminate.Patterns(windows).search(ids, starts, stops)
+        want = {
+            (p, r) for a, b in zip(starts, stops, strict=True) for p in range(a, b - length + 1)
+            for r in range(len(windows)) if (ids[p : p + length] == windows[r]).all()
+        }
+        got = list(zip(at.tolist(), row.tolist(), strict=True))
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_word_hashes_follow_the_words():
+    from plantmon.llm.common import WordHasher
+
+    import pyarrow as pa
+
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abAB é\t\n\x0b\x1c ") for _ in range(draw.randint(0, 60))) for _ in range(300)]
+    texts += [None, "", " ", "a" * 5_000, "the end"]
+    column = pa.array(["skipped", *texts])[1:]
+    for lower in (False, True):
+        hashes, sizes = WordHasher(lower)(column)
+        split = [brute.words(t.translate(brute.LOWER) if t and lower else t) for t in texts]
+        assert sizes.tolist() == [len(w) for w in split]
+        names = {}
+        for word, value in zip([w for one in split for w in one], hashes.tolist(), strict=True):
+            assert names.setdefault(word, value) == value
+        assert len(set(names.values())) == len(names)
