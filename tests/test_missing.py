@@ -188,3 +188,13 @@ def test_staged_tables_of_a_chain_are_released(spark):
     assert kept.count() == 3
     path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_replay_bounds_its_batches(spark):
+    from plantmon.streaming.live import Replay, drain
+
+    df = spark.range(1000).withColumnRenamed("id", "i")
+    replay = Replay(df, "i", slices=1, batch_rows=100)
+    assert max(p.count() for p in replay._parts) <= 100 and len(replay._parts) == 10
+    empty = Replay(df.where("false"), "i", slices=1)
+    assert drain(empty.records, empty).count() == 0
