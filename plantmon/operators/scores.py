@@ -93,6 +93,8 @@ def _bound(mean: float | None, deviation: float | None, far: float) -> float:
 MODES = ("re", "lv", "custom")
 STATISTICS = ("t2", "q", "spe", "custom")
 THRESHOLDS = ("kde", "ineq", "pdf")
+# Accepted names of the covariance estimate.
+COVARIANCE_METHODS = ("diag", "diagonal", "lstsq", "least_squares", "pinv", "pseudo_inverse")
 
 
 @dataclass(frozen=True)
@@ -132,12 +134,17 @@ def fit_procedures(
     pred: Sequence[str] = (),
     latent: Sequence[str] = (),
     custom: str | Column | None = None,
+    covariance_method: str = "diag",
 ) -> list[FittedProcedure]:
     """Fit reference and threshold of every procedure on normal rows.
 
+    Every legal ``covariance_method`` gives the diagonal reference.
+
     ``kde`` and ``pdf`` both mean the (1 - far) percentile. All T2 references
     come from one scan and all thresholds from one more per kind.
     """
+    if covariance_method.strip().lower() not in COVARIANCE_METHODS:
+        raise ValueError(f"covariance method {covariance_method!r} is not one of {COVARIANCE_METHODS}")
     parsed = [parse_procedure(p) for p in procedures]
     scores: dict[str, Column] = {}
     pending: dict[str, list[Column]] = {}

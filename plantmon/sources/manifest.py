@@ -56,6 +56,17 @@ def manifest_mismatches(have: DataFrame, index: DataFrame) -> DataFrame:
     return both.select("name", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
-def verify_outputs(spark: SparkSession, path: str, index: DataFrame, pattern: str = "part-*") -> DataFrame:
-    """Files whose presence or hash contradicts the index; expected empty."""
-    return manifest_mismatches(file_manifest(spark, path, pattern), index)
+def verify_outputs(
+    spark: SparkSession, path: str, index: DataFrame, pattern: str = "part-*", rows: int | None = None
+) -> DataFrame:
+    """Files whose presence or hash contradicts the index; expected empty.
+
+    With ``rows``, the number of lines that are not blank must agree as well; a
+    difference is one more problem, of no file.
+    """
+    found = manifest_mismatches(file_manifest(spark, path, pattern), index)
+    if rows is None:
+        return found
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).where(F.trim("value") != "")
+    differ = lines.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != rows)
+    return found.unionByName(differ.select(F.lit(None).cast("string").alias("name"), F.lit("row count differs").alias("problem")))

@@ -198,3 +198,18 @@ def test_replay_bounds_its_batches(spark):
     assert max(p.count() for p in replay._parts) <= 100 and len(replay._parts) == 10
     empty = Replay(df.where("false"), "i", slices=1)
     assert drain(empty.records, empty).count() == 0
+
+
+def test_row_count_and_covariance_method_are_checked(spark, tmp_path):
+    from plantmon.plans import stage
+    from plantmon.sources import manifest
+
+    path = str(tmp_path / "out")
+    spark.range(7).write.json(path)
+    index = stage(manifest.file_manifest(spark, path, "part-*").select("name", "sha256"))
+    assert manifest.verify_outputs(spark, path, index, rows=7).count() == 0
+    assert [r["problem"] for r in manifest.verify_outputs(spark, path, index, rows=8).collect()] == ["row count differs"]
+    normal = spark.createDataFrame([(1.0,), (2.0,)], "s double")
+    assert scores.fit_procedures(normal, ["lv-t2-kde"], 0.1, latent=["s"], covariance_method="pinv")
+    with pytest.raises(ValueError, match="covariance"):
+        scores.fit_procedures(normal, ["lv-t2-kde"], 0.1, latent=["s"], covariance_method="full")
