@@ -301,9 +301,11 @@ def signatures(source: DataFrame, width: int, percent: int, common: np.ndarray)
 
 def blocks(signs: DataFrame) -> DataFrame:
     """Signatures that several sets share, one of those that bring the same sets together."""
-    shared = (
+    # Written, so that Spark can split a hot signature in the joins below.
+    shared = stage(
         signs.groupBy("signature").agg(F.min("name").alias("a"), F.max("name").alias("b"))
-        .where("a <> b").select("signature")
+        .where("a <> b").select("signature"),
+        "shared",
     )
     members = stage(signs.join(shared, "signature", "left_semi").distinct(), "members")
     prints = members.groupBy("signature").agg(
@@ -311,7 +313,7 @@ def blocks(signs: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "name")).alias("y"),
     )
     kept = prints.groupBy("rows", "a", "b", "x", "y").agg(F.min("signature").alias("signature"))
-    return members.join(kept.select("signature", "rows", "a"), "signature")
+    return members.join(stage(kept.select("signature", "rows", "a"), "kept"), "signature")
 
 
 def _groups_of(
