@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantmon.llm.common import SPACE, lower_ascii, shield
+from plantmon.plans.staging import stage
 
 
 def drop_repeated_lines(
@@ -46,11 +47,14 @@ def drop_repeated_lines(
     keyed = trimmed.where(F.char_length("_line") >= min_chars).select(
         "_id", "_hash", "_pos", F.unhex(F.md5(lower_ascii(F.col("_line")))).alias("_key")
     )
-    repeated = (
+    # A written table, not the aggregate itself: Spark splits a hot key only
+    # where both sides of the join are plain exchanges.
+    repeated = stage(
         keyed.groupBy("_key")
         .agg(F.count_distinct("_id").alias("_docs"), F.max("_id").alias("_last"))
         .where(F.col("_docs") >= min_docs)
-        .select("_key", "_last")
+        .select("_key", "_last"),
+        "repeated",
     )
     dropped = (
         keyed.join(repeated, "_key")
