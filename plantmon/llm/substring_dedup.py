@@ -251,10 +251,12 @@ def repeated_spans(
         id_col, text_col, F.xxhash64(text_col).alias("of")
     )
     skeleton = super_kmers(source, window, gram, id_col, text_col, packed=False)
-    shared = (
+    # Written, so that Spark can split a hot minimiser in the join below.
+    shared = stage(
         skeleton.groupBy("minimiser")
         .agg(F.min(id_col).alias("least"), F.max(id_col).alias("most"))
-        .where("least < most").select("minimiser")
+        .where("least < most").select("minimiser"),
+        "shared",
     )
     wanted = (
         skeleton.join(shared, "minimiser", "left_semi")
