@@ -27,7 +27,8 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     last = stars.agg(mark).first()[0]
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # A written table, so that Spark can split the edges of a hub in the join.
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(small, "u")
