@@ -15,9 +15,11 @@ LEVELS = 40
 
 def _shard_counts(links: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
     """How many linked neighbours each node has in every shard, as array ``near``."""
-    per_group = (
+    # Written, so that Spark can split a hot group in the join below.
+    per_group = stage(
         links.join(labels, "node").groupBy("group")
-        .agg(F.array(*[F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)]).alias("near"))
+        .agg(F.array(*[F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)]).alias("near")),
+        "groups",
     )
     spread = links.join(per_group, "group")
     return spread.groupBy("node").agg(
