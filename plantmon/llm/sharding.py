@@ -23,18 +23,23 @@ def _shard_counts(links: DataFrame, labels: DataFrame, shards: int) -> DataFrame
     )
     spread = links.join(per_group, "group")
     return spread.groupBy("node").agg(
-        F.array(*[F.sum(F.get("near", F.lit(s))) for s in range(shards)]).alias("near")
+        F.array(*[F.sum(F.get("near", F.lit(s))) for s in range(shards)]).alias("near"), F.min("group").alias("tie")
     )
 
 
-def _proposals(near: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, shard, to, level): the shard with most neighbours, ties to the smallest."""
+def _fullest(near: str, tie: str, shards: int) -> Column:
+    """The shard with the largest count in ``near``; a hash of ``tie`` decides between equals."""
+    each = [F.struct(F.get(near, F.lit(s)), F.xxhash64(tie, F.lit(s)), F.lit(s).alias("s")) for s in range(shards)]
+    return F.array_max(F.array(*each))["s"]
+
+
+def _proposals(near: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
+    """(node, shard, to, level): the shard with most neighbours, ties by a hash that a group shares."""
     # A node counts itself, so of two lone partners one stays and one follows;
     # what a move gains leaves the node itself out.
-    best = F.array_max("near")
     wished = near.join(labels, "node").select(
-        "node", "shard", (F.array_position("near", best) - 1).cast("int").alias("to"),
-        (best - F.get("near", F.col("shard")) + 1).alias("gain"),
+        "node", "shard", _fullest("near", "tie", shards).alias("to"),
+        (F.array_max("near") - F.get("near", F.col("shard")) + 1).alias("gain"),
     )
     level = F.least(F.floor(F.log2("gain")), F.lit(LEVELS - 1)).cast("int")
     return wished.where(F.col("to") != F.col("shard")).select("node", "shard", "to", level.alias("level"))
@@ -77,7 +82,7 @@ def propagate_labels(
     """
     labels = stage(nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")), "labels")
     for turn in range(rounds):
-        wished = stage(_proposals(_shard_counts(links, labels, shards), labels), "wishes")
+        wished = stage(_proposals(_shard_counts(links, labels, shards), labels, shards), "wishes")
         flows = {
             (r["shard"], r["to"], r["level"]): r["count"] for r in wished.groupBy("shard", "to", "level").count().collect()
         }
@@ -99,6 +104,67 @@ def propagate_labels(
     return labels
 
 
+def _whole(classes: dict[tuple[int, int], int], even: list[int], stay: bool) -> dict[tuple[int, int], list[int]]:
+    """How many groups of each (members, home) go to each shard without any being cut.
+
+    Large groups first: with ``stay`` those that fit remain at home, the others
+    go to the fullest shard that has room for them.
+    """
+    room, given = list(even), {k: [0] * len(even) for k in classes}
+
+    def put(key: tuple[int, int], to: int) -> None:
+        n = min(classes[key] - sum(given[key]), room[to] // key[0])
+        given[key][to] += n
+        room[to] -= n * key[0]
+
+    by_size: dict[int, list[int]] = {}
+    for members, home in sorted(classes):
+        by_size.setdefault(members, []).append(home)
+    for members in sorted(by_size, reverse=True):
+        for home in by_size[members] if stay else []:
+            put((members, home), home)
+        for home in by_size[members]:
+            for to in sorted(range(len(even)), key=lambda s: (room[s], s)):
+                put((members, home), to)
+    return given
+
+
+def _rows_left(classes: dict[tuple[int, int], int], given: dict[tuple[int, int], list[int]]) -> int:
+    return sum(k[0] * (n - sum(given[k])) for k, n in classes.items())
+
+
+def settle_groups(links: DataFrame, labels: DataFrame, shards: int, even: list[int]) -> DataFrame:
+    """(group, home, whole): one shard for each group that fits one.
+
+    A group's home holds most of its members. Groups stay there, largest first,
+    while the even size allows it, and else move as one; if that leaves some
+    without a place, all are dealt anew. ``whole`` is false for a group for
+    which no shard has room left. The driver sees one number per group size and
+    shard.
+    """
+    homes = stage(
+        links.join(labels, "node").groupBy("group").agg(
+            F.count(F.lit(1)).alias("members"),
+            F.array(*[F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)]).alias("near"),
+        ).where(F.col("members") <= max(even))
+        .select("group", "members", _fullest("near", "group", shards).alias("home")),
+        "homes",
+    )
+    classes = {(r["members"], r["home"]): r["count"] for r in homes.groupBy("members", "home").count().collect()}
+    given = _whole(classes, even, stay=True)
+    if _rows_left(classes, given):
+        given = min(given, _whole(classes, even, stay=False), key=lambda g: _rows_left(classes, g))
+    moves = [
+        (members, home, sum(to[:s]), sum(to[: s + 1]), s)
+        for (members, home), to in given.items() for s in range(shards) if to[s]
+    ]
+    plan = links.sparkSession.createDataFrame(moves, "members long, home int, first long, stop long, to int")
+    spans = plan.groupBy("members", "home").agg(F.collect_list(F.struct("first", "stop", "to")).alias("spans"))
+    ranked = rank_within(homes, ["members", "home"], ["group"], "rank").join(spans, ["members", "home"], "left")
+    hit = F.get(F.filter("spans", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["stop"])), F.lit(0))["to"]
+    return ranked.select("group", F.coalesce(hit, "home").alias("home"), hit.isNotNull().alias("whole"))
+
+
 def _step(values: list[int], at: Column) -> Column:
     """``values[at]`` for a list of one number per shard."""
     return F.get(F.array(*[F.lit(v).cast("long") for v in values]), at)
@@ -137,13 +203,15 @@ def shard_documents(
 ) -> DataFrame:
     """Put documents into shards of even row counts, equal texts together.
 
-    Equal texts are linked; label propagation brings them together and the shards
-    are then made exactly even, taking documents without links first. Returns (id,
+    Equal texts are linked; label propagation brings them together, groups it
+    leaves cut move as one, and the shards are then made exactly even, taking
+    documents without links first. Returns (id,
     ``size``: UTF-8 bytes plus one, ``text_crc32``, ``law`` = rows, ``shard``,
     ``slot`` from 0 without gaps, ``grown_shard`` = null). Null texts have no
     bytes, the checksum of no bytes, and no links. Every row, repeated ones and
-    those without id too, gets a place of its own. A group larger than a shard
-    is cut. An empty table gives an empty table.
+    those without id too, gets a place of its own. A group is cut only if it is
+    larger than a shard or if no shard has room for it once the groups as large
+    or larger are placed (best fit). An empty table gives an empty table.
 
     The text is read once and leaves the scan as a digest. A group's neighbours
     are eight counts, combined before the shuffle, so a group of any size costs
@@ -162,10 +230,15 @@ def shard_documents(
     shared = linked.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     links = stage(linked.select("node", "group").join(shared, "group"), "links")
     labels = propagate_labels(base, links.select("node", "group"), shards, rounds)
-    known = base.drop("group").join(labels, "node").join(links, "node", "left")
+    n = base.count()
+    even = [n // shards + (s < n % shards) for s in range(shards)]
+    # Written, so that Spark can split a hot group in the join below.
+    homes = stage(settle_groups(links, labels, shards, even), "settled")
+    settled = links.join(homes, "group", "left").select("node", "group", "members", "home", "whole")
+    known = base.drop("group").join(labels, "node").join(settled, "node", "left")
+    known = known.withColumn("shard", F.coalesce("home", "shard")).drop("home")
     # Documents without links go first, then those of groups that no shard holds.
-    share = base.count() // shards
-    kind = F.when(F.col("members").isNull(), 2).when(F.col("members") > share, 1).otherwise(0)
+    kind = F.when(F.col("members").isNull(), 2).when(F.coalesce("whole", F.lit(False)), 0).otherwise(1)
     placed = even_slots(known, shards, [kind, F.desc_nulls_last("members"), F.col("group"), F.col("node")])
     return placed.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",

@@ -335,6 +335,19 @@ def test_sharding(spark, rows):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("linked", [0.5, 0.96])
+def test_no_group_that_fits_a_shard_is_cut(spark, linked):
+    texts = [f"copy {i // 2}" for i in range(int(4000 * linked) - 330)]
+    texts += [f"some {i // 3}" for i in range(30)] + ["many"] * 300
+    texts += [f"alone {i}" for i in range(4000 - len(texts))]
+    out = sharding.shard_documents(documents(spark, list(enumerate(texts))), shards=8).collect()
+    places = {}
+    for r in out:
+        places.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert [t for t, p in places.items() if len(p) > 1] == []
+    assert sorted(sum(r["shard"] == s for r in out) for s in range(8)) == [500] * 8
+
+
 def test_quota_is_kept():
     flows = {(0, 1, 2): 50, (1, 0, 0): 10, (2, 1, 1): 30}
     share = sharding.admitted(flows, [100, 100, 100], 110)
