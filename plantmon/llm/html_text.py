@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Callable
 
@@ -46,7 +47,9 @@ _WORDS = frozenset(
 )
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 _CONTENT = frozenset(["article", "main"])
-_TEXT = frozenset("blockquote dd dt h1 h2 h3 h4 h5 h6 li p pre td th tr tbody thead tfoot".split())
+_TEXT = frozenset(
+    "blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)?", re.DOTALL
@@ -81,7 +84,7 @@ def walk(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple
     One pass with a stack, in which missing end tags are implied as browsers do.
     A subtree's hash covers its tags, classes and texts. Removable are block
     elements that hold no article or main element, and inside those only
-    containers, never a paragraph, heading or list item by itself. Blocks of
+    containers, never a paragraph, heading, list, table or figure by itself. Blocks of
     subtrees in ``templates`` are taken back when their element ends.
     """
     out: list[str] = []
@@ -206,15 +209,20 @@ def walk(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple
 
 
 def subtree_hashes(pages: DataFrame, html_col: str) -> DataFrame:
-    """``pages`` without the html, with the distinct subtree hashes of each."""
-    fields = [("_trees", T.ArrayType(T.LongType()))]
+    """``pages`` without the html, with the distinct subtree hashes of each and a hash of its main text."""
+    fields = [("_trees", T.ArrayType(T.LongType())), ("_main", T.LongType())]
     schema = T.StructType([f for f in with_columns(fields, pages).fields if f.name != html_col])
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def trees(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(batch.schema.names.index(html_col)).to_pylist()
-            found = [sorted(set(walk(t)[0])) if t else [] for t in texts]
-            return set_columns(batch.drop_columns([html_col]), {"_trees": pa.array(found, pa.list_(pa.int64()))})
+            walked = [walk(t) if t else ([], []) for t in texts]
+            found = [sorted(set(hashes)) for hashes, _ in walked]
+            mains = [xxhash.xxh64_intdigest("\n".join(m).encode("utf-8", "surrogatepass")) >> 1 for _, m in walked]
+            return set_columns(
+                batch.drop_columns([html_col]),
+                {"_trees": pa.array(found, pa.list_(pa.int64())), "_main": pa.array(mains, pa.int64())},
+            )
 
         return trees
 
@@ -231,19 +239,18 @@ def extract_main_text(
 ) -> DataFrame:
     """Main text of every page, without what its site repeats.
 
-    Subtrees found on ``min_pages`` or more pages of one host are that site's
-    template and are deleted, as are elements that by name, class or role are no
+    Subtrees found on pages of one host with ``min_pages`` or more different main
+    texts are that site's template and are deleted, as are elements that by name, class or role are no
     article text (menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, comments). Where a page has article elements the text is
-    theirs, else that of its main element, else that of the rest. Paragraphs of
-    an article stay even where the site repeats them.
+    theirs, else that of its main element, else that of the rest. Paragraphs,
+    lists, tables and figures of an article stay even where the site repeats them.
 
     Returns the input columns plus ``text`` (blocks joined by one newline, white
     space inside a block turned into one space; empty if there is none) and
     ``n_chars``. Null and empty pages have an empty text; pages without a host
-    have no template. Repeated rows get equal results and count as pages of
-    their own only if their id or url differs. An empty table gives an empty
-    table.
+    have no template. Repeated rows get equal results; copies of a page count
+    once, whatever their ids and urls. An empty table gives an empty table.
 
     Only hashes move in the counting, combined before the shuffle, so a host with
     a third of all pages is a row per task and subtree; pages move once, keyed by
@@ -256,11 +263,13 @@ def extract_main_text(
     )
     found = subtree_hashes(
         keyed.where(F.col("_host").isNotNull() & F.col(html_col).isNotNull()).select("_page", "_host", html_col), html_col
-    ).select("_page", "_host", F.explode("_trees").alias("_tree"))
+    ).select("_page", "_host", "_main", F.explode("_trees").alias("_tree"))
+    # A theta sketch counts exactly up to its size and never shows less than that beyond it.
+    exact = max(4, math.ceil(math.log2(min_pages + 1)))
     template = (
         found.groupBy("_host", "_tree")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_page").alias("a"), F.max("_page").alias("b"))
-        .where((F.col("n") >= min_pages) & (F.col("a") != F.col("b"))).select("_host", "_tree")
+        .agg(F.theta_sketch_estimate(F.theta_sketch_agg("_main", exact)).alias("n"))
+        .where(F.col("n") >= min_pages).select("_host", "_tree")
     )
     on_page = found.join(template, ["_host", "_tree"]).groupBy("_page").agg(F.collect_set("_tree").alias("_drop"))
     joined = keyed.join(on_page, "_page", "left").drop("_page", "_host")

@@ -247,6 +247,18 @@ def test_html(spark):
     assert html_text.extract_main_text(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_html_keeps_copies_of_one_page(spark):
+    body = "<body><article><div class='entry-content'><p>Whole {0}</p><ul><li>a</ul></div><table><tr><td>b</table></article>"
+    pages = [(i, f"http://copies.example/{i}", body.format("text")) for i in range(6)]
+    pages += [(10 + i, f"http://plain.example/{i}", "<body><p>One</p><p>Two</p>") for i in range(6)]
+    site = "<body><div><p>Site</p></div><article><p>Own {0}</p><ul><li>a</ul><div><p>Sign up</p></div></article>"
+    pages += [(20 + i, f"http://site.example/{i}", site.format(i)) for i in range(40)]
+    pages += [(60 + i, f"http://few.example/{i}", site.format(i % 4)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Whole text\na\nb" and got[10] == "One\nTwo"
+    assert got[20] == "Own 0\na" and got[60] == "Own 0\na\nSign up"
+
+
 def tokenizer():
     import public_tokenizers
 
