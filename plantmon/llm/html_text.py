@@ -45,6 +45,9 @@ _WORDS = frozenset(
     "pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription taboola toolbar widget".split()
 )
+# A name that begins or ends so says what a layout, category or state is called, not what the element is.
+_FIRST = frozenset("cat category has no not tag with without".split())
+_LAST = frozenset("closed open".split())
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 _CONTENT = frozenset(["article", "main"])
 _TEXT = frozenset(
@@ -60,21 +63,27 @@ _LOOSE_END = re.compile(r"[^>]*(?:>|\Z)")
 
 
 def _marked(attributes: str) -> bool:
-    """Whether class, id or role say that the element is no article text."""
-    for name, value in _NAMES.findall(attributes):
-        words = _PART.findall(value.lower())
-        if not _WORDS.isdisjoint(words) or name.lower() == "role" and not _ROLES.isdisjoint(words):
-            return True
+    """Whether class, id or role names the element as no article text."""
+    for _, value in _NAMES.findall(attributes):
+        for token in value.lower().split():
+            words = _PART.findall(token)
+            if not _WORDS.isdisjoint(words) and words[0] not in _FIRST and words[-1] not in _LAST:
+                return True
     return False
 
 
+def _bars(attributes: str) -> bool:
+    """Whether the role alone says so, whatever the element holds."""
+    return any(n.lower() == "role" and not _ROLES.isdisjoint(_PART.findall(v.lower())) for n, v in _NAMES.findall(attributes))
+
+
 class _Open:
     """An open element: where its blocks begin and what its subtree is made of."""
 
-    __slots__ = ("content", "parts", "skip", "start", "tag")
+    __slots__ = ("barred", "content", "parts", "skip", "start", "tag")
 
-    def __init__(self, tag: str, skip: bool, start: int, parts: list[bytes]):
-        self.tag, self.skip, self.start, self.parts = tag, skip, start, parts
+    def __init__(self, tag: str, skip: bool, barred: bool, start: int, parts: list[bytes]):
+        self.tag, self.skip, self.barred, self.start, self.parts = tag, skip, barred, start, parts
         self.content = False
 
 
@@ -91,8 +100,8 @@ def walk(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple
     buffer: list[str] = []
     hashes: list[int] = []
     regions: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
-    stack = [_Open("", False, 0, [])]
-    inside = 0
+    stack = [_Open("", False, False, 0, [])]
+    inside = articles = mains = 0
 
     def flush() -> None:
         if buffer:
@@ -181,14 +190,24 @@ def walk(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple
         if tag in _VOID:
             continue
         attributes = token.group(3)
-        skip = (
-            stack[-1].skip or tag in _SKIPPED or tag == "header" and not inside
-            or bool(attributes) and tag not in ("html", "body") and _marked(attributes)
+        barred = (
+            stack[-1].barred or tag in _SKIPPED or tag == "header" and not inside
+            or bool(attributes) and tag not in ("html", "body") and _bars(attributes)
         )
+        first = tag == "main" and not mains or tag == "article" and not articles
+        begun = articles or any(n.tag == "main" and len(out) > n.start for n in stack)
+        if first and not barred and stack[-1].skip and not begun:
+            # What holds the page's content is named after something else.
+            for node in stack:
+                node.skip = False
+        marked = bool(attributes) and tag not in ("html", "body") and not first and _marked(attributes)
+        skip = stack[-1].skip or barred or marked
         names = sorted(v for n, v in _NAMES.findall(attributes) if n.lower() == "class") if attributes else []
-        stack.append(_Open(tag, skip, len(out), [" ".join([tag, *names]).encode("utf-8", "surrogatepass")]))
+        stack.append(_Open(tag, skip, barred, len(out), [" ".join([tag, *names]).encode("utf-8", "surrogatepass")]))
         if tag in _CONTENT:
             inside += 1
+            articles += tag == "article" and not skip
+            mains += tag == "main" and not skip
         if tag in _RAW:
             close = re.compile(rf"</{tag}[\s/>]|\Z", re.IGNORECASE).search(page, at)
             stack[-1].parts.append(page[at : close.start()].encode("utf-8", "surrogatepass"))
@@ -242,7 +261,8 @@ def extract_main_text(
     Subtrees found on pages of one host with ``min_pages`` or more different main
     texts are that site's template and are deleted, as are elements that by name, class or role are no
     article text (menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles, comments). Where a page has article elements the text is
+    scripts, styles, comments). Names of a page's first article and main element
+    and of the elements around them do not count. Where a page has article elements the text is
     theirs, else that of its main element, else that of the rest. Paragraphs,
     lists, tables and figures of an article stay even where the site repeats them.
 

@@ -259,6 +259,21 @@ def test_html_keeps_copies_of_one_page(spark):
     assert got[20] == "Own 0\na" and got[60] == "Own 0\na\nSign up"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<div class='layout has-sidebar'><p>a</p><div class='post-sidebar'>b</div></div>", "a"),
+    ("<div class='no-sidebar with-menu'><article><p>a</p></article></div>", "a"),
+    ("<article class='post category-social comments-open'><p>a</p></article>", "a"),
+    ("<article class='sponsored related'><p>a</p><div class='related'>b</div></article>", "a"),
+    ("<div id='share-story'><p>b</p><main><p>a</p></main></div>", "a"),
+    ("<div id='share-story'><article><p>a</p></article><article><p>c</p></article></div>", "a\nc"),
+    ("<main><div id='share-story'><article><p>a</p></article></div></main>", "a"),
+    ("<article><p>a</p></article><div id='comments'><article class='comment-body'>b</article></div>", "a"),
+    ("<main><p>a</p><div class='comments'><article>b</article></div></main><nav><article>b</article></nav>", "a"),
+])
+def test_html_names_of_wrappers(page, text):
+    assert "\n".join(html_text.walk(f"<body>{page}</body>")[1]) == text
+
+
 def tokenizer():
     import public_tokenizers
 
