@@ -38,13 +38,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Of each group of near copies one document stays: the smallest id, then the smallest hash of the text.
 
     Documents without an id, and those without words, are in no group.
     """
-    groups = jaccard.near_duplicate_groups(docs)
-    copies = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti").select(COLUMNS)
+    groups = stage(jaccard.near_duplicate_groups(docs), "groups").where("n_shingles > 0")
+    fate = stage(
+        groups.groupBy(F.col("doc_id").alias("_id")).agg(
+            F.max(F.col("component_id") != F.col("doc_id")).alias("_copy"), F.count(F.lit(1)).alias("_rows")
+        ).where("_copy or _rows > 1"), "fate",
+    )
+    docs = docs.select(COLUMNS)
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.join(fate, (docs["doc_id"] == fate["_id"]) & words, "left_anti")
+    repeated = fate.where("not _copy")
+    if repeated.isEmpty():
+        return kept
+    rows = docs.where(words).join(repeated, docs["doc_id"] == repeated["_id"])
+    one = rows.groupBy("_id").agg(F.min_by(F.struct(*COLUMNS), F.struct(F.xxhash64("text"), "text")).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

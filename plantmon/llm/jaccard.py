@@ -461,8 +461,8 @@ def near_duplicate_groups(
     are fewer. Returns (id, ``n_shingles``, ``component_id``), the component
     being the smallest id that links reach, for every row with an id. Texts
     without words (null ones too) have the empty set and link with nothing.
-    Rows that repeat an id are one document in the links,
-    whatever their texts. Rows without id are left out. An empty table gives an empty table. Shingles are compared by
+    Rows that repeat an id are one document in the links, whatever their texts;
+    its texts without words stay alone. Rows without id are left out. An empty table gives an empty table. Shingles are compared by
     64-bit hashes.
 
     Equal sets are one class from the start. Prefix shingles bring classes
@@ -492,6 +492,7 @@ def near_duplicate_groups(
     texts = source.join(rows, "id")
     texts = _only_key(texts, width).dropDuplicates(["cluster", "id", "key"])
     links = stage(_verify(texts.select("cluster", "id", "size", "text"), width, percent, chunk, load), "links")
+    links = links.select("a", "b").unionByName(_links_by_id(filled, classes))
     groups = connected(links, "a", "b").select(F.col("node").alias("rep"), "root")
     labelled = classes.select("key", "rep").join(groups, "rep", "left").select(
         "key", F.coalesce("root", "rep").alias("component_id")
@@ -501,6 +502,18 @@ def near_duplicate_groups(
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
+def _links_by_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that one id holds, by their smallest members."""
+    mark = F.xxhash64("key")
+    # Written, so that Spark can split the rows of a hot id in the join below.
+    several = stage(
+        filled.groupBy("id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").select("id"), "several"
+    )
+    held = filled.select("id", "key").join(several, "id").distinct().join(classes.select("key", "rep"), "key")
+    least = held.groupBy("id").agg(F.min("rep").alias("a"))
+    return held.join(least, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def _only_key(texts: DataFrame, width: int) -> DataFrame:
     """Rows (id, text, key, cluster) whose text really has the set ``key``."""
 

@@ -129,6 +129,19 @@ def test_jaccard(spark, rows, crowded, chunk, load):
     assert jaccard.near_duplicate_groups(empty(spark)).count() == 0
 
 
+def test_jaccard_joins_what_one_id_holds(spark):
+    import corpus_pipeline
+
+    a, b, c = ("one text of seven plain words here", "quite another one with other words in", "the third text is like no other")
+    table = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (9, ""), (5, None), (None, a), (11, "alone among all of the rest")]
+    docs = documents(spark, table).withColumns({k: F.lit(None).cast("string") for k in ("lang", "source")})
+    out = jaccard.near_duplicate_groups(docs).where("n_shingles > 0")
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(3, 3), (5, 3), (7, 3), (9, 9), (11, 11)}
+    kept = corpus_pipeline.drop_near_copies(spark, docs.withColumn("n_chars", F.length("text").cast("long")), "")
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(3, a), (5, None), (9, c), (9, ""), (None, a), table[-1]], key=repr)
+
+
 def test_rtree_loses_no_pair():
     draw = np.random.default_rng(5)
     sets = []
