@@ -14,7 +14,7 @@ from plantmon.plans.staging import stage
 
 BLOCK_ROWS = 32_768  # rows of a block at most, about
 LEAST_ROWS = 1_024
-BLOCKS = 64  # blocks that a small table is cut into
+BLOCKS = 16  # blocks that a small table is cut into
 ANCHORS = 4_096  # anchors that meet a block together, about
 STEP = 8  # dimensions between two looks at the bounds
 MOST_TASKS = 20_000
