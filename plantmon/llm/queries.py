@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantmon.llm import decontaminate, hard_negatives, html_text, jaccard, language_id, line_dedup, neighbours, packing, prefix_trie, sharding, substring_dedup, suffix_tree
+from plantmon.llm import decontaminate, hard_negatives, html_text, jaccard, language_id, line_dedup, neighbours, packing, prefix_trie, quality, sharding, substring_dedup, suffix_tree
 from plantmon.llm.common import read_table
 
 
@@ -58,8 +58,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.query(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_adaptive_dimension_scan, op3_line_dedup, op4_site_template_removal, op5_best_fit_packing, op6_wu_manber_decontamination, op7_balanced_label_propagation, op8_byte_cnn_language_id, op9_ngram_jaccard_join, op10_suffix_tree_scoring, op11_bond_hard_negatives, op12_prefix_trie)
+    f.__name__: f for f in (op1_substring_dedup, op2_adaptive_dimension_scan, op3_line_dedup, op4_site_template_removal, op5_best_fit_packing, op6_wu_manber_decontamination, op7_balanced_label_propagation, op8_byte_cnn_language_id, op9_ngram_jaccard_join, op10_suffix_tree_scoring, op11_bond_hard_negatives, op12_prefix_trie, op13_adaptive_quality_rules)
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.SQL,
@@ -68,4 +72,5 @@ SQL: dict[str, str] = {
     "op9_ngram_jaccard_join": jaccard.SQL,
     "op11_bond_hard_negatives": hard_negatives.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_adaptive_quality_rules": quality.SQL,
 }
