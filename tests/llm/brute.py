@@ -1,6 +1,9 @@
 """Plain versions of the operators, for small tables."""
 
+import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -110,3 +113,85 @@ def word_counts(texts):
         counts.update(words((text or "").translate(LOWER)))
         counts["\0end"] += 1
     return counts
+
+
+def hard_negatives(rows, anchor, positives=5, negatives=5, low=80, high=100, scale=256):
+    """rows (id, vector, label) -> list of (anchor, positive, rank, negative, positive score, negative score)."""
+    good = []
+    for i, v, label in rows:
+        if i is None or label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        good.append((i, [math.floor(scale * x) for x in v], label))
+    out = []
+    for a, (i, v, label) in enumerate(good):
+        if not anchor(i):
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), j, b) for k, (j, w, b) in enumerate(good) if k != a and len(w) == len(v)]
+        for p, j, _ in sorted(s for s in scored if s[2] == label)[:positives]:
+            inside = sorted(s[:2] for s in scored if s[2] != label and low * -p <= 100 * -s[0] <= high * -p)
+            out += [(i, j, r + 1, n, -p, -s) for r, (s, n) in enumerate(inside[:negatives])]
+    return out
+
+
+def prefix_trie(rows, heads=lambda c: zlib.crc32(str(c).encode()) % 6, base=lambda c: c - int(math.fmod(c, 100))):
+    """rows (conv, turn, role, text) -> set of node rows, in the order of the result's columns."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append(((turn is not None, turn or 0), hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    turns = {c: [x[2:] for x in sorted(t)] for c, t in own.items()}
+    built = {c: tuple(turns.get(base(c), [])[: heads(c)] + t[heads(c) :]) for c, t in turns.items()}
+    members = defaultdict(list)
+    for c, path in built.items():
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    out = []
+    for path, convs in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        saved = sum((len(members[p]) - 1) * len(p[-1][1]) for p in below if p)
+        ends = ",".join(str(c) for c in sorted(convs) if built[c] == path)
+        out.append((
+            min(convs), len(path), min(members[path[:-1]]) if path else None, len(convs), children[path],
+            sum(not children[p] for p in below), saved, hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return out
+
+
+def quality(rows, limits, min_docs=50):
+    """rows (id, text, lang, source) -> list of (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
+
+    ``limits`` are (name, part, whole, least, width, below).
+    """
+    counted = []
+    for i, text, lang, source in rows:
+        w, text = words(text), text or ""
+        lines = [x for x in text.split("\n") if words(x)]
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        hit = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        c = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(text.count(s) for s in "#*$%&|<>"),
+             "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit)}
+        c["failed"] = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+        counted.append((i, c, lang, source))
+
+    def rounded(v):
+        drop = max(v.bit_length() - 8, 0)
+        return v >> drop << drop
+
+    def value(c, rule):
+        return c[rule[1]] * 1000 // max(c[rule[2]], 1)
+
+    out = []
+    for i, c, lang, source in counted:
+        kept = not c["failed"]
+        for rule in limits if kept else ():
+            for member in (lambda a, b: (a, b) == (lang, source)), (lambda a, b: a == lang), (lambda a, b: True):
+                seen = sorted(rounded(value(x, rule)) for _, x, a, b in counted if not x["failed"] and member(a, b))
+                if len(seen) >= min_docs:
+                    break
+            q1, q2, q3 = (seen[-(-len(seen) * k // 4) - 1] for k in (1, 2, 3))
+            v = value(c, rule)
+            kept &= v <= q2 + max(rule[4] * (q3 - q2), rule[3]) and not (rule[5] and v < q2 - max(rule[4] * (q2 - q1), rule[3]))
+        out.append((i, *[c[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed")], kept))
+    return out

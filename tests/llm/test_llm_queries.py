@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_all_are_registered():
     known = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(known)
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
 
