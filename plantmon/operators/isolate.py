@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import INF
 from plantmon.functions.vectors import subtract
 from plantmon.operators.calibrate import conformal_status
-from plantmon.plans import lookup, over_frames, rank_within, stage
+from plantmon.operators.cell_tree import nearest_cells
+from plantmon.plans import lookup, over_frames, rank_within
 
 # The possible outcomes of an isolation.
 OUTCOMES = ("Normal-compatible", "Out-of-model", "Nonunique", "Uncertified", "singleton")
-CELL_BYTES = 16 * 1024 * 1024
 
 
 def cell_score(features: Column, center: Column, scale: Column) -> Column:
@@ -25,73 +23,16 @@ def cell_score(features: Column, center: Column, scale: Column) -> Column:
     return F.array_max(off)
 
 
-def _batches(cells: DataFrame, columns: Sequence[str]) -> Iterator[list]:
-    """Cell rows in groups that stay under a fixed size."""
-    batch, used = [], 0
-    for row in cells.select(*columns).toLocalIterator():
-        batch.append(row)
-        used += 8 * (len(row["center"]) + len(row["scale"]))
-        if used >= CELL_BYTES:
-            yield batch
-            batch, used = [], 0
-    if batch:
-        yield batch
-
-
-def _nearest_cells(centers: np.ndarray, scales: np.ndarray, members: list[np.ndarray]):
-    """Smallest cell score of each family, for a column of feature arrays."""
-
-    @F.pandas_udf("array<double>")
-    def nearest(batch: pd.Series) -> pd.Series:
-        out = np.empty((len(batch), len(members)))
-        if len(batch):
-            values = np.stack(batch.to_numpy()).astype(float)
-            step = max(1, 2_000_000 // max(1, centers.size))
-            for a in range(0, len(values), step):
-                worst = (np.abs(values[a:a + step, None, :] - centers) / scales).max(axis=2)
-                for j, m in enumerate(members):
-                    out[a:a + step, j] = worst[:, m].min(axis=1)
-        return pd.Series(list(out))
-
-    return nearest
-
-
-def _score_batch(observations: DataFrame, features: str, keys: Sequence[str], group: list) -> DataFrame:
-    names = np.array([r["family_id"] for r in group])
-    kinds = list(dict.fromkeys(names.tolist()))
-    nearest = _nearest_cells(
-        np.array([r["center"] for r in group], dtype=float),
-        np.array([r["scale"] for r in group], dtype=float),
-        [np.flatnonzero(names == k) for k in kinds],
-    )
-    scored = observations.select(*keys, nearest(F.col(features)).alias("_s"))
-    ids = F.array(*[F.lit(k) for k in kinds])
-    pairs = F.arrays_zip(ids.alias("family_id"), F.col("_s").alias("score"))
-    return scored.select(*keys, F.explode(pairs).alias("_r")).select(*keys, "_r.family_id", "_r.score")
-
-
 def family_scores(
     observations: DataFrame, features: str, cells: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Smallest cell score of every family, long: one row per observation and family.
 
-    Cells travel to the tasks in batches of bounded size, one at a time, and an
-    Arrow batch of observations is compared with a batch of cells as one matrix
-    operation. Observations are not shuffled and observation-cell pairs are
-    never emitted. A library beyond one batch takes one more pass per batch;
-    the passes meet in a minimum, which is exact.
+    See :func:`plantmon.operators.cell_tree.nearest_cells`.
     """
-    merged: DataFrame | None = None
-    for group in _batches(cells, ["family_id", "center", "scale"]):
-        part = _score_batch(observations, features, keys, group)
-        if merged is None:
-            merged = part
-            continue
-        both = merged.unionByName(part)
-        merged = stage(both.groupBy(*keys, "family_id").agg(F.min("score").alias("score")), "families")
-    if merged is None:
-        raise ValueError("the cell library is empty")
-    return merged
+    if "cell_id" not in cells.columns:
+        cells = cells.withColumn("cell_id", F.monotonically_increasing_id())
+    return nearest_cells(observations, features, cells, keys).drop("cell_id")
 
 
 def feasible_families(scores: DataFrame, radii: DataFrame, uncertified: Sequence = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantmon.operators import isolate, reports
+from plantmon.operators.cell_tree import nearest_cells
 from plantmon.queries import views as v
 from plantmon.queries.registry import query
 
@@ -13,14 +14,10 @@ CELL = "list_max(list_transform(list_zip(o.features, c.center, c.scale), lambda
 FAMILY = f"SELECT obs_id, episode, family_id, min(s) AS score FROM (SELECT o.obs_id, o.episode, c.family_id, {CELL} AS s FROM observations o, cells c) GROUP BY 1, 2, 3"
 
 
-@query("cell_score", f"SELECT o.obs_id, c.cell_id, {CELL} AS score FROM observations o, cells c", views=["observations", "cells"], rounded=["score"])
+@query("cell_score", f"SELECT obs_id, arg_min(cell_id, {{'s': s, 'i': cell_id}}) AS cell_id, min(s) AS score FROM (SELECT o.obs_id, c.cell_id, {CELL} AS s FROM observations o, cells c) GROUP BY obs_id",
+       views=["observations", "cells"], rounded=["score"])
 def _cell(spark, sf):
-    # One cell a class, so the library is a handful of literals.
-    scored = [
-        F.struct(F.lit(r["cell_id"]).cast("long").alias("cell_id"), isolate.cell_score(F.col("features"), F.lit(r["center"]), F.lit(r["scale"])).alias("score"))
-        for r in v.cells(spark, sf).collect()
-    ]
-    return v.observations(spark, sf).select("obs_id", F.explode(F.array(*scored)).alias("c")).select("obs_id", "c.*")
+    return nearest_cells(v.observations(spark, sf), "features", v.cells(spark, sf), ["obs_id"], family=())
 
 
 def _family(spark, sf):
@@ -33,29 +30,24 @@ def _family_score(spark, sf):
 
 
 RADIUS = "(CASE family_id WHEN 'F0' THEN 2.2 WHEN 'F1' THEN 2.3 WHEN 'F2' THEN 2.4 WHEN 'F3' THEN 2.5 ELSE 2.6 END)"
-FEASIBLE = f"""SELECT obs_id, episode, family_id, score, {RADIUS}::DOUBLE AS radius, score <= {RADIUS} AS feasible, true AS certified FROM ({FAMILY})
-    UNION ALL SELECT obs_id, episode, 'F9', 0, 'infinity'::DOUBLE, true, false FROM observations WHERE obs_id % 50 = 0"""
+SURE = f"SELECT obs_id, episode, family_id, score, {RADIUS}::DOUBLE AS radius, score <= {RADIUS} AS feasible, true AS certified FROM ({FAMILY})"
+FEASIBLE = f"{SURE} UNION ALL SELECT obs_id, episode, 'F9', 0, 'infinity'::DOUBLE, true, false FROM observations"
 
 
-def _feasible(spark, sf):
+def _feasible(spark, sf, uncertified=()):
     fam = _family(spark, sf)
     radii = fam.select("family_id").distinct().withColumn("radius", F.round(2.2 + 0.1 * F.substring("family_id", 2, 1).cast("int"), 1))
-    sure = isolate.feasible_families(fam, radii)
-    open_ = isolate.feasible_families(fam.where("obs_id % 50 = 0"), radii, ["F9"]).where("family_id = 'F9'")
-    return sure.unionByName(open_)
+    return isolate.feasible_families(fam, radii, uncertified)
 
 
-@query("feasible_families", FEASIBLE, views=["observations", "cells"], rounded=["score", "radius"])
+@query("feasible_families", SURE, views=["observations", "cells"], rounded=["score", "radius"])
 def _feasible_query(spark, sf):
     return _feasible(spark, sf)
 
 
-@query("feasible_uncertified", f"""SELECT obs_id, episode, family_id, score, {RADIUS}::DOUBLE AS radius, score <= {RADIUS} AS feasible, true AS certified FROM ({FAMILY})
-    UNION ALL SELECT obs_id, episode, 'F9', 0, 'infinity'::DOUBLE, true, false FROM observations""", views=["observations", "cells"], rounded=["score", "radius"])
+@query("feasible_uncertified", FEASIBLE, views=["observations", "cells"], rounded=["score", "radius"])
 def _uncertified(spark, sf):
-    fam = _family(spark, sf)
-    radii = fam.select("family_id").distinct().withColumn("radius", F.round(2.2 + 0.1 * F.substring("family_id", 2, 1).cast("int"), 1))
-    return isolate.feasible_families(fam, radii, ["F9"])
+    return _feasible(spark, sf, ["F9"])
 
 
 REFINE = """(SELECT l_suppkey AS obs, l_partkey % 40 AS cell, l_orderkey AS level, min(l_discount) AS lo, max(l_discount) + min(l_tax) AS hi FROM lineitem GROUP BY 1, 2, 3)"""
@@ -78,29 +70,44 @@ def _violations(spark, sf):
     return isolate.refinement_violations(_refinements(spark, sf), ["obs"], "cell", "level", "lo", "hi")
 
 
-CANDIDATES = f"""SELECT o.obs_id, o.episode, o.excess, f.certified, CASE WHEN o.excess <= 0.2 OR f.normal THEN list_concat(['F0'], f.faults) ELSE f.faults END AS cand
+def _candidate_sql(feasible):
+    return f"""SELECT o.obs_id, o.episode, o.excess, f.certified, CASE WHEN o.excess <= 0.2 OR f.normal THEN list_concat(['F0'], f.faults) ELSE f.faults END AS cand
     FROM (SELECT obs_id, episode, abs(features[1]::DOUBLE) AS excess FROM observations) o JOIN (SELECT obs_id, list_sort(coalesce(list(DISTINCT family_id) FILTER (feasible AND family_id <> 'F0'), [])) AS faults,
-    coalesce(bool_or(feasible) FILTER (family_id = 'F0'), false) AS normal, bool_and(certified) AS certified FROM ({FEASIBLE}) GROUP BY obs_id) f ON o.obs_id = f.obs_id"""
-OUTCOME = f"""SELECT obs_id, episode, excess, array_to_string(cand, ',') AS candidates, outcome AS isolation_outcome, CASE WHEN outcome = 'singleton' THEN cand[1] END AS reported_family,
+    coalesce(bool_or(feasible) FILTER (family_id = 'F0'), false) AS normal, bool_and(certified) AS certified FROM ({feasible}) GROUP BY obs_id) f ON o.obs_id = f.obs_id"""
+
+
+def _outcome_sql(feasible):
+    return f"""SELECT obs_id, episode, excess, array_to_string(cand, ',') AS candidates, outcome AS isolation_outcome, CASE WHEN outcome = 'singleton' THEN cand[1] END AS reported_family,
     CASE WHEN outcome = 'singleton' THEN true WHEN outcome = 'Uncertified' THEN false ELSE certified END AS isolation_certified, cand FROM (
     SELECT *, CASE WHEN list_contains(cand, 'F0') THEN 'Normal-compatible' WHEN len(cand) = 0 THEN 'Out-of-model' WHEN len(cand) > 1 THEN 'Nonunique'
-    WHEN certified THEN 'singleton' ELSE 'Uncertified' END AS outcome FROM ({CANDIDATES}))"""
+    WHEN certified THEN 'singleton' ELSE 'Uncertified' END AS outcome FROM ({_candidate_sql(feasible)}))"""
 
 
-def _decided(spark, sf):
+def _decided(spark, sf, uncertified=()):
     obs = v.observations(spark, sf).select("obs_id", "episode", F.abs(F.get("features", F.lit(0))).alias("detection_excess"))
-    sets = isolate.candidate_sets(_feasible(spark, sf).drop("episode"), obs, ["obs_id"], normal="F0", detection_quantile=0.2)
+    sets = isolate.candidate_sets(_feasible(spark, sf, uncertified).drop("episode"), obs, ["obs_id"], normal="F0", detection_quantile=0.2)
     return isolate.isolation_outcome(sets, "F0")
 
 
-@query("candidate_set", f"SELECT obs_id, array_to_string(cand, ',') AS candidates FROM ({CANDIDATES})", views=["observations", "cells"])
-def _candidates(spark, sf):
-    return _decided(spark, sf).select("obs_id", F.array_join("candidates", ",").alias("candidates"))
+# Each decision twice over all rows: with certified families only, and with one that has no certified cell.
+VARIANTS = [("", SURE, ()), ("_uncertified", FEASIBLE, ("F9",))]
+
+
+def _candidate_query(suffix, feasible, uncertified):
+    @query(f"candidate_set{suffix}", f"SELECT obs_id, array_to_string(cand, ',') AS candidates FROM ({_candidate_sql(feasible)})", views=["observations", "cells"])
+    def _candidates(spark, sf):
+        return _decided(spark, sf, uncertified).select("obs_id", F.array_join("candidates", ",").alias("candidates"))
 
 
-@query("isolation_outcome", f"SELECT obs_id, candidates, isolation_outcome, reported_family, isolation_certified FROM ({OUTCOME})", views=["observations", "cells"])
-def _outcome(spark, sf):
-    return _decided(spark, sf).select("obs_id", F.array_join("candidates", ",").alias("candidates"), "isolation_outcome", "reported_family", "isolation_certified")
+def _outcome_query(suffix, feasible, uncertified):
+    @query(f"isolation_outcome{suffix}", f"SELECT obs_id, candidates, isolation_outcome, reported_family, isolation_certified FROM ({_outcome_sql(feasible)})", views=["observations", "cells"])
+    def _outcome(spark, sf):
+        return _decided(spark, sf, uncertified).select("obs_id", F.array_join("candidates", ",").alias("candidates"), "isolation_outcome", "reported_family", "isolation_certified")
+
+
+for _variant in VARIANTS:
+    _candidate_query(*_variant)
+    _outcome_query(*_variant)
 
 
 @query("normal_calibration", f"""SELECT m AS episodes, r AS rank, 1.0::DOUBLE / (m + 1) AS resolution, 'ready' AS status, list_sort(xs)[r] AS quantile FROM (
@@ -110,19 +117,23 @@ def _normal(spark, sf):
     return isolate.normal_calibration(_family(spark, sf), ["episode"], "F0", 0.05, 0.1)
 
 
-DECISION = f"""SELECT obs_id, CASE WHEN obs_id % 7 = 0 THEN 'alarm_without_exceedance' ELSE 'suppressed_without_reason' END AS violation FROM ({OUTCOME})
+def _decision_query(suffix, feasible, uncertified):
+    text = f"""SELECT obs_id, CASE WHEN obs_id % 7 = 0 THEN 'alarm_without_exceedance' ELSE 'suppressed_without_reason' END AS violation FROM ({_outcome_sql(feasible)})
     WHERE (obs_id % 7 = 0 AND NOT excess > 0.5) OR (obs_id % 7 <> 0 AND obs_id % 5 = 0 AND excess > 0.5)"""
 
+    @query(f"decision_consistency{suffix}", text, views=["observations", "cells"])
+    def _decision(spark, sf):
+        i = F.col("obs_id")
+        over = F.col("detection_excess") > 0.5
+        df = _decided(spark, sf, uncertified).withColumns({
+            "score": F.col("detection_excess"), "threshold": F.lit(0.5),
+            "alarm": F.when(i % 7 == 0, F.lit(True)).when(i % 5 == 0, F.lit(False)).otherwise(over),
+            "suppression_reason": F.lit(None).cast("string")})
+        return isolate.decision_violations(df, "F0").select("obs_id", "violation")
+
 
-@query("decision_consistency", DECISION, views=["observations", "cells"])
-def _decision(spark, sf):
-    i = F.col("obs_id")
-    over = F.col("detection_excess") > 0.5
-    df = _decided(spark, sf).withColumns({
-        "score": F.col("detection_excess"), "threshold": F.lit(0.5),
-        "alarm": F.when(i % 7 == 0, F.lit(True)).when(i % 5 == 0, F.lit(False)).otherwise(over),
-        "suppression_reason": F.lit(None).cast("string")})
-    return isolate.decision_violations(df, "F0").select("obs_id", "violation")
+for _variant in VARIANTS:
+    _decision_query(*_variant)
 
 
 REPORT = """SELECT w.episode, o.fault_id, o.onset, count(*) AS row_count, count(*) FILTER (raw_index < onset) AS pre_fault_row_count, count(*) FILTER (raw_index >= onset) AS post_onset_row_count,
@@ -140,14 +151,21 @@ def _report(spark, sf):
     return reports.episode_detection_report(df, v.onsets(spark, sf), "episode", "raw_index")
 
 
-@query("episode_isolation_report", f"""SELECT a.*, coalesce(b.candidate_ids, '[]') AS candidate_ids FROM (SELECT episode,
+def _report_query(suffix, feasible, uncertified):
+    outcome = _outcome_sql(feasible)
+
+    @query(f"episode_isolation_report{suffix}", f"""SELECT a.*, coalesce(b.candidate_ids, '[]') AS candidate_ids FROM (SELECT episode,
     {', '.join(f"count(*) FILTER (isolation_outcome = '{o}') AS " + chr(34) + o + chr(34) for o in isolate.OUTCOMES)},
     count(*) FILTER (isolation_certified) AS certified_row_count,
-    '[' || coalesce(string_agg(DISTINCT '"' || reported_family || '"', ',' ORDER BY '"' || reported_family || '"'), '') || ']' AS reported_families FROM ({OUTCOME}) GROUP BY episode) a
-    LEFT JOIN (SELECT episode, '[' || string_agg(DISTINCT '"' || c || '"', ',' ORDER BY '"' || c || '"') || ']' AS candidate_ids FROM (SELECT episode, unnest(cand) AS c FROM ({OUTCOME})) GROUP BY episode) b
+    '[' || coalesce(string_agg(DISTINCT '"' || reported_family || '"', ',' ORDER BY '"' || reported_family || '"'), '') || ']' AS reported_families FROM ({outcome}) GROUP BY episode) a
+    LEFT JOIN (SELECT episode, '[' || string_agg(DISTINCT '"' || c || '"', ',' ORDER BY '"' || c || '"') || ']' AS candidate_ids FROM (SELECT episode, unnest(cand) AS c FROM ({outcome})) GROUP BY episode) b
     ON a.episode = b.episode""", views=["observations", "cells"])
-def _isolation_report(spark, sf):
-    return reports.episode_isolation_report(_decided(spark, sf), ["episode"])
+    def _isolation_report(spark, sf):
+        return reports.episode_isolation_report(_decided(spark, sf, uncertified), ["episode"])
+
+
+for _variant in VARIANTS:
+    _report_query(*_variant)
 
 
 @query("score_trajectory", """SELECT episode, raw_index, x0 AS score, CASE WHEN raw_index % 9 = 0 THEN 'infinity' ELSE '40.0' END AS threshold,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantmon.operators import (
-    calibrate, clean, isolate, labels, masks, metrics, outliers, reports, roles, runs, scale, scores,
+    calibrate, cell_tree, clean, isolate, labels, masks, metrics, outliers, reports, roles, runs, scale, scores,
     splits, windows,
 )
 from plantmon.plans import hash_rank
@@ -358,7 +358,7 @@ def test_cell_library_larger_than_one_batch(spark, monkeypatch):
     obs = [(i, rng.normal(size=4).tolist()) for i in range(30)]
     c = frame(spark, cells, "family_id string, center array<double>, scale array<double>")
     o = frame(spark, obs, "id bigint, f array<double>")
-    monkeypatch.setattr(isolate, "CELL_BYTES", 200)
+    monkeypatch.setattr(cell_tree, "PART_BYTES", 200)
     got = {(r.id, r.family_id): r.score for r in isolate.family_scores(o, "f", c, ["id"]).collect()}
     for i, f in obs:
         for k in range(3):
