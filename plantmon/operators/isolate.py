@@ -71,20 +71,77 @@ def cell_bounds(refinements: DataFrame, query: Sequence[str], cell: str, level:
     )
 
 
-def refinement_violations(refinements: DataFrame, query: Sequence[str], cell: str, level: str,
-                          lower: str, upper: str) -> DataFrame:
-    """Refinements that widen their predecessor's bounds or repeat its level."""
-    by = [*query, cell]
+def _with_predecessor(refinements: DataFrame, by: Sequence[str], level: str, lower: str, upper: str) -> tuple[DataFrame, Column]:
+    """Refinements with those one level below in ``_l``, ``_lo``, ``_hi``, and whether they do not nest."""
     placed = rank_within(refinements, by, [level, lower, upper], "_at")
 
     def before(w):
         return {"_l": F.lag(level).over(w), "_lo": F.lag(lower).over(w), "_hi": F.lag(upper).over(w)}
 
     seen = over_frames(placed, by, "_at", 1, 0, before)
-    bad = (F.col(level) <= F.col("_l")) | (F.col(lower) < F.col("_lo")) | (F.col(upper) > F.col("_hi"))
+    return seen, (F.col(level) <= F.col("_l")) | (F.col(lower) < F.col("_lo")) | (F.col(upper) > F.col("_hi"))
+
+
+def refinement_violations(refinements: DataFrame, query: Sequence[str], cell: str, level: str,
+                          lower: str, upper: str) -> DataFrame:
+    """Refinements that widen their predecessor's bounds or repeat its level."""
+    seen, bad = _with_predecessor(refinements, [*query, cell], level, lower, upper)
     return seen.where(bad).drop("_at", "_l", "_lo", "_hi")
 
 
+def merge_refinements(state: DataFrame | None, new: DataFrame, query: Sequence[str], cell: str, level: str,
+                      lower: str, upper: str) -> DataFrame:
+    """The latest refinement of every cell, after ``new`` ones were laid upon ``state``.
+
+    ``state`` is what an earlier merge returned, None at the beginning; ``new`` may
+    hold several levels of a cell. A level that does not rise, or bounds that
+    widen, fail the job: answers given from the earlier bounds would be void.
+    """
+    by = [*query, cell]
+    rows = new.select(*by, level, lower, upper)
+    rows = rows if state is None else state.select(*by, level, lower, upper).unionByName(rows)
+    seen, bad = _with_predecessor(rows, by, level, lower, upper)
+    where = F.concat_ws("/", *[F.col(c).cast("string") for c in by])
+    failed = F.raise_error(F.concat(F.lit("refinement does not nest: "), where)).cast("double")
+    bounds = F.struct(F.when(bad, failed).otherwise(F.col(lower)).alias(lower), F.col(upper))
+    last = seen.groupBy(*by).agg(F.max_by(bounds, F.col(level)).alias("_b"), F.max(level).alias(level))
+    return last.select(*by, level, f"_b.{lower}", f"_b.{upper}")
+
+
+def bounds_over_radii(latest: DataFrame, query: Sequence[str], lower: str, upper: str, radii: Sequence[float]) -> DataFrame:
+    """:func:`cell_bounds` for many radii at once: (``query``, radius, outer_score, unresolved_cells, feasible).
+
+    ``latest`` has one row a cell. A cell is open from its lower bound up to,
+    not including, its upper one, so the cells open at a radius are those begun
+    less those ended by then. Both are counted per gap between two radii, which
+    combines before the shuffle, and one sweep over the gaps of a query answers
+    every radius; cells are read once, however many radii there are.
+    """
+    points = sorted({float(r) for r in radii})
+    if not points or any(r != r for r in points):
+        raise ValueError("radii must be numbers, one at least")
+    line = F.array(*[F.lit(r) for r in points])
+    steps = F.array(*[F.lit(1 << b) for b in range(len(points).bit_length() - 1, -1, -1)])
+
+    def gap(value: Column) -> Column:
+        """Radii below ``value``, by bisection."""
+        return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(line, at + s - 1) < value, at + s).otherwise(at))
+
+    opens = F.col(lower) < F.col(upper)
+    begun = F.struct(gap(F.col(lower)).alias("gap"), F.when(opens, 1).otherwise(0).alias("change"), F.col(lower).cast("double").alias("least"))
+    ended = F.struct(gap(F.col(upper)).alias("gap"), F.when(opens, -1).otherwise(0).alias("change"), F.lit(None).cast("double").alias("least"))
+    events = latest.select(*query, F.explode(F.array(begun, ended)).alias("_e")).select(*query, "_e.*")
+    counted = events.groupBy(*query, "gap").agg(F.sum("change").alias("change"), F.min("least").alias("least"))
+    whole = counted.groupBy(*query).agg(
+        F.collect_list(F.struct("gap", "change")).alias("_gaps"), F.min("least").alias("outer_score")
+    )  # at most one entry a gap
+    at = F.posexplode(line).alias("_k", "radius")
+    open_cells = F.aggregate("_gaps", F.lit(0).cast("long"), lambda n, e: n + F.when(e["gap"] <= F.col("_k"), e["change"]).otherwise(0))
+    return whole.select(*query, "_gaps", "outer_score", at).select(
+        *query, "radius", "outer_score", open_cells.alias("unresolved_cells"), (F.col("outer_score") <= F.col("radius")).alias("feasible"),
+    )
+
+
 def candidate_sets(
     feasible: DataFrame, observations: DataFrame, keys: Sequence[str], *, normal: str,
     detection_quantile: float, calibration_ready: bool = True, excess: str = "detection_excess",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plantmon.operators import isolate, reports
 from plantmon.operators.cell_tree import nearest_cells
+from plantmon.plans import stage
 from plantmon.queries import views as v
 from plantmon.queries.registry import query
 
@@ -70,6 +71,32 @@ def _violations(spark, sf):
     return isolate.refinement_violations(_refinements(spark, sf), ["obs"], "cell", "level", "lo", "hi")
 
 
+RADII = [k / 200 for k in range(20)]
+
+
+@query("cell_bounds_radii", f"""SELECT obs, radius, min(lo) AS outer_score, count(*) FILTER (lo <= radius AND radius < hi) AS unresolved_cells, min(lo) <= radius AS feasible
+    FROM (SELECT obs, cell, arg_max(lo, level) AS lo, arg_max(hi, level) AS hi FROM {REFINE} GROUP BY 1, 2), (SELECT unnest({RADII})::DOUBLE AS radius) GROUP BY obs, radius""", rounded=["outer_score", "radius"])
+def _bounds_radii(spark, sf):
+    last = _refinements(spark, sf).groupBy("obs", "cell").agg(F.max_by("lo", "level").alias("lo"), F.max_by("hi", "level").alias("hi"))
+    return isolate.bounds_over_radii(last, ["obs"], "lo", "hi", RADII)
+
+
+# Bounds around a value of the cell that halve from level to level.
+NESTED = """(SELECT DISTINCT l_suppkey AS obs, l_partkey % 40 AS cell, l_linenumber AS level, (l_suppkey * 31 + l_partkey % 40 * 17) % 64 / 64.0::DOUBLE - 1.0::DOUBLE / (1 << l_linenumber::INT) AS lo,
+    (l_suppkey * 31 + l_partkey % 40 * 17) % 64 / 64.0::DOUBLE + 1.0::DOUBLE / (1 << l_linenumber::INT) AS hi FROM lineitem)"""
+
+
+@query("refinement_merge", f"SELECT obs, cell, max(level) AS level, arg_max(lo, level) AS lo, arg_max(hi, level) AS hi FROM {NESTED} GROUP BY 1, 2", rounded=["lo", "hi"])
+def _merged(spark, sf):
+    cell, width = F.col("l_partkey") % 40, F.lit(1.0) / F.expr("shiftleft(1, cast(l_linenumber as int))")
+    middle = (F.col("l_suppkey") * 31 + cell * 17) % 64 / 64.0
+    rows = v.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("obs"), cell.alias("cell"), F.col("l_linenumber").alias("level"), (middle - width).alias("lo"), (middle + width).alias("hi")).distinct()
+    names = (["obs"], "cell", "level", "lo", "hi")
+    first = stage(isolate.merge_refinements(None, rows.where("level <= 3"), *names), "refined")
+    return isolate.merge_refinements(first, rows.where("level > 3"), *names)
+
+
 def _candidate_sql(feasible):
     return f"""SELECT o.obs_id, o.episode, o.excess, f.certified, CASE WHEN o.excess <= 0.2 OR f.normal THEN list_concat(['F0'], f.faults) ELSE f.faults END AS cand
     FROM (SELECT obs_id, episode, abs(features[1]::DOUBLE) AS excess FROM observations) o JOIN (SELECT obs_id, list_sort(coalesce(list(DISTINCT family_id) FILTER (feasible AND family_id <> 'F0'), [])) AS faults,

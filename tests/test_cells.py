@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plantmon.operators import cell_tree
+from plantmon.operators import cell_tree, isolate
 
 
 def library(n, dim, families, seed=0):
@@ -83,3 +83,34 @@ def test_large_library_compares_few_pairs(spark, monkeypatch):
     want = plain(values, names, centers, scales, range(100_000), tree.families)
     assert {(r["row"], tree.families[r["family"]]): (r["score"], r["cell"]) for r in found} == want
     assert sum(r["compared"] for r in found) < 0.05 * 300 * 100_000
+
+
+def refinements(spark, rows):
+    return spark.createDataFrame(rows, "obs long, cell long, level long, lo double, hi double")
+
+
+NAMES = (["obs"], "cell", "level", "lo", "hi")
+
+
+def test_one_sweep_answers_all_radii(spark):
+    draw = np.random.default_rng(3)
+    rows = [(int(o), c, 0, float(a), float(a + w)) for o in range(5) for c, (a, w) in enumerate(zip(draw.uniform(0, 5, 40), draw.uniform(-0.5, 2, 40)))]
+    rows += [(9, 0, 0, 1.0, 1.0), (9, 1, 0, 2.0, float("inf"))]
+    radii = [0.0, 1.0, 2.0, 2.0, float("inf"), *[float(rows[k][3]) for k in range(3)], *[float(rows[k][4]) for k in range(3)]]
+    got = isolate.bounds_over_radii(refinements(spark, rows), ["obs"], "lo", "hi", radii).collect()
+    assert len(got) == 6 * len(set(radii))
+    for r in got:
+        mine = [(x[3], x[4]) for x in rows if x[0] == r["obs"]]
+        assert r["outer_score"] == min(a for a, _ in mine) and r["feasible"] == (r["outer_score"] <= r["radius"])
+        assert r["unresolved_cells"] == sum(a <= r["radius"] < b for a, b in mine)
+    with pytest.raises(ValueError):
+        isolate.bounds_over_radii(refinements(spark, rows), ["obs"], "lo", "hi", [])
+
+
+def test_merging_keeps_the_latest_and_refuses_what_does_not_nest(spark):
+    first = isolate.merge_refinements(None, refinements(spark, [(0, 0, 0, 0.0, 4.0), (0, 0, 1, 1.0, 3.0), (0, 1, 0, 2.0, 9.0)]), *NAMES)
+    then = isolate.merge_refinements(first, refinements(spark, [(0, 0, 5, 1.5, 3.0), (1, 0, 0, 0.0, 1.0)]), *NAMES)
+    assert sorted(map(tuple, then.collect())) == [(0, 0, 5, 1.5, 3.0), (0, 1, 0, 2.0, 9.0), (1, 0, 0, 0.0, 1.0)]
+    for bad in ((0, 0, 2, 0.5, 3.0), (0, 0, 2, 1.0, 3.5), (0, 0, 1, 1.5, 2.0)):
+        with pytest.raises(Exception, match="does not nest: 0/0"):
+            isolate.merge_refinements(first, refinements(spark, [bad]), *NAMES).collect()
