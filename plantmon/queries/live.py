@@ -55,6 +55,14 @@ def _gate_stream(spark, sf):
     return live.drain(gate.gate_stream(replay.records, RULE), replay, "gate")
 
 
+@query("anchor_gate_expiring", f"SELECT * FROM ({GATE})", views=["proc_gaps"])
+def _gate_expiring(spark, sf):
+    """One record a second; an episode whose last one is 40 s behind the feed loses its state."""
+    live.use_rocksdb(spark)
+    replay = _replay(_records(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("raw_index") + 1_700_000_000)))
+    return live.drain(gate.gate_stream(replay.records, RULE, idle=gate.Idle("ts", after=40_000)), replay, "gate")
+
+
 @query("boundary_reset_stream", f"SELECT episode, max(reset_count) AS resets FROM ({GATE}) GROUP BY episode", views=["proc_gaps"])
 def _resets(spark, sf):
     live.use_rocksdb(spark)

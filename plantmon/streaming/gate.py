@@ -89,6 +89,75 @@ def gate_step(s: GateState, rule: GateRule, index: int, stage_name: str, score:
     return STALE if index - s.anchor > rule.max_age else PROTECTED
 
 
+def _modes(at: np.ndarray, anchor: np.ndarray, candidate: np.ndarray, rule: GateRule) -> np.ndarray:
+    """Mode of every record that is past the warm-up."""
+    settled = np.where(at - anchor > rule.max_age, STALE, PROTECTED).astype(object)
+    return np.where(candidate, CANDIDATE, np.where(anchor < 0, WARMUP, settled))
+
+
+def gate_walk(
+    s: GateState, rule: GateRule, index: np.ndarray, stages: np.ndarray, score: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Advance ``s`` by many records at once: (mode, anchor or -1, resets) of each.
+
+    Same answers as :func:`gate_step` for one record after the other. Between two
+    breakpoints nothing but the age changes, so the walk goes from one to the
+    next: a break of the run, the opening of a candidate, and what ends it, the
+    first score above ``exit`` or the delay. Each is found by bisection in the
+    places of low and of high scores, and what lies between is filled in one go.
+    """
+    n = len(index)
+    anchor, resets = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    warm, open_ = np.zeros(n, bool), np.zeros(n, bool)
+    if not n:
+        return np.empty(0, object), anchor, resets
+    low, high = np.flatnonzero(score <= rule.enter), np.flatnonzero(score > rule.exit)
+    broken = np.append(True, (np.diff(index) != 1) | (stages[1:] != stages[:-1]))
+    if s.started:
+        broken[0] = index[0] != s.last_index + 1 or stages[0] != s.stage
+    # The first run goes on from the state, unless it is broken off there.
+    starts = np.unique(np.append(0, np.flatnonzero(broken)))
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+        if broken[begin]:
+            s.resets += int(s.started or begin > 0)
+            s.seen, s.candidate, s.anchor = 0, -1, -1
+        resets[begin:end] = s.resets
+        ready = min(end, begin + rule.history - s.seen)
+        warm[begin:ready] = True
+        s.seen = min(rule.history, s.seen + end - begin)
+        first, at = int(index[begin]), ready  # a place of the run and its index differ by a constant
+
+        def next_of(places: np.ndarray, start: int, stop: int = end) -> int:
+            k = int(np.searchsorted(places, start))
+            return int(places[k]) if k < len(places) and places[k] < stop else stop
+
+        while at < end:
+            if s.candidate < 0:
+                free = at if s.anchor < 0 else max(at, begin + s.anchor + rule.reanchor - first)
+                opens = next_of(low, free)
+                anchor[at:opens] = s.anchor
+                at = opens
+                if at == end:
+                    break
+                s.candidate = first + at - begin
+                open_[at], anchor[at] = True, s.anchor
+                at += 1
+                continue
+            falls, holds = next_of(high, at), begin + s.candidate + rule.delay - first
+            stop = min(falls, holds, end)
+            open_[at:stop], anchor[at:stop] = True, s.anchor
+            at = stop
+            if at < end:
+                if falls > holds:
+                    s.anchor = s.candidate
+                s.candidate = -1
+                anchor[at] = s.anchor
+                at += 1
+    s.started, s.last_index, s.stage = True, int(index[-1]), str(stages[-1])
+    mode = np.where(warm, WARMUP, _modes(index, anchor, open_, rule))
+    return mode, np.where(warm, -1, anchor), resets
+
+
 # --- batch twin --------------------------------------------------------------
 #
 # A candidate is "good" when the ``delay`` records after it exist and none
@@ -251,60 +320,98 @@ def gate_batch(
 GATE_FIELDS = "mode string, anchor_index bigint, anchor_age bigint, reset_count bigint"
 _STATE = ("last_index bigint, stage string, seen bigint, candidate bigint, anchor bigint, "
           "resets bigint, started boolean")
+PIECE = 4_096  # records of a history row
+
+
+@dataclass(frozen=True)
+class Idle:
+    """When an episode counts as ended and its state goes.
+
+    ``time`` is the event time column. Records may be ``late`` milliseconds behind
+    the newest one; an episode ends once that mark has passed its last record by
+    ``after`` milliseconds. A record that still comes begins it anew.
+    """
+
+    time: str
+    after: int
+    late: int = 0
+
+    def marked(self, records: DataFrame) -> DataFrame:
+        return records.withWatermark(self.time, f"{self.late} milliseconds")
+
+    def restart(self, handle, times: pd.Series) -> None:
+        """Move the episode's timer behind its newest record."""
+        for timer in list(handle.listTimers()):
+            handle.deleteTimer(timer)
+        stamp = times.max()
+        if stamp is not None and stamp == stamp:
+            handle.registerTimer(int(pd.Timestamp(stamp).value // 1_000_000) + self.after)
+
+
+def _sorted(rows: Iterator[pd.DataFrame], index: str) -> pd.DataFrame:
+    return pd.concat(list(rows), ignore_index=True).sort_values(index, kind="stable")
 
 
 def gate_stream(
     records: DataFrame, rule: GateRule, episode: str = "episode", stage_col: str = "stage",
-    index: str = "raw_index", score: str = "score",
+    index: str = "raw_index", score: str = "score", idle: Idle | None = None,
 ) -> DataFrame:
     """The gate over a live feed, one small state value per episode.
 
     Records of an episode are sorted inside each micro-batch; a record older
     than the last one counts as an index break, like any other jump. The
     trigger's file or offset limit bounds what one episode brings at a time.
-    Needs the RocksDB state store provider.
+    With ``idle`` a timer in event time removes the state of an episode that has
+    ended; without, it stays. Needs the RocksDB state store provider.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    schema = records.select(episode, stage_col, index, score).schema
     names = [episode, stage_col, index, score]
+    schema = records.select(*names).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     class Gate(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self._handle = handle
             self._memory = handle.getValueState("gate", _STATE)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             kept = self._memory.get() if self._memory.exists() else None
             s = GateState(*kept) if kept is not None else GateState()
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(index, kind="stable")
-            out = []
-            for i, st, x in zip(batch[index], batch[stage_col], batch[score], strict=True):
-                mode = gate_step(s, rule, int(i), str(st), float(x))
-                has = s.anchor >= 0
-                out.append((key[0], st, int(i), float(x), mode, s.anchor if has else None,
-                            int(i) - s.anchor if has else None, s.resets))
+            batch = _sorted(rows, index)
+            at = batch[index].to_numpy(np.int64)
+            mode, anchor, resets = gate_walk(s, rule, at, batch[stage_col].astype(str).to_numpy(), batch[score].to_numpy(float))
             self._memory.update((s.last_index, s.stage, s.seen, s.candidate, s.anchor, s.resets, s.started))
-            frame = pd.DataFrame(out, columns=[*names, "mode", "anchor_index", "anchor_age", "reset_count"])
-            frame["anchor_index"] = frame["anchor_index"].astype("Int64")
-            frame["anchor_age"] = frame["anchor_age"].astype("Int64")
-            yield frame
+            if idle is not None:
+                idle.restart(self._handle, batch[idle.time])
+            known = pd.Series(anchor, index=batch.index, dtype="Int64").where(anchor >= 0)
+            yield batch[names].assign(
+                **{score: batch[score].astype(float)}, mode=mode, anchor_index=known, anchor_age=at - known, reset_count=resets
+            )
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            self._memory.clear()
+            return iter([])
 
         def close(self) -> None:
             pass
 
-    return records.select(*names).groupBy(episode).transformWithStateInPandas(
-        Gate(), f"{ddl}, {GATE_FIELDS}", "Append", "None"
+    used = records.select(*names) if idle is None else idle.marked(records.select(*names, idle.time))
+    return used.groupBy(episode).transformWithStateInPandas(
+        Gate(), f"{ddl}, {GATE_FIELDS}", "Append", "None" if idle is None else "EventTime"
     )
 
 
 def history_stream(
     records: DataFrame, length: int, episode: str = "episode", index: str = "raw_index",
-    value: str = "score",
+    value: str = "score", idle: Idle | None = None,
 ) -> DataFrame:
     """The last ``length`` values of an episode with each record, oldest first.
 
-    The list is cleared where the index jumps.
+    The list is cleared where the index jumps. Python hands on an episode's
+    values as they are, PIECE records a row, with the place where each record's
+    history begins; the histories are cut out of them by the JVM. ``idle`` ends
+    the state of an episode as in :func:`gate_stream`.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -312,26 +419,47 @@ def history_stream(
 
     class History(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self._handle = handle
             self._past = handle.getListState("past", "at bigint, v double")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             past = list(self._past.get()) if self._past.exists() else []
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(index, kind="stable")
+            batch = _sorted(rows, index)
+            if idle is not None:
+                idle.restart(self._handle, batch[idle.time])
             # The stored tail stands in front; a run begins where the index jumps.
             at = np.concatenate([[r[0] for r in past], batch[index]]).astype(np.int64)
             values = np.concatenate([[r[1] for r in past], batch[value]]).astype(float)
             place = np.arange(len(at))
             jump = np.concatenate([[True], np.diff(at) != 1])
             first = np.maximum(np.maximum.accumulate(np.where(jump, place, 0)), place - length + 1)
-            out = [
-                (key[0], int(at[i]), values[first[i] : i + 1].tolist()) for i in range(len(past), len(at))
-            ]
             self._past.put(list(zip(at[first[-1] :].tolist(), values[first[-1] :].tolist(), strict=True)))
-            yield pd.DataFrame(out, columns=[episode, index, "history"])
+            cuts = range(len(past), len(at), PIECE)
+            low = [int(first[c]) for c in cuts]
+            yield pd.DataFrame({
+                episode: [key[0]] * len(cuts), "at": [at[c : c + PIECE] for c in cuts],
+                "values": [values[a : c + PIECE] for a, c in zip(low, cuts, strict=True)],
+                "first": [first[c : c + PIECE] - a for a, c in zip(low, cuts, strict=True)],
+                "ahead": [c - a for a, c in zip(low, cuts, strict=True)],
+            })
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            self._past.clear()
+            return iter([])
 
         def close(self) -> None:
             pass
 
-    return records.select(episode, index, value).groupBy(episode).transformWithStateInPandas(
-        History(), f"`{episode}` {kind}, `{index}` bigint, history array<double>", "Append", "None"
+    names = [episode, index, value]
+    used = records.select(*names) if idle is None else idle.marked(records.select(*names, idle.time))
+    pieces = used.groupBy(episode).transformWithStateInPandas(
+        History(), f"`{episode}` {kind}, at array<bigint>, values array<double>, first array<bigint>, ahead bigint",
+        "Append", "None" if idle is None else "EventTime",
     )
+    # The record i of a piece is value ``ahead + i``; its history begins at ``first[i]``.
+    cut = F.transform("at", lambda x, i: F.struct(
+        x.alias("at"),
+        F.slice("values", (F.get("first", i) + 1).cast("int"), (F.col("ahead") + i - F.get("first", i) + 1).cast("int")).alias("history"),
+    ))
+    one = pieces.select(episode, F.explode(cut).alias("_r"))
+    return one.select(episode, F.col("_r.at").alias(index), F.col("_r.history").alias("history"))
