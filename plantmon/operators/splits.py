@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import half_even
-from plantmon.plans import exact_quantiles, grouped_quantiles, hash_rank, lookup, over_frames, positions, running, stage
+from plantmon.plans import exact_quantiles, grouped_quantiles, hash_rank, lookup, over_frames, positions, rank_within, running, stage
 from plantmon.plans.ordered import BLOCK_ROWS
 from plantmon.plans.ranking import hash_key
 
@@ -172,107 +171,183 @@ def distribution_summary(df: DataFrame, value: str, split: str = "split",
     )
 
 
-_DESCRIPTOR = np.array([0.0, 0.10, 0.25, 0.50, 0.75, 0.90, 1.0])
+_SHARES = np.array([0.10, 0.25, 0.50, 0.75, 0.90])
+SUMMARY_NUMBERS = 16_000_000  # counts of all slices together that the driver may hold
+NODES = (16, 1_024)  # least and largest number of value ranges
+_MINE, _REST = 0, 1
 
 
-def _describe(n: np.ndarray, s: np.ndarray, q: np.ndarray, hist: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Mean, deviation, extremes and percentiles per row of histogram counts."""
-    mean = s / n
-    std = np.sqrt(np.maximum(q / n - mean * mean, 0.0))
-    upto = np.cumsum(hist, axis=1)
-    rank = (n[:, None] - 1) * _DESCRIPTOR
-    low, high = np.floor(rank), np.ceil(rank)
-    at = [np.stack([value[np.searchsorted(u, r, side="right")] for u, r in zip(upto, side, strict=True)])
-          for side in (low, high)]
-    return np.column_stack([mean, std, at[0] + (at[1] - at[0]) * (rank - low)])
+class _Holdout:
+    """Distribution of any union of slices, and of what it leaves, for several targets.
+
+    All values of a target are sorted once and cut into ranges of equal depth.
+    For each slice the driver holds its moments, its extremes and how many of its
+    values lie in each range, all of which merge by addition. A percentile of a
+    union is then known up to its range; :meth:`resolve` reads the exact value
+    out of the sorted table.
+    """
+
+    def __init__(self, sliced: DataFrame, values: Sequence[str]):
+        # A slice is a number, and there are as many as its length makes them.
+        known = {r["slice"]: r["n"] for r in sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.slices = np.array(sorted(known), np.int64)
+        self.rows = np.array([known[i] for i in self.slices.tolist()])
+        targets, count = len(values), len(self.slices)
+        nodes = min(NODES[1], SUMMARY_NUMBERS // max(1, targets * count))
+        if nodes < NODES[0]:
+            raise ValueError(f"{count} slices of {targets} targets are too many: take longer slices")
+        pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(c).cast("double").alias("v")) for t, c in enumerate(values)]))
+        long = sliced.select("slice", pairs.alias("p")).select("slice", "p.target", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+        ranked = rank_within(long, ["target"], ["v"], "rank", size_name="size")
+        self.sorted = stage(ranked.select("target", "slice", "v", F.expr(f"rank * {nodes} div size").alias("node")), "sorted")
+        centre = {r["target"]: r["m"] for r in self.sorted.groupBy("target").agg(F.avg("v").alias("m")).collect()}
+        self.centre = np.array([centre.get(t, 0.0) for t in range(targets)])
+        middle = F.get(F.array(*[F.lit(float(c)) for c in self.centre]), F.col("target"))
+        off = F.col("v") - middle
+        self.n, self.s, self.q = (np.zeros((count, targets)) for _ in range(3))
+        self.low, self.high = np.full((count, targets), np.inf), np.full((count, targets), -np.inf)
+        at = {v: i for i, v in enumerate(self.slices.tolist())}
+        moments = self.sorted.groupBy("slice", "target").agg(F.count("v"), F.sum(off), F.sum(off * off), F.min("v"), F.max("v"))
+        for slice_, t, *x in moments.collect():
+            for table, number in zip((self.n, self.s, self.q, self.low, self.high), x, strict=True):
+                table[at[slice_], t] = number
+        self.hist = np.zeros((count, targets, nodes), np.int64)
+        spans = self.sorted.groupBy("target", "node").agg(F.min("v"), F.max("v"))
+        self.least, self.most = np.zeros((targets, nodes)), np.zeros((targets, nodes))
+        for t, node, a, b in spans.collect():
+            self.least[t, node], self.most[t, node] = a, b
+        for slice_, t, node, n in self.sorted.groupBy("slice", "target", "node").count().collect():
+            self.hist[at[slice_], t, node] = n
+        self.whole = self.hist.sum(axis=0)
+        self.reach = np.maximum(self.high.max(axis=0, initial=-np.inf) - self.low.min(axis=0, initial=np.inf), 1e-12)
+
+    def _plain(self, member: np.ndarray) -> np.ndarray:
+        """Mean, deviation and extremes of the slices in ``member``, by target."""
+        n, s, q = (x[member].sum(axis=0) for x in (self.n, self.s, self.q))
+        mean = s / n
+        return np.stack([mean + self.centre, np.sqrt(np.maximum(q / n - mean * mean, 0.0)), self.low[member].min(axis=0), self.high[member].max(axis=0)])
+
+    def _places(self, hist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(range, offset in it, weight) of the two neighbours of each percentile: arrays (target, share, 2)."""
+        upto = np.cumsum(hist, axis=1)
+        rank = (upto[:, -1:] - 1) * _SHARES
+        sides = np.stack([np.floor(rank), np.ceil(rank)], axis=2).astype(np.int64)
+        node = np.stack([np.searchsorted(u, r, side="right") for u, r in zip(upto, sides, strict=True)])
+        before = np.take_along_axis(upto, node.reshape(len(hist), -1), 1).reshape(node.shape)
+        inside = sides - (before - np.take_along_axis(hist, node.reshape(len(hist), -1), 1).reshape(node.shape))
+        return node, inside, rank - np.floor(rank)
+
+    def describe(self, chosen: list[int], new: int) -> dict:
+        """What is known without reading values when slice number ``new`` joins the ``chosen``."""
+        member = np.zeros(len(self.slices), bool)
+        member[[*chosen, new]] = True
+        mine = self.hist[member].sum(axis=0)
+        places = [self._places(h) for h in (mine, self.whole - mine)]
+        spans = []
+        for node, _, share in places:
+            t = np.arange(len(node))[:, None]
+            spans.append([x[t, node[:, :, 0]] * (1 - share) + x[t, node[:, :, 1]] * share for x in (self.least, self.most)])
+        return {"plain": [self._plain(member), self._plain(~member)], "places": places, "spans": spans, "rows": int(self.rows[member].sum())}
+
+    def resolve(self, chosen: list[int], found: dict[int, dict]) -> dict[int, list[np.ndarray]]:
+        """The exact percentiles of the described candidates, one job for all of them."""
+        spark = self.sorted.sparkSession
+        needs = {
+            (new, t, side, int(node), int(offset))
+            for new, d in found.items() for side in (_MINE, _REST)
+            for t in range(len(self.reach)) for node, offset in zip(d["places"][side][0][t].ravel(), d["places"][side][1][t].ravel(), strict=True)
+        }
+        asked = spark.createDataFrame(
+            [(new, int(self.slices[new]), t, side, node, offset) for new, t, side, node, offset in sorted(needs)],
+            "new int, joins long, target int, side int, node long, offset long",
+        )  # at most 20 a target and candidate
+        held = F.col("slice").isin([int(self.slices[c]) for c in chosen]) if chosen else F.lit(False)
+        places = F.broadcast(asked.select("new", "joins", "target", "side", "node").distinct())
+        rows = self.sorted.join(places, ["target", "node"])
+        rows = rows.where((held | (F.col("slice") == F.col("joins"))) == (F.col("side") == _MINE))
+        keys = ["new", "target", "side", "node"]
+        order = Window.partitionBy(*keys).orderBy("v")
+        ranked = rows.select(*keys, "v", (F.row_number().over(order) - 1).cast("long").alias("offset"))
+        got = {(r["new"], r["target"], r["side"], r["node"], r["offset"]): r["v"] for r in ranked.join(F.broadcast(asked), [*keys, "offset"]).collect()}
+        out = {}
+        for new, d in found.items():
+            sides = []
+            for side in (_MINE, _REST):
+                node, offset, share = d["places"][side]
+                exact = np.array([[[got[new, t, side, int(node[t, j, k]), int(offset[t, j, k])] for k in (0, 1)] for j in range(len(_SHARES))] for t in range(len(node))])
+                sides.append(exact[:, :, 0] + (exact[:, :, 1] - exact[:, :, 0]) * share)
+            out[new] = sides
+        return out
 
 
 def choose_holdout(
     sliced: DataFrame,
-    value: str,
+    value: str | Sequence[str],
     holdout_rows: int,
     *,
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
-    bins: int = 256,
     seed: int = 42,
 ) -> list[int]:
     """Greedy choice of holdout slices whose distribution resembles the rest.
 
-    Every slice is summarised by its moments and a histogram on common edges;
-    both merge by addition, so a step scores all remaining slices in one job
-    over the slice table and only the winner reaches the driver. Percentiles
-    come from the merged histogram and are exact while a bin holds a single
-    distinct value.
+    Each step takes the slice after which holdout and rest differ least: by mean,
+    deviation, extremes and five percentiles of every target, by size, and by the
+    range that the holdout covers. The driver holds counts and moments of the
+    slices, never their values; they bound the cost of each candidate, and only
+    those that may be the best have their percentiles read, exactly, in one job.
+    Missing values are left out. A slice that would leave either side without a
+    value of some target is not taken, nor the last one. Equal costs are decided
+    by a hash.
     """
-    low, high = sliced.agg(F.min(value), F.max(value)).first()
-    reach = max(high - low, 1e-12)
-    spot = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(reach / bins)), F.lit(bins - 1))
-    x = F.col(value)
-    cells = sliced.groupBy("slice", spot.cast("int").alias("bin")).agg(
-        F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
-    )
-    table = stage(
-        cells.groupBy("slice").agg(
-            F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-            F.collect_list(F.struct("bin", "n")).alias("hist"),
-        ),
-        "slices",
-    )
-    n_all, s_all, q_all = table.agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
-    centre, full = np.full(bins, low), np.zeros(bins)
-    for r in cells.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
-        centre[r["bin"]], full[r["bin"]] = r["s"] / r["n"], r["n"]
-
-    held_n, held_s, held_q, held = 0, 0.0, 0.0, np.zeros(bins)
+    values = [value] if isinstance(value, str) else list(value)
+    held = _Holdout(sliced, values)
+    if not len(held.slices):
+        return []
+    spark = sliced.sparkSession
+    draws = spark.createDataFrame([(int(i),) for i in held.slices], "slice long").select("slice", hash_key(seed, ["slice"]).alias("h"))
+    draw = {r["slice"]: r["h"] for r in draws.collect()}
     chosen: list[int] = []
 
-    def dense(column: pd.Series) -> np.ndarray:
-        out = np.zeros((len(column), bins))
-        for i, entries in enumerate(column):
-            for e in entries:
-                out[i, e["bin"]] = e["n"]
-        return out
-
-    while held_n < holdout_rows:
-        def score(batches: Iterator[pd.DataFrame], at=(held_n, held_s, held_q, held)) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                hist = dense(pdf["hist"]) + at[3]
-                n, s, q = (pdf[c].to_numpy(dtype=float) + at[i] for i, c in enumerate("nsq"))
-                fits = n < n_all
-                pdf, hist, n, s, q = pdf[fits], hist[fits], n[fits], s[fits], q[fits]
-                if pdf.empty:
-                    continue
-                inside = _describe(n, s, q, hist, centre)
-                outside = _describe(n_all - n, s_all - s, q_all - q, full - hist, centre)
-                gap = np.linalg.norm(inside - outside, axis=1)
-                off = np.abs(n - holdout_rows) / max(holdout_rows, 1)
-                span = (inside[:, -1] - inside[:, 2]) / reach
-                cost = weights[0] * gap + weights[1] * off + weights[2] * np.maximum(0.0, 1.0 - span)
-                yield pd.DataFrame({"slice": pdf["slice"].to_numpy(), "cost": cost})
-
-        left = table.where(~F.col("slice").isin(chosen)) if chosen else table
-        best = left.mapInPandas(score, "slice bigint, cost double").agg(
-            F.min_by("slice", F.struct("cost", hash_key(seed, ["slice"])))
-        ).first()[0]
-        if best is None:
+    def cost(d: dict, gap: float) -> float:
+        off = abs(d["rows"] - holdout_rows) / max(holdout_rows, 1)
+        span = (d["plain"][0][3] - d["plain"][0][2]) / held.reach
+        return weights[0] * gap + weights[1] * off + weights[2] * float(np.mean(np.maximum(0.0, 1.0 - span)))
+
+    while held.rows[chosen].sum() < holdout_rows:
+        found, least, most = {}, {}, {}
+        taken = held.n[chosen].sum(axis=0)
+        for new in range(len(held.slices)):
+            joined = taken + held.n[new]
+            if new in chosen or len(chosen) + 1 == len(held.slices) or (joined == 0).any() or (joined == held.n.sum(axis=0)).any():
+                continue
+            d = found[new] = held.describe(chosen, new)
+            fixed = float(((d["plain"][0] - d["plain"][1]) ** 2).sum())
+            (a, b), (c, e) = d["spans"]
+            near = np.maximum(0.0, np.maximum(a - e, c - b))
+            far = np.maximum(np.abs(a - e), np.abs(b - c))
+            least[new], most[new] = cost(d, np.sqrt(fixed + (near**2).sum())), cost(d, np.sqrt(fixed + (far**2).sum()))
+        if not found:
             break
-        chosen.append(best)
-        row = table.where(F.col("slice") == best).first()
-        held_n, held_s, held_q = held_n + row["n"], held_s + row["s"], held_q + row["q"]
-        held = held + dense(pd.Series([row["hist"]]))[0]
-    return sorted(chosen)
+        best = min(most.values())
+        close = {new: d for new, d in found.items() if least[new] <= best + 1e-9 * abs(best)}
+        if any(least[new] < most[new] for new in close) and len(close) > 1:
+            for new, (mine, rest) in held.resolve(chosen, close).items():
+                plain = close[new]["plain"]
+                least[new] = cost(close[new], np.sqrt(((plain[0] - plain[1]) ** 2).sum() + ((mine - rest) ** 2).sum()))
+        chosen.append(min(close, key=lambda new: (least[new], draw[int(held.slices[new])])))
+    return sorted(int(held.slices[c]) for c in chosen)
 
 
 def split_dynamic(
-    df: DataFrame, pos: str, value: str, *, length: int, test_ratio: float = 0.2,
+    df: DataFrame, pos: str, value: str | Sequence[str], *, length: int, test_ratio: float = 0.2,
     eval_ratio: float = 0.0, min_length: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 1.0, 1.0), bins: int = 256, seed: int = 42,
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0), seed: int = 42,
 ) -> DataFrame:
-    """Whole slices become holdout; its first rows are eval, the rest test."""
+    """Whole slices become holdout; its first rows are eval, the rest test. ``value`` names one target or several."""
     n = df.count()
     sliced = slice_ids(df, pos, length, min_length, n)
     goal = max(1, round(n * (eval_ratio + test_ratio)))
-    chosen = choose_holdout(sliced, value, goal, weights=weights, bins=bins, seed=seed)
+    chosen = choose_holdout(sliced, value, goal, weights=weights, seed=seed)
     held = F.col("slice").isin(chosen)
     evals = round(n * eval_ratio)
     if not evals:

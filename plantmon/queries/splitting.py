@@ -91,11 +91,36 @@ def _distribution(spark, sf):
     return splits.distribution_summary(proc_wide(spark, sf).select("x1", part.alias("split")), "x1")
 
 
-@query("split_dynamic")
+def _dynamic_sql(length: str, targets: list[str], test: float, evals: float) -> str:
+    """The greedy choice as a recursion over the list of chosen slices."""
+    parts = {"n": "count({v}) FILTER ({w})", "m": "avg({v}) FILTER ({w})", "d": "stddev_pop({v}) FILTER ({w})", "a": "min({v}) FILTER ({w})", "b": "max({v}) FILTER ({w})",
+             "q": "quantile_cont({v}, [0.1, 0.25, 0.5, 0.75, 0.9]) FILTER ({w})"}
+    cols = ", ".join(f"{f.format(v=t, w=w)} AS {t}_{k}{i}" for t in targets for i, w in enumerate(("mine", "NOT mine")) for k, f in parts.items())
+    gaps = " + ".join([f"({t}_{k}0 - {t}_{k}1) ** 2" for t in targets for k in "mdab"] + [f"list_sum(list_transform(list_zip({t}_q0, {t}_q1), lambda p: (p[1] - p[2]) ** 2))" for t in targets])
+    span = " + ".join(f"greatest(0, 1 - ({t}_b0 - {t}_a0) / greatest(greatest({t}_b0, {t}_b1) - least({t}_a0, {t}_a1), 1e-12))" for t in targets)
+    return f"""SELECT pos, slice, CASE WHEN NOT held THEN 'train' WHEN sum(held::INT) OVER (ORDER BY pos) <= evals THEN 'eval' ELSE 'test' END AS split FROM (
+      WITH RECURSIVE size AS (SELECT count(*) AS total, greatest(1, round_even(count(*) * ({evals}::DOUBLE + {test}::DOUBLE), 0)) AS goal, round_even(count(*) * {evals}::DOUBLE, 0) AS evals, {length} AS len FROM timeline),
+      sliced AS MATERIALIZED (SELECT pos, {', '.join(targets)}, least(pos // len, CASE WHEN total - (ceil(total / len) - 1) * len < greatest(1, len // 2) AND ceil(total / len) > 1 THEN ceil(total / len) - 2 ELSE ceil(total / len) - 1 END)::BIGINT AS slice FROM timeline, size),
+      sizes AS MATERIALIZED (SELECT slice, count(*) AS n, md5('42|' || slice) AS h FROM sliced GROUP BY slice),
+      pick(chosen, taken) AS (SELECT []::BIGINT[], 0::BIGINT UNION ALL SELECT list_append(chosen, best.slice), taken + best.n FROM (
+        SELECT chosen, taken, arg_min({{'slice': slice, 'n': n}}, {{'cost': sqrt({gaps}) + abs(taken + n - goal) / goal + ({span}) / {len(targets)}, 'h': h}}) AS best FROM (
+          SELECT p.chosen, p.taken, c.slice, c.n, c.h, {cols} FROM pick p JOIN sizes c ON NOT list_contains(p.chosen, c.slice) AND p.taken < (SELECT goal FROM size) AND len(p.chosen) + 1 < (SELECT count(*) FROM sizes),
+            sliced r, LATERAL (SELECT r.slice = c.slice OR list_contains(p.chosen, r.slice) AS mine) GROUP BY ALL), size GROUP BY chosen, taken)),
+      held AS (SELECT chosen FROM pick ORDER BY len(chosen) DESC LIMIT 1)
+      SELECT pos, slice, list_contains(chosen, slice) AS held, evals FROM sliced, held, size)"""
+
+
+@query("split_dynamic", _dynamic_sql("greatest(1, count(*) // 20)", ["x0"], 0.2, 0.1), views=["timeline"])
 def _dynamic(spark, sf):
     df = timeline(spark, sf).select("pos", "x0")
     n = df.count()
-    return splits.split_dynamic(df, "pos", "x0", length=max(1, n // 20), test_ratio=0.2, eval_ratio=0.1, bins=49)
+    return splits.split_dynamic(df, "pos", "x0", length=max(1, n // 20), test_ratio=0.2, eval_ratio=0.1).select("pos", "slice", "split")
+
+
+@query("split_dynamic_targets", _dynamic_sql("4000", ["x0", "x1"], 0.25, 0.1), views=["timeline"])
+def _dynamic_targets(spark, sf):
+    df = timeline(spark, sf).select("pos", "x0", "x1")
+    return splits.split_dynamic(df, "pos", ["x0", "x1"], length=4000, test_ratio=0.25, eval_ratio=0.1).select("pos", "slice", "split")
 
 
 # --- five stages ------------------------------------------------------------------

@@ -228,29 +228,46 @@ def test_fault_rows_do_not_change_the_train_fingerprint(spark):
     assert c["train"] != a["train"]
 
 
-def test_holdout_slices_match_an_exhaustive_greedy(spark):
+@pytest.mark.parametrize("nodes", [(16, 1_024), (2, 3)])
+def test_holdout_slices_match_an_exhaustive_greedy(spark, monkeypatch, nodes):
+    monkeypatch.setattr(splits, "NODES", nodes)
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.integers(0, 9, 40), rng.integers(5, 20, 40), rng.integers(0, 20, 43)]).astype(float)
-    df = frame(spark, [(i, float(v)) for i, v in enumerate(x)], "pos bigint, x double")
+    y = rng.normal(size=len(x)) * np.linspace(1, 3, len(x))
+    y[rng.random(len(x)) < 0.1] = np.nan
+    df = frame(spark, [(i, float(a), None if i % 50 == 7 else float(b)) for i, (a, b) in enumerate(zip(x, y))], "pos bigint, x double, y double")
+    y[7::50] = np.nan
     length, ratio = 10, 0.3
     ids = np.minimum(np.arange(len(x)) // length, 11)
     goal = max(1, round(len(x) * ratio))
 
     def describe(v):
-        return np.array([v.mean(), v.std(), v.min(), *np.percentile(v, [10, 25, 50, 75, 90]), v.max()])
-
-    chosen = []
-    while np.isin(ids, chosen).sum() < goal:
-        best = None
-        for s in sorted(set(ids) - set(chosen)):
-            held = np.isin(ids, [*chosen, s])
-            gap = np.linalg.norm(describe(x[held]) - describe(x[~held]))
-            cost = gap + abs(held.sum() - goal) / goal + max(0.0, 1 - np.ptp(x[held]) / np.ptp(x))
-            best = min(best or (math.inf, -1), (cost, s))
-        chosen.append(int(best[1]))
-    out = splits.split_dynamic(df, "pos", "x", length=length, test_ratio=ratio, bins=200)
-    got = sorted({r.slice for r in out.where("split = 'test'").select("slice").distinct().collect()})
-    assert got == sorted(chosen)
+        return np.concatenate([[f(v, axis=0) for f in (np.nanmean, np.nanstd, np.nanmin, np.nanmax)], np.nanpercentile(v, [10, 25, 50, 75, 90], axis=0)]).ravel()
+
+    for names, data in ((["x"], x[:, None]), (["x", "y"], np.stack([x, y], axis=1))):
+        chosen = []
+        while np.isin(ids, chosen).sum() < goal:
+            best = None
+            for s in sorted(set(ids) - set(chosen)):
+                held = np.isin(ids, [*chosen, s])
+                gap = np.linalg.norm(describe(data[held]) - describe(data[~held]))
+                span = (np.nanmax(data[held], axis=0) - np.nanmin(data[held], axis=0)) / (np.nanmax(data, axis=0) - np.nanmin(data, axis=0))
+                cost = gap + abs(held.sum() - goal) / goal + np.mean(np.maximum(0.0, 1 - span))
+                best = min(best or (math.inf, -1), (cost, s))
+            chosen.append(int(best[1]))
+        out = splits.split_dynamic(df, "pos", names, length=length, test_ratio=ratio)
+        got = sorted({r.slice for r in out.where("split = 'test'").select("slice").distinct().collect()})
+        assert got == sorted(chosen)
+    assert splits.choose_holdout(splits.slice_ids(df.where("false"), "pos", 10), "x", 5) == []
+
+
+def test_dynamic_split_keeps_a_train_slice_and_refuses_too_many(spark, monkeypatch):
+    df = frame(spark, [(i, float(i % 7)) for i in range(40)], "pos bigint, x double")
+    out = splits.split_dynamic(df, "pos", "x", length=10, test_ratio=0.95)
+    assert out.where("split = 'train'").count() == 10
+    monkeypatch.setattr(splits, "SUMMARY_NUMBERS", 10)
+    with pytest.raises(ValueError, match="longer slices"):
+        splits.split_dynamic(df, "pos", "x", length=10)
 
 
 # --- detection ---------------------------------------------------------------

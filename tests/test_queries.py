@@ -38,4 +38,4 @@ def test_entry_runs(spark):
 
 
 def test_queries_without_sql_are_few():
-    assert sorted(set(OWN) - set(SQL)) == ["file_manifest", "split_dynamic"]
+    assert sorted(set(OWN) - set(SQL)) == ["file_manifest"]
