@@ -6,10 +6,11 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import functions as F
 
 from plantmon.operators.labels import pair_labels, segment_frame, zip_series
-from plantmon.plans.staging import new_path
+from plantmon.plans.staging import new_path, stage
 from plantmon.queries.registry import query
 from plantmon.queries.views import proc_events, proc_wide, scores, table
 from plantmon.sources import manifest, readers, sinks
@@ -66,6 +67,30 @@ def _npz(spark, sf):
                      F.col("x2").alias("x0"), F.col("y0").alias("x1"))
 
 
+def _write_files(df, root):
+    """(name, content) rows as files of their own; writing one again gives the same file."""
+    def write(batches):
+        store, folder = pyarrow.fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pyarrow.fs.LocalFileSystem(), root)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content)
+            yield batch[["name"]]
+
+    stage(df.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(write, "name string"), "written")
+    return root
+
+
+@query("read_array_ranges", WIDE, views=["proc_wide"])
+def _ranges(spark, sf):
+    """A file of some hundred rows is read by several tasks."""
+    root = _write_files(_packs(spark, sf, 1 << 20).withColumn("name", F.concat("name", F.lit(".npz"))), new_path(spark, "packs"))
+    df = readers.read_arrays(spark, root, 3, 1, part_bytes=1 << 13)
+    return df.select(F.col("x0").cast("long").alias("episode"), F.col("x1").cast("long").alias("raw_index"),
+                     F.col("x2").alias("x0"), F.col("y0").alias("x1"))
+
+
 @query("read_table", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
 def _table(spark, sf):
     return readers.read_table(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity"]).where("l_quantity > 45")
@@ -234,9 +259,9 @@ def _metric_log(spark, sf):
     return spark.read.parquet(path).groupBy("trial").agg(F.count("*").alias("n"), F.max("v").alias("top"))
 
 
-@query("verify_outputs", """SELECT url AS name, CASE WHEN page_id % 5 = 0 THEN 'not indexed' WHEN page_id % 7 = 0 THEN 'changed' END AS problem
+@query("manifest_mismatches", """SELECT url AS name, CASE WHEN page_id % 5 = 0 THEN 'not indexed' WHEN page_id % 7 = 0 THEN 'changed' END AS problem
     FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0 UNION ALL SELECT url || '?gone', 'missing' FROM pages WHERE page_id % 11 = 0""")
-def _verify(spark, sf):
+def _mismatches(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
     have = manifest.content_manifest(pages.drop("page_id")).select(F.col("path").alias("name"), "sha256")
     # The index lacks some files, holds another hash for some, and names some that are gone.
@@ -244,3 +269,51 @@ def _verify(spark, sf):
     index = pages.where("page_id % 5 <> 0").select(F.col("path").alias("name"), other.alias("sha256"))
     gone = pages.where("page_id % 11 = 0").select(F.concat("path", F.lit("?gone")).alias("name"), F.lit("0").alias("sha256"))
     return manifest.manifest_mismatches(have, index.unionByName(gone))
+
+
+NATIONS = "(SELECT c_nationkey AS k, 'nation_' || c_nationkey || '.txt' AS name, string_agg(c_name, chr(10) ORDER BY c_custkey) AS content FROM customer GROUP BY c_nationkey)"
+
+
+def _nation_files(spark, sf):
+    """One text file for the customers of every nation, and its content as a table."""
+    names = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name")))
+    files = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.array_join(names["c_name"], "\n").alias("content"))
+    files = stage(files.withColumn("name", F.concat(F.lit("nation_"), F.col("k").cast("string"), F.lit(".txt"))), "nations")
+    return files, _write_files(files, new_path(spark, "nations"))
+
+
+@query("verify_outputs", f"""SELECT name, CASE WHEN k % 5 = 0 THEN 'not indexed' ELSE 'changed' END AS problem FROM {NATIONS} WHERE k % 5 = 0 OR k % 7 = 0
+    UNION ALL SELECT 'gone_' || name, 'missing' FROM {NATIONS} WHERE k % 4 = 0
+    UNION ALL SELECT NULL, 'row count differs'""")
+def _verify(spark, sf):
+    files, root = _nation_files(spark, sf)
+    # The index lacks some files, holds another hash for some, and names some that are gone.
+    digest = F.when(F.col("k") % 7 == 0, F.sha2(F.concat("content", F.lit("x")), 256)).otherwise(F.sha2("content", 256))
+    index = files.where("k % 5 <> 0").select("name", digest.alias("sha256"))
+    gone = files.where("k % 4 = 0").select(F.concat(F.lit("gone_"), "name").alias("name"), F.lit("0").alias("sha256"))
+    return manifest.verify_outputs(spark, root, index.unionByName(gone), "nation_*", rows=table(spark, sf, "customer").count() + 1)
+
+
+@query("range_manifest", f"""SELECT name, length(content)::BIGINT AS bytes, part::BIGINT AS part, length(piece)::BIGINT AS length, sha256(piece) AS sha256 FROM (
+    SELECT *, substr(content, part * 500 + 1, 500) AS piece FROM (SELECT *, unnest(generate_series(0, (length(content) - 1) // 500)) AS part FROM {NATIONS}))""")
+def _range_manifest(spark, sf):
+    _, root = _nation_files(spark, sf)
+    return manifest.range_manifest(spark, root, "nation_*", 500).select("name", "bytes", "part", "length", "sha256")
+
+
+@query("tree_digest", f"""SELECT name, count(*) AS parts, sha256(string_agg(sha256(piece), '' ORDER BY part)) AS tree FROM (
+    SELECT *, substr(content, part * 500 + 1, 500) AS piece FROM (SELECT *, unnest(generate_series(0, (length(content) - 1) // 500)) AS part FROM {NATIONS})) GROUP BY name""")
+def _tree(spark, sf):
+    _, root = _nation_files(spark, sf)
+    return manifest.tree_digest(manifest.range_manifest(spark, root, "nation_*", 500)).select("name", "parts", "tree")
+
+
+@query("changed_ranges", f"""SELECT name, part::BIGINT AS part, 'changed' AS problem FROM (SELECT name, k, unnest(generate_series(0, (length(content) - 1) // 500)) AS part FROM {NATIONS})
+    WHERE k % 3 = 0 AND part % 2 = 1""")
+def _changed(spark, sf):
+    _, root = _nation_files(spark, sf)
+    have = manifest.range_manifest(spark, root, "nation_*", 500)
+    number = F.regexp_extract("name", r"(\d+)", 1).cast("int")
+    other = (number % 3 == 0) & (F.col("part") % 2 == 1)
+    index = stage(have.withColumn("sha256", F.when(other, F.lit("0")).otherwise(F.col("sha256"))), "index")
+    return manifest.changed_ranges(spark, root, index, "nation_*", 500, trust_times=False)

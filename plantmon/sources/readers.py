@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql.types import StructType
 
 from plantmon.functions.text import fault_id_from_name
 from plantmon.plans import rank_within
+from plantmon.sources import arrays
+from plantmon.sources.ranges import list_files, reachable
 
 Paths = str | Sequence[str]
 
@@ -56,11 +59,26 @@ def _arrays(content: bytes, npz: bool) -> dict[str, np.ndarray]:
 
 
 def read_arrays(
-    spark: SparkSession, path: Paths, x_width: int, y_width: int = 0, *, chunk: int = 65_536
+    spark: SparkSession, path: Paths, x_width: int, y_width: int = 0, *, columns: Sequence[str] | None = None,
+    part_bytes: int = arrays.PART_BYTES, chunk: int = 65_536,
 ) -> DataFrame:
-    """``.npy`` and ``.npz`` files: ``source, key, raw_index, x0.., y0..``."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return decode_arrays(files, x_width, y_width, chunk=chunk)
+    """``.npy`` and ``.npz`` files of any size: ``source, key, raw_index, x0.., y0..``.
+
+    Headers tell where the numbers lie, so a file is cut into ranges of about
+    ``part_bytes``, each read by a task of its own, ``chunk`` rows at a time. With
+    ``columns`` only these are returned; of an array kept by columns the others
+    are not read. Compressed archives have no ranges: one task unpacks such a file
+    as a stream. A store that only Spark reaches is read a file a record.
+    """
+    files = list_files(spark, path)
+    if not reachable(files):
+        whole = spark.read.format("binaryFile").load(path).select("path", "content")
+        schema = arrays.array_schema(x_width, y_width, columns)
+        return decode_arrays(whole, x_width, y_width, chunk=chunk).select(*schema.fieldNames())
+    paths = sorted(r["path"] for r in files.select("path").collect())
+    spark.dataSource.register(arrays.ArrayFiles)
+    options = {"paths": json.dumps(paths), "x_width": x_width, "y_width": y_width, "part_bytes": part_bytes, "chunk": chunk}
+    return spark.read.format("array_files").schema(arrays.array_schema(x_width, y_width, columns)).options(**options).load()
 
 
 def decode_arrays(
@@ -78,11 +96,11 @@ def decode_arrays(
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for source, content in zip(batch["path"], batch["content"], strict=True):
-                arrays = _arrays(content, source.endswith(".npz"))
-                if "x" not in arrays and len(arrays) != 1:
+                held = _arrays(content, source.endswith(".npz"))
+                if "x" not in held and len(held) != 1:
                     raise ValueError(f"{source}: needs an array 'x' or exactly one array")
-                key = "x" if "x" in arrays else next(iter(arrays))
-                parts = [arrays[key]] + ([arrays["y"]] if y_width else [])
+                key = "x" if "x" in held else next(iter(held))
+                parts = [held[key]] + ([held["y"]] if y_width else [])
                 parts = [np.asarray(p, dtype=float).reshape(len(p), -1) for p in parts]
                 widths = [p.shape[1] for p in parts]
                 if widths != [w for w in (x_width, y_width) if w]:

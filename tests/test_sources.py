@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plantmon.operators import scale
 from plantmon.plans import stage, staging_root
-from plantmon.sources import manifest, readers, sinks
+from plantmon.sources import arrays, manifest, readers, sinks
 from plantmon.streaming import live
 
 
@@ -24,6 +24,102 @@ def test_array_files(spark, tmp_path):
     assert {r.key for r in keyed.collect()} == {"x", "y"}
 
 
+def test_row_ranges_of_one_file_are_read_by_several_tasks(spark, tmp_path):
+    draw = np.random.default_rng(0)
+    x, y = draw.normal(size=(5_000, 3)).astype(np.float32), draw.integers(0, 99, 5_000)
+    np.save(tmp_path / "rows.npy", x)
+    np.save(tmp_path / "columns.npy", np.asfortranarray(x))
+    np.savez(tmp_path / "open.npz", x=x, y=y)
+    np.savez_compressed(tmp_path / "packed.npz", x=np.asfortranarray(x), y=y.astype(">i4"))
+    np.save(tmp_path / "deep.npy", x.reshape(1_250, 2, 6)[:, :, :2])
+    np.save(tmp_path / "none.npy", np.empty((0, 3)))
+    for name, wide, parts in (("rows.npy", 0, 30), ("columns.npy", 0, 30), ("open.npz", 1, 50), ("packed.npz", 1, 1)):
+        df = readers.read_arrays(spark, str(tmp_path / name), 3, wide, part_bytes=2_048, chunk=64)
+        rows = df.withColumn("task", F.spark_partition_id()).orderBy("raw_index").collect()
+        assert [r["raw_index"] for r in rows] == list(range(5_000))
+        assert np.array_equal([[r["x0"], r["x1"], r["x2"]] for r in rows], x.astype(float))
+        assert not wide or [r["y0"] for r in rows] == y.tolist()
+        assert len({r["task"] for r in rows}) >= parts
+        some = readers.read_arrays(spark, str(tmp_path / name), 3, wide, columns=["x2"], part_bytes=2_048)
+        assert some.columns == ["source", "key", "raw_index", "x2"]
+        assert some.agg(F.sum("x2")).first()[0] == pytest.approx(float(x[:, 2].astype(float).sum()))
+    assert readers.read_arrays(spark, str(tmp_path / "deep.npy"), 4).count() == 1_250
+    assert readers.read_arrays(spark, str(tmp_path / "none.npy"), 3).count() == 0
+
+
+def test_array_reads_stay_small(tmp_path, monkeypatch):
+    np.save(tmp_path / "c.npy", np.asfortranarray(np.arange(40_000.0).reshape(10_000, 4)))
+    asked = []
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read_at(self, n, at):
+            asked.append(n)
+            return self.file.read_at(n, at)
+
+    url = str(tmp_path / "c.npy")
+    real = arrays.open_file
+    monkeypatch.setattr(arrays, "open_file", lambda u: Counting(real(u)))
+    reader = arrays.ArrayReader({"paths": f'["{url}"]', "x_width": "4", "chunk": "100"}, arrays.array_schema(4, 0, ["x1"]))
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(asked) == 800 and sum(asked) == 80_000  # one column of four, a hundred numbers at a time
+    assert max(b.num_rows for b in batches) == 100
+    assert np.concatenate([b.column(3).to_numpy() for b in batches]).tolist() == list(np.arange(1.0, 40_000.0, 4))
+
+
+def test_bad_array_files_are_refused(spark, tmp_path):
+    np.savez(tmp_path / "uneven.npz", x=np.ones((3, 1)), y=np.ones(2))
+    np.savez(tmp_path / "two.npz", a=np.ones((3, 1)), b=np.ones(2))
+    np.save(tmp_path / "objects.npy", np.array([{}], dtype=object), allow_pickle=True)
+    (tmp_path / "text.npy").write_text("not an array")
+    for name, wide, words in (("uneven.npz", 1, "differ in rows"), ("two.npz", 0, "exactly one"), ("objects.npy", 0, "objects"), ("text.npy", 0, "not an array")):
+        with pytest.raises(Exception, match=words):
+            readers.read_arrays(spark, str(tmp_path / name), 1, wide).collect()
+    with pytest.raises(ValueError, match="x9"):
+        readers.read_arrays(spark, str(tmp_path / "two.npz"), 1, columns=["x9"])
+
+
+def test_hash_tree_finds_the_changed_range_and_rereads_no_more(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(bytes(range(256)) * 40)
+    (tmp_path / "b.bin").write_bytes(b"b" * 1_000)
+    (tmp_path / "gone.bin").write_bytes(b"x")
+    path = str(tmp_path)
+    index = stage(manifest.range_manifest(spark, path, "*.bin", 1_024), "index")
+    whole = {r["name"]: r for r in manifest.file_manifest(spark, path, "*.bin").collect()}
+    import hashlib
+
+    for name, r in whole.items():
+        assert r["sha256"] == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
+    tree = {r["name"]: (r["parts"], r["tree"]) for r in manifest.tree_digest(index).collect()}
+    pieces = [hashlib.sha256((bytes(range(256)) * 40)[i : i + 1_024]).hexdigest() for i in range(0, 10_240, 1_024)]
+    assert tree["a.bin"] == (10, hashlib.sha256("".join(pieces).encode()).hexdigest())
+    assert manifest.changed_ranges(spark, path, index, "*.bin", 1_024).count() == 0
+    data = bytearray((tmp_path / "a.bin").read_bytes())
+    data[5_000] ^= 1
+    (tmp_path / "a.bin").write_bytes(data + b"more" * 300)
+    (tmp_path / "new.bin").write_bytes(b"n")
+    (tmp_path / "gone.bin").unlink()
+    (tmp_path / "b.bin").write_bytes(b"b" * 100)
+    got = {(r["name"], r["part"], r["problem"]) for r in manifest.changed_ranges(spark, path, index, "*.bin", 1_024).collect()}
+    assert got == {("a.bin", 4, "changed"), ("a.bin", 10, "added"), ("a.bin", 11, "added"), ("b.bin", 0, "changed"), ("new.bin", None, "not indexed"), ("gone.bin", None, "missing")}
+    read = []
+    real = manifest._hashed
+    monkeypatch.setattr(manifest, "_hashed", lambda files: (read.append({r[0].rsplit("/", 1)[1] for r in files.select("path").collect()}), real(files))[1])
+    manifest.changed_ranges(spark, path, index, "*.bin", 1_024).collect()
+    assert read == [{"a.bin", "b.bin"}]
+
+
 def test_text_readers(spark, tmp_path):
     (tmp_path / "t.dat").write_text("  1.0   2e3\n\n 3 4 \n")
     rows = readers.read_dat(spark, str(tmp_path / "t.dat"), ["a", "b"]).orderBy("a").collect()
