@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantmon.plans import over_frames
+from plantmon.plans import over_frames, stage
 from plantmon.plans.ordered import BLOCK_ROWS
 
 # Fixed value: the test split draws from a seed this far from the train seed.
@@ -89,6 +89,80 @@ def mask_block(
     return _guard(out, [f"mask_{c}" for c in columns], keys, [split] if split else []) if guard else out
 
 
+def _kth(rows: DataFrame, value: Column, k: int) -> tuple[int, int]:
+    """The k-th smallest of a value below 2**16, and how many places it is past the smaller ones."""
+    counted = rows.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = counted.withColumn("_below", below).where((F.col("_below") < k) & (F.col("_below") + F.col("_n") >= k)).first()
+    return held["_v"], k - held["_below"]
+
+
+def _hidden_first(drawn: DataFrame, columns: Sequence[str], keys: Sequence[str], goal: int) -> dict[str, Column]:
+    """For each channel, whether a cell is among the ``goal`` cells with the smallest ``_draw_``.
+
+    The last draw is found by counting its upper and then its lower sixteen bits,
+    two scans for any number of rows. Cells that share it, those of one stretch
+    as a rule, go in the order of their keys.
+    """
+    cells = drawn.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(f"_draw_{c}").alias("_d")) for i, c in enumerate(columns)
+    ])).alias("_x")).select(*keys, "_x.*")
+    if goal <= 0:
+        return {c: F.lit(False) for c in columns}
+    upper, left = _kth(cells, F.shiftright("_d", 16), goal)
+    near = cells.where(F.shiftright("_d", 16) == upper)
+    lower, left = _kth(near, F.col("_d").bitwiseAND((1 << 16) - 1), left)
+    edge = (upper << 16) + lower
+    last = near.where(F.col("_d") == edge).orderBy(*keys, "_c").limit(left).orderBy(*[F.desc(k) for k in [*keys, "_c"]]).first()
+    types = dict(cells.dtypes)
+    bound = F.struct(*[F.lit(last[k]).cast(types[k]).alias(k) for k in [*keys, "_c"]])
+    out = {}
+    for i, c in enumerate(columns):
+        place = F.struct(*keys, F.lit(i).alias("_c"))
+        out[c] = (F.col(f"_draw_{c}") < edge) | ((F.col(f"_draw_{c}") == edge) & (place <= bound))
+    return out
+
+
+def mask_block_exact(
+    df: DataFrame, by: Sequence[str], index: str, columns: Sequence[str], rate: float,
+    length: int, seed: int, *, split: str | None = None, size: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Hide stretches of ``length`` rows in one channel at a time, ``round(rate x cells)`` cells of each split.
+
+    Every cell may begin a stretch, in the order of its draw. A cell is hidden
+    once a stretch that covers it has begun, so it carries the smallest draw of
+    the ``length`` places behind it, and the cells with the smallest of these are
+    hidden. Only the last stretch may be cut short. At least one cell of a split
+    is hidden and one visible.
+    """
+    if length <= 0:
+        raise ValueError("length is positive")
+    if not 0.0 <= rate <= 1.0:
+        raise ValueError("rate lies between 0 and 1")
+    draw = split_seed(seed, split)
+    starts = df.withColumns(
+        {f"_start_{c}": (uniform(draw, *by, index, F.lit(c)) * F.lit(_SPACE)).cast("long") for c in columns}
+    )
+
+    def frames(w):
+        back = w.rangeBetween(-(length - 1), 0)
+        return {f"_draw_{c}": F.min(f"_start_{c}").over(back) for c in columns}
+
+    keys = [*by, index]
+    parted = [*by, split] if split else list(by)
+    framed = over_frames(starts, parted, index, length - 1, 0, frames, size=size)
+    drawn = stage(framed.drop(*[f"_start_{c}" for c in columns]), "drawn")
+    sizes = drawn.groupBy(*([split] if split else [])).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a split
+    masks = {c: F.lit(False) for c in columns}
+    for r in sizes:
+        mine = F.col(split).eqNullSafe(F.lit(r[split])) if split else F.lit(True)
+        cells = r["n"] * len(columns)
+        goal = min(max(1, round(cells * rate)), cells - 1)
+        found = _hidden_first(drawn.where(mine), columns, keys, goal)
+        masks = {c: F.when(mine, found[c]).otherwise(m) for c, m in masks.items()}
+    return drawn.withColumns({f"mask_{c}": m for c, m in masks.items()}).drop(*[f"_draw_{c}" for c in columns])
+
+
 def mask_channels(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], seed: int,
     all_pass: float, single: float, drop: float,

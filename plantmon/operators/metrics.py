@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantmon.functions.numeric import col, ratio
 from plantmon.functions.vectors import argmax
+from plantmon.plans import stage
 
 # Below this total variation R2 is undefined; floor of F1's divisor.
 TINY = 1e-12
@@ -247,15 +249,118 @@ class Moments:
     covariance: np.ndarray
 
 
+WIDE = 8  # channels from which on sums are matrices
+MERGED = 8  # partial sums that one task merges
+
+
+@dataclass
+class _Partial:
+    """Sums over rows about a centre: pairs of channels counted, their sums and their products.
+
+    ``count[i, j]`` rows hold both channels, ``total[i, j]`` sums channel i over
+    them. Without missing values both are the same for every partner and kept as
+    one number and one column.
+    """
+
+    rows: int
+    centre: np.ndarray
+    count: np.ndarray
+    total: np.ndarray
+    product: np.ndarray
+
+    @classmethod
+    def of(cls, values: np.ndarray, present: np.ndarray) -> _Partial:
+        seen = np.where(present & np.isfinite(values), values, 0.0)
+        centre = seen.sum(axis=0) / np.maximum((present & np.isfinite(values)).sum(axis=0), 1)
+        off = np.where(present, values - centre, 0.0)
+        if present.all():
+            return cls(len(values), centre, np.full((1, 1), float(len(values))), off.sum(axis=0)[:, None], off.T @ off)
+        here = present.astype(float)
+        return cls(len(values), centre, here.T @ here, off.T @ here, off.T @ off)
+
+    def about(self, centre: np.ndarray) -> _Partial:
+        """The same sums about another centre."""
+        d = (self.centre - centre)[:, None]
+        product = self.product + d.T * self.total + d * self.total.T + d * d.T * self.count
+        return _Partial(self.rows, centre, self.count, self.total + d * self.count, product)
+
+    def plus(self, other: _Partial) -> _Partial:
+        """Sums of both, about the centre between them, which keeps the numbers small."""
+        n = self.rows + other.rows
+        centre = (self.centre * self.rows + other.centre * other.rows) / max(n, 1)
+        a, b = self.about(centre), other.about(centre)
+        return _Partial(n, centre, a.count + b.count, a.total + b.total, a.product + b.product)
+
+    def record(self) -> list[bytes | int]:
+        return [self.rows, *[np.ascontiguousarray(x, dtype=np.float64).tobytes() for x in (self.centre, self.count, self.total, self.product)]]
+
+    @classmethod
+    def read(cls, rows: int, centre: bytes, count: bytes, total: bytes, product: bytes) -> _Partial:
+        p = len(centre) // 8
+        count, total, product = (np.frombuffer(x) for x in (count, total, product))
+        return cls(rows, np.frombuffer(centre), count.reshape((1, 1) if len(count) == 1 else (p, p)), total.reshape(p, -1), product.reshape(p, p))
+
+
+_PARTIAL = "id long, n long, centre binary, count binary, total binary, product binary"
+_PARTIAL_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("centre", "count", "total", "product")]])
+
+
+def _wide_moments(df: DataFrame, cols: list[Column], names: tuple[str, ...]) -> Moments:
+    """Matrix sums per Arrow batch, merged inside a task and then in a tree of tasks."""
+    p = len(cols)
+
+    def record(key: int, part: _Partial) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([key, *part.record()], _PARTIAL_ARROW.types, strict=True)], schema=_PARTIAL_ARROW)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        whole: _Partial | None = None
+        for batch in batches:
+            for i in range(0, batch.num_rows, max(1, 4_000_000 // p)):
+                some = batch.slice(i, max(1, 4_000_000 // p))
+                present = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in some.columns], axis=1)
+                values = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in some.columns], axis=1)
+                part = _Partial.of(values, present)
+                whole = part if whole is None else whole.plus(part)
+        if whole is not None:
+            yield record(TaskContext.get().partitionId(), whole)
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        whole: _Partial | None = None
+        for i in range(table.num_rows):
+            part = _Partial.read(*[table.column(c)[i].as_py() for c in _PARTIAL_ARROW.names[1:]])
+            whole = part if whole is None else whole.plus(part)
+        return pa.Table.from_batches([record(key[0].as_py(), whole)])
+
+    level = stage(df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(partial, _PARTIAL), "moments")
+    last = level.agg(F.max("id")).first()[0]
+    if last is None:
+        return Moments(names, 0, np.full(p, np.nan), np.full((p, p), np.nan))
+    while last:
+        level = stage(level.withColumn("id", F.expr(f"id div {MERGED}")).groupBy("id").applyInArrow(merge, _PARTIAL), "moments")
+        last //= MERGED
+    whole = _Partial.read(*level.first()[1:])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = whole.centre + np.diag(np.broadcast_to(whole.total, (p, p))) / np.diag(np.broadcast_to(whole.count, (p, p)))
+        covariance = whole.product / whole.count - (whole.total / whole.count) * (whole.total / whole.count).T
+    return Moments(names, whole.rows, mean, covariance)
+
+
 def estimate_moments(df: DataFrame, channels: Sequence[str | Column], names: Sequence[str] | None = None) -> Moments:
-    """Mean and covariance from p(p+1)/2 partial sums in one scan.
+    """Mean and covariance in one scan; missing values are left out pair by pair.
 
-    Central co-moments are merged pairwise by the built-in aggregate, which
-    stays accurate when the mean is large against the spread.
+    A few channels are p(p+1)/2 built-in aggregates, which merge central
+    co-moments pairwise. From WIDE channels on, where such a plan would have
+    thousands of columns, each Arrow batch adds one matrix product and the sums
+    are merged in a tree. Both stay accurate when the mean is large against the
+    spread.
     """
     names = tuple(names or [c for c in channels if isinstance(c, str)])
     cols = [col(c).cast("double") for c in channels]
     p = len(cols)
+    if p >= WIDE:
+        return _wide_moments(df, cols, names)
     aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
     aggs += [
         F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)

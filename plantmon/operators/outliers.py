@@ -185,22 +185,17 @@ def score_outliers(
     return scored.withColumn("marked", F.col("severity") > 0)
 
 
-def cap_removals(
-    scored: DataFrame, keys: Sequence[str], ratio: float, name: str = "removed"
-) -> DataFrame:
-    """Flag the marked rows to remove: at most ``floor(n * ratio)``, worst first.
-
-    With a positive ratio at least one row may go. Ties in severity fall back
-    to the key. Marked rows alone are ranked, by a distributed sort.
-    """
+def _to_go(scored: DataFrame, keys: Sequence[str], ratio: float) -> tuple[Column, int]:
+    """Which of the ``marked`` rows go, as a condition, and how many rows stay."""
     counts = scored.agg(F.count("*").alias("n"), F.count(F.when(F.col("marked"), 1)).alias("m")).first()
     cap = math.floor(counts["n"] * ratio)
     if ratio > 0 and cap == 0 and counts["m"]:
         cap = 1
+    left = counts["n"] - min(counts["m"], cap)
     if counts["m"] <= cap:
-        return scored.withColumn(name, F.col("marked"))
+        return F.col("marked"), left
     if cap == 0:
-        return scored.withColumn(name, F.lit(False))
+        return F.lit(False), left
     marked = scored.where("marked").select(*keys, "severity")
     ranked = rank_within(marked, [], [F.col("severity").desc(), *keys], "_rank")
     # Rows are as bad as the last one to go, or worse: one row decides for all.
@@ -208,7 +203,18 @@ def cap_removals(
     types = dict(scored.dtypes)
     place = F.struct((-F.col("severity")).alias("s"), *keys)
     bound = F.struct(F.lit(-last["severity"]).alias("s"), *[F.lit(last[k]).cast(types[k]).alias(k) for k in keys])
-    return scored.withColumn(name, F.col("marked") & (place <= bound))
+    return F.col("marked") & (place <= bound), left
+
+
+def cap_removals(
+    scored: DataFrame, keys: Sequence[str], ratio: float, name: str = "removed"
+) -> DataFrame:
+    """Flag the marked rows to remove: at most ``floor(n * ratio)``, worst first.
+
+    With a positive ratio at least one row may go. Ties in severity fall back
+    to the key. Marked rows alone are ranked, by a distributed sort.
+    """
+    return scored.withColumn(name, _to_go(scored, keys, ratio)[0])
 
 
 def fit_apply_outliers(
@@ -236,25 +242,24 @@ def fit_apply_outliers(
     model = fit_outliers(df.where(F.col(split) == train), columns, rule)
     scored = stage(score_outliers(df, model, [*by, split], index, size=size), "outliers")
     keys = [*by, index]
-    fitted = scored.where(F.col(split) == train)
+    mine = F.coalesce(F.col(split) == train, F.lit(False))
+    gone = F.lit(False)
     if remove_train:
-        fitted = cap_removals(fitted, keys, rule.max_removal_ratio)
+        gone, left = _to_go(scored.where(mine), keys, rule.max_removal_ratio)
+        _check_remaining(left, rule)
     else:
-        fitted = fitted.withColumn("removed", F.lit(False))
-    others = scored.where(F.col(split) != train)
+        _check_remaining(scored.where(mine).count(), rule)
     if not mark_elsewhere:
-        others = others.withColumns({"severity": F.lit(0.0), "marked": F.lit(False)})
+        scored = scored.withColumns({
+            "severity": F.when(mine, F.col("severity")).otherwise(0.0), "marked": mine & F.col("marked")
+        })
+    elsewhere = F.lit(False)
     if remove_elsewhere and mark_elsewhere:
-        others = cap_removals(others, keys, rule.max_removal_ratio)
-    else:
-        others = others.withColumn("removed", F.lit(False))
-    out = fitted.unionByName(others)
-    _check_remaining(fitted, rule)
-    return out
+        elsewhere, _ = _to_go(scored.where(~mine), keys, rule.max_removal_ratio)
+    return scored.where(F.col(split).isNotNull()).withColumn("removed", F.when(mine, gone).otherwise(elsewhere))
 
 
-def _check_remaining(flagged: DataFrame, rule: OutlierRule) -> None:
-    left = flagged.where(~F.col("removed")).count()
+def _check_remaining(left: int, rule: OutlierRule) -> None:
     if left < rule.min_remaining_rows:
         raise ValueError(
             f"outlier removal leaves {left} rows, fewer than min_remaining_rows={rule.min_remaining_rows}"
@@ -271,35 +276,39 @@ def multipass_outliers(
     *,
     size: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Refit on the survivors up to ``passes`` times; severity is the worst pass.
+    """Refit on the survivors up to ``passes`` times; severity is that of the pass a row fell in.
 
     The IQR rule measures the distance beyond the fence here, as it does in a
-    single pass. Each pass is staged, so the loop does not grow the plan.
+    single pass. A pass is one more fitted model: whether a row has survived, and
+    its severity, follow from the models so far in one projection of the input,
+    and no pass writes or joins rows. The local rule looks at surviving
+    neighbours, so with it a pass writes the survivors with their new severity,
+    next to the rows that fell before; still nothing is joined.
     """
     keys = [*by, index]
-    state = stage(
-        df.withColumn("severity", F.lit(0.0)).withColumn("marked", F.lit(False)), "pass"
-    )
+    local = rule.local is not None
+    state = stage(df, "rows").withColumn("severity", F.lit(0.0)).withColumn("marked", F.lit(False))
+    severity = F.lit(0.0)
     for _ in range(max(1, passes)):
         alive = state.where(~F.col("marked")).drop("severity", "marked")
         if alive.count() <= rule.min_remaining_rows:
             raise ValueError("outlier removal would leave too few rows")
         model = fit_outliers(alive, columns, rule)
-        hits = score_outliers(alive, model, by, index, size=size).where("marked")
-        found = stage(hits.select(*keys, F.col("severity").alias("_s")), "hits")
-        if not found.take(1):
+        if local:
+            scored = score_outliers(alive, model, by, index, size=size)
+            fallen = state.where("marked").select(*scored.columns)
+            after = stage(scored.unionByName(fallen), "pass")
+            more = after.where("marked").count() > state.where("marked").count()
+            state = after
+        else:
+            severity = F.when(severity > 0, severity).otherwise(model.severity())
+            state = state.select(*df.columns, severity.alias("severity"), (severity > 0).alias("marked"))
+            more = not alive.where(model.severity() > 0).isEmpty()
+        if not more:
             break
-        state = stage(
-            state.join(found, keys, "left").select(
-                *df.columns,
-                F.greatest(F.col("severity"), F.coalesce(F.col("_s"), F.lit(0.0))).alias("severity"),
-                (F.col("marked") | F.col("_s").isNotNull()).alias("marked"),
-            ),
-            "pass",
-        )
-    flagged = cap_removals(state, keys, rule.max_removal_ratio)
-    _check_remaining(flagged, rule)
-    return flagged
+    gone, left = _to_go(state, keys, rule.max_removal_ratio)
+    _check_remaining(left, rule)
+    return state.withColumn("removed", gone)
 
 
 def outlier_report(flagged: DataFrame, rule: OutlierRule, by: Sequence[str] = ()) -> DataFrame:

@@ -45,9 +45,7 @@ def prepare(
     if label is not None:
         summaries["labels"] = metrics.label_counts(cleaned, "split", label)
     if outlier_rule is not None:
-        flagged = stage(
-            outliers.fit_apply_outliers(cleaned, channels, outlier_rule, by, index), "flagged"
-        )
+        flagged = outliers.fit_apply_outliers(cleaned, channels, outlier_rule, by, index)
         summaries["outliers"] = outliers.outlier_report(flagged, outlier_rule, ["split"])
         summaries["removed"] = outliers.removed_ids(flagged, [*by, index])
         cleaned = flagged.where(~F.col("removed")).drop("severity", "removed")

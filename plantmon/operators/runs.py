@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from plantmon.functions.numeric import finite_or_null
-from plantmon.plans import grouped_quantiles, lookup, over_frames, rank_within, running, stage
+from plantmon.plans import lookup, over_frames, rank_within, running, stage
 from plantmon.plans.ordered import BLOCK_ROWS
 
 # Fixed value: normal quantile of the 95 % interval.
@@ -22,20 +22,31 @@ def leaderboard(runs: DataFrame, trial: Sequence[str], metrics: Sequence[str],
                 failures: DataFrame | None = None) -> DataFrame:
     """Mean, std, min, max, median, count and 95 % half-width per trial and metric.
 
-    Medians are taken by rank, so a trial may have any number of repeats.
+    All metrics lie in one table of (trial, metric, value), ordered by one sort,
+    and the numbers of its rows tell which two values are in the middle. So a
+    trial may have any number of repeats, and more metrics are more rows, not
+    more sorts.
     """
     trial = list(trial)
-    clean = runs.withColumns({m: finite_or_null(m) for m in metrics})
+    clean = runs.select(*trial, *[finite_or_null(m).alias(f"_v{i}") for i, m in enumerate(metrics)])
+    held = F.explode(F.array(*[F.struct(F.lit(i).alias("_m"), F.col(f"_v{i}").alias("_x")) for i in range(len(metrics))]))
+    long = clean.select(*trial, held.alias("_e")).select(*trial, "_e._m", "_e._x")
+    group = [*trial, "_m"]
+    ranked = rank_within(long.where(F.col("_x").isNotNull()), group, ["_x"], "_k", size_name="_size")
+    low, high = F.col("_k") == F.expr("(_size - 1) div 2"), F.col("_k") == F.expr("_size div 2")
+    middles = ranked.where(low | high).groupBy(*trial).agg(*[
+        ((F.max(F.when((F.col("_m") == i) & low, F.col("_x"))) + F.max(F.when((F.col("_m") == i) & high, F.col("_x")))) / 2).alias(f"{m}_median")
+        for i, m in enumerate(metrics)
+    ])
     aggs = []
-    for m in metrics:
+    for i, m in enumerate(metrics):
+        x = f"_v{i}"
         aggs += [
-            F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), F.min(m).alias(f"{m}_min"),
-            F.max(m).alias(f"{m}_max"), F.count(m).alias(f"{m}_count"),
+            F.avg(x).alias(f"{m}_mean"), F.stddev_samp(x).alias(f"{m}_std"), F.min(x).alias(f"{m}_min"),
+            F.max(x).alias(f"{m}_max"), F.count(x).alias(f"{m}_count"),
         ]
-    table = clean.groupBy(*trial).agg(*aggs)
+    table = clean.groupBy(*trial).agg(*aggs).join(middles, trial, "left")
     for m in metrics:
-        medians = grouped_quantiles(clean, trial, m, {f"{m}_median": 0.5})
-        table = table.join(medians, trial, "left")
         width = Z95 * F.coalesce(F.col(f"{m}_std"), F.lit(0.0))
         table = table.withColumn(
             f"{m}_ci95", width / F.sqrt(F.greatest(F.col(f"{m}_count"), F.lit(1)).cast("double"))

@@ -186,6 +186,18 @@ def _mask_block(spark, sf):
     return masks.mask_block(proc_gaps(spark, sf).select(*KEYS, "x0"), ["episode"], "raw_index", ["x0"], 0.2, 6, 7).drop("x0")
 
 
+def _hidden_sql(c):
+    return f"""SELECT episode, raw_index, '{c}' AS channel, min({_uniform(7, EP, RI, f"'{c}'")}) OVER (PARTITION BY episode ORDER BY raw_index RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS h FROM proc_gaps"""
+
+
+@query("mask_block_exact", f"""SELECT episode, raw_index, bool_or(hidden) FILTER (channel = 'x0') AS mask_x0, bool_or(hidden) FILTER (channel = 'x1') AS mask_x1 FROM (
+    SELECT *, row_number() OVER (ORDER BY h, episode, raw_index, channel) <= round_even(count(*) OVER () * 0.15::DOUBLE, 0) AS hidden FROM ({_hidden_sql("x0")} UNION ALL {_hidden_sql("x1")}))
+    GROUP BY 1, 2""", views=["proc_gaps"])
+def _mask_block_exact(spark, sf):
+    df = proc_gaps(spark, sf).select(*KEYS, "x0", "x1")
+    return masks.mask_block_exact(df, ["episode"], "raw_index", ["x0", "x1"], 0.15, 6, 7).drop("x0", "x1")
+
+
 def _keep(i):
     lost = f"floor({_uniform(3, EP, RI, chr(39) + 'channel' + chr(39))} * 2)"
     mode = _uniform(3, EP, RI, "'mode'")

@@ -172,6 +172,15 @@ def _moments(spark, sf):
     return metrics.moments_frame(spark, metrics.estimate_moments(v.proc_wide(spark, sf), ["x0", "x1"]))
 
 
+@query("estimate_moments_wide", """SELECT 'e' || a AS "left", 'e' || b AS "right", count(*) AS "rows", avg(embedding[a]::DOUBLE) AS left_mean, avg(embedding[b]::DOUBLE) AS right_mean,
+    covar_pop(embedding[a]::DOUBLE, embedding[b]::DOUBLE) AS covariance FROM embeddings, (SELECT unnest(range(1, 65)) AS a), (SELECT unnest(range(1, 65)) AS b) WHERE a <= b GROUP BY a, b""",
+       rounded=["left_mean", "right_mean", "covariance"])
+def _moments_wide(spark, sf):
+    names = [f"e{i + 1}" for i in range(64)]
+    wide = v.table(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return metrics.moments_frame(spark, metrics.estimate_moments(wide, names))
+
+
 @query("score_summary", "SELECT label, avg(x0) AS mean_score, max(x0) AS max_score FROM proc_wide GROUP BY label", views=["proc_wide"], rounded=["mean_score"])
 def _summary(spark, sf):
     return metrics.score_summary(v.proc_wide(spark, sf), ["label"], "x0")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,95 @@ def test_row_count_and_covariance_method_are_checked(spark, tmp_path):
     assert scores.fit_procedures(normal, ["lv-t2-kde"], 0.1, latent=["s"], covariance_method="pinv")
     with pytest.raises(ValueError, match="covariance"):
         scores.fit_procedures(normal, ["lv-t2-kde"], 0.1, latent=["s"], covariance_method="full")
+
+
+def test_wide_moments_in_one_scan(spark):
+    from plantmon.operators import metrics
+
+    draw = np.random.default_rng(2)
+    p, n = 1_000, 400
+    base = draw.normal(size=(n, p)) * draw.uniform(0.1, 5, p) + draw.uniform(-1e5, 1e5, p)
+    df = spark.createDataFrame([(x.tolist(),) for x in base], "v array<double>").repartition(11)
+    m = metrics.estimate_moments(df, [F.get("v", F.lit(i)) for i in range(p)], [f"c{i}" for i in range(p)])
+    assert m.n == n and np.allclose(m.mean, base.mean(axis=0), rtol=1e-12)
+    assert np.allclose(m.covariance, np.cov(base.T, bias=True), rtol=1e-6, atol=1e-6)
+
+
+def test_wide_moments_leave_missing_pairs_out(spark):
+    from plantmon.operators import metrics
+
+    draw = np.random.default_rng(3)
+    values = draw.normal(size=(60, 9)) + 1e4
+    gone = draw.random((60, 9)) < 0.2
+    gone[:20] = False
+    rows = [tuple(None if g else float(x) for x, g in zip(v, m)) for v, m in zip(values, gone)]
+    names = [f"c{i}" for i in range(9)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
+    wide = metrics.estimate_moments(df, names)
+    want = df.agg(*[F.covar_pop(a, b).alias(f"{a}{b}") for a in names for b in names], *[F.avg(a).alias(a) for a in names]).first()
+    assert wide.n == 60
+    assert np.allclose(wide.mean, [want[a] for a in names], rtol=1e-12)
+    assert np.allclose(wide.covariance, [[want[a + b] for b in names] for a in names], rtol=1e-6, atol=1e-9)
+    assert metrics.estimate_moments(df.where("false"), names).n == 0
+
+
+def test_leaderboard_sorts_once(spark, monkeypatch):
+    from plantmon.operators import runs
+
+    sorts = []
+    real = runs.rank_within
+    monkeypatch.setattr(runs, "rank_within", lambda *a, **k: (sorts.append(1), real(*a, **k))[1])
+    draw = np.random.default_rng(4)
+    rows = [(int(t), float(draw.integers(0, 5)), None if draw.random() < 0.3 else float(draw.normal()), float("nan")) for t in draw.integers(0, 4, 300)]
+    rows += [(9, None, 1.0, 2.0), (8, None, None, None)]
+    df = spark.createDataFrame(rows, "t int, a double, b double, c double")
+    got = {r["t"]: r for r in runs.leaderboard(df, ["t"], ["a", "b", "c"]).collect()}
+    assert len(sorts) == 1 and set(got) == {0, 1, 2, 3, 8, 9}
+    for t, r in got.items():
+        for k, m in ((1, "a"), (2, "b"), (3, "c")):
+            x = [v[k] for v in rows if v[0] == t and v[k] is not None and v[k] == v[k]]
+            assert r[f"{m}_count"] == len(x)
+            assert r[f"{m}_median"] == (pytest.approx(np.median(x)) if x else None)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.07, 0.5, 0.97, 1.0])
+def test_exact_block_mask_hides_the_target_count(spark, rate):
+    from plantmon.operators import masks
+
+    rows = [(e, i, "test" if i % 90 > 60 else "train", 1.0, 2.0) for e in (1, 2) for i in range(180) if i % 17]
+    df = spark.createDataFrame(rows, "e int, i long, split string, a double, b double")
+    out = masks.mask_block_exact(df, ["e"], "i", ["a", "b"], rate, 7, 3, split="split").collect()
+    assert len(out) == len(rows)
+    for s in ("train", "test"):
+        cells = [r[f"mask_{c}"] for r in out if r["split"] == s for c in "ab"]
+        assert sum(cells) == min(max(1, round(len(cells) * rate)), len(cells) - 1)
+    if rate == 0.07:
+        # All but the last stretch are whole: few cells stand alone.
+        hidden = {(r["e"], r["split"], r["i"]) for r in out if r["mask_a"]}
+        alone = [x for x in hidden if not {(x[0], x[1], x[2] + d) for d in (-2, -1, 1, 2)} & hidden]
+        assert len(alone) <= 4
+
+
+def test_passes_write_no_rows_and_find_the_same(spark, monkeypatch):
+    from plantmon.operators import outliers
+
+    staged = []
+    real = outliers.stage
+    monkeypatch.setattr(outliers, "stage", lambda df, label="stage": (staged.append(label), real(df, label))[1])
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=400)
+    x[::40] += 30
+    x[5::50] += 6
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "e int, i long, x double")
+    rule = outliers.OutlierRule(method="zscore", max_removal_ratio=0.5)
+    got = {r["i"]: r["severity"] for r in outliers.multipass_outliers(df, ["x"], rule, ["e"], "i", passes=4).where("marked").collect()}
+    alive, want = np.ones(400, bool), {}
+    for _ in range(4):
+        z = np.abs((x - x[alive].mean()) / x[alive].std()) - rule.z_threshold
+        fall = np.flatnonzero(alive & (z > 0))
+        want |= {int(i): z[i] for i in fall}
+        alive[fall] = False
+        if not len(fall):
+            break
+    assert len(want) > 10 and got == pytest.approx(want)
+    assert staged == ["rows"]
