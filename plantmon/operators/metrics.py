@@ -16,6 +16,7 @@ from plantmon.plans import stage
 
 # Below this total variation R2 is undefined; floor of F1's divisor.
 TINY = 1e-12
+MOST_CLASSES = 1_000
 
 
 def label_counts(df: DataFrame, split: str, label: str) -> DataFrame:
@@ -115,9 +116,15 @@ def class_union(counts: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
-    """Square matrix over the union of classes: one row per true class."""
+    """Square matrix over the union of classes: one row per true class.
+
+    A class is a column, so there are MOST_CLASSES at most; beyond that take
+    :func:`confusion_counts`, which has a row for each pair that occurs.
+    """
     counts = confusion_counts(df, y_true, y_pred)
-    classes = [r["class"] for r in class_union(counts).orderBy("class").collect()]
+    classes = [r["class"] for r in class_union(counts).orderBy("class").limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes: use confusion_counts")
     cells = [
         F.coalesce(F.sum(F.when(F.col("pred_class") == c, F.col("rows"))), F.lit(0)).alias(f"pred_{c}")
         for c in classes

@@ -47,7 +47,7 @@ def _views(names: Sequence[str]) -> str:
 
     for n in names:
         visit(n)
-    return ", ".join(f"{n} AS ({VIEW_SQL[n][1]})" for n in needed)
+    return ", ".join(f"{n} AS MATERIALIZED ({VIEW_SQL[n][1]})" for n in needed)
 
 
 def query(

@@ -229,7 +229,7 @@ def _disjoint_clean(spark, sf):
 
 
 @query("table_fingerprint", f"""SELECT stage, count(*) AS "rows", sha256(sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT)::VARCHAR || '|' || sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT)::VARCHAR)
-    AS fingerprint FROM (SELECT stage, md5(pos || '|' || x0::VARCHAR || '|' || x1::VARCHAR) AS h FROM ({STAGED})) GROUP BY stage""", views=["timeline"])
+    AS fingerprint FROM (SELECT stage, md5(length(pos::VARCHAR) || ':' || pos || length(x0::VARCHAR) || ':' || x0 || length(x1::VARCHAR) || ':' || x1) AS h FROM ({STAGED})) GROUP BY stage""", views=["timeline"])
 def _fingerprint(spark, sf):
     staged, _ = _staged(spark, sf)
     return splits.table_fingerprint(staged.where("stage IS NOT NULL"), ["stage"], ["pos"], ["x0", "x1"])

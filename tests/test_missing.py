@@ -306,3 +306,18 @@ def test_passes_write_no_rows_and_find_the_same(spark, monkeypatch):
             break
     assert len(want) > 10 and got == pytest.approx(want)
     assert staged == ["rows"]
+
+
+def test_fingerprint_cells_do_not_reach_into_each_other(spark):
+    def prints(rows):
+        df = spark.createDataFrame([(0, *r) for r in rows], "g int, i int, a string, b string")
+        return splits.table_fingerprint(df, ["g"], ["i"], ["a", "b"]).first()["fingerprint"]
+
+    assert len({prints([(0, *r)]) for r in (("a|b", "c"), ("a", "b|c"), ("a|b|c", ""), ("null", "c"), (None, "c"), ("-", "c"), ("1:x", "c"))}) == 7
+
+
+def test_too_many_classes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "MOST_CLASSES", 3)
+    df = spark.createDataFrame([(i, i % 2) for i in range(4)], "t int, p int")
+    with pytest.raises(ValueError, match="confusion_counts"):
+        metrics.confusion_matrix(df, "t", "p")
