@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,19 +155,19 @@ def train(
 
 
 def training_windows(
-    labelled: DataFrame, text_col: str, lang_col: str, order: Column, per_language: int, per_text: int, most_languages: int
+    labelled: DataFrame, text_col: str, lang_col: str, order: Column, per_language: int, per_text: int
 ) -> list[tuple[str, bytes]]:
     """A bounded draw of labelled windows: ``per_language`` texts of each language at most.
 
-    Texts are drawn by hash, and a few windows of each by their place.
+    The texts of a language are drawn by hash, whatever other languages there
+    are, and a few windows of each by their place.
     """
-    counts = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(most_languages)
-    share = {r[lang_col]: min(1.0, 2 * per_language / r["n"]) for r in counts.collect()}
-    if not share:
-        return []
-    draw = F.pmod(order, F.lit(1_000_003)) / F.lit(1_000_003)
-    wanted = F.coalesce(F.create_map(*[F.lit(v) for item in share.items() for v in item])[F.col(lang_col)], F.lit(0.0))
-    drawn = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), order.alias("at")).where(draw < wanted)
+    rows = labelled.where(F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), order.alias("at")
+    )
+    # Spark cuts each task to that many rows a language before they move.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("text")))
+    drawn = rows.withColumn("place", place).where(F.col("place") <= per_language).select("text", "lang", "at")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -192,22 +192,22 @@ def training_windows(
         return cut
 
     rows = map_arrow(drawn, "lang string, at long, bytes binary", make)
-    limit = 3 * per_language * (per_text + 1) * len(share)
-    return [(r["lang"], bytes(r["bytes"])) for r in rows.orderBy("at", "bytes").limit(limit).collect()]
+    return [(r["lang"], bytes(r["bytes"])) for r in rows.orderBy("at", "bytes").collect()]
 
 
 def fit_language_id(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 400, per_text: int = 2, most_languages: int = 256,
+    per_language: int = 800, per_text: int = 2,
 ) -> Network | None:
     """Train on a bounded sample of the labelled rows; None if there is nothing to learn.
 
-    At most about ``per_language`` texts of each of the ``most_languages`` most
-    frequent languages are drawn, and ``per_text`` windows and a short clip of each; this bounds
-    what the driver holds. Rows without text, letters or language are left out.
+    ``per_language`` texts of every language are drawn at most, and ``per_text``
+    windows and a short clip of each; this bounds what the driver holds for a
+    language. Every value of the language column is learned. Rows without text,
+    letters or language are left out.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = training_windows(known, text_col, lang_col, F.xxhash64(id_col, text_col), per_language, per_text, most_languages)
+    rows = training_windows(known, text_col, lang_col, F.xxhash64(id_col, text_col), per_language, per_text)
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +67,8 @@ def fit_index(
     in the share ``recall`` of cases. With more rows than the sample neighbours
     are nearer, so the measured number errs on the safe side.
     """
-    drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vec").collect()
-    sample = np.asarray([r["vec"] for r in drawn], np.float64)
+    drawn = vectors.orderBy(F.xxhash64("id"), "id", "row").limit(SAMPLE_ROWS).select("vec").toArrow()
+    sample = matrix(drawn.column("vec").combine_chunks(), dim)
     draw = np.random.default_rng(seed)
     rotation = np.linalg.qr(draw.normal(size=(dim + 1, dim + 1)))[0]
     lists = int(np.clip(round(rows / LIST_ROWS), 1, min(MOST_LISTS, len(sample))))
@@ -96,17 +97,18 @@ def fit_index(
 
 
 def scan(
-    index: Index, queries: np.ndarray, query_ids: np.ndarray, probed: list[np.ndarray], vectors: np.ndarray,
-    ids: np.ndarray, lists: np.ndarray, k: int,
+    index: Index, queries: np.ndarray, query_rows: np.ndarray, probed: list[np.ndarray], vectors: np.ndarray,
+    rows: np.ndarray, ids: np.ndarray, lists: np.ndarray, k: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best ``k`` of ``vectors`` in the probed lists of every query, as (query row, id, score).
+    """The best ``k`` of ``vectors`` in the probed lists of every query, as (query, place, score).
 
-    Within a list, rotated coordinates are taken block by block. After each block
+    A query first scores its nearest list here, which gives a k-th best distance.
+    In the others rotated coordinates are taken block by block. After each block
     the partial distance, scaled up, estimates the whole one; a pair whose
     estimate exceeds the query's k-th best distance by more than chance allows is
     abandoned. While many pairs are alive a block is one matrix product, after
     that they are followed one by one. The survivors are scored exactly, on the
-    original vectors.
+    original vectors. Ties go to the smaller id; a query never meets its own row.
     """
     q, x = index.rotated(queries, True), index.rotated(vectors, False)
     dims = q.shape[1]
@@ -117,8 +119,16 @@ def scan(
     wanted = np.concatenate(probed) if probed else np.empty(0, np.int64)
     order = np.argsort(lists, kind="stable")
     names, heads = np.unique(lists[order], return_index=True)
-    for name, have in zip(names.tolist(), np.split(order, heads[1:]), strict=True):
-        mine = asking[wanted == name]
+    held = dict(zip(names.tolist(), np.split(order, heads[1:]), strict=True))
+    here = np.isin(wanted, names)
+    asking, wanted = asking[here], wanted[here]
+    # The nearest of each query's lists, by its place among the pairs.
+    far = ((q[asking] - index.centres[wanted]) ** 2).sum(axis=1)
+    by_far = np.lexsort((far, asking))
+    first = np.zeros(len(asking), bool)
+    first[by_far[np.unique(asking[by_far], return_index=True)[1]]] = True
+    for name, pairs in [(n, first & (wanted == n)) for n in held] + [(n, ~first & (wanted == n)) for n in held]:
+        have, mine = held[name], asking[pairs]
         step = max(1, PAIRS // max(1, len(have)))
         for begin in range(0, len(mine), step):
             ask = mine[begin : begin + step]
@@ -137,21 +147,21 @@ def scan(
                         alive = np.nonzero(seen)
                         partial = partial[alive]
                 else:
-                    rows, cols = alive
-                    partial = partial + ((q[ask[rows], d:e] - x[have[cols], d:e]) ** 2).sum(axis=1)
-                    seen = partial <= ceiling[rows, 0] * slack + 1e-9
-                    alive, partial = (rows[seen], cols[seen]), partial[seen]
-            rows, cols = ask[alive[0]], have[alive[1]]
-            other = query_ids[rows] != ids[cols]
-            rows, cols = rows[other], cols[other]
-            scores = np.einsum("ij,ij->i", queries[rows], vectors[cols])
-            cuts = np.searchsorted(rows, ask), np.searchsorted(rows, ask, side="right")
+                    at, cols = alive
+                    partial = partial + ((q[ask[at], d:e] - x[have[cols], d:e]) ** 2).sum(axis=1)
+                    seen = partial <= ceiling[at, 0] * slack + 1e-9
+                    alive, partial = (at[seen], cols[seen]), partial[seen]
+            at, cols = ask[alive[0]], have[alive[1]]
+            other = query_rows[at] != rows[cols]
+            at, cols = at[other], cols[other]
+            scores = np.einsum("ij,ij->i", queries[at], vectors[cols])
+            cuts = np.searchsorted(at, ask), np.searchsorted(at, ask, side="right")
             for i, a, b in zip(ask.tolist(), cuts[0].tolist(), cuts[1].tolist(), strict=True):
                 if a == b:
                     continue
                 score = np.concatenate([best[i][0], scores[a:b]])
-                which = np.concatenate([best[i][1], ids[cols[a:b]]])
-                keep = np.lexsort((which, -score))[:k]
+                which = np.concatenate([best[i][1], cols[a:b]])
+                keep = np.lexsort((rows[which], ids[which], -score))[:k]
                 best[i] = (score[keep], which[keep])
                 if len(keep) == k:
                     limit[i] = base[i] - 2 * score[keep[-1]]
@@ -166,14 +176,12 @@ def scan(
 def _with_list(rows: DataFrame, index: Index, dim: int) -> DataFrame:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nearest = index.distances(index.rotated(matrix(batch.column(1), dim), False)).argmin(axis=1)
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nearest.astype(np.int32))], names=["id", "vec", "list"]
-            )
+            nearest = index.distances(index.rotated(matrix(batch.column(2), dim), False)).argmin(axis=1)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int32))], names=["row", "id", "vec", "list"])
 
         return assign
 
-    return map_arrow(rows.select("id", "vec"), "id long, vec array<double>, list int", make)
+    return map_arrow(rows.select("row", "id", "vec"), "row long, id long, vec array<double>, list int", make)
 
 
 @dataclass
@@ -211,7 +219,7 @@ def _probe_counts(chosen: np.ndarray, sizes: np.ndarray, probes: int, enough: in
 
 
 def _probed(queries: DataFrame, index: Index, dim: int, sizes: np.ndarray, enough: int) -> DataFrame:
-    """(id, vec, lists): the nearest lists of every query.
+    """(row, vec, lists): the nearest lists of every query.
 
     As many as the index says, and more until they hold ``enough`` rows.
     """
@@ -222,15 +230,15 @@ def _probed(queries: DataFrame, index: Index, dim: int, sizes: np.ndarray, enoug
             taken = _probe_counts(near, sizes, index.probes, enough)
             heads = np.concatenate([[0], np.cumsum(taken.sum(axis=1))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(heads), pa.array(near[taken].astype(np.int32)))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "vec", "lists"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["row", "vec", "lists"])
 
         return choose
 
-    return map_arrow(queries.select("id", "vec"), "id long, vec array<double>, lists array<int>", make)
+    return map_arrow(queries.select("row", "vec"), "row long, vec array<double>, lists array<int>", make)
 
 
 def _asks(asked: DataFrame, cells: Cells, dim: int) -> DataFrame:
-    """(id, vec, cell, turn, lists): one row for each cell a query has to visit."""
+    """(row, vec, cell, turn, lists): one row for each cell a query has to visit."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,12 +257,12 @@ def _asks(asked: DataFrame, cells: Cells, dim: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(where, pa.int64()),
                  pa.array(turn, pa.int64()), pa.array(what, pa.list_(pa.int32()))],
-                names=["id", "vec", "cell", "turn", "lists"],
+                names=["row", "vec", "cell", "turn", "lists"],
             )
 
         return visit
 
-    return map_arrow(asked, "id long, vec array<double>, cell long, turn long, lists array<int>", make)
+    return map_arrow(asked, "row long, vec array<double>, cell long, turn long, lists array<int>", make)
 
 
 def nearest_neighbours(
@@ -264,13 +272,15 @@ def nearest_neighbours(
     """The ``k`` rows with the largest inner product to every query row, as far as probed.
 
     Queries are the rows for which ``is_query`` holds; candidates are all rows
-    but those of the query's own id. Returns (``query_id``, ``rank`` from 1,
-    the id column, ``score``), ties to the smaller id; scores are exact, in double
-    precision. Vectors that are null, empty, zero, or hold null or non-finite
-    components take no part, nor do those whose dimension is not the most common
-    one, nor rows without id. Of rows that repeat an id the smallest vector
-    counts. Fewer than ``k`` candidates are all returned. An empty table gives
-    an empty table.
+    but the query's own. Returns (``query_id``, ``rank`` from 1, the id column,
+    ``score``), ties to the smaller id; scores are exact, in double precision.
+    Vectors that are null, empty, zero, or hold null or non-finite components
+    take no part, nor do rows without id. Rows that repeat an id are rows of
+    their own: each is a candidate, also of the other, and each query among them
+    has its answers. An inner product needs vectors of one length, so a query
+    meets the candidates of its length, and there is one index for each length.
+    Fewer than ``k`` candidates are all returned; extra columns are left out. An
+    empty table gives an empty table.
 
     Every row is in one of up to MOST_LISTS lists, whose centres come from a
     sample of SAMPLE_ROWS rows. A query goes to its nearest lists, as many as
@@ -279,21 +289,28 @@ def nearest_neighbours(
     larger list has several, so one with a third of all rows is many tasks; the
     queries of a crowded cell take turns. A cell returns ``k`` rows a query.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("q"))
+    kind = dict(vectors.dtypes)[id_col]
+    schema = f"query_id {kind}, rank int, `{id_col}` {kind}, score double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
-    dims = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = dims["dim"] if dims else 1
-    rows = rows.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"), F.max("q").alias("q"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))
-    rows = stage(rows, "vectors")
-    facts = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(norm).alias("norm")).first()
-    kind = dict(vectors.dtypes)[id_col]
-    schema = f"query_id long, rank int, `{id_col}` {kind}, score double"
-    if not facts["rows"]:
+    rows = stage(rows.withColumns({"row": F.monotonically_increasing_id(), "dim": F.size("vec"), "norm": norm}), "vectors")
+    facts = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("rows"), F.max("norm").alias("norm"), F.max("q").alias("asked")).orderBy("dim")
+    parts = [_of_one_length(rows.where(F.col("dim") == f["dim"]), f["dim"], f["rows"], f["norm"], k, recall) for f in facts.collect() if f["asked"]]
+    if not parts:
         return vectors.sparkSession.createDataFrame([], schema)
-    index = fit_index(rows, dim, facts["rows"], facts["norm"], k, recall)
+    near = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "row")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    own = rows.where("q").select(F.col("row").alias("query"), F.col("id").cast(kind).alias("query_id"))
+    return ranked.join(own, "query").select("query_id", "rank", F.col("id").cast(kind).alias(id_col), "score")
+
+
+def _of_one_length(rows: DataFrame, dim: int, count: int, norm: float, k: int, recall: float) -> DataFrame:
+    """(query, row, id, score): the best of every cell for each query; both are rows of length ``dim``."""
+    spark = rows.sparkSession
+    index = fit_index(rows, dim, count, norm, k, recall)
     listed = stage(_with_list(rows, index, dim), "lists")
-    spark = vectors.sparkSession
     counts = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
     sizes = np.asarray([counts.get(i, 0) for i in range(len(index.centres))])
     asked = stage(_probed(rows.where("q"), index, dim, sizes, 4 * k + 1), "probes")
@@ -306,31 +323,29 @@ def nearest_neighbours(
         [(i, *map(int, x)) for i, x in enumerate(zip(cells.first, cells.parts, cells.turns, strict=True))],
         "list int, first long, parts long, turns long",
     ))
-    whole = listed.join(places, "list").withColumn("cell", F.col("first") + F.pmod(F.xxhash64("id"), "parts"))
+    whole = listed.join(places, "list").withColumn("cell", F.col("first") + F.pmod(F.xxhash64("row"), "parts"))
     held = whole.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
     asks = _asks(asked, cells, dim)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
-            return none
+            return pa.table({c: pa.array([], pa.float64() if c == "score" else pa.int64()) for c in ("query", "row", "id", "score")})
         have = matrix(right.column("vec").combine_chunks(), dim)
-        ask_ids, first, which = np.unique(left.column("id").to_numpy(), return_index=True, return_inverse=True)
+        ask_rows, first, which = np.unique(left.column("row").to_numpy(), return_index=True, return_inverse=True)
         ask = matrix(left.column("vec").combine_chunks().take(pa.array(first)), dim)
         lists = left.column("lists").to_pylist()
-        probed = [np.empty(0, np.int64)] * len(ask_ids)
+        probed = [np.empty(0, np.int64)] * len(ask_rows)
         for i, some in zip(which.tolist(), lists, strict=True):
             probed[i] = np.union1d(probed[i], some).astype(np.int64)
-        row, found, score = scan(index, ask, ask_ids, probed, have, right.column("id").to_numpy(), right.column("list").to_numpy(), k)
-        return pa.table({"query_id": ask_ids[row.astype(np.int64)], "id": found, "score": score})
+        names = [right.column(c).to_numpy() for c in ("row", "id", "list")]
+        at, found, score = scan(index, ask, ask_rows, probed, have, *names, k)
+        found = found.astype(np.int64)
+        return pa.table({"query": ask_rows[at.astype(np.int64)], "row": names[0][found], "id": names[1][found], "score": score})
 
     keys = ["cell", "turn"]
-    near = asks.groupBy(*keys).cogroup(held.select("id", "vec", "list", *keys).groupBy(*keys)).applyInArrow(
-        search, "query_id long, id long, score double"
+    return asks.groupBy(*keys).cogroup(held.select("row", "id", "vec", "list", *keys).groupBy(*keys)).applyInArrow(
+        search, "query long, row long, id long, score double"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").cast(kind).alias(id_col), "score")
 
 
 def query(embeddings: DataFrame) -> DataFrame:

@@ -180,27 +180,33 @@ def test_neighbours(spark):
     base = draw.normal(size=(600, 12))
     base[100:140] = base[100]  # equal vectors: ties go to the smaller id
     vectors = [(i, v.tolist(), "x") for i, v in enumerate(base)]
+    # Rows that repeat an id are rows of their own, vectors of another length meet each other.
+    vectors += [(20, base[20].tolist(), "x"), (7, (3 * base[0]).tolist(), "x"), (40, draw.normal(size=12).tolist(), "x")]
+    vectors += [(1120, [1.0, 2.0], "x"), (1121, [2.0, 1.0], "x"), (1122, [5.0, 1.0], "x")]
+    used = [(i, np.array(v)) for i, v, _ in vectors]
     vectors += [
         (1000, None, "x"), (1020, [], "x"), (1040, [0.0] * 12, "x"), (1060, [float("nan")] * 12, "x"), (1080, [None] * 12, "x"),
-        (1100, [float("inf")] + [1.0] * 11, "x"), (1120, [1.0, 2.0], "x"), (None, [1.0] * 12, "x"), (20, base[20].tolist(), "x"),
+        (1100, [float("inf")] + [1.0] * 11, "x"), (None, [1.0] * 12, "x"),
     ]
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, rank string")
-    out = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0)
     got = {}
-    for r in out.collect():
+    for r in neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert sorted(got) == list(range(0, 600, 20))
-    hits = 0
+    assert sorted(got) == [*range(0, 600, 20), 1120]
+    assert sorted(got[1120]) == [(1, 1122, 7.0), (2, 1121, 4.0)]
+    assert [v for _, v, _ in sorted(got[0])][0] == 7 and len(got[20]) == len(got[40]) == 40
+    hits = total = 0
     for q, found in got.items():
-        found.sort()
-        assert [r for r, _, _ in found] == list(range(1, 21))
-        scores = base @ base[q]
-        scores[q] = -np.inf
-        order = np.lexsort((np.arange(600), -scores))[:20].tolist()
-        hits += len(set(order) & {v for _, v, _ in found})
-        assert all(abs(s - base[v] @ base[q]) < 1e-12 for _, v, s in found)
-        assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
-    assert hits >= 0.9 * 20 * len(got)
+        want = []
+        for a, (i, v) in enumerate(used):
+            if i == q:
+                mine = sorted((-float(w @ v), j) for b, (j, w) in enumerate(used) if b != a and len(w) == len(v))[:20]
+                want += [(r + 1, j, -s) for r, (s, j) in enumerate(mine)]
+        assert sorted(r for r, _, _ in found) == sorted(r for r, _, _ in want)
+        near = {(j, round(s, 9)) for _, j, s in want}
+        hits += sum((v, round(s, 9)) in near for _, v, s in found)
+        total += len(found)
+    assert hits >= 0.9 * total
     few = neighbours.nearest_neighbours(table.where("vec_id < 5"), F.col("vec_id") == 0)
     assert sorted(r["vec_id"] for r in few.collect()) == [1, 2, 3, 4]
     assert neighbours.nearest_neighbours(table.where("false"), F.col("vec_id") == 0).count() == 0
@@ -224,9 +230,9 @@ def test_adaptive_scan_abandons_and_stays_right():
     draw = np.random.default_rng(4)
     vectors = draw.normal(size=(3000, 64))
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
-    index = neighbours.Index(1.0, np.linalg.qr(draw.normal(size=(65, 65)))[0], np.zeros((1, 65)))
+    index = neighbours.Index(1.0, np.linalg.qr(draw.normal(size=(65, 65)))[0], np.zeros((6, 65)))
     row, found, _ = neighbours.scan(
-        index, vectors[:20], np.arange(20), [np.arange(6)] * 20, vectors, np.arange(3000), np.arange(3000) % 6, 20
+        index, vectors[:20], np.arange(20), [np.arange(6)] * 20, vectors, np.arange(3000), np.arange(3000), np.arange(3000) % 6, 20
     )
     hits = sum(
         len(set(found[row == i]) & set(np.argsort(-(vectors @ vectors[i]))[1:21])) for i in range(20)
@@ -399,6 +405,17 @@ def test_quota_is_kept():
     assert max(after) <= 110 and any(share.values())
 
 
+def test_every_language_is_learned_within_its_own_bound(spark):
+    draw = random.Random(8)
+    rows = [(i, " ".join(draw.choice(["lorem", "ipsum", "dolor"]) for _ in range(30)), "big") for i in range(500)]
+    rows += [(1_000 + 10 * k + j, " ".join([chr(0x4E00 + 40 * k + j)] * 20), f"l{k}") for k in range(270) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = F.xxhash64("doc_id", "text")
+    found = language_id.training_windows(docs, "text", "lang", order, 30, 2)
+    texts = {lang: len([1 for x, _ in found if x == lang]) for lang in {x for x, _ in found}}
+    assert len(texts) == 271 and 30 <= texts["big"] <= 90 and min(texts.values()) >= 2
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.query(docs).join(docs.select("doc_id", "lang"), "doc_id")
