@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantmon.llm.common import map_arrow, set_columns, shield, slices, with_columns
+from plantmon.plans.staging import stage
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4, 5)
@@ -160,13 +161,17 @@ def training_windows(
     """A bounded draw of labelled windows: ``per_language`` texts of each language at most.
 
     The texts of a language are drawn by hash, whatever other languages there
-    are, and a few windows of each by their place.
+    are, and a few windows of each by their place. A first draw takes four times
+    as many as wanted where there are more, so that few texts move; of these the
+    smallest hashes count.
     """
     rows = labelled.where(F.col(text_col).rlike(r"\p{L}")).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), order.alias("at")
     )
-    # Spark cuts each task to that many rows a language before they move.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("text")))
+    counts = labelled.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    shares = stage(counts.select("lang", (F.lit(4.0 * per_language) / F.col("n")).alias("share")), "shares")
+    rows = rows.join(shares, "lang").where(F.pmod("at", F.lit(1_000_003)) / F.lit(1_000_003) < F.col("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
     drawn = rows.withColumn("place", place).where(F.col("place") <= per_language).select("text", "lang", "at")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
