@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 import xxhash
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantmon.llm.common import map_arrow, set_columns, shield, with_columns
+from plantmon.plans.staging import stage
 
 # Element classes of the HTML language, fixed values.
 _BLOCKS = frozenset(
@@ -101,8 +102,20 @@ def walk(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple
     hashes: list[int] = []
     regions: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
     stack = [_Open("", False, False, 0, [])]
+    # Where on the stack the elements of a name, the blocks and the scopes are open.
+    places: dict[str, list[int]] = {}
+    open_blocks: list[int] = []
+    open_scopes: list[int] = []
     inside = articles = mains = 0
 
+    def innermost(tags: Iterable[str]) -> int:
+        """Depth of the innermost open element of these names, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            end()
+
     def flush() -> None:
         if buffer:
             block = " ".join("".join(buffer).split())
@@ -113,7 +126,11 @@ def walk(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple
     def end() -> None:
         nonlocal inside
         node = stack.pop()
+        places[node.tag].pop()
+        if node.tag in _SCOPE or node.tag in _CONTENT:
+            open_scopes.pop()
         if node.tag in _BLOCKS:
+            open_blocks.pop()
             flush()
         digest = xxhash.xxh64_intdigest(b"\x00".join(node.parts))
         stack[-1].parts.append(digest.to_bytes(8, "little"))
@@ -156,31 +173,20 @@ def walk(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple
         if token.group(1):
             if tag in _BLOCKS:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    while len(stack) > depth:
-                        end()
-                    break
-                if tag not in _BLOCKS and stack[depth].tag in _BLOCKS:
-                    break  # formatting does not close blocks
+            depth = innermost([tag])
+            # Formatting does not close blocks.
+            if depth and (tag in _BLOCKS or not open_blocks or open_blocks[-1] < depth):
+                close_to(depth)
             continue
         if tag in _CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    while len(stack) > depth:
-                        end()
-                    break
-                if stack[depth].tag in _SCOPE or stack[depth].tag in _CONTENT:
-                    break
+            depth = innermost(["p"])
+            if depth and (not open_scopes or open_scopes[-1] < depth):
+                close_to(depth)
         if tag in _SIBLINGS:
             ended, bounds = _SIBLINGS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in ended:
-                    while len(stack) > depth:
-                        end()
-                    break
-                if stack[depth].tag in bounds:
-                    break
+            depth = innermost(ended)
+            if depth and depth >= innermost(bounds):
+                close_to(depth)
         if tag in _BLOCKS:
             flush()
         if tag == "br":
@@ -195,14 +201,20 @@ def walk(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple
             or bool(attributes) and tag not in ("html", "body") and _bars(attributes)
         )
         first = tag == "main" and not mains or tag == "article" and not articles
-        begun = articles or any(n.tag == "main" and len(out) > n.start for n in stack)
-        if first and not barred and stack[-1].skip and not begun:
+        if first and not barred and stack[-1].skip and not (
+            articles or places.get("main") and len(out) > stack[places["main"][0]].start
+        ):
             # What holds the page's content is named after something else.
             for node in stack:
                 node.skip = False
         marked = bool(attributes) and tag not in ("html", "body") and not first and _marked(attributes)
         skip = stack[-1].skip or barred or marked
         names = sorted(v for n, v in _NAMES.findall(attributes) if n.lower() == "class") if attributes else []
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCKS:
+            open_blocks.append(len(stack))
+        if tag in _SCOPE or tag in _CONTENT:
+            open_scopes.append(len(stack))
         stack.append(_Open(tag, skip, barred, len(out), [" ".join([tag, *names]).encode("utf-8", "surrogatepass")]))
         if tag in _CONTENT:
             inside += 1
@@ -283,7 +295,9 @@ def extract_main_text(
     )
     found = subtree_hashes(
         keyed.where(F.col("_host").isNotNull() & F.col(html_col).isNotNull()).select("_page", "_host", html_col), html_col
-    ).select("_page", "_host", "_main", F.explode("_trees").alias("_tree"))
+    )
+    # Written, so that a page is parsed once for its hashes.
+    found = stage(found, "trees").select("_page", "_host", "_main", F.explode("_trees").alias("_tree"))
     # A theta sketch counts exactly up to its size and never shows less than that beyond it.
     exact = max(4, math.ceil(math.log2(min_pages + 1)))
     template = (
@@ -291,6 +305,8 @@ def extract_main_text(
         .agg(F.theta_sketch_estimate(F.theta_sketch_agg("_main", exact)).alias("n"))
         .where(F.col("n") >= min_pages).select("_host", "_tree")
     )
+    # Written too: a hot menu can be split in the join, and a small table need not be joined by a shuffle.
+    template = stage(template, "template")
     on_page = found.join(template, ["_host", "_tree"]).groupBy("_page").agg(F.collect_set("_tree").alias("_drop"))
     joined = keyed.join(on_page, "_page", "left").drop("_page", "_host")
     schema = with_columns([("text", T.StringType()), ("n_chars", T.LongType())], pages)

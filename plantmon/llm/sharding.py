@@ -227,7 +227,8 @@ def shard_documents(
         ), "documents",
     )
     linked = base.where(F.col("group").isNotNull())
-    shared = linked.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Written, so that Spark can split a hot group in the join.
+    shared = stage(linked.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     links = stage(linked.select("node", "group").join(shared, "group"), "links")
     labels = propagate_labels(base, links.select("node", "group"), shards, rounds)
     n = base.count()

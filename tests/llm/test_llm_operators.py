@@ -247,6 +247,28 @@ next<p>Second&nbsp;one.</p><div class="share-buttons">Share</div><ul><li>a<li>b<
 <section id="comments"><p>Reader</p></section></article><!-- <p>x</p> --><footer>&copy; {n}</footer></body></html>"""
 
 
+def test_html_deep_nesting_is_linear():
+    import time
+
+    def took(n, tag):
+        start = time.process_time()
+        assert html_text.walk(f"<{tag}>" * n + "x")[1] == ["x"]
+        return time.process_time() - start
+
+    for tag in ("div", "b", "p", "section"):
+        assert took(200_000, tag) < 60 * max(took(20_000, tag), 0.02)
+
+
+def test_html_keeps_columns_of_its_helpers_names(spark):
+    names = ["text", "n_chars", "_trees", "_host", "_drop", "_page", "_main", "_tree", "n"]
+    rows = [(i, f"http://h.example/{i}", f"<main><p>body {i}</p></main>", *[f"{c}{i}" for c in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{c} string" for c in names))
+    out = html_text.extract_main_text(df).orderBy("page_id").collect()
+    for i, r in enumerate(out):
+        assert r["text"] == f"body {i}" and r["n_chars"] == 6
+        assert all(r[c] == f"{c}{i}" for c in names[2:])
+
+
 def test_html(spark):
     pages = [(i, f"http://host.example/{i}", PAGE.format(before="", n=i)) for i in range(3)]
     plain = "<body><div><p>Site line</p></div><div><p>Own text {0} here</p><p>and {0} more</p></div>"
