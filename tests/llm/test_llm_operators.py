@@ -1,5 +1,7 @@
 """Every corpus operator against a plain version, and on awkward input."""
 
+import collections
+import math
 import os
 import random
 import sys
@@ -469,12 +471,60 @@ def test_compiled_network_is_the_network():
     assert np.allclose(net.compiled().features(windows), plain, atol=1e-4)
 
 
+def plain_tree(training, bounds):
+    """The suffix tree from plain counts of tuples, and the log10 probability of a token list."""
+    table = [[*brute.words((t or "").translate(brute.LOWER)), None] for t in training]
+    grams = collections.Counter()
+    for tokens in table:
+        for n in range(1, bounds.depth + 2):
+            grams.update(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+    words = {g[0]: n for g, n in grams.items() if len(g) == 1}
+    size, singles, doubles = sum(words.values()), *(sum(n == k for n in words.values()) for k in (1, 2))
+    held_back = min(0.9, max(0.1, singles / (singles + 2 * doubles))) if singles else 0.5
+    cost = 0.5 * math.log(max(2, size))
+    follow = collections.defaultdict(dict)
+    for g, n in grams.items():
+        if len(g) > 1 and n >= bounds.pair and grams[g[:-1]] >= bounds.string:
+            follow[g[:-1]][g[-1]] = n
+
+    def chance(context, word, states):
+        if not context:
+            return (words[word] - held_back) / size if word in words else held_back * len(words) / size
+        if context not in states:
+            return chance(context[1:], word, states)
+        n, total = follow[context].get(word, 0), grams[context]
+        escape = 1 - sum(m - bounds.discount for m in follow[context].values()) / total
+        return max(n - bounds.discount, 0) / total + escape * chance(context[1:], word, states)
+
+    kept = set()
+    for context, after in follow.items():
+        total = grams[context]
+        theirs = {w: chance(context[1:], w, follow) for w in after}
+        gain = sum(n / total * math.log(n / total / theirs[w]) for w, n in after.items())
+        rest = 1 - sum(after.values()) / total
+        if rest > 1e-12:
+            gain += rest * math.log(rest / max(1e-9, 1 - sum(theirs.values())))
+        if total * gain > cost * (len(after) + 1):
+            kept |= {context[i:] for i in range(len(context))}
+
+    def score(tokens):
+        out = 0.0
+        for t, word in enumerate(tokens):
+            context = ()
+            for d in range(1, bounds.depth + 1):
+                if t >= d and tuple(tokens[t - d : t]) in kept:
+                    context = tuple(tokens[t - d : t])
+            out += math.log10(chance(context, word, kept))
+        return out
+
+    return kept, words, lambda c, w: chance(c, w, kept), score
+
+
 def test_suffix_tree(spark, rows):
     table = [*rows, *[(2000 + i, rows[1][1]) for i in range(30)], (None, "x y"), rows[4]]
     held = [r for r in table if r[0] is not None and r[0] % 3 == 0]
     training = [r for r in table if not (r[0] is not None and r[0] % 3 == 0)]
-    bounds = suffix_tree.Bounds(word=1e-3, symbol=1e-3, context=2e-3, pair=1e-4)
-    out = suffix_tree.score_documents(documents(spark, table), documents(spark, training), bounds).collect()
+    out = suffix_tree.score_documents(documents(spark, table), documents(spark, training)).collect()
     counts = brute.word_counts([t for _, t in training])
     total, types = sum(counts.values()), len(counts)
     text = dict(table)
@@ -488,44 +538,52 @@ def test_suffix_tree(spark, rows):
     assert {r["_row"] for r in out} >= {"_row-1"}
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
     assert held
-    assert suffix_tree.score_documents(empty(spark), documents(spark, training), bounds).count() == 0
-    blank = suffix_tree.score_documents(documents(spark, [(1, "a b"), (2, None)]), empty(spark)).collect()
-    assert [(r["base_score"], r["score"], r["n_known"], r["train_tokens"]) for r in blank] == [(0.0, 0.0, 0, 0)] * 2
-
-
-def test_suffix_tree_states_are_distributions(spark, rows):
-    """Every state's probabilities sum to one, and scores follow from them word by word."""
-    bounds = suffix_tree.Bounds(word=1e-9, symbol=1e-9, context=1e-3, pair=1e-9, depth=3)
-    texts = documents(spark, [r for r in rows if r[0] < 60] * 3).select("text")
-    vocabulary = suffix_tree.learn_vocabulary(suffix_tree.word_counts(texts), bounds)
-    tree = suffix_tree.learn_tree(texts, vocabulary, bounds)
-    assert tree.depth >= 2 and len(tree.strings) > 10
-    everything = np.arange(len(vocabulary.keys))
-    known = {s: i for i, s in enumerate(tree.strings)}
-
-    def chance(string, word):
-        if not string:
-            return float(vocabulary.root(vocabulary.counts[[word]] if word >= 0 else np.zeros(1))[0])
-        i = known[string]
-        own = suffix_tree.found(tree.pairs, np.asarray([(i << 22) + word]), tree.own, 0.0)[0] if word >= 0 else 0.0
-        return own + tree.escape[i] * chance(string[1:], word)
-
-    for string in [*tree.strings[:5], *tree.strings[-5:]]:
-        assert abs(sum(chance(string, w) for w in everything.tolist()) + chance(string, -1) - 1) < 1e-6
-    sample = [r for r in rows if r[0] in (1, 8, 30)]
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(documents(spark, sample), texts, bounds).collect()}
-    for i, text in sample:
-        numbers = [vocabulary.number(suffix_tree.word_key(w.encode() if w else suffix_tree.END)) for w in [*brute.words(text.translate(brute.LOWER)), None]]
-        want = 0.0
-        for t, w in enumerate(numbers):
-            state = ()
-            for d in range(1, tree.depth + 1):
-                if t >= d and (numbers[t - d], *state) in known:
-                    state = (numbers[t - d], *state)
-                else:
-                    break
-            want += np.log10(chance(state, w))
-        assert got[i] == pytest.approx(want, abs=1e-6)
+    assert suffix_tree.score_documents(empty(spark), documents(spark, training)).count() == 0
+    for bounds in (None, suffix_tree.Bounds(held=-1)):
+        blank = suffix_tree.score_documents(documents(spark, [(1, "a b"), (2, None)]), empty(spark), bounds).collect()
+        assert [(r["base_score"], r["score"], r["n_known"], r["train_tokens"]) for r in blank] == [(0.0, 0.0, 0, 0)] * 2
+
+
+@pytest.mark.parametrize("held", [1 << 23, 0])
+def test_suffix_tree_equals_plain_counts(spark, rows, held):
+    """Scores equal those of a tree built from tuples in plain Python, held by tasks or joined."""
+    bounds = suffix_tree.Bounds(held=held)
+    training = [*[r for r in rows if r[0] < 60] * 2, *[r for r in rows if r[0] % 2]]
+    training += [(500 + k, f"start{k} common middle end{k}") for k in range(6) for _ in range(40)]
+    kept, words, chance, score = plain_tree([t for _, t in training], bounds)
+    assert {len(c) for c in kept} == {1, 2, 3} and len(kept) > 30
+    for context in [*sorted(kept)[:5], max(kept, key=len)]:
+        assert abs(sum(chance(context, w) for w in words) + chance(context, "\0unknown") - 1) < 1e-6
+    table = [*rows, (900, None), (901, ""), (902, "of of zzzzz the　x"), (None, rows[1][1]), rows[1], training[-1]]
+    got = suffix_tree.score_documents(documents(spark, table), documents(spark, training), bounds).collect()
+    assert len(got) == len(table)
+    text = dict(table)
+    for r in got:
+        tokens = [*brute.words((text[r["doc_id"]] or "").translate(brute.LOWER)), None]
+        assert r["n_tokens"] == len(tokens) and r["score"] == pytest.approx(score(tokens), abs=1e-6)
+        assert r["n_known"] == sum(w in words for w in tokens)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Twice the material gives twice the states; a bitmap lets every key through that it was given."""
+    sizes = []
+    for n in (20, 40):
+        texts = [(i, " ".join(f"w{i}x{j}" for j in range(6))) for i in range(n) for _ in range(10)]
+        table = documents(spark, texts).select("text")
+        counted = suffix_tree.word_counts(table)
+        tree = suffix_tree.learn_tree(table, counted, suffix_tree.totals(counted), suffix_tree.Bounds())
+        sizes.append(tree.where("escape IS NOT NULL").count())
+    assert sizes[0] >= 20 and sizes[1] >= 2 * sizes[0]
+    keys = spark.range(5000).selectExpr("shiftrightunsigned(xxhash64(id), 1) AS key")
+    bitmap = suffix_tree.marks(keys)
+    values = keys.toArrow().column("key").to_numpy()
+    assert suffix_tree.marked(bitmap, values).all() and suffix_tree.marked(bitmap, values + 1).mean() < 0.01
+    pairs = keys.selectExpr("key AS a", "key + 7 AS b").select("a", "b", suffix_tree._joined_key("a", "b").alias("c")).toArrow()
+    a, b, c = (pairs.column(x).to_numpy() for x in "abc")
+    assert (suffix_tree.joined_key(a, b) == c).all()
+    places = suffix_tree.Lookup(values)
+    assert (places.keys[places.find(values)] == values).all() and (places.find(np.append(values + 1, -1)) == -1).all()
+    assert (suffix_tree.Lookup(values[:0]).find(values) == -1).all()
 
 
 @pytest.mark.parametrize("seed", range(5))
