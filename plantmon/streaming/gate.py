@@ -349,7 +349,10 @@ class Idle:
 
 
 def _sorted(rows: Iterator[pd.DataFrame], index: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(index, kind="stable")
+    parts = list(rows)
+    whole = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    at = whole[index].to_numpy()
+    return whole if (at[1:] >= at[:-1]).all() else whole.take(np.argsort(at, kind="stable"))
 
 
 def gate_stream(
@@ -376,18 +379,21 @@ def gate_stream(
             self._memory = handle.getValueState("gate", _STATE)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            kept = self._memory.get() if self._memory.exists() else None
+            kept = self._memory.get()
             s = GateState(*kept) if kept is not None else GateState()
             batch = _sorted(rows, index)
             at = batch[index].to_numpy(np.int64)
-            mode, anchor, resets = gate_walk(s, rule, at, batch[stage_col].astype(str).to_numpy(), batch[score].to_numpy(float))
+            scores, stages = batch[score].to_numpy(float), batch[stage_col].astype(str).to_numpy()
+            mode, anchor, resets = gate_walk(s, rule, at, stages, scores)
             self._memory.update((s.last_index, s.stage, s.seen, s.candidate, s.anchor, s.resets, s.started))
             if idle is not None:
                 idle.restart(self._handle, batch[idle.time])
-            known = pd.Series(anchor, index=batch.index, dtype="Int64").where(anchor >= 0)
-            yield batch[names].assign(
-                **{score: batch[score].astype(float)}, mode=mode, anchor_index=known, anchor_age=at - known, reset_count=resets
-            )
+            # One frame from plain arrays: an episode brings few records, so the making of frames is most of the cost.
+            none = anchor < 0
+            yield pd.DataFrame({
+                **{n: batch[n].to_numpy() for n in names}, score: scores, "mode": mode,
+                "anchor_index": pd.arrays.IntegerArray(anchor, none), "anchor_age": pd.arrays.IntegerArray(at - anchor, none), "reset_count": resets,
+            })
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             self._memory.clear()

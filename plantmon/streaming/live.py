@@ -29,16 +29,17 @@ class Replay:
     ``records`` is the streaming table. A slice is written by as many tasks as
     the table has partitions; the next one appears only when the query has
     consumed it, so records keep their order across slices however many files
-    a slice has. There are as many slices as ``batch_rows`` asks for, which
-    bounds what a micro-batch, and so one episode, brings at a time. An empty
-    table is one empty slice.
+    a slice has. A slice spans at most ``batch_rows`` values of ``order``, which
+    bounds what one episode brings at a time. Their number follows the longest
+    episode, not the number of episodes: every slice wakes every episode it
+    holds. An empty table is one empty slice.
     """
 
     def __init__(self, df: DataFrame, order: str, slices: int = 3, batch_rows: int = 1_000_000) -> None:
         spark = df.sparkSession
         low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
         low, high = (0, 0) if low is None else (low, high)
-        slices = max(slices, -(-rows // batch_rows))
+        slices = max(slices, -(-min(rows, high - low + 1) // batch_rows))
         width = max(1, -(-(high - low + 1) // slices))
         cuts = [low + i * width for i in range(slices)]
         at = F.col(order)

@@ -201,6 +201,15 @@ def test_replay_bounds_its_batches(spark):
     assert drain(empty.records, empty).count() == 0
 
 
+def test_replay_slices_follow_the_longest_episode(spark):
+    from plantmon.streaming.live import Replay
+
+    df = spark.range(4000).selectExpr("id div 40 AS e", "id % 40 AS i")
+    replay = Replay(df, "i", slices=3, batch_rows=20)
+    assert len(replay._parts) == 3 and sum(p.count() for p in replay._parts) == 4000
+    assert max(r["count"] for p in replay._parts for r in p.groupBy("e").count().collect()) <= 20
+
+
 def test_row_count_and_covariance_method_are_checked(spark, tmp_path):
     from plantmon.plans import stage
     from plantmon.sources import manifest
