@@ -8,16 +8,19 @@ import struct
 import zipfile
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from plantmon.sources.ranges import open_file
 
 PART_BYTES = 32 << 20
+RANGES = 10_000  # files and ranges that the driver may plan as tasks of their own
+TASK_FILES = 256
 
 
 @dataclass(frozen=True)
@@ -130,7 +133,7 @@ class ArrayReader(DataSourceReader):
         self.names = schema.fieldNames()[3:]
         self.columns = [[int(n[1:]) for n in self.names if n[0] == side] for side in "xy"]
 
-    def _parts(self, url: str) -> list[RowRange]:
+    def parts(self, url: str) -> list[RowRange]:
         found = describe_file(url)
         if "x" not in found and len(found) != 1:
             raise ValueError(f"{url}: needs an array 'x' or exactly one array")
@@ -146,7 +149,7 @@ class ArrayReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         with ThreadPoolExecutor(16) as pool:
-            found = [p for parts in pool.map(self._parts, self.paths) for p in parts]
+            found = [p for parts in pool.map(self.parts, self.paths) for p in parts]
         return found or [RowRange("", [], 0, 0)]
 
     def _chunks(self, part: RowRange) -> Iterator[list[np.ndarray]]:
@@ -191,6 +194,30 @@ class ArrayFiles(DataSource):
         return ArrayReader(dict(self.options), schema)
 
 
+def read_in_tasks(files: DataFrame, schema: StructType, options: dict[str, str], tasks: int) -> DataFrame:
+    """The same rows where files or ranges are many: tasks read the headers, and a task takes several ranges.
+
+    Neither paths nor ranges pass through the driver, and ``tasks`` does not grow with a small ``part_bytes``.
+    """
+    settings = {**options, "paths": "[]"}
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = ArrayReader(settings, schema)
+        for batch in batches:
+            for url in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"part": [json.dumps(asdict(p)) for p in reader.parts(url)]}, pa.schema([("part", pa.string())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = ArrayReader(settings, schema)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                part = json.loads(text)
+                yield from reader.read(RowRange(part["url"], [Stored(**a) for a in part["arrays"]], part["start"], part["stop"]))
+
+    ranges = files.select("path").repartition(tasks).mapInArrow(describe, "part string")
+    return ranges.repartition(tasks).mapInArrow(read, schema)
+
+
 def array_schema(x_width: int, y_width: int, columns: Sequence[str] | None = None) -> StructType:
     names = [f"x{i}" for i in range(x_width)] + [f"y{i}" for i in range(y_width)]
     lost = [c for c in columns or [] if c not in names]

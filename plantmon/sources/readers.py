@@ -65,7 +65,8 @@ def read_arrays(
     """``.npy`` and ``.npz`` files of any size: ``source, key, raw_index, x0.., y0..``.
 
     Headers tell where the numbers lie, so a file is cut into ranges of about
-    ``part_bytes``, each read by a task of its own, ``chunk`` rows at a time. With
+    ``part_bytes``, each read by a task of its own, ``chunk`` rows at a time; of
+    more than ``arrays.RANGES`` files and ranges a task takes several. With
     ``columns`` only these are returned; of an array kept by columns the others
     are not read. Compressed archives have no ranges: one task unpacks such a file
     as a stream. A store that only Spark reaches is read a file a record.
@@ -75,10 +76,15 @@ def read_arrays(
         whole = spark.read.format("binaryFile").load(path).select("path", "content")
         schema = arrays.array_schema(x_width, y_width, columns)
         return decode_arrays(whole, x_width, y_width, chunk=chunk).select(*schema.fieldNames())
+    schema = arrays.array_schema(x_width, y_width, columns)
+    options = {"x_width": x_width, "y_width": y_width, "part_bytes": part_bytes, "chunk": chunk}
+    size = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    if size["files"] + size["bytes"] // part_bytes > arrays.RANGES:
+        tasks = max(spark.sparkContext.defaultParallelism, size["files"] // arrays.TASK_FILES, size["bytes"] // arrays.PART_BYTES)
+        return arrays.read_in_tasks(files, schema, options, min(tasks, arrays.RANGES))
     paths = sorted(r["path"] for r in files.select("path").collect())
     spark.dataSource.register(arrays.ArrayFiles)
-    options = {"paths": json.dumps(paths), "x_width": x_width, "y_width": y_width, "part_bytes": part_bytes, "chunk": chunk}
-    return spark.read.format("array_files").schema(arrays.array_schema(x_width, y_width, columns)).options(**options).load()
+    return spark.read.format("array_files").schema(schema).options(paths=json.dumps(paths), **options).load()
 
 
 def decode_arrays(

@@ -47,6 +47,23 @@ def test_row_ranges_of_one_file_are_read_by_several_tasks(spark, tmp_path):
     assert readers.read_arrays(spark, str(tmp_path / "none.npy"), 3).count() == 0
 
 
+def test_many_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    x = np.arange(3_000.0).reshape(1_000, 3)
+    for i in range(4):
+        np.savez(tmp_path / f"f{i}.npz", x=x + i, y=x[:, 0])
+    np.savez_compressed(tmp_path / "packed.npz", x=x, y=x[:, 0])
+    np.savez(tmp_path / "none.npz", x=x[:0], y=x[:0, 0])
+
+    def rows():
+        df = readers.read_arrays(spark, str(tmp_path), 3, 1, columns=["x2", "y0"], part_bytes=512)
+        return df.rdd.getNumPartitions(), sorted(map(tuple, df.collect()))
+
+    parts, want = rows()
+    monkeypatch.setattr(arrays, "RANGES", 20)
+    fewer, got = rows()
+    assert parts > 200 and fewer <= 20 and got == want and len(got) == 5_000
+
+
 def test_array_reads_stay_small(tmp_path, monkeypatch):
     np.save(tmp_path / "c.npy", np.asfortranarray(np.arange(40_000.0).reshape(10_000, 4)))
     asked = []
