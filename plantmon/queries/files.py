@@ -262,13 +262,16 @@ def _metric_log(spark, sf):
 @query("manifest_mismatches", """SELECT url AS name, CASE WHEN page_id % 5 = 0 THEN 'not indexed' WHEN page_id % 7 = 0 THEN 'changed' END AS problem
     FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0 UNION ALL SELECT url || '?gone', 'missing' FROM pages WHERE page_id % 11 = 0""")
 def _mismatches(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
+    # Two pages may share a url; a file's name in the index is its own, so the number stands in front of it.
+    path, content = F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("path"), F.coalesce("html", F.lit("")).alias("content")
+    pages = table(spark, sf, "pages").select("page_id", path, content)
     have = manifest.content_manifest(pages.drop("page_id")).select(F.col("path").alias("name"), "sha256")
     # The index lacks some files, holds another hash for some, and names some that are gone.
     other = F.when(F.col("page_id") % 7 == 0, F.sha2(F.concat("content", F.lit("x")), 256)).otherwise(F.sha2("content", 256))
     index = pages.where("page_id % 5 <> 0").select(F.col("path").alias("name"), other.alias("sha256"))
     gone = pages.where("page_id % 11 = 0").select(F.concat("path", F.lit("?gone")).alias("name"), F.lit("0").alias("sha256"))
-    return manifest.manifest_mismatches(have, index.unionByName(gone))
+    found = manifest.manifest_mismatches(have, index.unionByName(gone))
+    return found.withColumn("name", F.regexp_replace("name", "^[^ ]* ", ""))
 
 
 NATIONS = "(SELECT c_nationkey AS k, 'nation_' || c_nationkey || '.txt' AS name, string_agg(c_name, chr(10) ORDER BY c_custkey) AS content FROM customer GROUP BY c_nationkey)"

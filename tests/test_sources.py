@@ -107,6 +107,16 @@ def test_bad_array_files_are_refused(spark, tmp_path):
         readers.read_arrays(spark, str(tmp_path / "two.npz"), 1, columns=["x9"])
 
 
+def test_pages_of_one_url_are_files_of_their_own(spark, tmp_path):
+    from plantmon.queries import QUERIES
+
+    pages = [(i, f"http://a.example/{i % 7}", f"text {i}") for i in range(40)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, QUERIES["manifest_mismatches"].run(spark, str(tmp_path)).select("name", "problem").collect()))
+    want = [(u, "not indexed" if i % 5 == 0 else "changed") for i, u, _ in pages if i % 5 == 0 or i % 7 == 0]
+    assert got == sorted(want + [(u + "?gone", "missing") for i, u, _ in pages if i % 11 == 0])
+
+
 def test_hash_tree_finds_the_changed_range_and_rereads_no_more(spark, tmp_path, monkeypatch):
     (tmp_path / "a.bin").write_bytes(bytes(range(256)) * 40)
     (tmp_path / "b.bin").write_bytes(b"b" * 1_000)
