@@ -4,7 +4,7 @@ from plantmon.plans.groups import fold_groups
 from plantmon.plans.joins import lookup
 from plantmon.plans.ordered import over_frames, positions, row_positions, running
 from plantmon.plans.quantiles import exact_quantiles, grouped_quantiles
-from plantmon.plans.ranking import hash_rank, rank_within
+from plantmon.plans.ranking import hash_rank, rank_across, rank_within
 from plantmon.plans.staging import released, stage, staging_root
 
 __all__ = [
@@ -15,6 +15,7 @@ __all__ = [
     "lookup",
     "over_frames",
     "positions",
+    "rank_across",
     "rank_within",
     "released",
     "row_positions",

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantmon.plans import (
-    exact_quantiles, grouped_quantiles, hash_rank, lookup, over_frames, positions, rank_within, running,
+    exact_quantiles, grouped_quantiles, hash_rank, lookup, over_frames, positions, rank_across, rank_within, running, stage,
 )
-from plantmon.plans import joins
+from plantmon.plans import joins, ranking
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +123,38 @@ def test_lookup_agrees_beyond_the_broadcast_bound(spark, table):
         assert big.orderBy(*order).collect() == small
     inner = lookup(df, dim, "episode", "inner", broadcast_rows=1, hot_share=0.1)
     assert inner.count() == sum(r.name is not None for r in small) and joins.SALTS > 1
+
+
+def _nested(rows):
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    return {(k, v, i, len(vs)) for k, vs in groups.items() for i, v in enumerate(sorted(vs))}
+
+
+@pytest.mark.parametrize("most", [0, 50, 1_000])
+def test_rank_within_splits_large_groups_and_keeps_null_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(ranking, "GROUP_ROWS", most)
+    rows = [(k, 3 * v % 1009) for k, n in ((1, 200), (2, 7), (3, 1), (None, 60)) for v in range(n)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint").repartition(5)
+    got = rank_within(df, ["k"], ["v"], "at", size_name="n")
+    assert got.columns == ["k", "v", "at", "n"]
+    assert {tuple(r) for r in got.collect()} == _nested(rows) and got.count() == len(rows)
+
+
+def test_rank_within_moves_a_row_once_without_a_join(spark, monkeypatch):
+    df = spark.range(3_000).select((F.col("id") % 700).alias("k"), "id")
+    monkeypatch.setattr(ranking, "stage", lambda table, label="stage": table if label == "ranked" else stage(table, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rank_within(df, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_rank_across_orders_all_rows_by_group_and_place(spark):
+    rows = [(k, i) for k, n in ((5, 9), (1, 30), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k bigint, i bigint").repartition(4)
+    got = sorted(tuple(r) for r in rank_across(df, ["k"], "i", "at").collect())
+    assert got == [(k, i, at) for at, (k, i) in enumerate(sorted(rows))]
