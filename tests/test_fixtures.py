@@ -261,6 +261,28 @@ def test_holdout_slices_match_an_exhaustive_greedy(spark, monkeypatch, nodes):
     assert splits.choose_holdout(splits.slice_ids(df.where("false"), "pos", 10), "x", 5) == []
 
 
+def test_holdout_reads_few_jobs_however_many_slices_it_takes(spark, monkeypatch):
+    monkeypatch.setattr(splits, "NODES", (2, 16))
+    rng = np.random.default_rng(8)
+    df = frame(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(size=600), rng.integers(0, 40, 600)))], "pos bigint, x double, y double")
+    sliced = splits.slice_ids(df, "pos", 10)
+
+    def chosen(rows):
+        group = f"holdout-{rows}-{rng.random()}"
+        spark.sparkContext.setJobGroup(group, "holdout")
+        try:
+            return splits.choose_holdout(sliced, ["x", "y"], rows), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    few, many = chosen(20), chosen(160)
+    assert len(many[0]) == 16 and many[1] <= few[1] + 10
+    monkeypatch.setattr(splits, "HELD_VALUES", 0)
+    read = splits.choose_holdout(sliced, ["x", "y"], 60)
+    monkeypatch.undo()
+    assert splits.choose_holdout(sliced, ["x", "y"], 60) == read
+
+
 def test_dynamic_split_keeps_a_train_slice_and_refuses_too_many(spark, monkeypatch):
     df = frame(spark, [(i, float(i % 7)) for i in range(40)], "pos bigint, x double")
     out = splits.split_dynamic(df, "pos", "x", length=10, test_ratio=0.95)
