@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from plantmon.functions.numeric import half_even
 from plantmon.plans import exact_quantiles, grouped_quantiles, hash_rank, lookup, over_frames, positions, rank_within, running, stage
@@ -635,6 +636,56 @@ def overlaps(members: DataFrame, item: str, owner: str) -> DataFrame:
     return ends.where(F.col("first_owner") != F.col("last_owner"))
 
 
+def span_ends(spans: DataFrame, owner: str, start: str, stop: str) -> DataFrame:
+    """(owner, at, step): +1 where half-open spans begin, -1 where they end.
+
+    Spans of up to 64 positions are bits of two words of 64 positions. Bits of an
+    owner's word are united before the shuffle, so spans that lie close together
+    move as one row, and only the ends of what they cover together are left.
+    """
+    a, b = f"CAST(`{start}` AS BIGINT)", f"CAST(`{stop}` AS BIGINT)"
+    bounds = spans.select(owner, F.expr(a).alias("_a"), F.expr(b).alias("_b"))
+    bits = "shiftrightunsigned(-1L, CAST(64 - (_b - _a) AS INT))"
+    low, word, none = "CAST(_a & 63 AS INT)", "shiftright(_a, 6)", "CAST(NULL AS BIGINT)"
+    over = f"CASE WHEN {low} = 0 THEN 0L ELSE shiftrightunsigned({bits}, 64 - {low}) END"
+
+    def row(word: str, bits: str, at: str, step: int) -> str:
+        return f"named_struct('_word', {word}, '_bits', {bits}, 'at', {at}, 'step', {step})"
+
+    short = f"array({row(word, f'shiftleft({bits}, {low})', none, 0)}, {row(f'{word} + 1', over, none, 0)})"
+    long = f"array({row(none, '0L', '_a', 1)}, {row(none, '0L', '_b', -1)})"
+    pieces = bounds.select(owner, F.expr(f"inline(CASE WHEN _b > _a AND _b - _a <= 64 THEN {short} ELSE {long} END)"))
+    united = pieces.groupBy(owner, "_word", "at").agg(F.bit_or("_bits").alias("_bits"), F.sum("step").alias("step"))
+
+    def edges(bits: str, at: str, step: int) -> str:
+        places = f"filter(sequence(0, 63), i -> shiftright({bits}, i) & 1 = 1)"
+        return f"transform({places}, i -> named_struct('at', {at}, 'step', {step}L))"
+
+    begin = edges("_bits & ~shiftleft(_bits, 1)", "_word * 64 + i", 1)
+    end = edges("_bits & ~shiftrightunsigned(_bits, 1)", "_word * 64 + i + 1", -1)
+    kept = "array(named_struct('at', at, 'step', step))"
+    return united.select(owner, F.expr(f"inline(CASE WHEN _word IS NULL THEN {kept} ELSE concat({begin}, {end}) END)"))
+
+
+def shared_items(members: DataFrame, item: str, owner: str) -> DataFrame:
+    """How many integer items two or more owners claim, one row; counts :func:`overlaps`.
+
+    Items are bits of words, one row for an owner and word; an item without a
+    value is one of its own. Items of other types are grouped as they are.
+    """
+    if not isinstance(members.schema[item].dataType, IntegralType):
+        return overlaps(members, item, owner).agg(F.count(F.lit(1)).alias("shared"))
+    place = F.col(item).cast("long")
+    bit = F.coalesce(F.expr("shiftleft(1L, CAST(_item & 63 AS INT))"), F.lit(1).cast("long"))
+    words = members.where(F.col(owner).isNotNull()).select(owner, place.alias("_item")).groupBy(owner, F.shiftright("_item", 6).alias("_word")).agg(
+        F.bit_or(bit).alias("_bits")
+    )
+    earlier = Window.partitionBy("_word").orderBy(owner).rowsBetween(Window.unboundedPreceding, -1)
+    twice = words.select("_word", F.col("_bits").bitwiseAND(F.bit_or("_bits").over(earlier)).alias("_twice"))
+    per_word = twice.groupBy("_word").agg(F.bit_or("_twice").alias("_twice"))
+    return per_word.agg(F.coalesce(F.sum(F.bit_count("_twice")), F.lit(0)).cast("long").alias("shared"))
+
+
 def window_rows(windows: DataFrame, start: str, span: int) -> DataFrame:
     """Every raw row a window depends on, once per window."""
     return windows.withColumn(
@@ -646,13 +697,12 @@ def shared_length(spans: DataFrame, owner: str, start: str, stop: str, *, size:
     """How many positions the half-open spans of two or more owners cover, one row.
 
     Span ends are put on one line and counted, first per owner, so that its own
-    overlapping spans become one, then over all owners. A span costs two rows
-    whatever its length.
+    overlapping spans become one, then over all owners. A long span costs two rows
+    whatever its length; short ones, such as windows that overlap each other, are
+    first laid over one another, see :func:`span_ends`. Ends that meet cancel.
     """
-    ends = spans.select(owner, F.col(start).alias("at"), F.lit(1).alias("step")).unionByName(
-        spans.select(owner, F.col(stop).alias("at"), F.lit(-1).alias("step"))
-    )
-    steps = ends.groupBy(owner, "at").agg(F.sum("step").alias("step"))
+    ends = span_ends(spans, owner, start, stop)
+    steps = ends.groupBy(owner, "at").agg(F.sum("step").alias("step")).where("step != 0")
     depth = running(steps, [owner], "at", {"depth": ("sum", F.col("step"))}, size=size)
     turn = (F.col("depth") > 0).cast("int") - (F.col("depth") - F.col("step") > 0).cast("int")
     turns = depth.select("at", turn.alias("step")).groupBy("at").agg(F.sum("step").alias("step"))
@@ -668,8 +718,8 @@ def check_disjoint(staged: DataFrame, pos: str, raw: str, windows: DataFrame,
     rows = staged.where(F.col("stage").isNotNull())
     dependencies = windows.select("stage", F.col("raw_start").alias("_a"), (F.col("raw_start") + span).alias("_b"))
     kinds = {
-        "positions": overlaps(rows, pos, "stage").agg(F.count("*").alias("shared")),
-        "raw_rows": overlaps(rows, raw, "stage").agg(F.count("*").alias("shared")),
+        "positions": shared_items(rows, pos, "stage"),
+        "raw_rows": shared_items(rows, raw, "stage"),
         "window_rows": shared_length(dependencies, "stage", "_a", "_b"),
         "episode_rows": shared_length(episodes.where("complete"), "stage", "start", "stop"),
     }

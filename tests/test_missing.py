@@ -178,6 +178,39 @@ def test_shared_length_counts_each_position_once(spark):
     assert splits.shared_length(df.where("false"), "o", "s", "e").first()["shared"] == 0
 
 
+def test_spans_and_items_that_lie_close_together_move_as_words(spark):
+    import random
+
+    random.seed(4)
+    spans = [(random.choice("abc"), s, s + random.choice([0, 1, 6, 36, 63, 64, 65, 200])) for s in random.sample(range(-700, 2_000), 60)]
+    df = spark.createDataFrame(spans, "o string, s long, e long")
+    owners = {}
+    for o, s, e in spans:
+        for p in range(s, e):
+            owners.setdefault(p, set()).add(o)
+    depth, covered = {}, {(o, p) for p, found in owners.items() for o in found}
+    for r in splits.span_ends(df, "o", "s", "e").collect():
+        depth.setdefault(r["o"], []).append((r["at"], r["step"]))
+    for o, steps in depth.items():
+        for p in range(-800, 2_300):
+            assert ((o, p) in covered) == (sum(step for at, step in steps if at <= p) > 0)
+    found = df.where("s >= 0")
+    owners = {}
+    for o, s, e in spans:
+        for p in range(s, e) if s >= 0 else ():
+            owners.setdefault(p, set()).add(o)
+    assert splits.shared_length(found, "o", "s", "e").first()["shared"] == sum(len(v) > 1 for v in owners.values())
+    windows = spark.range(0, 64_000, 2).select(F.lit("a").alias("o"), F.col("id").alias("s"), (F.col("id") + 6).alias("e"))
+    assert splits.span_ends(windows, "o", "s", "e").count() <= 2_100
+
+    items = [(random.choice("abcd"), random.choice([None, *range(-100, 200)])) for _ in range(400)]
+    df = spark.createDataFrame([*items, ("a", None), ("b", None), (None, 1_000), ("a", 1_000)], "o string, i int")
+    want = splits.overlaps(df, "i", "o").count()
+    assert splits.shared_items(df, "i", "o").first()["shared"] == want
+    assert splits.shared_items(df.where("false"), "i", "o").first()["shared"] == 0
+    assert splits.shared_items(df.withColumn("i", F.col("i") / 2), "i", "o").first()["shared"] == want
+
+
 def test_staged_tables_of_a_chain_are_released(spark):
     from plantmon.plans import released, stage
 
