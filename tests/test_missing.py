@@ -363,3 +363,15 @@ def test_too_many_classes_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([(i, i % 2) for i in range(4)], "t int, p int")
     with pytest.raises(ValueError, match="confusion_counts"):
         metrics.confusion_matrix(df, "t", "p")
+
+
+def test_score_files_follow_the_rows(spark, tmp_path):
+    from plantmon.sources import sinks
+
+    df = spark.range(1_000).select(F.when(F.col("id") < 900, "a").when(F.col("id") < 950, "b").alias("stage"), "id")
+    path = str(tmp_path / "scores")
+    sinks.write_scores(df, path, files_per_stage=2, file_rows=100)
+    back = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    files = {r["stage"]: r["n"] for r in back.groupBy("stage").agg(F.countDistinct("file").alias("n")).collect()}
+    assert files["a"] > 2 and files["b"] <= 2 and files[None] <= 2
+    assert sorted(r["id"] for r in back.collect()) == list(range(1_000))
