@@ -16,6 +16,8 @@ from plantmon.plans.ordered import BLOCK_ROWS
 
 # Fixed value: normal quantile of the 95 % interval.
 Z95 = 1.96
+# Runs of a key that one task folds in a round.
+FOLD_ROWS = 262_144
 
 
 def leaderboard(runs: DataFrame, trial: Sequence[str], metrics: Sequence[str],
@@ -100,16 +102,17 @@ def _fold(cur: tuple | None, rows: Iterable[tuple], eps: float) -> tuple | None:
 
 
 def best_run(runs: DataFrame, key: Sequence[str], order: str, rmse: str = "rmse", r2: str = "r2",
-             eps: float = 0.0, *, size: int = BLOCK_ROWS) -> DataFrame:
+             eps: float = 0.0, *, size: int = BLOCK_ROWS, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Best run per key: lowest RMSE, a higher R2 among runs within ``eps`` of it.
 
     Without a tolerance this is one aggregate. With one the outcome depends on
     the order of arrival, as each accepted run moves the reference. A key's runs
     are cut into blocks; from the last run that wins in any case on, a round
     finds, for all keys at once, the next block
-    holding a run that beats the current best and folds that block alone. So no
-    task sees more than one block of a key, and blocks without an improvement
-    are only scanned. A missing RMSE never wins; a missing R2 loses to any.
+    holding a run that beats the current best and folds it with the blocks behind
+    it, ``fold_rows`` runs in all. So no task sees more than that of a key, blocks
+    without an improvement are only scanned, and there are at most as many rounds
+    as a key has such stretches, however often its best changes. A missing RMSE never wins; a missing R2 loses to any.
     """
     key = list(key)
     fields = [order, rmse, r2]
@@ -145,10 +148,11 @@ def best_run(runs: DataFrame, key: Sequence[str], order: str, rmse: str = "rmse"
         out = pd.DataFrame([best], columns=fields)
         for k in key:
             out[k] = first[k]
-        out["_block"] = first["_block"]
+        out["_block"] = pdf["_block"].max()
         out[r2] = out[r2].astype(object).where(out[r2].notna(), None)
         return out[[f.name for f in schema]]
 
+    stretch = max(1, fold_rows // size)
     state = winners.select(*key, "b.*", F.lit(-1).cast("long").alias("_block"))
     while True:
         now = state.select(*key, *[F.col(c).alias(o) for c, o in zip(fields, old, strict=True)],
@@ -160,11 +164,12 @@ def best_run(runs: DataFrame, key: Sequence[str], order: str, rmse: str = "rmse"
             F.col(old[2]).isNull() | (F.col(r2) > F.col(old[2]) + F.lit(eps))
         )
         better = ahead.where(lower | (near & richer))
-        target = stage(better.groupBy(*key).agg(F.min("_block").alias("_block")), "next")
+        target = stage(better.groupBy(*key).agg(F.min("_block").alias("_from")), "next")
         if not target.take(1):
             return state.drop("_block")
-        block = lookup(rows, target, [*key, "_block"], "inner", hot_share=None)
-        todo = lookup(block, now.drop("_done"), key, "inner")
+        todo = lookup(rows, target.join(now.drop("_done"), key), key, "inner").where(
+            (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_from") + stretch)
+        ).drop("_from")
         folded = stage(todo.groupBy(*key).applyInPandas(fold_block, schema), "folded")
         state = stage(state.join(folded, key, "left_anti").unionByName(folded), "best")
 

@@ -157,6 +157,24 @@ def test_steadily_improving_runs_need_no_rounds(spark, monkeypatch):
     assert staged.count("folded") <= 6
 
 
+def test_runs_that_win_again_and_again_take_one_round(spark, monkeypatch):
+    from plantmon.operators import runs
+
+    rows = [(0, i, 1.0 + i % 3 * 0.004, 0.1 * (i + i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, i long, rmse double, r2 double")
+    cur = rows[0]
+    for row in rows:
+        if row[2] < cur[2] - 0.01 or (abs(row[2] - cur[2]) <= 0.01 and row[3] > cur[3] + 0.01):
+            cur = row
+    staged = []
+    real = runs.stage
+    monkeypatch.setattr(runs, "stage", lambda frame, label="stage": staged.append(label) or real(frame, label))
+    assert [r["i"] for r in runs.best_run(df, ["k"], "i", eps=0.01, size=50).collect()] == [cur[1]]
+    assert staged.count("folded") == 1
+    assert [r["i"] for r in runs.best_run(df, ["k"], "i", eps=0.01, size=50, fold_rows=100).collect()] == [cur[1]]
+    assert staged.count("folded") == 4
+
+
 def test_block_mask_hides_and_shows_something(spark):
     from plantmon.operators import masks
 
