@@ -319,14 +319,14 @@ def pack_documents(
     ``ids`` if asked for). Repeated rows and null ids are packed like any other
     row. An empty table gives an empty table.
 
-    The pieces are staged once with a running number per task and length. One
-    row per task and length gives the first rank of each; the plan, whose size
-    depends on ``capacity`` and ``groups`` only, goes to all tasks.
+    The pieces are staged once, and nothing else, with a running number per task
+    and length. One row per task and length gives the first rank of each; the plan,
+    whose size depends on ``capacity`` and ``groups`` only, goes to all tasks.
     """
     pieces = stage(
         tokenized_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids), "pieces"
     )
-    counts = stage(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("rows")), "lengths")
+    counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("rows"))
     totals = counts.groupBy("length").agg(F.sum("rows").alias("rows")).collect()  # capacity rows at most
     places = place_table(plan_packing({r["length"]: r["rows"] for r in totals}, capacity, groups))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

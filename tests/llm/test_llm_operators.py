@@ -351,6 +351,15 @@ def test_packing_round_trip(spark, rows):
     assert packing.pack_documents(empty(spark), tokenizer()).count() == 0
 
 
+def test_packing_stages_the_pieces_alone(spark, monkeypatch):
+    staged = []
+    real = packing.stage
+    monkeypatch.setattr(packing, "stage", lambda frame, label="stage": staged.append(label) or real(frame, label))
+    table = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(200)], "doc_id long, text string")
+    assert packing.pack_documents(table, tokenizer(), capacity=64).select("doc_id").distinct().count() == 200
+    assert staged == ["pieces"]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_plan(seed):
     draw = random.Random(seed)
