@@ -8,6 +8,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -595,6 +596,27 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     assert (suffix_tree.Lookup(values[:0]).find(values) == -1).all()
 
 
+def test_suffix_tree_hands_on_small_batches():
+    """A batch of long texts leaves in pieces, so its windows are never all in memory."""
+    texts = pa.RecordBatch.from_arrays([pa.array(["word " * 40_000] * 20)], names=["text"])
+    got = list(suffix_tree.by_words(texts, 0, lambda part: [pa.array([part.num_rows])], ["rows"]))
+    assert [b.column(0)[0].as_py() for b in got] == [4] * 5
+
+
+def test_suffix_tree_windows_end_at_the_last_state(spark):
+    """A window is no longer than a state and the word after it."""
+    words = np.arange(100, 112)
+    levels = suffix_tree.string_keys(words, np.array([0, 6]), 4)
+    cut, before = suffix_tree.reaching(levels, np.zeros(1 << 20, np.uint64))
+    assert (np.stack([*cut[1:], *before]) == -1).all() and (cut[0] == words).all()
+    keys = [int(levels[0][2]), int(levels[1][2]), int(levels[1][7])]
+    bitmap = suffix_tree.marks(spark.createDataFrame([(k,) for k in keys], "key long"))
+    cut, before = suffix_tree.reaching(levels, bitmap)
+    assert [np.flatnonzero(level >= 0).tolist() for level in cut[1:]] == [[3], [3], []]
+    assert [level[3] for level in before] == [keys[0], keys[1], -1]
+    assert [level[3] for level in cut[:3]] == [level[3] for level in levels[:3]]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_wu_manber_finds_what_a_scan_finds(seed):
     draw = np.random.default_rng(seed)
