@@ -3,6 +3,7 @@
 import collections
 import math
 import os
+import pathlib
 import random
 import sys
 import zlib
@@ -21,6 +22,7 @@ from plantmon.llm import (  # noqa: E402
     components, decontaminate, html_text, jaccard, language_id, line_dedup, neighbours, packing, sharding,
     substring_dedup, suffix_tree,
 )
+from plantmon.plans.staging import staging_root  # noqa: E402
 
 PATTERN = "tests pick few words so that repeats are common and runs of them recur often in here".split()
 # Names that results and helper columns of the operators have as well.
@@ -596,6 +598,17 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     assert (suffix_tree.Lookup(values[:0]).find(values) == -1).all()
 
 
+def test_suffix_tree_leaves_only_the_tree(spark):
+    """What the levels staged is gone when the tree is written, and the tree is whole."""
+    table = documents(spark, [(i, "a b c d") for i in range(40)]).select("text")
+    counted = suffix_tree.word_counts(table)
+    folder = pathlib.Path(staging_root(spark).removeprefix("file:")) / "plantmon"
+    before = set(folder.glob("*"))
+    tree = suffix_tree.learn_tree(table, counted, suffix_tree.totals(counted), suffix_tree.Bounds())
+    assert [p.name[:5] for p in set(folder.glob("*")) - before] == ["tree-"]
+    assert tree.where("escape IS NOT NULL").count()
+
+
 def test_suffix_tree_hands_on_small_batches():
     """A batch of long texts leaves in pieces, so its windows are never all in memory."""
     texts = pa.RecordBatch.from_arrays([pa.array(["word " * 40_000] * 20)], names=["text"])
