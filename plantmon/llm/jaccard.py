@@ -31,8 +31,8 @@ SHINGLE = 5
 LEAST_BITS, MOST_BITS = 4, 13  # of the number of groups
 LEAF = 32
 BATCH_BYTES = 1_000_000
-COMMON_SHARE = 0.001
 COMMON_LIMIT = 200_000
+ROUNDS = 3
 
 
 def shingle_sets(texts: pa.Array, words_of: WordHasher, width: int) -> list[np.ndarray]:
@@ -236,35 +236,44 @@ def describe(source: DataFrame, width: int) -> DataFrame:
     return map_arrow(source, "id long, key binary, name long, size long, counts binary", make)
 
 
-def common_shingles(source: DataFrame, width: int, documents: int) -> np.ndarray:
-    """Shingles that many documents hold, to be put last in the common order.
+class Order:
+    """The common order of shingles: by value, but the listed ones last, rarer ones first.
 
-    Any set of them gives right results, so each batch only reports what is
-    frequent in it; at most COMMON_LIMIT reach the driver and the tasks.
+    Passages that many documents hold would otherwise bring together more rows
+    the larger the corpus is. Any order gives right results.
     """
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        words_of = WordHasher()
-
-        def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [x for x in shingle_sets(batch.column(1), words_of, width) if len(x)]
-            found, times = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
-            often = times >= max(3, 2 * COMMON_SHARE * len(sets))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["shingle", "n"]
-            )
-
-        return lambda batch: _per_batch(batch, part)
-
-    counted = map_arrow(source, "shingle long, n long", make).groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = (
-        counted.where(F.col("n") >= max(3.0, COMMON_SHARE * documents))
-        .orderBy(F.desc("n"), "shingle").limit(COMMON_LIMIT).select("shingle").collect()
-    )
-    return np.sort(np.asarray([r["shingle"] for r in rows], np.int64))
-
-
-def signatures(source: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
+    def __init__(self, listed: np.ndarray | None = None, times: np.ndarray | None = None):
+        self.listed = np.empty(0, np.int64) if listed is None else listed
+        self.times = np.empty(0, np.int64) if times is None else times
+        by_value = np.argsort(self.listed)
+        self.listed, self.times = self.listed[by_value], self.times[by_value]
+        self.rank = np.empty(len(self.listed), np.int64)
+        self.rank[np.lexsort((self.listed, self.times))] = np.arange(len(self.listed))
+
+    def first(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        """The first ``n - ceil(percent n) + 1`` of a sorted set of ``n`` shingles."""
+        n = len(shingles)
+        values = shingles.view(np.int64)
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, values), len(self.listed) - 1)
+            late = self.listed[at] == values
+            if late.any():
+                last = values[late][np.argsort(self.rank[at[late]])]
+                values = np.concatenate([values[~late], last])
+        return values[: n - -(-percent * n // 100) + 1]
+
+    def extended(self, shared: DataFrame, crowded: int, common: int) -> Order | None:
+        """The order that lists more of ``shared`` (signature, n) if one not listed brings over ``crowded`` rows together."""
+        often = shared.where(F.col("n") > common).orderBy(F.desc("n"), "signature").limit(COMMON_LIMIT).toArrow()
+        found, times = (often.column(c).to_numpy() for c in ("signature", "n"))
+        new = np.flatnonzero(~np.isin(found, self.listed))[: COMMON_LIMIT - len(self.listed)]
+        if not (times[new] > crowded).any():
+            return None
+        return Order(np.concatenate([self.listed, found[new]]), np.concatenate([self.times, times[new]]))
+
+
+def signatures(source: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
     """(signature, name) rows: the first shingles of each set in the common order."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -275,15 +284,8 @@ def signatures(source: DataFrame, width: int, percent: int, common: np.ndarray)
             for x in shingle_sets(batch.column(1), words_of, width):
                 if not len(x):
                     continue
-                n = len(x)
-                prefix = n - -(-percent * n // 100) + 1
-                values = x.view(np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-                    late = common[at] == values
-                    values = np.concatenate([values[~late], values[late]])
-                heads.append(values[:prefix])
-                names.append(np.full(prefix, int.from_bytes(set_key(x)[:8], "little", signed=True)))
+                heads.append(order.first(x, percent))
+                names.append(np.full(len(heads[-1]), int.from_bytes(set_key(x)[:8], "little", signed=True)))
             if not heads:
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["signature", "name"])
             pairs = np.unique(np.stack([np.concatenate(heads), np.concatenate(names)], axis=1), axis=0) \
@@ -299,14 +301,28 @@ def signatures(source: DataFrame, width: int, percent: int, common: np.ndarray)
     return map_arrow(source, "signature long, name long", make)
 
 
-def blocks(signs: DataFrame) -> DataFrame:
-    """Signatures that several sets share, one of those that bring the same sets together."""
-    # Written, so that Spark can split a hot signature in the joins below.
-    shared = stage(
-        signs.groupBy("signature").agg(F.min("name").alias("a"), F.max("name").alias("b"))
-        .where("a <> b").select("signature"),
-        "shared",
-    )
+def blocks(source: DataFrame, width: int, percent: int, crowded: int, common: int) -> DataFrame:
+    """Signatures that several sets share, one of those that bring the same sets together.
+
+    A signature of more than ``crowded`` rows is mostly a passage that unlike
+    documents hold. Where there is one, all of more than ``common`` rows go to
+    the end of the order and the signatures are taken again, for some rounds: sets
+    that still meet then have little else.
+    """
+    order = Order()
+    for turn in range(ROUNDS):
+        signs = signatures(source, width, percent, order)
+        # Written, so that Spark can split a hot signature in the joins below.
+        shared = stage(
+            signs.groupBy("signature").agg(F.min("name").alias("a"), F.max("name").alias("b"), F.count(F.lit(1)).alias("n"))
+            .where("a <> b").select("signature", "n"),
+            "shared",
+        )
+        further = order.extended(shared, crowded, common) if turn + 1 < ROUNDS else None
+        if further is None:
+            break
+        order = further
+    shared = shared.select("signature")
     members = stage(signs.join(shared, "signature", "left_semi").distinct(), "members")
     prints = members.groupBy("signature").agg(
         F.count(F.lit(1)).alias("rows"), F.min("name").alias("a"), F.max("name").alias("b"),
@@ -453,6 +469,7 @@ def near_duplicate_groups(
     load: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    common: int = 200,
 ) -> DataFrame:
     """Group documents linked by 100 * intersection >= ``percent`` * union.
 
@@ -481,8 +498,7 @@ def near_duplicate_groups(
             F.first("counts").alias("counts"),
         ), "classes",
     )
-    common = common_shingles(source, width, described.count())
-    met = blocks(signatures(source, width, percent, common))
+    met = blocks(source, width, percent, crowded, common)
     met = met.join(classes.select("name", "size", "counts"), "name")
     edges = stage(_candidates(met.select("signature", "name", "rows", "a", "size", "counts"), percent, crowded), "edges")
     clusters = connected(edges, "a", "b")

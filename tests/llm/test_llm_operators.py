@@ -134,6 +134,28 @@ def test_jaccard(spark, rows, crowded, chunk, load):
     assert jaccard.near_duplicate_groups(empty(spark)).count() == 0
 
 
+def test_jaccard_passage_of_many_makes_no_cluster(spark, monkeypatch):
+    """Texts that share a passage and nothing else are not verified against each other."""
+    draw = random.Random(8)
+
+    def words(n):
+        return " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+
+    passage = words(40)
+    rows = [(i, f"{words(40)}\n{passage}\n{words(20)}") for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    sizes, verify = [], jaccard._verify
+
+    def counted(members, *args):
+        sizes.extend(r["count"] for r in members.groupBy("cluster").count().collect())
+        return verify(members, *args)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    out = jaccard.near_duplicate_groups(documents(spark, rows), crowded=20, common=6)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute.near_duplicates(rows)
+    assert sizes == [2] * 5
+
+
 def test_jaccard_joins_what_one_id_holds(spark):
     import corpus_pipeline
 
