@@ -283,6 +283,33 @@ def test_holdout_reads_few_jobs_however_many_slices_it_takes(spark, monkeypatch)
     assert splits.choose_holdout(sliced, ["x", "y"], 60) == read
 
 
+def test_holdout_brings_counts_to_the_driver_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(splits, "NODES", (2, 16))
+    rng = np.random.default_rng(9)
+    df = frame(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))], "pos bigint, x double, y double")
+    sliced = splits.slice_ids(df, "pos", 10)
+    whole = splits.choose_holdout(sliced, ["x", "y"], 60)
+    monkeypatch.setattr(splits, "FETCHED", 150, raising=False)
+    rows, tables, kind = [], [], type(df)
+    collect, arrow = kind.collect, kind.toArrow
+
+    def collected(self):
+        out = collect(self)
+        rows.append(len(out))
+        return out
+
+    def read(self):
+        out = arrow(self)
+        tables.append(out.num_rows)
+        return out
+
+    monkeypatch.setattr(kind, "collect", collected)
+    monkeypatch.setattr(kind, "toArrow", read)
+    assert splits.choose_holdout(sliced, ["x", "y"], 60) == whole
+    # Per slice and target at most; there are about 1,000 counts per range.
+    assert max(rows) <= 120 and max(tables) <= 150 and sum(tables) > 600
+
+
 def test_dynamic_split_keeps_a_train_slice_and_refuses_too_many(spark, monkeypatch):
     df = frame(spark, [(i, float(i % 7)) for i in range(40)], "pos bigint, x double")
     out = splits.split_dynamic(df, "pos", "x", length=10, test_ratio=0.95)
