@@ -13,6 +13,7 @@ from plantmon.operators.calibrate import alarm
 from plantmon.operators.reports import detection_report_columns, finish_detection_report
 from plantmon.operators.scale import Scaler
 from plantmon.operators.splits import latest
+from plantmon.plans.joins import fits
 from plantmon.plans.staging import new_path, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -75,8 +76,15 @@ def live_detection_report(
     records: DataFrame, onsets: DataFrame, episode: str = "episode", index: str = "raw_index",
     alarm_col: str = "alarm",
 ) -> DataFrame:
-    """Running counts per episode, a stateful aggregate for update mode."""
-    joined = records.join(onsets.select(episode, "onset", "fault_id"), episode, "inner")
+    """Running counts per episode, a stateful aggregate for update mode.
+
+    The onsets are staged once, so their size is known: they are broadcast below
+    the bounds of :func:`lookup`, and otherwise both sides are shuffled. Records
+    never are: a slice of them can look small as a file, and would pass the driver.
+    """
+    frozen = stage(onsets.select(episode, "onset", "fault_id"), "frozen")
+    how = "broadcast" if fits(frozen) else "merge"
+    joined = records.join(frozen.hint(how), episode, "inner")
     return joined.groupBy(episode, "fault_id", "onset").agg(
         *detection_report_columns(index, F.col(alarm_col), F.col("onset"))
     )

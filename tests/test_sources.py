@@ -244,3 +244,15 @@ def test_live_report_equals_the_batch_report(spark):
     batch = episode_detection_report(df, on, "episode", "raw_index")
     stream = live.live_report(live.Replay(df, "raw_index", 3), on).select(*batch.columns)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
+
+
+def test_live_report_never_broadcasts_records(spark, tmp_path):
+    """Not even where they look smaller than the onsets."""
+    spark.range(50).selectExpr("id % 5 AS episode", "id AS raw_index", "id % 3 = 0 AS alarm").write.parquet(str(tmp_path / "records"))
+    records = spark.read.parquet(str(tmp_path / "records"))
+    for many in (100, 150_000):
+        on = spark.range(many).selectExpr("id AS episode", "10L AS onset", "1L AS fault_id", "id AS more").distinct()
+        report = live.live_detection_report(records, on)
+        plan = report._jdf.queryExecution().sparkPlan().toString()
+        assert "BuildLeft" not in plan and ("BuildRight" in plan) == (many == 100)
+        assert sorted(r["row_count"] for r in report.collect()) == [10] * 5
